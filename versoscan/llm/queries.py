@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from versoscan.llm import sharding, warc
+from versoscan.llm.packing import packing_query
 from versoscan.llm.quality import quality_query
 from versoscan.llm.simhash import simhash_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sharding": sharding.sharding_query,
+    "op7_warc": warc.warc_query,
     "op8_quality_rules": quality_query,
+    "op9_packing": packing_query,
     "op10_simhash": simhash_query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_sharding": sharding.oracle(),
+    "op7_warc": warc.ORACLE,
+}
