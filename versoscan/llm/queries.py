@@ -10,8 +10,12 @@ from versoscan.llm import sharding, warc
 from versoscan.llm.packing import packing_query
 from versoscan.llm.quality import quality_query
 from versoscan.llm.simhash import simhash_query
+from versoscan.llm.substrings import substrings_query
+from versoscan.llm.suffixes import suffixes_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_arrays": suffixes_query,
+    "op5_substrings": substrings_query,
     "op6_sharding": sharding.sharding_query,
     "op7_warc": warc.warc_query,
     "op8_quality_rules": quality_query,
