@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from versoscan.llm import sharding, warc
+from versoscan.llm.decontaminate import decontaminate_query
 from versoscan.llm.packing import packing_query
+from versoscan.llm.pii import pii_query
 from versoscan.llm.quality import quality_query
 from versoscan.llm.simhash import simhash_query
 from versoscan.llm.substrings import substrings_query
 from versoscan.llm.suffixes import suffixes_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate_query,
     "op3_suffix_arrays": suffixes_query,
+    "op4_pii": pii_query,
     "op5_substrings": substrings_query,
     "op6_sharding": sharding.sharding_query,
     "op7_warc": warc.warc_query,

@@ -85,9 +85,11 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def find_words(column: pa.Array) -> Words:
+def find_words(column: pa.Array, separator: np.ndarray = SEPARATOR, folded: np.ndarray | None = None) -> Words:
+    """``folded`` is a table of 256 bytes that the data goes through first."""
     data, offsets = bytes_of(column)
-    inside = ~SEPARATOR[data]
+    data = data if folded is None else folded[data]
+    inside = ~separator[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     after = np.zeros(len(data), bool)
