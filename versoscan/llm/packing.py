@@ -216,7 +216,12 @@ def with_checksum(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packing_of(docs: DataFrame) -> DataFrame:
+    """The pieces with production parameters, their ids as a checksum."""
     import public_tokenizers
 
-    return with_checksum(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return with_checksum(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_of(table(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from versoscan.llm import sharding, warc
 from versoscan.llm.decontaminate import decontaminate_query
+from versoscan.llm.html import html_query
 from versoscan.llm.packing import packing_query
 from versoscan.llm.pii import pii_query
 from versoscan.llm.quality import quality_query
@@ -16,6 +17,7 @@ from versoscan.llm.substrings import substrings_query
 from versoscan.llm.suffixes import suffixes_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": html_query,
     "op2_decontaminate": decontaminate_query,
     "op3_suffix_arrays": suffixes_query,
     "op4_pii": pii_query,

@@ -45,17 +45,18 @@ def fingerprint(text: bytes, n: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long) for each row of docs(doc_id, text), in one narrow pass."""
+def fingerprints(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) and the columns of ``carry`` for each row of docs(doc_id, text), in one narrow pass."""
+    types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
             data, offsets = W.bytes_of(part.column("text"))
             raw = data.tobytes().lower()  # of bytes: A-Z only
             fp = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *(part.column(c) for c in carry)], names=["doc_id", "fp", *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, f"doc_id {types['doc_id']}, fp long" + "".join(f", {c} {types[c]}" for c in carry))
 
 
 def _ring() -> list[tuple[int, int]]:
@@ -109,18 +110,19 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs(doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root) and the columns of ``carry`` for each row of docs(doc_id, text).
 
-    Equal fingerprints are one node of the graph, however many documents have them.
+    Equal fingerprints are one node of the graph, however many documents have them. ``root`` is the component's least
+    fingerprint, which stands for it even where no row has an id.
     """
-    fps = cut(fingerprints(docs, shingle))
+    fps = cut(fingerprints(docs, shingle, carry))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     reach = cut(connected_components(link_fingerprints(nodes.select("fp"))))
     least = nodes.join(reach, nodes["fp"] == reach["node"]).groupBy("component").agg(F.min("least").alias("least"))
-    linked = reach.join(least, "component").select(F.col("node").alias("fp"), F.col("least").alias("linked"))
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    linked = reach.join(least, "component").select(F.col("node").alias("fp"), F.col("least").alias("linked"), "component")
+    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
