@@ -1,20 +1,74 @@
-"""A training-data pipeline over ``documents``: STAGES in order, each reading what the one before kept."""
+"""A training-data pipeline over ``documents``: STAGES in order, each reading what the one before kept.
+
+1. quality: documents that the quality rules reject go. 2. near-duplicates: of each SimHash component one document
+stays, the one with the least doc_id. 3. decontamination: documents
+that hold a passage of the benchmark go. 4. personal data: every span found is replaced by a mark of its kind, n_chars
+follows the text. 5. packing: the pieces of token sequences.
+
+Every stage takes (spark, docs, sf_dir) with the columns of ``documents`` and returns them again, except the last.
+Null texts count as empty (the quality stage rejects them); further columns are dropped.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versoscan.llm.quality import fit, score_quality
-from versoscan.llm.shared import cut, table
+from versoscan.llm import decontaminate, packing, pii, quality, simhash
+from versoscan.llm.shared import cut, shared_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    trees = quality.fit(docs, table(spark, sf_dir, "labels"))
+    rest = tuple(c for c in COLUMNS if c != "doc_id")
+    scored = quality.score_quality(docs, trees, carry=rest).where("kept")
+    return scored.select("doc_id", *(F.col(f"in_{c}").alias(c) for c in rest))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the row with the least (doc_id, hash of its columns) stays, once if it is repeated."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
+    found = simhash.near_duplicates(keyed, carry=("row",))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.doc_id").alias("id"), F.col("first.row").alias("kept")).hint("shuffle_hash")
+    # the row's hash covers doc_id; joining and then dropping repeats by it shuffles the text once
+    rows = keyed.join(kept, keyed["row"] == kept["kept"]).where(keyed["doc_id"].eqNullSafe(kept["id"]))
+    return rows.dropDuplicates(["row", "doc_id"]).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    leaks = cut(found.select("doc_id").distinct())
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.mask_personal_data(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packing_of(docs)
+
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("packing", packing_stage),
+]
+#: The trees, the random field and the tokenizer are beyond SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
     return docs
