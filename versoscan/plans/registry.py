@@ -2,13 +2,666 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from versoscan.functions import text as X
+from versoscan.functions.text import hash_probability
+from versoscan.operators import blocks as B
+from versoscan.operators import choices as C
+from versoscan.operators import evaluate as E
+from versoscan.operators import judge as J
+from versoscan.operators import report as P
+from versoscan.operators import requests as R
+from versoscan.operators import rules
+from versoscan.operators import structure as S
+from versoscan.operators import violations as V
+from versoscan.plans import inputs as I
+from versoscan.plans.lint import Judge, Limits, Lint, lint_corpus
+from versoscan.plans.oracles import oracle_sql
+from versoscan.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SMALL = Limits(document=900, window=700, score=2600, locate=2500)  # so that the gates meet documents of this size
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def keep(fn: Query) -> Query:
+        QUERIES[name] = fn
+        return fn
+
+    return keep
+
+
+def lint(spark: SparkSession, sf_dir: str, limits: Limits | None = None) -> Lint:
+    judge = Judge(I.boundary_answers, lambda q: I.score_answers(q, "block"), lambda q: I.score_answers(q, "document"), I.locate_answers)
+    return lint_corpus(I.markdown(spark, sf_dir), I.category_table(spark), judge, limits)
+
+
+def calls(found: Lint) -> DataFrame:
+    """The requests with a model and token counts, as a recorder would have them."""
+    return found.calls.withColumns({"model": F.when(F.col("stage") == "score", "judge-b").otherwise("judge-a"), "input_tokens": F.col("size") * 7, "output_tokens": F.col("size")})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Documents cut into blocks: structure, boundary answers, cuts, running block numbers, block texts."""
+    return QUERIES["build_blocks"](spark, sf_dir)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.lines_of(I.analyzed(spark, sf_dir))
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    shape = I.analyzed(spark, sf_dir)
+    asked = S.boundary_requests(shape).select("doc_id", "i", "j")
+    cuts = B.boundary_cuts(asked, I.boundary_answers(asked)).unionByName(B.forced_cuts(shape))
+    return shape, B.build_blocks(shape, B.block_ids(shape, cuts))
+
+
+# sources
+
+
+@query("read_documents")
+def _(spark, d):
+    """Each derived document written as a file of its source's directory and read back whole."""
+    from_conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/versoscan-files"
+    top = f"{from_conf.rstrip('/')}/docs-{uuid.uuid4().hex}"
+    # one file a document: a text sink writes one file a directory of the partition column
+    I.markdown(spark, d).select(F.col("text").alias("value"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file")).write.partitionBy("file").option("lineSep", "\n").text(top)
+    name = F.regexp_extract("doc_id", r"file=(\d+)", 1).cast("long")
+    return files.read_documents(spark, top).select(name.alias("doc_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
+@query("path_excludes")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.regexp_replace("url", r"^https?://|\?.*$", "").alias("path"))
+    defaults = files.is_excluded(F.col("path"), F.lit("/"), [], True)
+    own = files.is_excluded(F.col("path"), F.lit("/"), ["*/fr/*", "th*", "1?"], False)
+    return pages.select("page_id", "path", defaults.alias("by_default"), own.alias("by_pattern"))
+
+
+@query("excluded_counts")
+def _(spark, d):
+    path = F.regexp_replace("url", r"^https?://|\?.*$", "")
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(path.alias("path"), F.element_at(F.split(path, "/"), 1).alias("root"))
+    return files.excluded_counts(pages, ["*2*", "de"])
+
+
+# line structure
+
+
+@query("split_lines")
+def _(spark, d):
+    return I.markdown(spark, d).select("doc_id", F.posexplode(X.split_lines(F.col("text"))).alias("idx", "line"))
+
+
+@query("mask_syntax")
+def _(spark, d):
+    return lines(spark, d).where("kind is not null").select("doc_id", "idx", "kind")
+
+
+@query("masked_text")
+def _(spark, d):
+    return R.masked_documents(I.analyzed(spark, d))
+
+
+@query("masked_block_body")
+def _(spark, d):
+    shape, found = blocks(spark, d)
+    body = S.masked_slice(F.col("lines"), F.col("kinds"), F.col("start"), F.col("end"))
+    return found.join(shape.select("doc_id", "lines", "kinds"), "doc_id").select("doc_id", "block", body.alias("body"))
+
+
+@query("prose_lines")
+def _(spark, d):
+    return S.prose_lines(lines(spark, d)).select("doc_id", "idx", "line")
+
+
+@query("no_prose_skips")
+def _(spark, d):
+    """Judged on the first line of each document alone, so that there are documents without prose."""
+    first = I.markdown(spark, d).select("doc_id", F.split("text", "\n")[0].alias("text"))
+    return R.no_prose_skips(S.analyze(first), I.category_table(spark)).select("doc_id", "category", "reason")
+
+
+@query("list_items")
+def _(spark, d):
+    return S.list_items(lines(spark, d))
+
+
+@query("boundary_candidates")
+def _(spark, d):
+    return S.pairs_of(I.analyzed(spark, d), "pairs")
+
+
+@query("list_continuations")
+def _(spark, d):
+    return S.pairs_of(I.analyzed(spark, d), "continuations")
+
+
+@query("line_pairs")
+def _(spark, d):
+    return S.line_pairs(lines(spark, d))
+
+
+@query("pack_windows")
+def _(spark, d):
+    shape = S.analyze(I.markdown(spark, d), SMALL.window)
+    return S.windows_of(shape).select("doc_id", "win", "start", "end", F.size("pairs").alias("n_pairs"))
+
+
+@query("uninspected_pairs")
+def _(spark, d):
+    return R.uninspected_pairs(S.analyze(I.markdown(spark, d), SMALL.window)).select("doc_id", "stage", "reason", "start", "end")
+
+
+@query("boundary_requests")
+def _(spark, d):
+    return S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", "i", "j", "key", "question", F.array_join("state", "\n").alias("state"))
+
+
+@query("sentence_candidates")
+def _(spark, d):
+    return S.sentence_candidates(lines(spark, d))
+
+
+@query("line_prefix_chars")
+def _(spark, d):
+    return S.prefix_chars(lines(spark, d))
+
+
+@query("payload_chars")
+def _(spark, d):
+    shape, found = blocks(spark, d)
+    return R.block_payloads(R.block_states(shape, found), I.category_table(spark)).select("doc_id", "block", F.col("payload").cast("long"))
+
+
+@query("input_hash")
+def _(spark, d):
+    return R.input_hash(I.markdown(spark, d))
+
+
+# rulesets
+
+
+@query("categories_by_scope")
+def _(spark, d):
+    """How many documents' worth of scoring each active category asks for, by scope."""
+    cats = I.category_table(spark)
+    both = rules.active_categories(cats, "block").select(F.lit("block").alias("scope"), "name", "threshold").unionByName(rules.active_categories(cats, "document").select(F.lit("document").alias("scope"), "name", "threshold"))
+    return I.documents(spark, d).agg(F.count("*").alias("documents")).crossJoin(both)
+
+
+def ruled(spark: SparkSession, d: str) -> DataFrame:
+    """A category a document, some of them broken: levels and thresholds follow the document's id."""
+    n = F.col("doc_id")
+    some = lambda k: F.transform(F.sequence(F.lit(1), k.cast("int")), lambda x: x.cast("string"))
+    levels = F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(some(n % 7))
+    return I.documents(spark, d).select(
+        F.lit(0).alias("pos"), F.concat(F.lit("c"), n).alias("name"), F.lit(True).alias("enabled"), F.when(n % 3 == 0, "document").otherwise("block").alias("scope"), F.lit("warning").alias("severity"), (n % 4 / 2).alias("threshold"),
+        F.when(n % 5 == 0, "").otherwise(F.col("source")).alias("description"), levels.alias("levels"), F.when(n % 2 == 0, some(n % 6 + 1)).alias("levels_document"), F.when(n % 3 > 0, F.concat_ws(" ", F.lit("引用"), "lang", F.when(n % 4 > 0, "ルール定義 説明例"))).alias("locate"),
+        F.when(n % 11 == 0, float("nan")).otherwise((n % 13) / 10.0).alias("locate_threshold"), F.array(F.lit("threshold"), F.lit("levels")).alias("is_set"),
+    )
+
+
+@query("invalid_categories")
+def _(spark, d):
+    return rules.invalid_categories(ruled(spark, d))
+
+
+@query("merged_categories")
+def _(spark, d):
+    """Every third document's category patched: its threshold and scope are given, the levels not."""
+    parent = ruled(spark, d).where("length(name) % 2 = 0")
+    child = ruled(spark, d).where("cast(substring(name, 2) as bigint) % 3 = 0").withColumns({"threshold": F.lit(0.25), "scope": F.lit("both"), "is_set": F.array(F.lit("threshold"), F.lit("scope"))})
+    return rules.merge_categories(parent, child).select("name", "scope", "threshold", "description", F.size("levels").alias("n_levels"), "pos")
+
+
+@query("rule_text_contracts")
+def _(spark, d):
+    return rules.rule_text_contracts(ruled(spark, d))
+
+
+# requests
+
+
+@query("block_score_requests")
+def _(spark, d):
+    shape, found = blocks(spark, d)
+    cats = I.category_table(spark)
+    return R.block_score_requests(R.block_payloads(R.block_states(shape, found), cats), cats).select("doc_id", "block", "category", "heading", "context", "body", "instruction", F.array_join("levels", "|").alias("levels"))
+
+
+@query("document_score_requests")
+def _(spark, d):
+    return R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)).select("doc_id", "category", "state", "instruction", F.array_join("levels", "|").alias("levels"))
+
+
+@query("locate_requests")
+def _(spark, d):
+    return lint(spark, d).questions
+
+
+@query("size_skips")
+def _(spark, d):
+    return lint(spark, d, SMALL).skipped.where("reason in ('state_too_large', 'score_state_too_large')")
+
+
+@query("question_chunks")
+def _(spark, d):
+    q = R.question_chunks(lint(spark, d).questions, ["doc_id", "scope", "block", "category"], "cand", 5)
+    return q.select("doc_id", "scope", "block", "category", "cand", "chunk")
+
+
+# joins over lines and blocks
+
+
+@query("nearest_heading")
+def _(spark, d):
+    shape, found = blocks(spark, d)
+    return B.nearest_heading(S.lines_of(shape), found)
+
+
+@query("preceding_context")
+def _(spark, d):
+    shape, found = blocks(spark, d)
+    return B.preceding_context(S.lines_of(shape), found, 400)
+
+
+@query("boundary_cuts")
+def _(spark, d):
+    asked = S.boundary_requests(I.analyzed(spark, d))
+    return B.boundary_cuts(asked, I.boundary_answers(asked))
+
+
+@query("forced_cuts")
+def _(spark, d):
+    return B.forced_cuts(I.analyzed(spark, d))
+
+
+@query("block_ids")
+def _(spark, d):
+    shape = I.analyzed(spark, d)
+    asked = S.pairs_of(shape, "pairs")
+    return B.block_ids(shape, B.boundary_cuts(asked, I.boundary_answers(asked)).unionByName(B.forced_cuts(shape)))
+
+
+@query("build_blocks")
+def _(spark, d):
+    return blocks(spark, d)[1]
+
+
+@query("block_lines")
+def _(spark, d):
+    return B.block_lines(*blocks(spark, d))
+
+
+# judge, gate, findings
+
+
+def hash_judge(frame):
+    """The test judge: a probability from each request's key."""
+    import hashlib
+
+    import pandas as pd
+
+    keys = [f"b|{x}|{i}" for x, i in zip(frame["doc_id"], frame["i"], strict=True)]
+    return pd.DataFrame({"prob": [int(hashlib.md5(k.encode()).hexdigest()[:8], 16) / 4294967296 for k in keys], "model": "judge-a", "input_tokens": frame["question"].str.len(), "output_tokens": 1})
+
+
+@query("judge_noul")
+def _(spark, d):
+    asked = S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", "i", "j", "question")
+    return J.judge_noul(asked, hash_judge, 8).drop("question")
+
+
+def hash_scorer(frame):
+    import hashlib
+
+    import pandas as pd
+
+    h = lambda salt: [int(hashlib.md5(f"{salt}|document|{x}|-1|{c}".encode()).hexdigest()[:8], 16) / 4294967296 for x, c in zip(frame["doc_id"], frame["category"], strict=True)]
+    return pd.DataFrame({"score": [p * (n - 1) for p, n in zip(h("s"), frame["n_levels"], strict=True)], "confidence": h("c"), "model": "judge-b", "input_tokens": 7, "output_tokens": 1})
+
+
+@query("judge_score")
+def _(spark, d):
+    asked = R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)).select("doc_id", "category", F.size("levels").alias("n_levels"))
+    return J.judge_score(asked, hash_scorer, 8).select("doc_id", "category", "score", "confidence", "model")
+
+
+@query("record_calls")
+def _(spark, d):
+    asked = S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", "i", "j", "question")
+    return J.record_calls(J.judge_noul(asked, hash_judge, 8), ["doc_id", "win"])
+
+
+@query("score_gate")
+def _(spark, d):
+    return lint(spark, d).flagged.select("doc_id", "scope", "block", "category", "score", "confidence", "severity")
+
+
+@query("locate_violations")
+def _(spark, d):
+    found = lint(spark, d)
+    return V.locate_violations(found.located, I.category_table(spark)).drop("score", "confidence")
+
+
+@query("score_flag_violations")
+def _(spark, d):
+    found = lint(spark, d)
+    return V.score_flag_violations(found.flagged, found.blocks, found.analyzed).drop("probability")
+
+
+@query("all_violations")
+def _(spark, d):
+    return lint(spark, d).violations.select("doc_id", "scope", "category", "start", "end", "col", "text")
+
+
+@query("merge_violations")
+def _(spark, d):
+    return lint(spark, d).merged
+
+
+@query("lint_corpus")
+def _(spark, d):
+    return lint(spark, d, SMALL).merged
+
+
+@query("all_skipped")
+def _(spark, d):
+    return lint(spark, d, SMALL).skipped
+
+
+# reports
+
+
+@query("file_summary")
+def _(spark, d):
+    found = lint(spark, d)
+    return P.file_summary(found.analyzed, found.blocks, found.merged)
+
+
+@query("usage_summary")
+def _(spark, d):
+    found = lint(spark, d)
+    out = P.usage_summary(found.analyzed, calls(found))
+    return out.withColumn("models", F.array_join("models", ","))
+
+
+@query("exit_codes")
+def _(spark, d):
+    found = lint(spark, d)
+    return P.exit_codes(found.analyzed, found.merged)
+
+
+@query("fail_under")
+def _(spark, d):
+    found = lint(spark, d)
+    return P.fail_under(found.merged.where("severity <> 'error'"), found.scores, 0.0001)
+
+
+@query("skipped_lines")
+def _(spark, d):
+    return P.skipped_lines(lint(spark, d, SMALL).skipped)
+
+
+@query("report_lines")
+def _(spark, d):
+    found = lint(spark, d, SMALL)
+    return P.report_lines(P.file_summary(found.analyzed, found.blocks, found.merged), found.merged, found.skipped, P.usage_summary(found.analyzed, calls(found)))
+
+
+@query("report_json")
+def _(spark, d):
+    """The report read back from its JSON text: sizes of its lists and its summary."""
+    found = lint(spark, d, SMALL)
+    out = P.report_json(found.analyzed, found.blocks, found.scores, found.merged, found.skipped, P.file_summary(found.analyzed, found.blocks, found.merged), P.usage_summary(found.analyzed, calls(found)))
+    r = F.from_json("report", "file long, blocks array<struct<lines:array<int>,scores:map<string,struct<score:double,confidence:double>>>>, doc_scores map<string,struct<score:double,confidence:double>>, violations array<struct<start:int,probability:double>>, skipped array<struct<reason:string>>, summary struct<blocks:long,violations:long,errors:long>, usage struct<calls:long>").alias("r")
+    rows = out.select("doc_id", r)
+    count = lambda c: F.size(c).cast("long")
+    return rows.select("doc_id", count("r.blocks").alias("blocks"), count(F.map_keys("r.doc_scores")).alias("doc_scores"), count("r.violations").alias("violations"), count("r.skipped").alias("skipped"), F.col("r.summary.errors").alias("errors"), F.col("r.usage.calls").alias("calls"))
+
+
+# evaluation: sweeps and regressions
+
+
+def candidates(spark: SparkSession, d: str, run: str = "l") -> DataFrame:
+    found = I.locate_answers(lint(spark, d).questions, run)
+    return found.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
+
+
+@query("threshold_sweep")
+def _(spark, d):
+    return E.threshold_sweep(candidates(spark, d))
+
+
+@query("threshold_sweep_by_category")
+def _(spark, d):
+    return E.threshold_sweep(candidates(spark, d), ("category",))
+
+
+def one_scope(spark: SparkSession, d: str, run: str) -> DataFrame:
+    return candidates(spark, d, run).where("scope = 'block'")
+
+
+@query("matched_candidates")
+def _(spark, d):
+    return E.matched_candidates(one_scope(spark, d, "l"), one_scope(spark, d, "l2"))
+
+
+@query("regression_check")
+def _(spark, d):
+    return E.regression_check(E.matched_candidates(one_scope(spark, d, "l"), one_scope(spark, d, "l2")), ("category",))
+
+
+# evaluation: boundary calibration
+
+
+def observations(spark: SparkSession, d: str) -> DataFrame:
+    return E.observation_series(I.recorded_requests(spark, d))
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    return E.with_labels(E.pair_stats(observations(spark, d)), I.label_table(spark, d))
+
+
+@query("polarity")
+def _(spark, d):
+    rows = I.recorded_requests(spark, d).select("run_id", "polarity", F.explode("probs").alias("key", "prob"))
+    return rows.select("run_id", "key", E.polarity(F.col("prob"), F.col("polarity")).alias("p"))
+
+
+@query("discarded_runs")
+def _(spark, d):
+    return E.discarded_runs(I.recorded_requests(spark, d)).select("run_id", F.array_join("models", ",").alias("models"))
+
+
+@query("run_totals")
+def _(spark, d):
+    return E.run_totals(I.recorded_requests(spark, d))
+
+
+@query("observation_series")
+def _(spark, d):
+    """The document 0 stands for the labelled window's source."""
+    return E.observation_series(I.recorded_requests(spark, d), I.OFFSET, "0")
+
+
+@query("window_offset")
+def _(spark, d):
+    """The window of each document is its lines from the third on; the first guess is right for even ids only."""
+    rows = I.documents(spark, d).select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    window = F.slice("lines", 3, 3)
+    return rows.select("doc_id", E.window_offset(F.col("lines"), window, F.when(F.col("doc_id") % 2 == 0, 2).otherwise(0)).alias("at"))
+
+
+@query("labeled_observations")
+def _(spark, d):
+    return E.labeled_observations(observations(spark, d), I.label_table(spark, d).select("doc", "i", "j", "label"))
+
+
+@query("labels_in_window")
+def _(spark, d):
+    pairs = I.recorded_requests(spark, d).where("rep = 0 and chunk = 0").select("doc", F.explode("pairs").alias("p")).select("doc", "p.i", "p.j")
+    return E.labels_in_window(I.label_table(spark, d).select("doc", "i", "j", "label"), pairs)
+
+
+@query("pair_stats")
+def _(spark, d):
+    return E.pair_stats(observations(spark, d)).drop("in_band", "in_legacy")
+
+
+@query("repeat_sd_summary")
+def _(spark, d):
+    return E.repeat_sd_summary(E.pair_stats(observations(spark, d)))
+
+
+@query("band_mass")
+def _(spark, d):
+    return E.band_mass(E.pair_stats(observations(spark, d))).drop("band_mass_legacy")
+
+
+@query("band_mass_legacy")
+def _(spark, d):
+    return E.band_mass(E.pair_stats(observations(spark, d))).select("experiment", "grp", "band_mass_legacy")
+
+
+@query("boundary_auc")
+def _(spark, d):
+    return E.auc(labelled(spark, d))
+
+
+@query("boundary_auc_no_contested")
+def _(spark, d):
+    return E.auc(labelled(spark, d), contested=False)
+
+
+@query("brier_score")
+def _(spark, d):
+    return E.brier(labelled(spark, d))
+
+
+@query("calibration_error")
+def _(spark, d):
+    return E.calibration_error(labelled(spark, d))
+
+
+@query("flip_curve")
+def _(spark, d):
+    return E.flip_curve(observations(spark, d), I.label_table(spark, d))
+
+
+@query("label_split_stats")
+def _(spark, d):
+    return E.label_split_stats(labelled(spark, d))
+
+
+@query("boundary_group_counts")
+def _(spark, d):
+    return E.group_counts(labelled(spark, d))
+
+
+@query("boundary_report")
+def _(spark, d):
+    """E-E pairs belong to two documents here, by the parity of their id."""
+    part = F.when(F.col("doc").cast("long") % 2 == 0, "even").otherwise("odd")
+    wide = lambda df: df.withColumns({"i": F.col("i") + F.col("doc").cast("long") * 1000, "j": F.col("j") + F.col("doc").cast("long") * 1000, "doc": part})
+    return E.boundary_report(wide(observations(spark, d)), wide(I.label_table(spark, d)))
+
+
+@query("label_counts")
+def _(spark, d):
+    return E.label_counts(I.label_table(spark, d).withColumn("doc", F.when(F.col("doc_id") % 4 == 0, "window").otherwise("design")))
+
+
+@query("cache_check")
+def _(spark, d):
+    first = I.eval_pairs(spark, d).select("doc_id", "i", hash_probability(F.lit("r"), "doc_id", "i").alias("prob"))
+    second = first.where("i < 50").withColumn("prob", F.when(F.col("doc_id") % 100 == 7, 0.5).otherwise(F.col("prob")))
+    return E.cache_check(first, second, ["doc_id", "i"])
+
+
+@query("heading_rule_baseline")
+def _(spark, d):
+    return E.heading_rule_baseline(I.label_table(spark, d), lines(spark, d))
+
+
+@query("window_dispersion")
+def _(spark, d):
+    rows = I.recorded_requests(spark, d).select("run_id", "chunk", F.explode("probs").alias("key", "prob"))
+    return E.window_dispersion(rows, ["run_id", "chunk"])
+
+
+@query("request_plan")
+def _(spark, d):
+    return E.request_plan(S.windows_of(I.analyzed(spark, d)), I.label_table(spark, d), {"E-E": 5, "E-C": 3, "E-A": 3, "E-CHOICE": 3})
+
+
+# choices
+
+
+def pools(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of each document as two sources that overlap, put together."""
+    all_labels = I.label_table(spark, d)
+    return C.choice_pools(all_labels.where("i % 3 < 2"), all_labels.where("i % 3 > 0"), 0)
+
+
+@query("choice_pools")
+def _(spark, d):
+    rows = I.label_table(spark, d).withColumn("doc", F.when(F.col("doc_id") % 2 == 0, "window").otherwise("plan_eb"))
+    return C.choice_pools(rows.where("doc = 'window'"), rows.where("doc = 'plan_eb'"), I.OFFSET)
+
+
+@query("choice_questions")
+def _(spark, d):
+    return C.choice_questions(pools(spark, d), 3)
+
+
+def choice_answers(specs: DataFrame) -> DataFrame:
+    asked = specs.groupBy("doc", "question").agg(F.count("*").alias("n"))
+    return asked.select("doc", "question", F.floor(hash_probability(F.lit("a"), "doc", "question") * F.col("n")).cast("int").alias("slot"), F.round(hash_probability(F.lit("f"), "doc", "question"), 1).alias("confidence"))
+
+
+@query("choice_accuracy")
+def _(spark, d):
+    specs = C.choice_questions(pools(spark, d), 3)
+    return C.choice_accuracy(specs, choice_answers(specs))
+
+
+@query("top_confidence")
+def _(spark, d):
+    return C.top_confidence(choice_answers(C.choice_questions(pools(spark, d), 9)))
+
+
+@query("control_unchanged")
+def _(spark, d):
+    main = choice_answers(C.choice_questions(pools(spark, d), 9))
+    control = C.top_confidence(main).withColumn("slot", F.when(F.col("question") == 8, -1).otherwise(F.col("slot")))
+    return C.control_unchanged(main, control)
+
+
+@query("pair_chunks")
+def _(spark, d):
+    return C.pair_chunks(I.eval_pairs(spark, d))
+
+
+@query("question_variants")
+def _(spark, d):
+    return C.question_variants(I.eval_pairs(spark, d), 2)
+
+
+@query("shrink_state")
+def _(spark, d):
+    rows = lines(spark, d).select(F.col("doc_id").alias("doc"), "idx", "line")
+    ends = rows.where("idx % 9 in (3, 4)").select("doc", "idx")
+    windows = rows.groupBy("doc").agg(F.lit(1).alias("start"), F.max("idx").alias("end"))
+    return C.shrink_state(rows, ends, windows, 600)
+
+
+ORACLE_SQL: dict[str, str] = {name: sql for name, sql in oracle_sql(SMALL).items() if name in QUERIES}
