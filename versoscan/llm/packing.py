@@ -16,7 +16,9 @@ executor makes the same ones.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,7 +34,8 @@ from versoscan.llm.shared import table
 WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096  # open windows a task; beyond it they are filled up from one another
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000  # words in each of the cache's two generations
+ODD_LEAD = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
@@ -42,11 +45,13 @@ class Encoder:
     _kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task a core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -54,8 +59,21 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as unsigned 32 bits."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def known(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece; a piece that is not asked for in two generations is forgotten."""
+        if len(self.cache) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
+        young, old = self.cache, self.old
+        found = [young.get(p) or old.get(p) for p in pieces]
+        new = [p for p, f in zip(pieces, found, strict=True) if f is None]
+        fresh = iter(self.whole([p.decode() for p in new]))
+        found = [f if f is not None else next(fresh) for f in found]
+        young.update(zip(pieces, found, strict=True))
+        return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the n + 1 offsets of the texts in it."""
@@ -72,26 +90,22 @@ class Encoder:
         end = np.append(start[1:], len(data))
         _, at, which = np.unique(W.Spans(data).of(start, end), return_index=True, return_inverse=True)
         pieces = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        known = self.cache
-        if new := [p for p in pieces if p not in known]:
-            known.update(zip(new, self.whole([p.decode() for p in new]), strict=True))
-        ids = [known[p] for p in pieces]
-        size = np.array([len(x) for x in ids])
-        flat, begin = np.concatenate(ids), np.cumsum(size) - size
+        ids = self.known(pieces)
+        size = np.array([len(x) >> 2 for x in ids])
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(size) - size
         sizes = size[which]
         total = np.zeros(len(start) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
         out = flat[np.repeat(begin[which] - total[:-1], sizes) + np.arange(total[-1])]
         bounds = total[np.searchsorted(start, offsets)]
-        if ODD_SPACE.search(raw):
+        maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(ODD_LEAD[data]), side="right") - 1).tolist()
+        odd = [i for i in maybe if ODD_SPACE.search(raw, offsets[i], offsets[i + 1])]
+        if odd:
             each = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            odd = [i for i in range(texts) if ODD_SPACE.search(raw, offsets[i], offsets[i + 1])]
             for i, ids_of in zip(odd, self.whole([raw[offsets[i] : offsets[i + 1]].decode() for i in odd]), strict=True):
-                each[i] = ids_of
+                each[i] = np.frombuffer(ids_of, np.uint32)
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])])
-            out = np.concatenate(each) if each else out
+            out = np.concatenate(each)
         return out, bounds
 
 
@@ -200,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                     names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
                 )
 
-        for part in W.chunks(batches, limit=2 << 20):
+        for part in W.chunks(batches):
             id_type = part.column("doc_id").type
             flat, bounds = encoder.encode(part.column("text"))
             for doc_id, a, b in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
