@@ -91,7 +91,7 @@ def find_occurrences(docs: DataFrame, n: int, k: int) -> DataFrame:
 def repeated_contexts(docs: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:
     """From keyed documents: the ranges whose whole context repeats (doc_id, key, place), and one occurrence
     (anchor, doc_id, key, place, n) of each context of anchors that have several contexts."""
-    known = count_anchors(docs, n, k)
+    known = cut(count_anchors(docs, n, k))  # read back, so that the join has a shuffle of its own and can split a hot anchor
     candidates = cut(find_occurrences(docs, n, k).join(known.hint("shuffle_hash"), "anchor"))
     one = F.struct("doc_id", "key", "place")
     contexts = cut(candidates.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")))

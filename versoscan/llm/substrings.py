@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
 from versoscan.llm.repeats import SIZE_BITS, expand, keyed, repeated_contexts, with_places
-from versoscan.llm.shared import cut, table
+from versoscan.llm.shared import table
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 8
@@ -56,7 +56,7 @@ def _windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
 def repeated_windows(docs: DataFrame, n: int, k: int) -> DataFrame:
     """(doc_id, key, place) of keyed documents: packed ranges of the windows that start anywhere else too."""
     whole, opened = repeated_contexts(docs, n, k)
-    windows = cut(_windows(docs, opened, n))
+    windows = _windows(docs, opened, n)  # made twice, from one shuffle of the texts that the last join uses too
     # a context that is found several times repeats whole already, and counts as one start here
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     part = windows.where("single").join(twice.hint("shuffle_hash"), ["h1", "h2"]).select("doc_id", "key", "place")
