@@ -122,6 +122,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, carry: tuple[str, ...] =
     least = nodes.join(reach, nodes["fp"] == reach["node"]).groupBy("component").agg(F.min("least").alias("least"))
     linked = reach.join(least, "component").select(F.col("node").alias("fp"), F.col("least").alias("linked"), "component")
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"), F.coalesce("component", "fp").alias("root"))
+    named = cut(named)  # read back, so that the join has a shuffle of its own and can split a fingerprint of very many rows
     return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
 
 
