@@ -7,8 +7,9 @@ window and an item that agree on one of these pairs are candidates, and the edit
 computed exactly. With the default four walks of eight pairs the recall at the largest allowed distance is above 0.95
 (tests measure it).
 
-A window starts at every word. Before walking, windows are passed over that cannot match: every word outside the
-benchmark's vocabulary costs an edit, so more of them than edits are allowed rules a window out exactly.
+A window starts at every word. Before walking, windows are passed over that cannot match: an edit breaks at most two of
+an item's pairs of neighbouring words, so a window that holds fewer of the benchmark's pairs than must be left is ruled
+out exactly.
 
 An item matches where the edit distance in words is at most ``share`` of the item's words. Result: one row a document
 and item, the match with the fewest edits (of equals the first): doc_id, item_id, start, end (code points), edits,
@@ -44,15 +45,52 @@ class Band(NamedTuple):
 
     low: int
     high: int
+    need: int  # pairs of neighbouring words that a match shares with its item at least
+    reach: int  # words that a match spans at most
     steps: np.ndarray  # walks x pairs x 2
     keys: np.ndarray
     items: np.ndarray
 
 
+class Members:
+    """A set of 64-bit hashes: two tables at different bits of the hash, and what both had no place for."""
+
+    def __init__(self, values: np.ndarray):
+        values = np.unique(values)
+        bits = max(12, int(max(len(values), 1)).bit_length() + 4)
+        self.shifts = [np.uint64(64 - bits), np.uint64(max(0, 64 - 2 * bits))]
+        self.mask = np.uint64((1 << bits) - 1)
+        self.tables = []
+        for shift in self.shifts:
+            place = ((values >> shift) & self.mask).astype(np.int64)
+            t = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
+            t[place] = values
+            self.tables.append(t)
+            values = values[t[place] != values]
+        self.rest = values
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(x), bool)
+        for t, shift in zip(self.tables, self.shifts, strict=True):
+            found |= t[((x >> shift) & self.mask).astype(np.int64)] == x
+        return found | np.isin(x, self.rest) if len(self.rest) else found
+
+
+def neighbours(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each word and the next one."""
+    return W.mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+
+
+def tagged(pairs: np.ndarray, item: np.ndarray) -> np.ndarray:
+    return W.mix(pairs ^ W.mix(item + np.uint64(1)))
+
+
 class Benchmark(NamedTuple):
     ids: list[Any]
     words: list[np.ndarray]  # hashes of each item's words
-    vocabulary: np.ndarray
+    runs: np.ndarray  # the hash of each item's whole run of words
+    pairs: Members
+    own_pairs: Members  # each pair of neighbouring words with its item's number mixed in
     bands: list[Band]
     share: float
 
@@ -95,9 +133,14 @@ def prepare(rows: list[tuple[Any, str]], share: float = SHARE, least_words: int
             keys = [keys_of(embed(flat, begin[mine], (begin + sizes)[mine], w, int(steps.max()) + 1), steps[w], w) for w in range(walks)]
             keys, of = np.stack(keys).reshape(-1), np.tile(mine, walks * pairs)
             order = np.argsort(keys, kind="stable")
-            bands.append(Band(low, high, steps, keys[order], of[order]))
+            need = min(int(n) - 1 - 2 * allowed(int(n), share) for n in sizes[mine])
+            bands.append(Band(low, high, need, high + allowed(high, share), steps, keys[order], of[order]))
         low = high + 1
-    return Benchmark(ids, sequences, np.unique(flat), bands, share)
+    runs = W.Runs(flat).of(begin, begin + sizes) if len(flat) else flat
+    pairs_ = [neighbours(x) for x in sequences]
+    own = [tagged(x, np.array([i], np.uint64)) for i, x in enumerate(pairs_)]
+    both = (Members(np.concatenate(x) if x else flat) for x in (pairs_, own))
+    return Benchmark(ids, sequences, runs, *both, bands, share)
 
 
 def edits(item: list[int], text: list[int], most: int) -> tuple[int, int]:
@@ -121,16 +164,15 @@ def edits(item: list[int], text: list[int], most: int) -> tuple[int, int]:
 
 def candidates(bench: Benchmark, hashes: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a start word and an item that agree on a sampled pair of steps. ``stop``: the end of each word's text."""
-    total = len(hashes)
-    place = np.minimum(np.searchsorted(bench.vocabulary, hashes), max(len(bench.vocabulary) - 1, 0))
-    strange = np.zeros(total + 1, np.int64)
-    np.cumsum(bench.vocabulary[place] != hashes, out=strange[1:])
+    shared = np.zeros(len(hashes) + 1, np.int64)
+    np.cumsum(bench.pairs.has(neighbours(hashes)), out=shared[1 : len(hashes)])
+    shared[-1] = shared[-2]
+    holds = lambda p, reach: shared[np.minimum(p + reach, stop[p]) - 1] - shared[p]
+    every = np.arange(len(hashes))
+    maybe = every[holds(every, max(b.reach for b in bench.bands)) >= min(b.need for b in bench.bands)]
     found = []
-    every = np.arange(total)
     for band in bench.bands:
-        most = allowed(band.high, bench.share)
-        end = np.minimum(every + band.low, stop)
-        starts = np.flatnonzero(strange[end] - strange[:-1] + (every + band.low - end) <= most)
+        starts = maybe[holds(maybe, band.reach) >= band.need]
         if not len(starts):
             continue
         for walk, steps in enumerate(band.steps):
@@ -146,27 +188,45 @@ def candidates(bench: Benchmark, hashes: np.ndarray, stop: np.ndarray) -> tuple[
     return both[0], both[1]
 
 
+def can_match(bench: Benchmark, pairs: np.ndarray, at: np.ndarray, item: np.ndarray, stop: np.ndarray, sizes: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Which candidates share enough pairs of neighbouring words with their own item; the others are ruled out exactly."""
+    most = (bench.share * sizes + 1e-9).astype(np.int64)
+    keep = np.zeros(len(at), bool)
+    for a in range(0, len(at), step):
+        p, i = at[a : a + step], item[a : a + step]
+        size = np.minimum(p + sizes[i] + most[i], stop[p]) - 1 - p
+        of = np.repeat(np.arange(len(p)), size)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + p[of]
+        hit = bench.own_pairs.has(tagged(pairs[place], i[of].astype(np.uint64)))
+        keep[a : a + step] = np.bincount(of[hit], minlength=len(p)) >= sizes[i] - 1 - 2 * most[i]
+    return keep
+
+
 def matches(bench: Benchmark, words: W.Words) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word, word after the last, edits): the best match of each text and item."""
     hashes = W.word_hashes(words)
-    if not len(hashes) or not bench.ids:
+    if len(hashes) < 2 or not bench.ids:
         return []
     stop = words.first[words.text + 1]
     at, item = candidates(bench, hashes, stop)
+    sizes = np.array([len(x) for x in bench.words])
+    keep = can_match(bench, neighbours(hashes), at, item, stop, sizes)
+    at, item = at[keep], item[keep]
+    end = at + sizes[item]
+    fits = end <= stop[at]
+    exact = fits & (W.Runs(hashes).of(at, np.where(fits, end, at)) == bench.runs[item])
+    order = np.argsort(~exact, kind="stable")  # matches without edits first: they need no further look
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    lists = [s.tolist() for s in bench.words]
-    for p, i in zip(at.tolist(), item.tolist(), strict=True):
-        key = (int(words.text[p]), i)
+    for p, i, same in zip(at[order].tolist(), item[order].tolist(), exact[order].tolist(), strict=True):
+        key, size = (int(words.text[p]), i), int(sizes[i])
         have = best.get(key)
-        most = allowed(len(lists[i]), bench.share) if have is None else have[0] - 1
-        if most < 0:
-            continue
-        if np.array_equal(hashes[p : p + len(lists[i])], bench.words[i]) and p + len(lists[i]) <= stop[p]:
-            best[key] = (0, p, p + len(lists[i]))
-            continue
-        n, length = edits(lists[i], hashes[p : min(p + len(lists[i]) + most, int(stop[p]))].tolist(), most)
-        if n <= most:
-            best[key] = (n, p, p + length)
+        most = allowed(size, bench.share) if have is None else have[0] - 1
+        if same and have is None:
+            best[key] = (0, p, p + size)
+        elif most >= 0:
+            n, length = edits(bench.words[i].tolist(), hashes[p : min(p + size + most, int(stop[p]))].tolist(), most)
+            if n <= most:
+                best[key] = (n, p, p + length)
     return [(t, i, a, b, n) for (t, i), (n, a, b) in sorted(best.items())]
 
 
