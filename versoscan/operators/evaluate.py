@@ -85,10 +85,11 @@ def observation_series(requests: DataFrame, offset: int = 0, source: str | None
 
 
 def window_offset(doc_lines: Column, window: Column, first: Column) -> Column:
-    """0-based line of the document at which the window stands: ``first`` if it is there, else its first place, else null."""
+    """0-based line of the document at which the window stands: ``first`` if it is there, else its first place, else null; an
+    empty window stands nowhere."""
     at = lambda k: F.slice(doc_lines, k + 1, F.size(window)) == window
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(doc_lines) - F.size(window), F.lit(0))), at)
-    return F.when((F.size(window) > 0) & at(first), first).otherwise(F.get(places, F.lit(0)))
+    return F.when(F.size(window) > 0, F.when(at(first), first).otherwise(F.get(places, F.lit(0))))
 
 
 def labeled_observations(obs: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:

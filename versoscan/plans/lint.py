@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versoscan.functions import text as X
+from versoscan.functions.lineage import cut
 from versoscan.operators import blocks as B
 from versoscan.operators import requests as R
 from versoscan.operators import violations as V
@@ -59,24 +60,30 @@ class Lint:
 
 
 def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits | None = None) -> Lint:
-    """docs(doc_id, text) through all stages. Sentences are unfolded only for units that the score gate flags."""
+    """docs(doc_id, text) through all stages. Sentences are unfolded only for units that the score gate flags.
+
+    The structure, the blocks and every answer of the judge are checkpointed: later stages read them several times, and
+    a question must not be asked again, neither by a second reader nor when an executor is lost.
+    """
     limits = limits or Limits()
-    shape = analyze(docs, limits.window)
+    shape = cut(analyze(docs, limits.window))
     asked = shape.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.explode("w.pairs").alias("p")).select("doc_id", "p.i", "p.j")
     cuts = B.boundary_cuts(asked, judge.boundaries(asked)).unionByName(B.forced_cuts(shape))
-    found = B.build_blocks(shape, B.block_ids(shape, cuts))
-    payloads = R.block_payloads(R.block_states(shape, found), cats)
+    found = cut(B.build_blocks(shape, B.block_ids(shape, cuts)))
+    payloads = cut(R.block_payloads(R.block_states(shape, found), cats))
     scores = judge.block_scores(R.block_score_requests(payloads, cats, limits.score)).unionByName(judge.document_scores(R.document_score_requests(shape, cats, limits.document)))
+    scores = cut(scores)
     flagged = V.score_gate(scores, cats)
     # sentences: of blocks, and of whole documents
     wanted = flagged.where("locate is not null").select("doc_id", "scope", "block", "category", "locate")
     cands = R.block_candidates(shape, found).unionByName(R.document_candidates(shape))
     block_chars = payloads.select("doc_id", "block", X.json_object_chars({"heading": X.json_string_chars(F.col("heading")), "context": X.json_string_chars(F.col("context")), "block": X.json_string_chars(F.col("body"))}).alias("state_chars"))
     doc_chars = R.masked_documents(shape).select("doc_id", F.lit(None).cast("int").alias("block"), X.json_object_chars({"document": X.json_string_chars(F.col("masked"))}).alias("state_chars"))
-    sized = R.locate_payloads(wanted, cands, block_chars.unionByName(doc_chars))
+    sized = cut(R.locate_payloads(wanted, cands, block_chars.unionByName(doc_chars)))
     fits, large = sized.where(F.col("payload") <= limits.locate), sized.where(F.col("payload") > limits.locate)
     questions = R.locate_questions(fits, cands)
-    located = judge.sentences(questions)
+    located = cut(judge.sentences(questions))
+    questions = located.select(questions.columns)
     every = V.all_violations(V.locate_violations(located, cats), V.score_flag_violations(flagged, found, shape))
     skipped = V.all_skipped(R.no_prose_skips(shape, cats), R.uninspected_pairs(shape), R.size_skips(shape, payloads, cats, limits.document, limits.score), R._skipped(large, "locate_state_too_large", category=F.col("category")))
     return Lint(shape, found, payloads, scores, flagged, questions, located, every, V.merge_violations(every), skipped, calls_of(shape, payloads, scores, fits, questions))

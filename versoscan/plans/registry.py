@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoscan.functions import text as X
+from versoscan.functions.lineage import shared_dir
 from versoscan.functions.text import hash_probability
 from versoscan.operators import blocks as B
 from versoscan.operators import choices as C
@@ -69,8 +70,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("read_documents")
 def _(spark, d):
     """Each derived document written as a file of its source's directory and read back whole."""
-    from_conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "/tmp/versoscan-files"
-    top = f"{from_conf.rstrip('/')}/docs-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
     # one file a document: a text sink writes one file a directory of the partition column
     I.markdown(spark, d).select(F.col("text").alias("value"), F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("file")).write.partitionBy("file").option("lineSep", "\n").text(top)
     name = F.regexp_extract("doc_id", r"file=(\d+)", 1).cast("long")
