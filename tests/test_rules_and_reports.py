@@ -1,0 +1,104 @@
+"""Rulesets, findings, reports and path filters against small expected tables."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from versoscan.operators import report as P
+from versoscan.operators import rules
+from versoscan.operators import violations as V
+from versoscan.sources import files
+
+FOUND = "doc_id long, start int, end int, col int, scope string, category string, severity string, probability double, score double, confidence double, text string"
+
+
+def test_presets(spark):
+    base, tech, blog = (rules.read_ruleset(spark, n) for n in ("base", "tech-doc", "blog"))
+    assert (base.count(), tech.count(), blog.count()) == (8, 11, 10)
+    assert [r.name for r in tech.orderBy("pos").collect()][8:] == ["procedure", "prerequisite", "terminology"]
+    assert blog.where("name = 'voice'").first().threshold == 1.0
+    assert rules.rule_text_contracts(tech).where("not present").count() == 0
+
+
+def test_broken_rules(spark, tmp_path):
+    bad = rules.categories(spark, {"categories": [{"name": "a", "levels": ["1"]}, {"name": "b", "levels_document": [], "locate_threshold": 1.5}, {"name": "c", "levels": ["1", "2"], "description": "x", "locate_threshold": float("nan")}]})
+    assert {(r.category, r.field) for r in rules.invalid_categories(bad).collect()} == {("a", "levels"), ("a", "description"), ("b", "levels_document"), ("b", "locate_threshold"), ("c", "locate_threshold")}
+    (tmp_path / "a.json").write_text(json.dumps({"extends": "b.json", "categories": []}))
+    (tmp_path / "b.json").write_text(json.dumps({"extends": "a.json", "categories": []}))
+    with pytest.raises(ValueError, match="cycle"):
+        rules.read_ruleset(spark, str(tmp_path / "a.json"))
+    (tmp_path / "c.json").write_text(json.dumps({"extends": "base", "categories": [{"name": "voice", "levels": []}]}))
+    with pytest.raises(ValueError, match="must not be empty"):
+        rules.read_ruleset(spark, str(tmp_path / "c.json"))
+    with pytest.raises(ValueError, match="unknown"):
+        rules.read_ruleset(spark, "nothing")
+
+
+def test_explicit_null_overrides(spark):
+    child = rules.categories(spark, {"categories": [{"name": "voice", "locate": None, "enabled": False}]})
+    got = rules.merge_categories(rules.read_ruleset(spark), child).where("name = 'voice'").first()
+    assert got.locate is None and got.enabled is False and got.threshold == 1.5
+
+
+def test_gate_takes_nan_as_low(spark):
+    cats = rules.read_ruleset(spark)
+    scores = spark.createDataFrame([(0, "block", 0, "voice", float("nan"), 0.1), (0, "block", 1, "voice", 1.5, 0.1), (0, "block", 2, "voice", 1.4, 0.1)], "doc_id long, scope string, block int, category string, score double, confidence double")
+    assert {r.block for r in V.score_gate(scores, cats).collect()} == {0, 2}
+
+
+def test_merge(spark):
+    rows = [
+        (0, 1, 1, 0, "block", "c", "error", 0.9, None, None, "x。"), (0, 1, 1, 0, "document", "c", "error", 0.8, None, None, "x。"),
+        (0, 1, 1, 3, "block", "c", "error", 0.7, None, None, "x。"), (0, 2, 4, 0, "block", "d", "info", None, 1.0, 0.5, "y"),
+    ]
+    got = V.merge_violations(spark.createDataFrame(rows, FOUND)).orderBy("start", "col").collect()
+    assert [(r.scope, r.probability, r.score) for r in got] == [("both", 0.9, None), ("block", 0.7, None), ("block", None, 1.0)]
+
+
+def test_reports(spark):
+    docs = spark.createDataFrame([(0,), (1,)], "doc_id long")
+    blocks = spark.createDataFrame([(0, 0, 1, 2, "t")], "doc_id long, block int, start int, end int, text string")
+    merged = spark.createDataFrame([(0, 1, 1, 0, "both", "c", "error", 0.1266, None, None, "あ" * 80), (0, 1, 2, 0, "block", "d", "info", None, 1.04, 0.5, "t")], FOUND)
+    skipped = spark.createDataFrame([(1, "segment", None, "window_state_too_large", 3, 4), (1, None, "c", "state_too_large", None, None)], "doc_id long, stage string, category string, reason string, start int, end int")
+    calls = spark.createDataFrame([(0, "m1", 100, 5), (0, "m1", 50, 2)], "doc_id long, model string, input_tokens long, output_tokens long")
+    scores = spark.createDataFrame([(0, "block", 0, "c", 0.4, 0.5)], "doc_id long, scope string, block int, category string, score double, confidence double")
+    summary, usage = P.file_summary(docs, blocks, merged), P.usage_summary(docs, calls)
+    assert [tuple(r) for r in summary.orderBy("doc_id").collect()] == [(0, 1, 2, 1), (1, 0, 0, 0)]
+    assert [tuple(r) for r in usage.orderBy("doc_id").collect()] == [(0, 2, 150, 7, ["m1"]), (1, 0, 0, 0, [])]
+    lines = [r.line for r in P.report_lines(summary, merged, skipped, usage).orderBy("doc_id", "part", "line").collect()]
+    assert lines == [
+        "0: 1 blocks, 2 violations", "  L1-1 [error] c P=0.13 " + "あ" * 70, "  L1-2 [info] d score=1.0 t", "  usage: 2 calls, input=150, output=7 [m1]",
+        "1: 0 blocks, 0 violations", "  skipped: c (state_too_large)", "  skipped: segment (window_state_too_large) L3-4", "  usage: 0 calls, input=0, output=0",
+    ]
+    assert {r.line for r in P.skipped_lines(skipped).collect()} == {"segment L3-L4 skipped (window_state_too_large)", "c skipped (state_too_large)"}
+    record = json.loads(P.report_json(docs, blocks, scores, merged, skipped, summary, usage).where("doc_id = 0").first().report)
+    assert record["violations"][0]["probability"] == 0.127 and record["blocks"] == [{"lines": [1, 2], "scores": {"c": {"score": 0.4, "confidence": 0.5}}}]
+    assert P.fail_under(merged, scores, 0.1).first().exit_code == 1
+    clean = merged.where("severity = 'info'")
+    assert [P.fail_under(clean, scores, x).first().exit_code for x in (0.4, 0.5)] == [0, 1]
+    assert P.fail_under(clean, scores.limit(0), 3.0).first().exit_code == 0
+    assert [r.exit_code for r in P.exit_codes(docs, merged).orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_path_filters(spark):
+    paths = ["/r/build/a.md", "/r/x/node_modules/b.md", "/r/keep/f.md", "/r/p.egg-info/c.md", "/r/Build/d.md", "/r/docs/old/e.md"]
+    df = spark.createDataFrame([(p, "/r") for p in paths], "path string, root string")
+    kept = lambda *a: [r.path for r in df.where(~files.is_excluded(F.col("path"), F.col("root"), *a)).collect()]
+    assert kept() == ["/r/keep/f.md", "/r/Build/d.md", "/r/docs/old/e.md"]
+    assert kept(["docs/*"]) == ["/r/keep/f.md", "/r/Build/d.md"] and kept(["old"], False) == paths[:5] and kept(["docs"], False) == paths[:5]
+    assert tuple(files.excluded_counts(df).first()) == ("/r", 6, 3)
+
+
+def test_read_documents_runs_labels(spark, tmp_path):
+    (tmp_path / "d" / "build").mkdir(parents=True)
+    for name, text in {"a.md": "x\ny\n", "b.txt": "z", "c.rst": "no", "build/d.md": "no"}.items():
+        (tmp_path / "d" / name).write_text(text)
+    got = {r.doc_id.rsplit("/", 1)[1]: r.text for r in files.read_documents(spark, str(tmp_path / "d")).collect()}
+    assert got == {"a.md": "x\ny\n", "b.txt": "z"}
+    runs = {"runs": [{"experiment": "E-E", "doc": "d", "rep": 0, "variant": "current", "params": {}, "requests": [{"pairs": [{"i": 0, "j": 1}], "probs": {"b0": 0.4}, "model": "m", "usage": {"input_tokens": 1, "output_tokens": 2}}]}]}
+    (tmp_path / "r.json").write_text(json.dumps(runs))
+    row = files.read_runs(spark, str(tmp_path / "r.json")).first()
+    assert row.polarity == 1 and row.probs == {"b0": 0.4} and row.pairs[0].j == 1
+    (tmp_path / "l.json").write_text(json.dumps({"labels": [{"doc": "d", "i": 0, "j": 1, "label": "either", "stratum": "s", "note": "n"}]}))
+    assert files.read_labels(spark, str(tmp_path / "l.json")).first().label == "either"
