@@ -27,7 +27,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text) of documents with line syntax; one narrow pass."""
+    """(doc_id, text) of documents with line syntax, dealt out by document once: the windows and groups over a document's
+    lines that follow keep this partitioning, so the many short rows of lines are never shuffled."""
     d = F.col("doc_id")
 
     def dress(line: Column, p: Column) -> Column:
@@ -40,7 +41,7 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.when(h.isin(14, 15), F.concat(F.lit("1. "), s)).when(h == 16, F.concat(F.lit("* "), s)).when(h == 17, "---").when(h == 18, "  ```").otherwise(s)
 
     text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), dress), "\n")
-    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id").select("doc_id", text.alias("text"))
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:

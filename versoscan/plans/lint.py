@@ -76,7 +76,7 @@ def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits |
     flagged = V.score_gate(scores, cats)
     # sentences: of blocks, and of whole documents
     wanted = flagged.where("locate is not null").select("doc_id", "scope", "block", "category", "locate")
-    cands = R.block_candidates(shape, found).unionByName(R.document_candidates(shape))
+    cands = cut(R.block_candidates(shape, found).unionByName(R.document_candidates(shape)))
     block_chars = payloads.select("doc_id", "block", X.json_object_chars({"heading": X.json_string_chars(F.col("heading")), "context": X.json_string_chars(F.col("context")), "block": X.json_string_chars(F.col("body"))}).alias("state_chars"))
     doc_chars = R.masked_documents(shape).select("doc_id", F.lit(None).cast("int").alias("block"), X.json_object_chars({"document": X.json_string_chars(F.col("masked"))}).alias("state_chars"))
     sized = cut(R.locate_payloads(wanted, cands, block_chars.unionByName(doc_chars)))

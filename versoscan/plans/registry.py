@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoscan.functions import text as X
-from versoscan.functions.lineage import shared_dir
+from versoscan.functions.lineage import cut, shared_dir
 from versoscan.functions.text import hash_probability
 from versoscan.operators import blocks as B
 from versoscan.operators import choices as C
@@ -58,7 +58,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    shape = I.analyzed(spark, sf_dir)
+    shape = cut(I.analyzed(spark, sf_dir))
     asked = S.boundary_requests(shape).select("doc_id", "i", "j")
     cuts = B.boundary_cuts(asked, I.boundary_answers(asked)).unionByName(B.forced_cuts(shape))
     return shape, B.build_blocks(shape, B.block_ids(shape, cuts))
@@ -287,7 +287,7 @@ def _(spark, d):
 @query("block_ids")
 def _(spark, d):
     shape = I.analyzed(spark, d)
-    asked = S.pairs_of(shape, "pairs")
+    asked = S.boundary_requests(shape).select("doc_id", "i", "j")
     return B.block_ids(shape, B.boundary_cuts(asked, I.boundary_answers(asked)).unionByName(B.forced_cuts(shape)))
 
 
