@@ -121,4 +121,4 @@ def test_sentences_heading_and_context(spark):
     block = spark.createDataFrame([(0, 0, 2, 4), (0, 1, 8, 8)], "doc_id long, block int, start int, end int")
     assert [r.heading for r in B.nearest_heading(lines, block).orderBy("block").collect()] == ["題 #", "題 #"]
     assert [r.context for r in B.preceding_context(lines, block, 12).orderBy("block").collect()] == ["# 題 #", "- 箇条書きA。B"]
-    assert [r.context for r in B.preceding_context(lines, block, 4).orderBy("block").collect()] == ["題 #", "きA。B"]
+    assert [r.context for r in B.preceding_context(lines, block, 4).orderBy("block").collect()] == [" 題 #", "きA。B"]
