@@ -34,7 +34,7 @@ from versoscan.llm.shared import table
 WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096  # open windows a task; beyond it they are filled up from one another
-CACHE_WORDS = 400_000  # words in each of the cache's two generations
+CACHE_WORDS = 100_000  # words in each of the cache's two generations
 ODD_LEAD = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])
 ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2_000_000  # just below a power of two, as tables of powers are rounded up to one
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -66,14 +66,14 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-        batch = pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
-        ends = np.cumsum(np.asarray(pc.binary_length(text), np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64))
         begin = 0
         while begin < batch.num_rows:
             done = ends[begin - 1] if begin else 0
             stop = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
-            yield batch.slice(begin, stop - begin)
+            part = batch.slice(begin, stop - begin)
+            text = pc.fill_null(part.column(at).cast(pa.large_string()), "")  # of the slice: a batch is never copied whole
+            yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
             begin = stop
 
 
