@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: STAGES in order, each reading what the one before kept.
 
-1. quality: documents that the quality rules reject go. 2. near-duplicates: of each SimHash component one document
-stays, the one with the least doc_id. 3. decontamination: documents
+1. quality: documents that the quality rules reject go. 2. near-duplicates: of each component of documents
+whose five-word shingles have a Jaccard similarity of 0.8 or more one stays, the one with the least doc_id. 3. decontamination: documents
 that hold a passage of the benchmark go. 4. personal data: every span found is replaced by a mark of its kind, n_chars
 follows the text. 5. packing: the pieces of token sequences.
 
@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versoscan.llm import decontaminate, packing, pii, quality, simhash
+from versoscan.llm import decontaminate, nearcopies, packing, pii, quality
 from versoscan.llm.shared import cut, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the least (doc_id, hash of its columns) stays, once if it is repeated."""
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("row"))
-    found = simhash.near_duplicates(keyed, carry=("row",))
+    found = nearcopies.near_copies(keyed)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     kept = first.select(F.col("first.doc_id").alias("id"), F.col("first.row").alias("kept")).hint("shuffle_hash")
     # the row's hash covers doc_id; joining and then dropping repeats by it shuffles the text once

@@ -228,3 +228,34 @@ def test_pipeline_stages(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == {*range(40), 103}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "packing"]
+
+
+def test_pipeline_near_copies(spark):
+    """Planted copies with words changed, against all pairs of 5-word shingle sets; one of similarity below 0.8 stays."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    texts = [[word() for _ in range(r.randint(90, 300))] for _ in range(25)]
+    for i in range(120):
+        w = list(texts[i % 25])
+        for _ in range(r.randint(1, max(1, len(w) // 35))):
+            w[r.randrange(len(w))] = word()
+        texts.append(w)
+    texts += [["a", "b"], ["A", "b"], ["a", "c"]]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)] + [(None, " ".join(texts[0]), "en", "s", 0), (500, None, "en", "s", 0)]
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for _, t, *_ in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    least = {}
+    for i, (d, *_) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), 999), 999 if d is None else d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, docs, "").select("doc_id").collect())
+    assert got == sorted(least.values()) and 30 < len(got) < 120 and len(pairs) > 100
