@@ -259,3 +259,21 @@ def test_pipeline_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates_stage(spark, docs, "").select("doc_id").collect())
     assert got == sorted(least.values()) and 30 < len(got) < 120 and len(pairs) > 100
+
+
+def test_suffixes_many_contexts(spark):
+    """Copies of one text edited at different places: every word that lies in a repeated window is found."""
+    r = random.Random(21)
+    core = [f"w{r.randrange(10**6)}" for _ in range(130)]
+    rows = []
+    for i in range(60):
+        w = list(core)
+        for _ in range(4):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "x", 0))
+    want = {}
+    for (d, *_), (w, c) in zip(rows, covered(rows, 50)):
+        bounds = np.flatnonzero(np.diff(np.concatenate([[0], c.astype(int), [0]])))
+        if len(bounds):
+            want[d] = ",".join(f"{a}:{b}" for a, b in bounds.reshape(-1, 2).tolist())
+    assert {x.doc_id: x.spans for x in suffixes.repeated_passages(frame(spark, rows)).collect()} == want and len(want) > 10

@@ -53,14 +53,18 @@ def _windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
     return with_places(docs, marked, "inner").mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, key long, place long, single boolean")
 
 
-def repeated_windows(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, key, place) of keyed documents: packed ranges of the windows that start anywhere else too."""
-    whole, opened = repeated_contexts(docs, n, k)
+def repeated_open_windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
+    """(doc_id, key, place): the windows of open contexts found once that start anywhere else too."""
     windows = _windows(docs, opened, n)  # made twice, from one shuffle of the texts that the last join uses too
     # a context that is found several times repeats whole already, and counts as one start here
     twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    part = windows.where("single").join(twice.hint("shuffle_hash"), ["h1", "h2"]).select("doc_id", "key", "place")
-    return whole.unionByName(part)
+    return windows.where("single").join(twice.hint("shuffle_hash"), ["h1", "h2"]).select("doc_id", "key", "place")
+
+
+def repeated_windows(docs: DataFrame, n: int, k: int) -> DataFrame:
+    """(doc_id, key, place) of keyed documents: packed ranges of the windows that start anywhere else too."""
+    whole, opened = repeated_contexts(docs, n, k)
+    return whole.unionByName(repeated_open_windows(docs, opened, n))
 
 
 def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS, text: bool = True) -> DataFrame:

@@ -5,8 +5,8 @@ a repeat). Suffixes with equal surroundings are one entry. The entries are sorte
 words and then by the words to their left, read backwards, and once more the other way round; neighbours are compared,
 extended to the right and to the left, and both sides are marked where the match has at least n words. The sort ranges
 over whole entries, so a seed that very many documents share is split over tasks; neighbours in different tasks are
-compared in a last small step. Where three or more texts share a seed and their matches end at different places on
-both sides, a match that is neither the longest to the right nor to the left may be marked in part.
+compared in a last small step. Where three or more texts share a seed, a match need not be between neighbours of
+either order, so the windows of all entries found once are also compared by hash, and the result is exact.
 
 Result: one row for each document with a repeated passage: doc_id, n_words, n_repeated (words in such passages) and
 spans (start:end in words, end exclusive, comma-joined). Defined results: null, blank and short texts have no repeats;
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from versoscan.llm import words as W
 from versoscan.llm.repeats import SIZE_BITS, expand, keyed, occurrences, repeated_contexts, with_places
 from versoscan.llm.shared import cut, table
+from versoscan.llm.substrings import repeated_open_windows
 
 LEAST_WORDS = 50
 SEED_WORDS = 8
@@ -124,6 +125,8 @@ def repeated_passages(docs: DataFrame, n: int = LEAST_WORDS, k: int = SEED_WORDS
         marks.append(found.where("side = 2").unionByName(between).select("doc_id", "key", "place"))
     mask = (1 << SIZE_BITS) - 1
     first = F.shiftright("place", SIZE_BITS)
+    # pairs that are neighbours in neither order show up as windows that start elsewhere too
+    whole = whole.unionByName(repeated_open_windows(source, opened, n))
     spans = whole.select("doc_id", "key", F.shiftleft(first, SPLIT).bitwiseOR(first + F.col("place").bitwiseAND(F.lit(mask)) + (n - 1)).alias("place"))
     marks = spans.unionByName(marks[0]).unionByName(marks[1])
 
