@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from versoscan.llm import sharding, simhash, substrings, suffixes, warc
+from versoscan.llm import repeats, sharding, simhash, substrings, suffixes, warc
 from versoscan.llm.shared import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -277,3 +277,13 @@ def test_suffixes_many_contexts(spark):
         if len(bounds):
             want[d] = ",".join(f"{a}:{b}" for a, b in bounds.reshape(-1, 2).tolist())
     assert {x.doc_id: x.spans for x in suffixes.repeated_passages(frame(spark, rows)).collect()} == want and len(want) > 10
+
+
+def test_repeated_rows_have_bounded_places(spark):
+    """Rows of one text and a null id share one list of places, however many they are."""
+    text = " ".join(f"w{i}" for i in range(300))
+    source = repeats.keyed(frame(spark, [(None, text, "x", 0)] * 2000))
+    whole, _ = repeats.repeated_contexts(source, 35, 8)
+    assert repeats.with_places(source, whole, "inner").agg(F.max(F.size("places"))).first()[0] <= 300
+    got = substrings.remove_repeats(frame(spark, [(None, text, "x", 0)] * 2000)).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(x) for x in got] == [(300, 300, 2000)]

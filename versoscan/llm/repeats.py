@@ -103,8 +103,10 @@ def repeated_contexts(docs: DataFrame, n: int, k: int) -> tuple[DataFrame, DataF
 
 
 def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """Keyed documents with ``places``, the list of all rows of places(doc_id, key, place) of each."""
-    lists = places.groupBy("doc_id", "key").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
+    """Keyed documents with ``places``, the list of the distinct rows of places(doc_id, key, place) of each.
+
+    Repeated rows share their doc_id and key; without the distinct each would add its places to the list of all."""
+    lists = places.select("doc_id", "key", "place").distinct().groupBy("doc_id", "key").agg(F.collect_list("place").alias("places")).hint("shuffle_hash")
     return docs.join(lists, same_document(docs, lists), how).select(docs["doc_id"], docs["key"], docs["text"], lists["places"])
 
 
