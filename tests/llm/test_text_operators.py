@@ -255,3 +255,18 @@ def test_words_chunks():
     parts = list(W.chunks([batch], limit=10))
     assert [p.column("k").to_pylist() for p in parts] == [[1, 2], [3, 4]] or [p.column("k").to_pylist() for p in parts] == [[1, 2], [3], [4]]
     assert [t for p in parts for t in p.column("text").to_pylist()] == ["ab", "", "c" * 50, ""]
+
+
+@pytest.mark.parametrize(
+    "source, parts",
+    [
+        ("<article><p>First.</p><button>Share<p>Second.</p><p>Third.</p></article><p>Last.</p>", ["First.", "Second.", "Third.", "Last."]),
+        ("<div><button>One</div><p>Text.</p><button>Two</button><p>More.</p>", ["Text.", "More."]),
+        ("<div><svg><g></div><p>Text.</p><svg></svg>", ["Text."]),
+        ("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p>", ["So x=1 holds."]),
+        ("<p>See <object data=a>the fallback</object> here.</p>", ["See the fallback here."]),
+        ("<p>Hi <button>x <b>y</b></button> you</p><noscript><p>no</p></noscript>", ["Hi you"]),
+    ],
+)
+def test_unclosed_elements(source, parts):
+    assert [t for t in html.parse(source).text if t is not None] == parts

@@ -10,7 +10,8 @@ it holds any content.
 
 Defined results: null or blank html, or a page without content, gives the empty string; repeated rows and null ids get
 a row each; an empty table an empty result; broken markup is read as browsers read it (implied ends, stray ends
-ignored, an unfinished tag at the end dropped); the whole html is read whatever its length.
+ignored, an unfinished tag at the end dropped; of a button, svg, select and the like without an end of its own only
+the text right after its tag is dropped); the whole html is read whatever its length.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from versoscan.llm.shared import table
 
 # fixed names of the markup language
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
-DROPPED = frozenset("head script style template noscript iframe object svg canvas math select button textarea audio video map title noembed noframes xmp datalist".split())
+MATH = frozenset("mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mfenced merror mmultiscripts semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input object math".split()) | MATH
+DROPPED = frozenset("head script style template noscript iframe svg canvas select button textarea audio video map title noembed noframes xmp datalist annotation annotation-xml".split())
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z", re.S)
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What words in class, id and role say, by kind.
@@ -77,11 +80,35 @@ def hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def element_ends(source: str, tag: str) -> dict[int, int]:
+    """Where each well-matched element of this name ends, by the end of its start tag."""
+    ends, open_ = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", source, re.I):
+        if not m[1]:
+            if m[0][-2] != "/":
+                open_.append(m.end())
+        elif open_:
+            ends[open_.pop()] = m.end()
+    return ends
+
+
+def leaves(source: str, at: int, end: int, around: set[str]) -> bool:
+    """Whether an element that is open around source[at:end] is closed inside it."""
+    balance = dict.fromkeys(around, 0)
+    for m in TAG.finditer(source, at, end):
+        if (tag := m[2].lower()) in balance:
+            balance[tag] += -1 if m[1] else 1
+            if balance[tag] < 0:
+                return True
+    return False
+
+
 def parse(source: str) -> Page:
     parent, tags, marks, text = [-1], ["body"], [()], [None]
     words, linked = [0], [0]
     open_: list[tuple[str, int]] = [("body", 0)]  # tag and node; -1 for inline
     counts: dict[str, int] = {}
+    ends: dict[str, dict[int, int]] = {}  # of dropped elements, by tag
     here = 0  # the innermost block element
     pieces: list[str] = []
     run_words = run_linked = links = 0
@@ -140,7 +167,16 @@ def parse(source: str) -> Page:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if tag in DROPPED:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not m[3].endswith("/") and tag not in RAW and tag != "head":
+                if tag not in ends:
+                    ends[tag] = element_ends(source, tag)
+                end = ends[tag].get(at)
+                if end is None or leaves(source, at, end, {t for t, node in open_ if node >= 0} | {"body"}):
+                    end = source.find("<", at)  # without an end of its own: only the text right after it goes
+                at = end if end >= 0 else stop
+                if tag not in ("template", "noscript"):
+                    pieces.append(" ")
+            elif not closing and not m[3].endswith("/"):
                 # on to its end, counting elements of the same name inside it
                 inner = re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I)
                 depth = 1
