@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HOT_SHARE, SALTS = 2000, 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on a single machine one of our own."""
     context = spark.sparkContext
     if (given := context.getConf().get("spark.checkpoint.dir")) or (given := spark.conf.get("spark.checkpoint.dir", None)):
         if not context._jsc.sc().getCheckpointDir().isDefined():
             context.setCheckpointDir(given)
         return given.rstrip("/")
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any file system that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def joined_apart(rows: DataFrame, keys: DataFrame, on: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows whose key is one of keys(*on, n, *keep), with the columns of ``keep``; n is the number of rows of each key,
+    and keys is to be a table read back.
+
+    A key with more than one in HOT_SHARE of these rows is dealt over SALTS tasks. There are at most HOT_SHARE such keys,
+    so rows learn of them by a broadcast of bounded size; each of them stands in ``keys`` once a salt.
+    """
+    most = (keys.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = keys.where(F.col("n") > most).select(*on, F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("salt", salt).drop("hot")
+    salts = F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    return dealt.join(keys.select(*on, *keep, salts.alias("salt")).hint("shuffle_hash"), [*on, "salt"]).drop("salt")
+
+
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links(a, b): undirected, without nulls. Returns (node, component), component the least node reachable.
 

@@ -2,13 +2,15 @@
 
 A Zstandard dictionary is built from a bounded sample of the records to archive. Each archive starts with it, in a
 skippable frame of magic 0x184D2A5D as the WARC-with-Zstandard convention asks, and every record is a frame of its own.
-Archives are written by Spark's text sink: a row is one frame and the line separator is an empty skippable frame, which
-readers pass over, so the files are valid Zstandard streams and the sink's commit protocol covers lost executors. A task
-starts a new archive, with the dictionary, after a fixed number of records.
+Archives are written by Spark's text sink: a row is one archive and the line separator is an empty skippable frame,
+which readers pass over, so the files are valid Zstandard streams and the sink's commit protocol covers lost executors.
+A task starts a new archive, with the dictionary, once the frames of the last one hold FILE_BYTES, so a file is never
+larger than that and one more record, and reading one takes no more memory.
 
 Defined results: a null html is an empty payload; a null url leaves the target header out; of rows with equal payloads
 of at least 100 bytes the ones with the least page_id are responses (all of them, if rows are repeated), the others,
-a null page_id among them, revisit it; with only null ids all are responses; an empty table gives no rows.
+a null page_id among them, revisit it; with only null ids all are responses; an empty table gives no rows; pages of any
+length are archived whole; other columns are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from versoscan.llm.shared import shared_dir, table
 DICTIONARY_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # a skippable frame (0x184D2A50) of no bytes
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16_384, 65_536
-RECORDS_PER_FILE = 4096
+FILE_BYTES = 32 << 20  # of compressed records, after which a new archive starts
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -66,12 +68,21 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 
 def train(pages: DataFrame, records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the records of at most ``records`` pages, those with the least hash of page_id.
+    """A dictionary from the records of at most ``records`` pages, those with the least hash of page_id and url.
 
     A long page gives its first ``sample_bytes`` bytes; only the ratio depends on that, all pages are archived whole.
     Where the sample is too small to train on, the records themselves are the dictionary; without any it is empty.
+
+    The hashes are chosen first: only those below a bound that some 2 * ``records`` rows pass are gathered, however many
+    tasks there are, and the bodies of the chosen ones, one each, alone reach the driver.
     """
-    rows = pages.select("page_id", "url", F.substring(F.coalesce("html", F.lit("")), 1, sample_bytes).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(records).collect()
+    h = F.xxhash64("page_id", "url")
+    share = min(1.0, 2 * records / max(1, pages.count()))
+    below = min(int(share * (1 << 64)) - (1 << 63), (1 << 63) - 1)
+    least = pages.select(h.alias("h")).where(F.col("h") <= below).distinct().orderBy("h").limit(records)
+    body = F.substring(F.coalesce("html", F.lit("")), 1, sample_bytes).alias("html")
+    chosen = pages.select(h.alias("h"), "page_id", "url", body).join(F.broadcast(least), "h")
+    rows = chosen.groupBy("h").agg(F.min(F.struct("html", "page_id", "url")).alias("r")).select("h", "r.*").orderBy("h").collect()
     samples = [record(r.page_id, r.url, body := r.html.encode()[:sample_bytes], hashlib.sha256(body).hexdigest(), None, False) for r in rows]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -96,30 +107,30 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("least")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def write_warc(pages: DataFrame, path: str, dictionary: bytes, level: int = 6) -> None:
+def write_warc(pages: DataFrame, path: str, dictionary: bytes, level: int = 6, file_bytes: int = FILE_BYTES) -> None:
     """Writes all pages as archives below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         head = dictionary_frame(dictionary)
-        n = 0
+        frames, held = [head], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(frames)], pa.binary())], names=["archive"])
+
         for batch in batches:
-            frames, held = [], 0
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True):
-                if n % RECORDS_PER_FILE == 0:
-                    frames.append(head)
-                n += 1
                 page_id, url, html, digest, refers_to, revisit = row
                 frames.append(packer.compress(record(page_id, url, html.encode(), digest, refers_to, revisit)))
                 held += len(frames[-1])
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-                    frames, held = [], 0
-            if frames:
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-
-    frames = plan_records(pages).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", RECORDS_PER_FILE + 1).mode("overwrite").text(path)
+                if held >= file_bytes:
+                    yield archive()
+                    frames, held = [head], 0
+        if held:
+            yield archive()
+
+    archives = plan_records(pages).mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    archives.write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
 def frames_of(content: memoryview) -> Iterator[bytes]:
