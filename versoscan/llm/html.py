@@ -35,12 +35,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MATH = frozenset("mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mfenced merror mmultiscripts semantics".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input object math".split()) | MATH
 DROPPED = frozenset("head script style template noscript iframe svg canvas select button textarea audio video map title noembed noframes xmp datalist annotation annotation-xml".split())
+FOREIGN = frozenset("svg annotation annotation-xml".split())  # of the dropped ones, those that a slash at the tag's end closes
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"})}
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z", re.S)
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What words in class, id and role say, by kind.
 HINTS = {
@@ -58,6 +60,9 @@ HINTS = {
 HINT = {word: kind for kind, words in HINTS.items() for word in words.split()}
 
 
+BARE = 0.3  # share of training pages without any names
+
+
 class Page(NamedTuple):
     """parent and features of every node (parents come first), and the text of leaves (None for elements)."""
 
@@ -80,12 +85,17 @@ def hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def closes_itself(start_tag: str) -> bool:
+    """Whether a foreign element's tag ends with a slash that isn't part of an unquoted value."""
+    return start_tag.endswith("/") and not UNQUOTED_SLASH.search(start_tag)
+
+
 def element_ends(source: str, tag: str) -> dict[int, int]:
     """Where each well-matched element of this name ends, by the end of its start tag."""
     ends, open_ = {}, []
     for m in re.finditer(rf"<(/?){re.escape(tag)}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", source, re.I):
         if not m[1]:
-            if m[0][-2] != "/":
+            if not (tag in FOREIGN and closes_itself(m[0][:-1])):
                 open_.append(m.end())
         elif open_:
             ends[open_.pop()] = m.end()
@@ -167,7 +177,9 @@ def parse(source: str) -> Page:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if tag in DROPPED:
-            if not closing and not m[3].endswith("/") and tag not in RAW and tag != "head":
+            if closing or (tag in FOREIGN and closes_itself(m[3])):
+                continue
+            if tag not in RAW and tag != "head":
                 if tag not in ends:
                     ends[tag] = element_ends(source, tag)
                 end = ends[tag].get(at)
@@ -176,7 +188,7 @@ def parse(source: str) -> Page:
                 at = end if end >= 0 else stop
                 if tag not in ("template", "noscript"):
                     pieces.append(" ")
-            elif not closing and not m[3].endswith("/"):
+            else:
                 # on to its end, counting elements of the same name inside it
                 inner = re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*+>?", re.I)
                 depth = 1
@@ -267,7 +279,7 @@ def describe(parent: list[int], tags: list[str], marks: list[tuple[str, ...]], t
         else:
             t = text[i]
             f = [f"T {tags[i]}", f"T links {share} words {min(size, 6)}", f"T ends {t[-1] in '.!?:;…。'}", *(f"T in {k}" for k in marks[i])]
-            if "©" in t[:200]:
+            if "©" in t:
                 f.append("T ©")
             if depth[i] < 2:
                 f.append("T loose")
@@ -381,12 +393,15 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     some = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     sentence = lambda: some(4, 18).capitalize() + r.choice(".....!?")
     prose = lambda: " ".join(sentence() for _ in range(r.randint(1, 6)))
+    bare = r.random() < BARE  # plain divs without names: links and short lines around, sentences inside
     content: list[str] = []
     link = lambda: f'<a href="/{word()}">{some(1, 3)}</a>'
     links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>"
 
     def named(kind: str, *tags: str) -> tuple[str, str]:
         """An opening and a closing tag: an element of that meaning, or a plain one with a telling name."""
+        if bare:
+            return "<div>", "</div>"
         names = [n for n in HINTS[kind].split() if n not in ("body", "main") or r.random() < 0.5]
         if tags and r.random() < 0.5:
             tag = r.choice(tags)
@@ -404,16 +419,16 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         return a + inside + b
 
     def ad() -> str:
-        return block("ad", r.choice([sentence(), some(2, 8), prose(), f"<p>{sentence()}</p>", link()]))
+        return block("side", links()) if bare else block("ad", r.choice([sentence(), some(2, 8), prose(), f"<p>{sentence()}</p>", link()]))
 
     def notice() -> str:
-        return block("notice", r.choice([f"<p>{prose()}</p>", sentence(), f"<p>{sentence()}</p><button>{word()}</button>"]), "dialog")
+        return block("side", links()) if bare else block("notice", r.choice([f"<p>{prose()}</p>", sentence(), f"<p>{sentence()}</p><button>{word()}</button>"]), "dialog")
 
     def form() -> str:
         return r.choice([f"<form><label>{some(1, 3)}</label><input type=text><p>{sentence()}</p></form>", f'<form class="search"><input><button>{word()}</button>{some(1, 4)}</form>', f"<form><fieldset><legend>{some(1, 3)}</legend><label>{some(1, 2)}</label><div>{sentence()}</div></fieldset></form>"])
 
     def side() -> str:
-        return block("side", f"<h3>{some(1, 4)}</h3>" + r.choice([links(), f"<p>{sentence()}</p>", f"<p>{prose()}</p>", links() + f"<p>{prose()}</p>"]), "aside", "aside")
+        return block("side", links()) if bare else block("side", f"<h3>{some(1, 4)}</h3>" + r.choice([links(), f"<p>{sentence()}</p>", f"<p>{prose()}</p>", links() + f"<p>{prose()}</p>"]), "aside", "aside")
 
     def comments() -> str:
         one = r.choice(["<li>{}</li>", '<div class="comment">{}</div>', '<article class="comment">{}</article>', "<div>{}</div>", "{}", "<article>{}</article>"])
@@ -433,7 +448,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     before = r.random() < 0.3
     if before:
         out.append(side())
-    a, b = r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("body", "article", "main"), named("body", "article"), ("<div>", "</div>"), ('<div id="page"><article class="post">', "</article></div>"), ("<table><tr><td>", "</td></tr></table>")])
+    a, b = r.choice([("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", "")]) if bare else r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("body", "article", "main"), named("body", "article"), ("<div>", "</div>"), ('<div id="page"><article class="post">', "</article></div>"), ("<table><tr><td>", "</td></tr></table>")])
     out.append(a)
     if r.random() < 0.85:
         title = keep(some(2, 9).capitalize())
@@ -442,7 +457,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         x = r.random()
         if x < 0.62:
             text = prose() if r.random() < 0.85 else some(1, 8)
-            out.append(keep(text, r.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br>", "<div>{}</div>", "<p>{}"])))
+            out.append(keep(text, r.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br>", "<div>{}</div>", "<p>{}"] + ["<div>{}</div>"] * 6 * bare)))
         elif x < 0.68:
             out.append(keep(some(1, 6).capitalize(), "<h2>{}</h2>"))
         elif x < 0.74:
@@ -468,7 +483,7 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         else:
             out.append(side())
     inside = r.random() < 0.3
-    tail = comments() if r.random() < 0.4 else ""
+    tail = comments() if r.random() < 0.4 and not bare else ""
     out += [tail, b] if inside else [b, tail]
     if not before and r.random() < 0.4:
         out.append(side())
@@ -501,7 +516,7 @@ def labelled_pages(n: int, seed: int) -> tuple[list[Page], list[list[bool]]]:
 
 
 @functools.cache
-def trained(n: int = 350) -> Model:
+def trained(n: int = 500) -> Model:
     return fit(*labelled_pages(n, 1))
 
 
