@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.shared import cut
+from versoscan.llm.shared import cut, joined_apart
 
 SIZE_BITS = 16  # of a packed range of windows: first window << SIZE_BITS | number of windows
 
@@ -58,7 +58,7 @@ def occurrences(words: W.Words, hashes: np.ndarray, n: int, k: int) -> tuple[np.
 
 
 def count_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """Anchors with more than one occurrence, counted within each chunk before they are shuffled."""
+    """(anchor, n): anchors with more than one occurrence, counted within each chunk before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
@@ -66,7 +66,7 @@ def count_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
             anchors, times = np.unique(occurrences(words, W.word_hashes(words), n, k)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(times)], names=["anchor", "n"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def find_occurrences(docs: DataFrame, n: int, k: int) -> DataFrame:
@@ -91,13 +91,11 @@ def find_occurrences(docs: DataFrame, n: int, k: int) -> DataFrame:
 def repeated_contexts(docs: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:
     """From keyed documents: the ranges whose whole context repeats (doc_id, key, place), and one occurrence
     (anchor, doc_id, key, place, n) of each context of anchors that have several contexts."""
-    known = cut(count_anchors(docs, n, k))  # read back, so that the join has a shuffle of its own and can split a hot anchor
-    candidates = cut(find_occurrences(docs, n, k).join(known.hint("shuffle_hash"), "anchor"))
+    candidates = cut(joined_apart(find_occurrences(docs, n, k), cut(count_anchors(docs, n, k)), ["anchor"]))
     one = F.struct("doc_id", "key", "place")
     contexts = cut(candidates.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
-    twice = contexts.where("n > 1").select("anchor", "context")
-    whole = candidates.join(twice.hint("shuffle_hash"), ["anchor", "context"]).select("doc_id", "key", "place")
+    whole = joined_apart(candidates, contexts.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"]).select("doc_id", "key", "place")
     opened = contexts.join(several.hint("shuffle_hash"), "anchor").select("anchor", "one.doc_id", "one.key", "one.place", "n")
     return whole, opened
 

@@ -15,7 +15,7 @@ repeated rows repeat each other; a null doc_id is carried through; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from versoscan.llm.substrings import repeated_open_windows
 LEAST_WORDS = 50
 SEED_WORDS = 8
 ENTRY = ["anchor", "right", "left", "doc_id", "key", "at"]
+RANGE_SAMPLE = 16  # rows a task that find the ranges of the sorts
 SPLIT = 26  # bits of a packed span's end
 
 
@@ -107,6 +108,17 @@ def _compare(n: int, edges: bool):
     return run
 
 
+def _with_small_samples(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """Runs ``work`` with fewer rows a task sent to the driver to find the ranges of a sort: these rows hold text."""
+    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, RANGE_SAMPLE)
+    try:
+        return work()
+    finally:
+        spark.conf.set(name, before)
+
+
 def repeated_passages(docs: DataFrame, n: int = LEAST_WORDS, k: int = SEED_WORDS) -> DataFrame:
     source = keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
@@ -118,7 +130,7 @@ def repeated_passages(docs: DataFrame, n: int = LEAST_WORDS, k: int = SEED_WORDS
     for order in (["anchor", "right", "left"], ["anchor", "left", "right"]):
         order += ["doc_id", "key", "at"]
         inside = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        found = cut(inside.mapInArrow(_compare(n, True), schema))
+        found = _with_small_samples(docs.sparkSession, lambda rows=inside: cut(rows.mapInArrow(_compare(n, True), schema)))
         # the first and last entry of each task, two rows a task at most, in one place
         ends = found.where("side < 2").repartition(1).sortWithinPartitions("task", "side")
         between = ends.select(*ENTRY).mapInArrow(_compare(n, False), schema)
