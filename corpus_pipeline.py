@@ -2,7 +2,7 @@
 
 1. quality: documents that the quality rules reject go. 2. near-duplicates: of each component of documents
 whose five-word shingles have a Jaccard similarity of 0.8 or more one stays, the one with the least doc_id. 3. decontamination: documents
-that hold a passage of the benchmark go. 4. personal data: every span found is replaced by a mark of its kind, n_chars
+that hold a passage of the benchmark go, each row judged by its own text. 4. personal data: every span found is replaced by a mark of its kind, n_chars
 follows the text. 5. packing: the pieces of token sequences.
 
 Every stage takes (spark, docs, sf_dir) with the columns of ``documents`` and returns them again, except the last.
@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoscan.llm import decontaminate, nearcopies, packing, pii, quality
-from versoscan.llm.shared import cut, shared_dir, table
+from versoscan.llm.shared import remove, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_ITEM_WORDS = 5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaks = cut(found.select("doc_id").distinct())
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*COLUMNS)
+    """Items of fewer than LEAST_ITEM_WORDS words are left out: clean documents hold such runs by chance."""
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), least_words=LEAST_ITEM_WORDS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +68,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            remove(spark, before)  # all that it was kept for is written
+        before = f"{top}/{name}"
     return docs

@@ -3,9 +3,13 @@
 Candidates come from two sides: SimHash fingerprints of the shingles (equal, or linked by the pigeonring search) and
 bands of MinHash values, since 64 bits reach a similarity of 0.8 only with a radius at which no search is selective. A
 pair of similarity 0.8 shares one of 24 bands of five with a probability of 0.99993. Every candidate pair is then
-checked exactly on the texts, so nothing less similar is linked. Texts of equal shingle sets are one node. The nodes
-of each band are first checked against its least node; all other pairs are checked only where the first links left the
-two nodes in different components, so a large family of near copies costs little more than a star.
+checked exactly on the texts, so nothing less similar is linked. Texts of equal shingle sets are one node.
+
+The nodes of each band are first checked against its least node, so a large family of near copies costs little more
+than a star. Nodes that still share a band with another component are joined anew, by an exact prefix filter: with the
+rarest shingles first, two sets of similarity 0.8 share a shingle so early in both that enough of each is left behind
+it. Thousands of texts that are cut from one passage, but differ by more than a fifth, thus meet in no join: the
+shingles they share come too late.
 
 A text of one to four words has one shingle, all its words; a null or blank text has none, and all such texts are one
 node. Upper-case A-Z count as lower case.
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.shared import connected_components, cut
+from versoscan.llm.shared import connected_components, cut, joined_apart
 from versoscan.llm.simhash import fingerprint, link_fingerprints
 
 SHINGLE = 5
@@ -99,12 +103,15 @@ def similar(a: pa.Array, b: pa.Array) -> np.ndarray:
     return OF * both >= SHARED * (np.diff(la) + np.diff(lb) - both)
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs(a, b) of nodes those whose texts are similar; docs(row, text) holds the texts, nodes(node, row) a row of each."""
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts(used: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes used(node); docs(row, text) holds the texts, nodes(node, row) a row of each."""
     wanted = cut(nodes.select("node", F.col("row").alias("of")).join(used, "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
-    texts = cut(docs.join(wanted, docs["row"] == wanted["of"]).groupBy("node").agg(F.min("text").alias("text")))
+    return cut(docs.join(wanted, docs["row"] == wanted["of"]).groupBy("node").agg(F.min("text").alias("text")))
+
+
+def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs(a, b) of nodes those whose texts(node, text) are similar."""
     left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(t)) for c, t in (("a", "text"), ("b", "other")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,31 +126,81 @@ def _near_in_size(a, b):
     return (F.least(a, b) * OF >= F.greatest(a, b) * SHARED) & (F.least(a, b) > 0)
 
 
+def _grams(texts: DataFrame) -> DataFrame:
+    """(node, gram): the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.chunks(batches):
+            gram, bounds = shingle_sets(part.column("text"))
+            owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(owner)), pa.array(gram.view(np.int64))], names=["node", "gram"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, gram long")
+
+
+def _shared_grams(texts: DataFrame) -> DataFrame:
+    """(gram, n): shingles of more than one text, counted within each chunk first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.chunks(batches):
+            gram, times = np.unique(shingle_sets(part.column("text"))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(times)], names=["gram", "n"])
+
+    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def _enough_left(a, at_a, b, at_b):
+    """Whether sets of a and b shingles whose first common one has these places, from 1 on, can have a similarity of 4/5."""
+    return (1 + F.least(a - at_a, b - at_b)) * (SHARED + OF) >= SHARED * (a + b)
+
+
+def _prefix_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of apart(node, size, component) in different components that pass the prefix filter; no pair of
+    similarity 4/5 or more is missing."""
+    held = joined_apart(_grams(texts), cut(_shared_grams(texts)), ["gram"], keep=("n",))
+    lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    size = F.col("size")
+    alone = size - F.size("grams")  # shingles of this text only come first
+    first = size - F.ceil(size * SHARED / OF) + 1 - alone  # how many of the others can be the first that a pair shares
+    places = F.posexplode(F.slice("grams", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k", "g")
+    early = apart.join(lists, "node").select("node", "size", "component", alone.alias("alone"), places)
+    early = cut(early.select("node", "size", "component", F.col("g.gram").alias("gram"), (F.col("alone") + F.col("k") + 1).alias("at")))
+    # a shingle counts where it meets another component, and for texts that can pass with the smallest of the others
+    met = early.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("size").alias("least"), F.count("*").alias("n")).where("low <> high")
+    rows = joined_apart(early, cut(met), ["gram"], keep=("least",))
+    least = F.greatest("least", F.ceil(size * SHARED / OF))
+    rows = cut(rows.where(_enough_left(size, F.col("at"), least, F.lit(1))).drop("least"))
+    a, b = rows.alias("a"), rows.alias("b")
+    apart_ = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    fits = _near_in_size(F.col("a.size"), F.col("b.size")) & _enough_left(F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"))
+    return a.join(b, apart_ & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, row, root) for each row of docs(doc_id, row, text); row is a hash of doc_id, text and any other columns."""
     found = cut(sketches(docs))
     nodes = cut(found.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("keys").alias("keys")))
     at = cut(nodes.where("size > 0").select("node", "size", F.explode("keys").alias("key")))
     one = F.struct("node", "size")
-    hubs = at.groupBy("key").agg(F.min(one).alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    stars = at.join(hubs.hint("shuffle_hash"), "key").where(_near_in_size(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    hubs = cut(at.groupBy("key").agg(F.min(one).alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    met = cut(joined_apart(at, hubs, ["key"], keep=("hub",)))
+    stars = met.where(_near_in_size(F.col("size"), F.col("hub.size"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
     first = cut(nodes.where("size > 0").groupBy("fp").agg(F.min(one).alias("one")))
     links = link_fingerprints(first.select("fp"))
     ends = [first.select(F.col("fp").alias(c), F.col("one").alias(f"{c}1")) for c in ("a", "b")]
     linked = links.join(ends[0], "a").join(ends[1], "b").where(_near_in_size(F.col("a1.size"), F.col("b1.size"))).select(F.col("a1.node").alias("a"), F.col("b1.node").alias("b"))
     pairs = stars.unionByName(linked).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = cut(pairs.distinct())
-    close = _checked(tried, docs, nodes)
+    used = met.select("node").unionByName(tried.select(F.col("a").alias("node"))).unionByName(tried.select(F.col("b").alias("node"))).distinct()
+    texts = _texts(used, docs, nodes)
+    close = _checked(tried, texts)
 
     reach = cut(connected_components(close))
-    placed = at.join(hubs.select("key").hint("shuffle_hash"), "key").join(reach, at["node"] == reach["node"], "left").select("key", at["node"], "size", F.coalesce("component", at["node"]).alias("component"))
-    placed = cut(placed)
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    apart = cut(placed.join(mixed.hint("shuffle_hash"), "key"))
-    a, b = apart.alias("a"), apart.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _near_in_size(F.col("a.size"), F.col("b.size")))
-    rest = cut(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    close = close.unionByName(_checked(rest, docs, nodes))
+    placed = cut(met.join(reach, met["node"] == reach["node"], "left").select("key", met["node"], "size", F.coalesce("component", met["node"]).alias("component")))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+    apart = cut(joined_apart(placed, cut(mixed), ["key"]).select("node", "size", "component").distinct())
+    rest = cut(_prefix_pairs(apart, texts.join(apart.select("node"), "node", "left_semi")).join(tried, ["a", "b"], "left_anti"))
+    close = close.unionByName(_checked(rest, texts))
 
     reach = cut(connected_components(close))
     return found.join(reach, found["node"] == reach["node"], "left").select("doc_id", "row", F.coalesce("component", found["node"]).alias("root"))
