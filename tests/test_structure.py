@@ -96,6 +96,23 @@ def test_split_lines_and_json_chars(spark):
     assert [r.m for r in rows] == [len(json.dumps((v or "").splitlines() or [""], ensure_ascii=False)) for v in values]
 
 
+def test_item_paths():
+    lines = ["- a", "  - b", "  - c", "", "    text", "1. d", "x"]
+    paths = S.item_paths(lines, S.line_kinds(lines))
+    assert [[(i.began, i.marker, i.content) for i in p] for p in paths] == [[(0, "-", 2)], [(0, "-", 2), (1, "-", 4)], [(0, "-", 2), (1, "-", 4)], [(0, "-", 2), (1, "-", 4)], [(0, "-", 2), (1, "-", 4)], [(0, "ordered.", 3)], []]
+
+
+def test_json_strings(spark):
+    import json
+
+    values = ["", 'q"\\/', "".join(map(chr, range(40))), "é😀\u2028\x7f"]
+    row = spark.createDataFrame([(values,)], "v array<string>").select(X.json_strings(F.col("v")).alias("j"), R.state_hash({"lines": X.json_strings(F.col("v")), "a": X.json_string(F.lit("x"))}).alias("h")).first()
+    import hashlib
+
+    assert row.j == json.dumps(values, ensure_ascii=False)
+    assert row.h == hashlib.sha256(json.dumps({"lines": values, "a": "x"}, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
 def docs(spark, *texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
 
@@ -107,10 +124,16 @@ def test_masked_text(spark):
 
 def test_blocks_of_fifty_lines(spark):
     shape = S.analyze(docs(spark, "\n".join(f"b{i}" for i in range(50))))
-    answers = S.pairs_of(shape, "pairs").select("doc_id", "i", F.when(F.col("i") == 30, 0.9).otherwise(0.1).alias("prob"))
-    cuts = B.boundary_cuts(S.pairs_of(shape, "pairs"), answers).unionByName(B.forced_cuts(shape))
+    answer = lambda q: F.struct(q["key"].alias("key"), F.when(q["i"] == 30, 0.9).otherwise(0.1).alias("prob"))
+    answered = S.boundary_requests(shape).withColumn("answers", F.transform("questions", answer))
+    cuts = B.boundary_cuts(answered).unionByName(B.forced_cuts(shape))
     found = B.build_blocks(shape, B.block_ids(shape, cuts)).orderBy("start").collect()
     assert [(r.start, r.end) for r in found] == [(1, 31), (32, 50)] and found[1].text.startswith("b31\n")
+    states = B.block_states(shape, cuts).orderBy("start").collect()
+    assert [(r.start, r.end, r.text, r.body) for r in states] == [(r.start, r.end, r.text, r.text) for r in found]
+    assert [r.context for r in states] == ["", "\n".join(f"b{i}" for i in range(31))] and [r.heading for r in states] == ["", ""]
+    with pytest.raises(Exception, match="no answer to question b0"):
+        B.boundary_cuts(answered.withColumn("answers", F.slice("answers", 2, 5))).collect()
 
 
 def test_sentences_heading_and_context(spark):
@@ -120,5 +143,5 @@ def test_sentences_heading_and_context(spark):
     assert got == [(0, 0, 0, "# 題 #"), (1, 0, 0, "一文目。"), (1, 1, 5, "二文目。"), (3, 0, 0, "- 箇条書きA。B"), (7, 0, 0, "終")]
     block = spark.createDataFrame([(0, 0, 2, 4), (0, 1, 8, 8)], "doc_id long, block int, start int, end int")
     assert [r.heading for r in B.nearest_heading(lines, block).orderBy("block").collect()] == ["題 #", "題 #"]
-    assert [r.context for r in B.preceding_context(lines, block, 12).orderBy("block").collect()] == ["# 題 #", "- 箇条書きA。B"]
-    assert [r.context for r in B.preceding_context(lines, block, 4).orderBy("block").collect()] == [" 題 #", "きA。B"]
+    assert [r.context for r in B.preceding_context(shape, block, 12).orderBy("block").collect()] == ["# 題 #", "- 箇条書きA。B"]
+    assert [r.context for r in B.preceding_context(shape, block, 4).orderBy("block").collect()] == [" 題 #", "きA。B"]

@@ -28,6 +28,19 @@ def split_lines(text: Column) -> Column:
     return F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def json_string(c: Column) -> Column:
+    """A string as JSON with non-ASCII characters kept."""
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for k in range(32):
+        out = F.replace(out, F.lit(chr(k)), F.lit("\\" + short.get(k, f"u{k:04x}")))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def json_strings(strings: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(strings, json_string), ", "), F.lit("]"))
+
+
 def json_string_chars(c: Column) -> Column:
     """Length of a string as JSON with non-ASCII characters kept."""
     short = F.length(F.regexp_replace(c, r'[^"\\\n\r\t\x08\f]', ""))
