@@ -33,6 +33,25 @@ def test_regression(spark, shift, bad):
     assert E.regression_check(m).first().regression is bad
 
 
+def test_matched_by_scope(spark):
+    schema = "doc_id long, start int, end int, col int, text string, scope string, category string, prob double"
+    a = spark.createDataFrame([(0, 1, 1, 0, "a", s, "c", p) for s, p in (("block", 0.1), ("document", 0.2))], schema)
+    got = E.matched_candidates(a, a.withColumn("prob", F.col("prob") + 0.5)).collect()
+    assert sorted((r.scope, round(r.new_prob - r.base_prob, 9)) for r in got) == [("block", 0.5), ("document", 0.5)]
+
+
+def test_middle_values(spark):
+    """Ties, one value, even and odd numbers, negative values and nulls against sorted lists."""
+    r = random.Random(4)
+    groups = {"a": [r.choice([0.1, 0.2, -3.0]) for _ in range(40)], "b": [r.random() for _ in range(301)], "c": [7.0], "d": [1.0, 2.0], "e": [5.0] * 9, "f": [None, 1.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    got = {x.g: (x.n, x.lower, x.upper) for x in E.middle_values(rows, ("g",), "v").collect()}
+    for g, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None)
+        assert got[g] == (len(vs), vs[(len(vs) - 1) // 2], vs[len(vs) // 2])
+    assert E.middle_values(rows.limit(0), (), "v").count() == 0
+
+
 def test_polarity_and_band(spark):
     got = spark.createDataFrame([(0.1, -1), (0.3, 1), (0.3, None)], "p double, s int").select(E.polarity(F.col("p"), F.col("s"))).collect()
     assert [r[0] for r in got] == [0.9, 0.3, 0.3]
@@ -113,3 +132,5 @@ def test_choices(spark):
     assert tuple(C.choice_accuracy(specs, answers).first()) == (3, 3, False)
     assert [r.question for r in C.top_confidence(answers, 2).orderBy("place").collect()] == [2, 1]
     assert C.control_unchanged(answers, answers.limit(2)).first().unchanged is True
+    asked = C.choice_requests(specs).orderBy("question").collect()
+    assert [len(r.options) for r in asked] == [6, 6, 6] and [o.slot for o in asked[0].options] == list(range(6))

@@ -1,5 +1,6 @@
 """The whole lint and the registered queries."""
 
+import hashlib
 import json
 import os
 
@@ -19,8 +20,46 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def hash_lint(spark, docs, limits=None):
-    judge = Judge(I.boundary_answers, lambda q: I.score_answers(q, "block"), lambda q: I.score_answers(q, "document"), I.locate_answers)
-    return lint_corpus(docs, rules.read_ruleset(spark), judge, limits)
+    return lint_corpus(docs, rules.read_ruleset(spark), I.hash_judge(), limits)
+
+
+def reading_judge():
+    """A judge that sees nothing but what is sent: the state, the candidates and the questions; and its rule."""
+
+    def number(*parts):
+        return int(hashlib.md5("|".join(parts).encode()).hexdigest()[:8], 16) / 4294967296
+
+    def answer(frame, one):
+        state = lambda r: "\n".join(r["state"]) if "state" in frame else "#".join(str(r[c]) for c in ("heading", "context", "body", "document"))
+        rows = [[{"key": q["key"], **one(state(r), r, q)} for q in r["questions"]] for _, r in frame.iterrows()]
+        return pd.DataFrame({"answers": rows, "model": "m", "input_tokens": [len(state(r)) for _, r in frame.iterrows()], "output_tokens": frame["questions"].map(len)})
+
+    boundary = lambda s, r, q: {"prob": number(s, q["question"])}
+    score = lambda s, r, q: {"score": number(s, q["instruction"]) * (len(q["levels"]) - 1), "confidence": 0.5}
+    sentence = lambda s, r, q: {"prob": number(s, r["candidates"][int(q["question"].split("[")[-1].rstrip("]`"))]["text"], q["question"])}
+    return number, Judge(lambda q: J.judge_noul(q, lambda f: answer(f, boundary), 4), lambda q: J.judge_score(q, lambda f: answer(f, score), 4), lambda q: J.judge_noul(q, lambda f: answer(f, sentence), 4))
+
+
+def test_lint_with_a_judge_that_reads(spark):
+    """Every answer can be recomputed from the text alone; requests hold 50 questions at most; usage counts requests."""
+    text = "# 題\n" + "\n".join(f"文{i}。続き{i}。" for i in range(70)) + "\n\n- 項目\n```\ncode\n```\n終わり。"
+    docs = spark.createDataFrame([(0, text), (1, "短い文。"), (2, "```\nx\n```")], "doc_id long, text string")
+    text_number, judge = reading_judge()
+    found = lint_corpus(docs, rules.read_ruleset(spark), judge)
+    asked = found.requests.collect()
+    assert asked and all(1 <= len(r.questions) <= 50 and len(r.questions) == len(r.answers) for r in asked) and any(r.chunk > 0 for r in asked)
+    by_key = {(r.doc_id, r.scope, r.block, r.category, q.cand): a.prob for r in asked for q, a in zip(r.questions, r.answers)}
+    located = found.located.collect()
+    assert len(located) == len(by_key)
+    states = {(r.doc_id, r.scope, r.block): "#".join(str(r[c]) for c in ("heading", "context", "body", "document")) for r in asked}
+    lines = text.splitlines()
+    for r in located:
+        assert r.prob == text_number(states[r.doc_id, r.scope, r.block], r.text, r.question) == by_key[r.doc_id, r.scope, r.block, r.category, r.cand]
+        assert r.doc_id or lines[r.line - 1][r.col :].startswith(r.text)
+    calls = found.calls.groupBy("stage").count().collect()
+    assert {c.stage: c["count"] for c in calls}["locate"] == len(asked) and found.calls.where("input_tokens is null").count() == 0
+    windows = found.analyzed.select(F.sum(F.size("windows"))).first()[0]
+    assert {c.stage: c["count"] for c in calls}["segment"] == windows
 
 
 def test_edge_documents(spark):
@@ -49,16 +88,21 @@ def test_invariants(spark):
 
 
 def test_judge_keeps_rows(spark):
-    asked = spark.range(20).select("id", F.lit("q").alias("question"))
-    fn = lambda f: pd.DataFrame({"prob": f["id"] / 20, "model": "m", "input_tokens": 3, "output_tokens": 1})
-    rows = J.judge_noul(asked, fn, 3).collect()
-    assert sorted(r.prob for r in rows) == [i / 20 for i in range(20)]
+    questions = F.transform(F.sequence(F.lit(0), F.col("id").cast("int")), lambda k: F.struct(F.concat(F.lit("s"), k).alias("key")))
+    asked = J.chunked(spark.range(60).select("id", questions.alias("questions")))
+    assert asked.count() == 70 and asked.agg(F.max(F.size("questions"))).first()[0] == 50
+    fn = lambda f: pd.DataFrame({"answers": [[{"key": q["key"], "prob": int(q["key"][1:]) / 60} for q in x] for x in f["questions"]], "model": "m", "input_tokens": 3, "output_tokens": 1})
+    rows = J.judge_noul(asked, fn, 3).select("id", F.explode("answers").alias("a")).collect()
+    assert sorted((r.id, r.a.prob) for r in rows) == [(i, k / 60) for i in range(60) for k in range(i + 1)]
     calls = J.record_calls(J.judge_noul(asked, fn).withColumn("req", F.col("id") % 2), ["req"]).collect()
     assert [(c.input_tokens, c.model) for c in calls] == [(3, "m")] * 2
+    mixed = spark.createDataFrame([(0, "a", 1, 1), (0, "b", 1, 1)], "req int, model string, input_tokens long, output_tokens long")
+    with pytest.raises(Exception, match="several models"):
+        J.record_calls(mixed, ["req"]).collect()
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["build_blocks", "boundary_candidates", "masked_text", "payload_chars", "boundary_report", "threshold_sweep", "choice_questions"])
+@pytest.mark.parametrize("name", ["build_blocks", "boundary_candidates", "masked_text", "payload_chars", "boundary_report", "threshold_sweep", "choice_questions", "locate_requests", "read_ruleset", "state_hash", "judge_choice", "fail_under"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "labels", "benchmark", "conversations"):

@@ -16,7 +16,9 @@ FOUND = "doc_id long, start int, end int, col int, scope string, category string
 def test_presets(spark):
     base, tech, blog = (rules.read_ruleset(spark, n) for n in ("base", "tech-doc", "blog"))
     assert (base.count(), tech.count(), blog.count()) == (8, 11, 10)
-    assert [r.name for r in tech.orderBy("pos").collect()][8:] == ["procedure", "prerequisite", "terminology"]
+    assert [r.name for r in tech.orderBy("pos").collect()][8:] == ["rigor", "reader_load", "restraint"]
+    assert {r.name: r.scope for r in base.collect() if r.scope != "block"} == {"concision": "both", "consistency": "document"}
+    assert [r.name for r in blog.orderBy("pos").collect()][8:] == ["restraint", "honesty"] and {r.threshold for r in tech.collect()} == {1.5}
     assert blog.where("name = 'voice'").first().threshold == 1.0
     assert rules.rule_text_contracts(tech).where("not present").count() == 0
 
@@ -78,6 +80,7 @@ def test_reports(spark):
     clean = merged.where("severity = 'info'")
     assert [P.fail_under(clean, scores, x).first().exit_code for x in (0.4, 0.5)] == [0, 1]
     assert P.fail_under(clean, scores.limit(0), 3.0).first().exit_code == 0
+    assert {r.category: r.exit_code for r in P.fail_under(merged, scores, 0.1, ("category",)).collect()} == {"c": 1, "d": 0}
     assert [r.exit_code for r in P.exit_codes(docs, merged).orderBy("doc_id").collect()] == [1, 0]
 
 
@@ -88,6 +91,8 @@ def test_path_filters(spark):
     assert kept() == ["/r/keep/f.md", "/r/Build/d.md", "/r/docs/old/e.md"]
     assert kept(["docs/*"]) == ["/r/keep/f.md", "/r/Build/d.md"] and kept(["old"], False) == paths[:5] and kept(["docs"], False) == paths[:5]
     assert tuple(files.excluded_counts(df).first()) == ("/r", 6, 3)
+    # patterns written in /r/docs also hold relative to it
+    assert kept(["old/*"], False) == paths and kept(["old/*"], False, "/r/docs") == paths[:5]
 
 
 def test_read_documents_runs_labels(spark, tmp_path):
@@ -96,9 +101,24 @@ def test_read_documents_runs_labels(spark, tmp_path):
         (tmp_path / "d" / name).write_text(text)
     got = {r.doc_id.rsplit("/", 1)[1]: r.text for r in files.read_documents(spark, str(tmp_path / "d")).collect()}
     assert got == {"a.md": "x\ny\n", "b.txt": "z"}
+    (tmp_path / "生成 x+y%").mkdir()
+    (tmp_path / "生成 x+y%" / "e 1.md").write_text("e")
+    got = files.read_documents(spark, [str(tmp_path / "生成 x+y%"), str(tmp_path / "d" / "c.rst")], ["no such"]).collect()
+    assert {"/" + r.doc_id.removeprefix("file:").lstrip("/"): r.text for r in got} == {str(tmp_path / "生成 x+y%" / "e 1.md"): "e", str(tmp_path / "d" / "c.rst"): "no"}
+    with pytest.raises(ValueError, match="directory"):
+        files.read_documents(spark, str(tmp_path / "d"), recursive=False)
+    listed = files.in_listing_order(files.read_documents(spark, str(tmp_path / "d"), use_defaults=False)).collect()
+    assert [r.doc_id.rsplit("/", 1)[1] for r in listed] == ["a.md", "d.md", "b.txt"]
     runs = {"runs": [{"experiment": "E-E", "doc": "d", "rep": 0, "variant": "current", "params": {}, "requests": [{"pairs": [{"i": 0, "j": 1}], "probs": {"b0": 0.4}, "model": "m", "usage": {"input_tokens": 1, "output_tokens": 2}}]}]}
     (tmp_path / "r.json").write_text(json.dumps(runs))
     row = files.read_runs(spark, str(tmp_path / "r.json")).first()
     assert row.polarity == 1 and row.probs == {"b0": 0.4} and row.pairs[0].j == 1
     (tmp_path / "l.json").write_text(json.dumps({"labels": [{"doc": "d", "i": 0, "j": 1, "label": "either", "stratum": "s", "note": "n"}]}))
     assert files.read_labels(spark, str(tmp_path / "l.json")).first().label == "either"
+    files.write_runs(files.read_runs(spark, str(tmp_path / "r.json")), str(tmp_path / "runs"))
+    again = files.read_runs(spark, str(tmp_path / "runs"), one_a_file=False).first()
+    assert again.asDict() | {"run_id": None} == row.asDict() | {"run_id": None}
+    files.write_labels(files.read_labels(spark, str(tmp_path / "l.json")), str(tmp_path / "labels"))
+    assert files.read_labels(spark, str(tmp_path / "labels"), one_a_file=False).collect() == files.read_labels(spark, str(tmp_path / "l.json")).collect()
+    files.write_report(spark.createDataFrame([("g", None)], "grp string, auc double"), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).first().value == '{"grp":"g","auc":null}'

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versoscan.functions import text as X
-from versoscan.operators.structure import line_pairs, lines_of, pairs_of, prose_lines
+from versoscan.operators.judge import probability
+from versoscan.operators.structure import line_pairs, lines_of, masked_text, pairs_of, prose_lines
 
 CUT_AT = 0.5  # fixed value: probability from which a pair is a boundary
 CONTEXT_CHARS = 2000  # fixed value
 
 
-def boundary_cuts(requests: DataFrame, answers: DataFrame) -> DataFrame:
-    """(doc_id, j): asked pairs whose answer(doc_id, i, prob) says that a block begins before line j."""
-    return requests.select("doc_id", "i", "j").join(answers, ["doc_id", "i"]).where(F.col("prob") >= CUT_AT).select("doc_id", "j")
+def boundary_cuts(answered: DataFrame) -> DataFrame:
+    """(doc_id, j): pairs of answered boundary requests whose answer says that a block begins before line j."""
+    rows = answered.select("doc_id", "answers", F.explode("questions").alias("q"))
+    return rows.where(probability(F.col("answers"), F.col("q.key")) >= CUT_AT).select("doc_id", F.col("q.j").alias("j"))
 
 
 def forced_cuts(analyzed: DataFrame) -> DataFrame:
@@ -24,14 +26,18 @@ def forced_cuts(analyzed: DataFrame) -> DataFrame:
     return gaps.join(pairs_of(analyzed, "continuations"), ["doc_id", "i", "j"], "left_anti").select("doc_id", "j")
 
 
-def block_ids(analyzed: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(doc_id, idx, block) of prose lines: a running count of cuts. Everything is partitioned by doc_id once."""
+def _numbered(prose: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Prose lines with ``block``, a running count of the cuts of their document."""
     cut = cuts.groupBy("doc_id").agg(F.collect_set("j").alias("cuts"))
     marks = F.map_from_arrays("cuts", F.transform("cuts", lambda _: F.lit(1)))
-    lines = lines_of(analyzed)
-    joined = prose_lines(lines).join(cut.withColumn("cuts", marks), "doc_id", "left")
+    joined = prose.join(cut.withColumn("cuts", marks), "doc_id", "left")
     w = Window.partitionBy("doc_id").orderBy("idx")
-    return joined.select("doc_id", "idx", F.sum(F.coalesce(F.element_at("cuts", F.col("idx")), F.lit(0))).over(w).cast("int").alias("block"))
+    return joined.withColumn("block", F.sum(F.coalesce(F.element_at("cuts", F.col("idx")), F.lit(0))).over(w).cast("int")).drop("cuts")
+
+
+def block_ids(analyzed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(doc_id, idx, block) of prose lines. Everything is partitioned by doc_id once."""
+    return _numbered(prose_lines(lines_of(analyzed)), cuts).select("doc_id", "idx", "block")
 
 
 def build_blocks(analyzed: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,30 +54,61 @@ def block_lines(analyzed: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block", (F.col("start") - 1 + F.col("k")).alias("idx"), "line")
 
 
+def title(line: Column, kind: Column) -> Column:
+    """The text of a heading without its marks; null for other lines."""
+    return F.when(kind.isNull() & X.lstrip(line).startswith("#"), X.strip(F.regexp_replace(X.strip(line), "^#+", "")))
+
+
+def _with_heading(lines: DataFrame) -> DataFrame:
+    """lines with ``heading``, the title of the last heading before each, empty if there is none."""
+    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.withColumn("heading", F.coalesce(F.last(title(F.col("line"), F.col("kind")), ignorenulls=True).over(w), F.lit("")))
+
+
+def _with_context_from(prose: DataFrame, limit: int) -> DataFrame:
+    """Prose lines with ``from_idx``, the first of the lines before each that fit the limit together, by a range over
+    running character totals; the nearest is taken in any case."""
+    order = Window.partitionBy("doc_id").orderBy("idx")
+    upto = F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = Window.partitionBy("doc_id").orderBy("upto").rangeBetween(-limit, -1)
+    return prose.withColumn("upto", upto).withColumn("from_idx", F.coalesce(F.min("idx").over(fits), F.lag("idx").over(order))).drop("upto")
+
+
+def _context(lines: Column, kinds: Column, from_idx: Column, start: Column, limit: int) -> Column:
+    """The prose of the 0-based line ``from_idx`` up to the 1-based line ``start``, at most its last ``limit`` characters."""
+    at = F.filter(F.sequence(from_idx, start - 2), lambda k: F.get(kinds, k).isNull() & ~X.is_blank(F.get(lines, k)))
+    text = F.when(from_idx.isNotNull(), F.array_join(F.transform(at, lambda k: F.get(lines, k)), "\n")).otherwise("")
+    return F.when(F.length(text) > limit, F.substring(text, -limit, limit)).otherwise(text)
+
+
 def _at_starts(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    starts = blocks.select("doc_id", "block", (F.col("start") - 1).alias("idx"))
-    return lines.join(starts, ["doc_id", "idx"], "left")
+    return lines.join(blocks.select("doc_id", "block", (F.col("start") - 1).alias("idx")), ["doc_id", "idx"])
 
 
 def nearest_heading(lines: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, block, heading): the last unmasked line before the block that starts with #, without its marks."""
-    line = F.col("line")
-    title = F.when(F.col("kind").isNull() & X.lstrip(line).startswith("#"), X.strip(F.regexp_replace(X.strip(line), "^#+", "")))
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    marked = _at_starts(lines, blocks).withColumn("heading", F.coalesce(F.last(title, ignorenulls=True).over(w), F.lit("")))
-    return marked.where("block is not null").select("doc_id", "block", "heading")
+    return _at_starts(_with_heading(lines), blocks).select("doc_id", "block", "heading")
+
+
+def preceding_context(analyzed: DataFrame, blocks: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """(doc_id, block, context): the prose lines before the block, from the nearest on while they fit the limit; the
+    nearest is taken in any case and cut to its end. Lines are sliced at block starts only."""
+    starts = _at_starts(_with_context_from(prose_lines(lines_of(analyzed)), limit), blocks).select("doc_id", "block", (F.col("idx") + 1).alias("start"), "from_idx")
+    context = _context(F.col("lines"), F.col("kinds"), F.col("from_idx"), F.col("start"), limit)
+    return starts.join(analyzed.select("doc_id", "lines", "kinds"), "doc_id").select("doc_id", "block", context.alias("context"))
 
 
-def preceding_context(lines: DataFrame, blocks: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
-    """(doc_id, block, context): the prose lines before the block, from the nearest on while they fit the limit.
+def block_states(analyzed: DataFrame, cuts: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """(doc_id, block, start, end, text, heading, context, body, lines, kinds): each block with what is sent about it.
 
-    A range over running character totals finds them; the nearest is taken in any case and cut to its end.
+    One pass over the lines of each document: headings, cuts and context starts share the partitioning by doc_id.
     """
-    order = Window.partitionBy("doc_id").orderBy("idx")
-    rows = _at_starts(prose_lines(lines), blocks).withColumn("upto", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    fits = Window.partitionBy("doc_id").orderBy("upto").rangeBetween(-limit, -1)
-    near = F.collect_list(F.struct("idx", "line")).over(fits)
-    rows = rows.withColumn("near", near).withColumn("last", F.lag("line").over(order)).where("block is not null")
-    joined = F.array_join(F.transform(F.array_sort("near"), lambda x: x["line"]), "\n")
-    context = F.when(F.size("near") > 0, joined).otherwise(F.coalesce("last", F.lit("")))
-    return rows.select("doc_id", "block", F.when(F.length(context) > limit, F.substring(context, -limit, limit)).otherwise(context).alias("context"))
+    rows = _with_context_from(prose_lines(_with_heading(lines_of(analyzed))), limit)
+    placed = _numbered(rows, cuts).groupBy("doc_id", "block").agg(
+        (F.min("idx") + 1).alias("start"), (F.max("idx") + 1).alias("end"), F.min_by("heading", "idx").alias("heading"), F.min_by("from_idx", "idx").alias("from_idx")
+    )
+    both = placed.join(analyzed.select("doc_id", F.col("lines").alias("all_lines"), F.col("kinds").alias("all_kinds")), "doc_id")
+    start, n = F.col("start"), F.col("end") - F.col("start") + 1
+    lines, kinds = F.slice("all_lines", start, n), F.slice("all_kinds", start, n)
+    context = _context(F.col("all_lines"), F.col("all_kinds"), F.col("from_idx"), start, limit)
+    return both.select("doc_id", "block", "start", "end", F.array_join(lines, "\n").alias("text"), "heading", context.alias("context"), masked_text(lines, kinds).alias("body"), lines.alias("lines"), kinds.alias("kinds"))

@@ -12,21 +12,18 @@ from versoscan.operators.structure import boundary_question
 # fixed values
 OPTIONS, CONTROLS, SIGNIFICANT = 6, 3, 4
 QUESTIONS_PER_REQUEST = (1, 5, 20)
-_STATE = "The document is given as numbered lines in state.lines. "
-VARIANTS = {
-    "confidence": ("%s Report the calibrated probability, not just yes or no.", 1),
-    "junction": (_STATE + "Judge only the junction between `lines[%d]` and `lines[%d]`: does the topic, role, or structure change there? Do not judge any other pair.", 1),
-    "role": (_STATE + "Does the role of the text change between `lines[%d]` and `lines[%d]` — a shift in topic, a move between prose and a list, or the start of a new section?", 1),
-    "negative": (_STATE + "Do `lines[%d]` and `lines[%d]` belong to the same continuous block, with no boundary between them?", -1),
-}
+CONFIDENCE_CLAUSE = " Report the calibrated probability, not just yes or no."
+JUNCTION = "The document is given as numbered lines in state.lines. Judge only the junction between `lines[%d]` and `lines[%d]`: does the topic, role, or structure change there? Do not judge any other pair."
+ROLE = "The document is given as numbered lines in state.lines. Does the role of the text change between `lines[%d]` and `lines[%d]` — a shift in topic, a move between prose and a list, or the start of a new section?"
+NEGATIVE = "The document is given as numbered lines in state.lines. Do `lines[%d]` and `lines[%d]` belong to the same continuous block, with no boundary between them?"
 
 
 def question_variants(pairs: DataFrame, reps: int) -> DataFrame:
     """(doc, i, j, variant, polarity, rep, question): every wording of every pair, ``reps`` times."""
     i, j = F.col("i"), F.col("j")
     current = boundary_question(i, j)
-    asked = [("current", 1, current), ("confidence", 1, F.concat(current, F.lit(VARIANTS["confidence"][0][2:])))]
-    asked += [(v, VARIANTS[v][1], F.format_string(VARIANTS[v][0], i, j)) for v in ("junction", "role", "negative")]
+    asked = [("current", 1, current), ("confidence", 1, F.concat(current, F.lit(CONFIDENCE_CLAUSE)))]
+    asked += [(v, polarity, F.format_string(text, i, j)) for v, polarity, text in (("junction", 1, JUNCTION), ("role", 1, ROLE), ("negative", -1, NEGATIVE))]
     rows = pairs.select("doc", "i", "j", F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(p).alias("polarity"), q.alias("question")) for v, p, q in asked))).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     return rows.select("doc", "i", "j", "x.variant", "x.polarity", "rep", "x.question")
 
@@ -88,6 +85,11 @@ def choice_questions(pools: DataFrame, questions: int, options: int = OPTIONS, s
     return rows.select("doc", "question", slot.alias("slot"), "i", "j", "label", "reused", (F.count("*").over(unit) < options).alias("truncated"))
 
 
+def choice_requests(specs: DataFrame) -> DataFrame:
+    """(doc, question, options): one request a question, its options as pairs of lines in the order of their slots."""
+    return specs.groupBy("doc", "question").agg(F.array_sort(F.collect_list(F.struct("slot", "i", "j"))).alias("options"))
+
+
 def choice_accuracy(specs: DataFrame, answers: DataFrame) -> DataFrame:
     """One row: correct answers(doc, question, slot) over questions, and whether there are enough for a control run."""
     right = specs.where("label = 'boundary'").select("doc", "question", F.col("slot").alias("right"))

@@ -1,8 +1,10 @@
 """Measures over recorded judge answers: threshold sweeps, regressions between runs, and boundary calibration.
 
 Observations are one long table obs(experiment, grp, doc, i, j, rep, p), p already turned so that high means a
-boundary. Measures group by ``by`` columns; labels are small and broadcast. No pair of positives and negatives is ever
-formed: the AUC comes from ranks.
+boundary. Measures group by ``by`` columns. Labels grow with the documents, so joins with them are left to adaptive
+execution, which broadcasts only what it has measured to be small. No pair of positives and negatives is ever formed,
+and no group is sorted or gathered in one task: medians and the AUC come from counts of distinct values in RANGES
+ranges of their group, prefix sums over the ranges, and ranks within a range.
 """
 
 from __future__ import annotations
@@ -17,9 +19,37 @@ FLIP_FROM, FLIP_TO, FLIP_STEP = 30, 70, 2  # hundredths
 BAND, BINS = 0.1, 10
 CONTESTED = "見出し"
 MEDIAN_SHIFT, MOVED, MOVED_SHARE = 0.03, 0.05, 0.2
+RANGES = 1024  # of a group's values
 PLACE = ["start", "end", "col", "text", "category"]
 
 
+def _in_ranges(counts: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """counts with ``range_``, the part of its group's values in which each lies: RANGES of equal width."""
+    ends = counts.groupBy(*by).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
+    part = F.floor((F.col(value) - F.col("low_")) / (F.col("high_") - F.col("low_")) * RANGES)
+    return counts.join(ends, list(by)).withColumn("range_", F.when(F.col("high_") > F.col("low_"), F.least(part, F.lit(RANGES - 1))).otherwise(F.lit(0))).drop("low_", "high_")
+
+
+def _before(counts: DataFrame, by: tuple[str, ...], value: str, number: str) -> DataFrame:
+    """counts, in ranges, with ``before``: the sum of ``number`` over the lower values of the group."""
+    per_range = counts.groupBy(*by, "range_").agg(F.sum(number).alias("in_range"))
+    upto = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    lower = per_range.select(*by, "range_", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("ranges_before"))
+    within = Window.partitionBy(*by, "range_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.join(lower, [*by, "range_"]).withColumn("before", F.col("ranges_before") + F.coalesce(F.sum(number).over(within), F.lit(0))).drop("ranges_before")
+
+
+def middle_values(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
+    """(by.., n, lower, upper): the values at the places floor((n - 1) / 2) and floor(n / 2) of each group in order."""
+    if not by:
+        return middle_values(rows.withColumn("all_", F.lit(0)), ("all_",), value).drop("all_")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    placed = _before(_in_ranges(counts, by, value), by, value, "c").join(total, list(by))
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("c")), F.col(value)))
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor((F.col("n") - 1) / 2)).alias("lower"), at(F.floor(F.col("n") / 2)).alias("upper"))
+
+
 def threshold_sweep(cands: DataFrame, by: tuple[str, ...] = (), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(by.., threshold, raw, merged): questions at or over each threshold, and findings after merging scopes.
 
@@ -32,15 +62,18 @@ def threshold_sweep(cands: DataFrame, by: tuple[str, ...] = (), thresholds: tupl
 
 
 def matched_candidates(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Candidates of two runs at the same place: (doc_id, .., base_prob, new_prob)."""
-    key = ["doc_id", *PLACE]
+    """Candidates of two runs at the same place and scope: (doc_id, .., base_prob, new_prob)."""
+    key = ["doc_id", "scope", *PLACE]
     return base.select(*key, F.col("prob").alias("base_prob")).join(new.select(*key, F.col("prob").alias("new_prob")), key)
 
 
 def regression_check(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Whether the new run moved: a median shift over 0.03, or a fifth of the candidates moved 0.05 one way."""
-    d = F.col("new_prob") - F.col("base_prob")
-    out = matched.groupBy(*by).agg(F.count("*").alias("n"), F.percentile(d, 0.5).alias("median_shift"), F.avg((d >= MOVED).cast("double")).alias("up"), F.avg((d <= -MOVED).cast("double")).alias("down"))
+    d = F.col("moved")
+    moved = matched.withColumn("moved", F.col("new_prob") - F.col("base_prob"))
+    middle = middle_values(moved, by, "moved").select(*by, ((F.col("lower") + F.col("upper")) / 2).alias("median_shift"))
+    out = moved.groupBy(*by).agg(F.count("*").alias("n"), F.avg((d >= MOVED).cast("double")).alias("up"), F.avg((d <= -MOVED).cast("double")).alias("down"))
+    out = (out.join(middle, list(by)) if by else out.crossJoin(middle)).select(*by, "n", "median_shift", "up", "down")  # without by both are one row
     return out.withColumn("regression", (F.abs("median_shift") > MEDIAN_SHIFT) | (F.col("up") >= MOVED_SHARE) | (F.col("down") >= MOVED_SHARE))
 
 
@@ -73,7 +106,7 @@ def observation_series(requests: DataFrame, offset: int = 0, source: str | None
     window, ``offset`` lines further up, and other documents are called design; elsewhere all pairs are the window's.
     """
     bad = discarded_runs(requests).select("run_id")
-    rows = requests.join(F.broadcast(bad), "run_id", "left_anti").select("*", F.explode("pairs").alias("pair"))
+    rows = requests.join(bad, "run_id", "left_anti").select("*", F.explode("pairs").alias("pair"))
     p = polarity(F.element_at("probs", F.concat(F.lit("b"), F.col("pair.i"))), F.col("polarity"))
     if source is None:
         doc, shift = F.col("doc"), F.lit(0)
@@ -93,7 +126,7 @@ def window_offset(doc_lines: Column, window: Column, first: Column) -> Column:
 
 
 def labeled_observations(obs: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:
-    return obs.join(F.broadcast(labels), ["doc", "i", "j"], how)
+    return obs.join(labels, ["doc", "i", "j"], how)
 
 
 def labels_in_window(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,13 +150,9 @@ def legacy(p: Column) -> Column:
 
 
 def repeat_sd_summary(stats: DataFrame, by: tuple[str, ...] = ("experiment", "grp")) -> DataFrame:
-    """(by.., n, mean, median, max) of the deviations; the median is the upper one.
-
-    Ranked within a group by value, so that a group's values need not be gathered.
-    """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = stats.select(*by, "sd", (F.row_number().over(w.orderBy("sd")) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.avg("sd").alias("mean"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2), F.col("sd"))).alias("median"), F.max("sd").alias("max"))
+    """(by.., n, mean, median, max) of the deviations; the median is the upper one."""
+    sums = stats.groupBy(*by).agg(F.count("*").alias("n"), F.avg("sd").alias("mean"), F.max("sd").alias("max"))
+    return sums.join(middle_values(stats, by, "sd").select(*by, F.col("upper").alias("median")), list(by)).select(*by, "n", "mean", "median", "max")
 
 
 def band_mass(stats: DataFrame, by: tuple[str, ...] = ("experiment", "grp")) -> DataFrame:
@@ -134,7 +163,7 @@ def band_mass(stats: DataFrame, by: tuple[str, ...] = ("experiment", "grp")) ->
 
 def with_labels(stats: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:
     """stats with label, note, truth (1 boundary, 0 continue, null else) and contested."""
-    rows = stats.join(F.broadcast(labels.select("doc", "i", "j", "label", "note")), ["doc", "i", "j"], how)
+    rows = stats.join(labels.select("doc", "i", "j", "label", "note"), ["doc", "i", "j"], how)
     truth = F.when(F.col("label") == "boundary", 1).when(F.col("label") == "continue", 0)
     return rows.withColumns({"truth": truth, "contested": F.coalesce((F.col("label") == "continue") & F.contains("note", F.lit(CONTESTED)), F.lit(False))})
 
@@ -142,13 +171,12 @@ def with_labels(stats: DataFrame, labels: DataFrame, how: str = "inner") -> Data
 def auc(labelled: DataFrame, by: tuple[str, ...] = ("experiment", "grp"), contested: bool = True) -> DataFrame:
     """(by.., auc, n_pos, n_neg) of mean against truth: ties count half, null if a side is empty.
 
-    Equal scores are counted first, so the ranks run over distinct scores and the group's rows are pre-aggregated.
+    Equal scores are counted first; a positive wins over the negatives of lower scores and half of those of its own.
     """
     rows = labelled.where("truth is not null")
     rows = rows if contested else rows.where("not contested")
     scores = rows.groupBy(*by, "mean").agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy("mean").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = scores.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
+    wins = _before(_in_ranges(scores, by, "mean"), by, "mean", "neg").withColumn("wins", F.col("pos") * (F.col("before") + F.col("neg") / 2))
     sums = wins.groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return sums.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
@@ -175,7 +203,7 @@ def flip_curve(obs: DataFrame, labels: DataFrame, by: tuple[str, ...] = ("experi
     All 21 thresholds are counted in one pass: only the least and the greatest p of a pair decide.
     """
     sure = labels.where("label in ('boundary', 'continue')").select("doc", "i", "j")
-    pairs = obs.join(F.broadcast(sure), ["doc", "i", "j"]).groupBy(*by, "doc", "i", "j").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    pairs = obs.join(sure, ["doc", "i", "j"]).groupBy(*by, "doc", "i", "j").agg(F.min("p").alias("low"), F.max("p").alias("high"))
     at = range(FLIP_FROM, FLIP_TO + 1, FLIP_STEP)
     sums = pairs.groupBy(*by).agg(*(F.avg(((F.col("low") < t / 100) & (F.col("high") >= t / 100)).cast("double")).alias(f"t{t}") for t in at))
     rows = F.explode(F.array(*(F.struct(F.lit(t / 100).alias("threshold"), F.col(f"t{t}").alias("flip")) for t in at))).alias("x")

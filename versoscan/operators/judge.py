@@ -1,15 +1,32 @@
-"""The judge: a vectorised function over request tables, or recorded answers joined on the request's keys."""
+"""The judge: a vectorised function over request tables, or recorded answers joined on the request's keys.
+
+A request is a row: its keys, the columns of its state, and ``questions``, an array of at most QUESTIONS structs with a
+``key``. The judge adds ``answers``, an array with the same keys, and the request's model and token counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Judge = Callable[[pd.DataFrame], pd.DataFrame]
 
+QUESTIONS = 50  # fixed value: of one request
+USAGE = "model string, input_tokens long, output_tokens long"
+NOUL = f"answers array<struct<key:string,prob:double>>, {USAGE}"
+SCORE = f"answers array<struct<key:string,score:double,confidence:double>>, {USAGE}"
+CHOICE = f"choice string, confidence double, probabilities map<string,double>, {USAGE}"
+
+
+def chunked(requests: DataFrame, size: int = QUESTIONS) -> DataFrame:
+    """The same requests with ``chunk``, one row for each ``size`` questions, in their order; those without any go."""
+    parts = F.ceil(F.size("questions") / size).cast("int")
+    rows = requests.where(F.size("questions") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("questions", F.slice("questions", F.col("chunk") * size + 1, F.lit(size)))
+
 
 def judge(requests: DataFrame, fn: Judge, answer: str, partitions: int | None = None) -> DataFrame:
     """requests with the columns that ``fn`` adds, of the schema ``answer``. The calls are spread over tasks by request, not by document."""
@@ -25,17 +42,18 @@ def judge(requests: DataFrame, fn: Judge, answer: str, partitions: int | None =
 
 
 def judge_noul(requests: DataFrame, fn: Judge, partitions: int | None = None) -> DataFrame:
-    """A probability for each question, and the model and token counts of its request."""
-    return judge(requests, fn, "prob double, model string, input_tokens long, output_tokens long", partitions)
+    """A probability for each question."""
+    return judge(requests, fn, NOUL, partitions)
 
 
 def judge_score(requests: DataFrame, fn: Judge, partitions: int | None = None) -> DataFrame:
-    """A score of 0 .. levels - 1 and a confidence for each category; the token counts are the whole request's."""
-    return judge(requests, fn, "score double, confidence double, model string, input_tokens long, output_tokens long", partitions)
+    """A score of 0 .. levels - 1 and a confidence for each question."""
+    return judge(requests, fn, SCORE, partitions)
 
 
 def judge_choice(requests: DataFrame, fn: Judge, partitions: int | None = None) -> DataFrame:
-    return judge(requests, fn, "choice string, confidence double, probabilities map<string,double>", partitions)
+    """One choice of the request's ``options``, its confidence and the probability of each."""
+    return judge(requests, fn, CHOICE, partitions)
 
 
 def replay(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,6 +61,13 @@ def replay(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFram
     return requests.join(answers, keys)
 
 
-def record_calls(answers: DataFrame, request: list[str]) -> DataFrame:
-    """One row a request: answers repeat the request's usage, so it is taken once."""
-    return answers.groupBy(*request).agg(F.first("model").alias("model"), F.max("input_tokens").alias("input_tokens"), F.max("output_tokens").alias("output_tokens"))
+def probability(answers: Column, key: Column) -> Column:
+    """The answer to the question of this key; a request that lacks it is an error."""
+    found = F.get(F.filter(answers, lambda a: a["key"] == key), F.lit(0))
+    return F.coalesce(found["prob"], F.raise_error(F.concat(F.lit("no answer to question "), key)).cast("double"))
+
+
+def record_calls(answered: DataFrame, request: list[str]) -> DataFrame:
+    """One row a request. Where rows repeat the usage of their request it is taken once; a request has one model."""
+    model = F.when(F.min("model").eqNullSafe(F.max("model")), F.min("model")).otherwise(F.raise_error(F.lit("a request has several models")))
+    return answered.groupBy(*request).agg(model.alias("model"), F.max("input_tokens").alias("input_tokens"), F.max("output_tokens").alias("output_tokens"))

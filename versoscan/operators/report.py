@@ -28,11 +28,12 @@ def exit_codes(docs: DataFrame, merged: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(errors.withColumn("code", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("code", F.lit(0)).alias("exit_code"))
 
 
-def fail_under(merged: DataFrame, scores: DataFrame, limit: float) -> DataFrame:
-    """One row: 1 if there is an error, or if the least score of all (3.0 without any) is below the limit."""
-    errors = merged.agg(F.coalesce(F.max((F.col("severity") == "error").cast("int")), F.lit(0)).alias("errors"))
-    worst = scores.agg(F.coalesce(F.min("score"), F.lit(NO_SCORE)).alias("worst"))
-    return errors.crossJoin(worst).select(F.when((F.col("errors") == 1) | (F.col("worst") < limit), 1).otherwise(0).alias("exit_code"), "worst")
+def fail_under(merged: DataFrame, scores: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., exit_code, worst): 1 if there is an error, or if the least score of all (3.0 without any) is below the limit;
+    one row for everything, or one a group."""
+    both = scores.select(*by, "score", F.lit(0).alias("error")).unionByName(merged.select(*by, F.lit(None).cast("double").alias("score"), (F.col("severity") == "error").cast("int").alias("error")))
+    worst = both.groupBy(*by).agg(F.coalesce(F.max("error"), F.lit(0)).alias("errors"), F.coalesce(F.min("score"), F.lit(NO_SCORE)).alias("worst"))
+    return worst.select(*by, F.when((F.col("errors") == 1) | (F.col("worst") < limit), 1).otherwise(0).alias("exit_code"), "worst")
 
 
 def _where(c_start: str, c_end: str, mark: str) -> Column:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versoscan.functions import text as X
-from versoscan.operators.blocks import nearest_heading, preceding_context
+from versoscan.operators.judge import QUESTIONS, probability
 from versoscan.operators.rules import AUTHOR_CLAUSE, active_categories
-from versoscan.operators.structure import lines_of, masked_slice, masked_text, sentence_candidates
+from versoscan.operators.structure import candidates_of, masked_text
 
-# fixed values: characters of a document, of a scoring request and of a locating request; questions of one request
-DOCUMENT_CHARS, SCORE_CHARS, LOCATE_CHARS, QUESTIONS = 32000, 32000, 32000, 50
+# fixed values: characters of a document, of a scoring request and of a locating request
+DOCUMENT_CHARS, SCORE_CHARS, LOCATE_CHARS = 32000, 32000, 32000
 SKIP = ["doc_id", "stage", "category", "reason", "start", "end"]
 
 
@@ -20,14 +20,6 @@ def masked_documents(analyzed: DataFrame) -> DataFrame:
     return analyzed.select("doc_id", masked_text(F.col("lines"), F.col("kinds")).alias("masked"))
 
 
-def block_states(analyzed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, block, start, end, heading, context, body) of each block."""
-    lines = lines_of(analyzed)
-    body = masked_slice(F.col("lines"), F.col("kinds"), F.col("start"), F.col("end"))
-    bodies = blocks.join(analyzed.select("doc_id", "lines", "kinds"), "doc_id").select("doc_id", "block", "start", "end", body.alias("body"))
-    return bodies.join(nearest_heading(lines, blocks), ["doc_id", "block"]).join(preceding_context(lines, blocks), ["doc_id", "block"]).select("doc_id", "block", "start", "end", "heading", "context", "body")
-
-
 def state_chars() -> Column:
     """Length of a block's state as JSON."""
     return X.json_object_chars({c: X.json_string_chars(F.col(c)) for c in ("heading", "context", "body")})
@@ -50,10 +42,17 @@ def block_payloads(states: DataFrame, cats: DataFrame) -> DataFrame:
     return states.crossJoin(F.broadcast(total)).withColumn("payload", state_chars() + F.col("question_chars")).drop("question_chars")
 
 
+def score_questions(cats: DataFrame, scope: str) -> DataFrame:
+    """One row: ``questions`` (key, instruction, levels) of the categories asked about blocks or about documents."""
+    levels = F.when((F.lit(scope) == "document") & (F.size("levels_document") > 0), F.col("levels_document")).otherwise(F.col("levels"))
+    one = F.struct("pos", F.col("name").alias("key"), instruction().alias("instruction"), levels.alias("levels"))
+    rows = active_categories(cats, scope).agg(F.array_sort(F.collect_list(one)).alias("q"))
+    return F.broadcast(rows.select(F.transform("q", lambda x: F.struct(x["key"].alias("key"), x["instruction"].alias("instruction"), x["levels"].alias("levels"))).alias("questions")))
+
+
 def block_score_requests(payloads: DataFrame, cats: DataFrame, limit: int = SCORE_CHARS) -> DataFrame:
-    """One row a block that fits and category: state, instruction and levels."""
-    asked = active_categories(cats, "block").select(F.col("name").alias("category"), instruction().alias("instruction"), "levels")
-    return payloads.where(F.col("payload") <= limit).crossJoin(F.broadcast(asked)).select("doc_id", "block", "category", "heading", "context", "body", "instruction", "levels")
+    """One row a block that fits: its state, and a question a category."""
+    return payloads.where(F.col("payload") <= limit).crossJoin(score_questions(cats, "block")).select("doc_id", "block", "heading", "context", "body", "questions")
 
 
 def has_prose() -> Column:
@@ -61,11 +60,10 @@ def has_prose() -> Column:
 
 
 def document_score_requests(analyzed: DataFrame, cats: DataFrame, limit: int = DOCUMENT_CHARS) -> DataFrame:
-    """One row a document that fits and has prose, and category; the document's own levels where there are some."""
-    levels = F.when(F.size("levels_document") > 0, F.col("levels_document")).otherwise(F.col("levels"))
-    asked = active_categories(cats, "document").select(F.col("name").alias("category"), instruction().alias("instruction"), levels.alias("levels"))
+    """One row a document that fits and has prose: its text, and a question a category, with the document's own levels
+    where there are some."""
     docs = masked_documents(analyzed.where(has_prose())).where(F.length("masked") <= limit)
-    return docs.crossJoin(F.broadcast(asked)).select("doc_id", "category", F.col("masked").alias("state"), "instruction", "levels")
+    return docs.crossJoin(score_questions(cats, "document")).select("doc_id", F.col("masked").alias("document"), "questions")
 
 
 def _skipped(df: DataFrame, reason: str, **given: Column) -> DataFrame:
@@ -91,49 +89,41 @@ def size_skips(analyzed: DataFrame, payloads: DataFrame, cats: DataFrame, docume
     return _skipped(large, "state_too_large", category=F.col("name")).unionByName(_skipped(blocks, "score_state_too_large", category=F.col("name"), start=F.col("start"), end=F.col("end")))
 
 
-def block_candidates(analyzed: DataFrame, ids_spans: DataFrame) -> DataFrame:
-    """(doc_id, block, cand, line, col, text): the sentences of each block, numbered in order; lines are 1-based.
-
-    A line lies in one block, so the block's number is looked up by a range over block starts within the document.
-    """
-    sentences = sentence_candidates(lines_of(analyzed)).withColumn("line", F.col("idx") + 1)
-    starts = ids_spans.select("doc_id", F.col("start").alias("line"), F.struct("block", "end").alias("b"))
-    rows = sentences.select("doc_id", "line", "n", "col", "text", F.lit(None).cast(starts.schema["b"].dataType).alias("b")).unionByName(starts.select("doc_id", "line", F.lit(-1).alias("n"), F.lit(None).cast("int").alias("col"), F.lit(None).cast("string").alias("text"), "b"))
-    order = Window.partitionBy("doc_id").orderBy("line", "n")
-    placed = rows.withColumn("b", F.last("b", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("text is not null and line <= b.end")
-    number = F.row_number().over(Window.partitionBy("doc_id", "b.block").orderBy("line", "n")) - 1
-    return placed.select("doc_id", F.col("b.block").alias("block"), number.alias("cand"), "line", "col", "text")
-
-
-def document_candidates(analyzed: DataFrame) -> DataFrame:
-    sentences = sentence_candidates(lines_of(analyzed))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "n")) - 1
-    return sentences.select("doc_id", F.lit(None).cast("int").alias("block"), number.alias("cand"), (F.col("idx") + 1).alias("line"), "col", "text")
-
+UNIT = ["doc_id", "scope", "block"]
 
-def locate_questions(flagged: DataFrame, cands: DataFrame) -> DataFrame:
-    """flagged(doc_id, scope, block, category, locate) with its unit's sentences, one question each."""
-    same = (flagged["doc_id"] == cands["doc_id"]) & flagged["block"].eqNullSafe(cands["block"])
-    question = F.format_string("%s Candidate: `candidates[%d]`", F.col("locate"), F.col("cand"))
-    return flagged.join(cands, same).select(flagged["doc_id"], "scope", flagged["block"], "category", "cand", "line", "col", "text", question.alias("question"))
 
+def locate_requests(flagged: DataFrame, states: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """One row a unit and category of flagged(doc_id, scope, block, category, locate): state, candidates and questions.
 
-def locate_payloads(flagged: DataFrame, cands: DataFrame, states: DataFrame) -> DataFrame:
-    """flagged with ``payload``, the characters of its locating request: state, candidates and all questions.
-
-    states(doc_id, block, state_chars): the length of the state without its candidates, as JSON.
+    Sentences are unfolded for these units only, within arrays: (line, col, text) of each, asked about by its number. A
+    block's heading, context and body are its state, or the masked document. ``payload`` counts the characters sent.
     """
-    per_unit = cands.groupBy("doc_id", "block").agg(
-        F.count("*").alias("n"), F.sum(X.json_string_chars(F.col("text"))).alias("text_chars"),
-        F.sum(F.length(F.col("cand").cast("string"))).alias("digits"),
-    )
-    a = flagged.join(per_unit, (flagged["doc_id"] == per_unit["doc_id"]) & flagged["block"].eqNullSafe(per_unit["block"])).select(flagged["*"], "n", "text_chars", "digits")
-    b = a.join(states, (a["doc_id"] == states["doc_id"]) & a["block"].eqNullSafe(states["block"])).select(a["*"], "state_chars")
-    n = F.col("n")
-    state = F.col("state_chars") + len(', "candidates": ') + F.col("text_chars") + 2 * n
-    # {"s0": "... Candidate: `candidates[0]`", ...}: key and question each hold the number
-    questions = n * (len('"s": ') + X.json_string_chars(F.col("locate")) + len(" Candidate: `candidates[]`")) + 2 * F.col("digits") + 2 * n
-    return b.withColumn("payload", state + questions).drop("n", "text_chars", "digits", "state_chars")
+    asked = flagged.groupBy(*UNIT).agg(F.array_sort(F.collect_list(F.struct("category", "locate"))).alias("asked"))
+    null = F.lit(None).cast("string")
+    inside = candidates_of(F.col("lines"), F.col("kinds"), F.lit(1), F.size("lines"))
+    block = F.transform(inside, lambda s: F.struct((s["line"] + F.col("start") - 1).alias("line"), s["col"].alias("col"), s["text"].alias("text")))
+    in_block = asked.where("scope = 'block'").join(states, ["doc_id", "block"]).select(*UNIT, "asked", "heading", "context", "body", null.alias("document"), block.alias("candidates"))
+    document = masked_text(F.col("lines"), F.col("kinds"))
+    in_doc = asked.where("scope = 'document'").join(analyzed.select("doc_id", "lines", "kinds"), "doc_id").select(*UNIT, "asked", null.alias("heading"), null.alias("context"), null.alias("body"), document.alias("document"), inside.alias("candidates"))
+    chars = X.json_string_chars
+    texts = F.transform("candidates", lambda c: chars(c["text"]))
+    fields = {"candidates": X.json_list_chars(texts)}
+    size = F.when(F.col("scope") == "block", X.json_object_chars({"heading": chars(F.col("heading")), "context": chars(F.col("context")), "block": chars(F.col("body"))} | fields)).otherwise(X.json_object_chars({"document": chars(F.col("document"))} | fields))
+    units = in_block.unionByName(in_doc).where(F.size("candidates") > 0).withColumn("state_chars", size)
+    rows = units.select(*UNIT, F.explode("asked").alias("a"), "heading", "context", "body", "document", "candidates", "state_chars")
+    number = F.sequence(F.lit(0), F.size("candidates") - 1)
+    question = lambda n: F.struct(F.concat(F.lit("s"), n).alias("key"), n.alias("cand"), F.format_string("%s Candidate: `candidates[%d]`", F.col("a.locate"), n).alias("question"))
+    rows = rows.select(*UNIT, F.col("a.category").alias("category"), "heading", "context", "body", "document", "candidates", F.transform(number, question).alias("questions"), "state_chars")
+    # {"s0": "..", ..}: quotes, colon and space of a key
+    asked_chars = X.json_list_chars(F.transform("questions", lambda q: F.length(q["key"]) + 4 + chars(q["question"])))
+    return rows.withColumn("payload", F.col("state_chars") + asked_chars).drop("state_chars")
+
+
+def located_sentences(answered: DataFrame) -> DataFrame:
+    """(doc_id, scope, block, category, cand, line, col, text, question, prob): each question of answered locating requests."""
+    rows = answered.select(*UNIT, "category", "candidates", "answers", F.explode("questions").alias("q"))
+    c = F.get("candidates", F.col("q.cand"))
+    return rows.select(*UNIT, "category", "q.cand", c["line"].alias("line"), c["col"].alias("col"), c["text"].alias("text"), "q.question", probability(F.col("answers"), F.col("q.key")).alias("prob"))
 
 
 def question_chunks(questions: DataFrame, unit: list[str], order: str, size: int = QUESTIONS) -> DataFrame:
@@ -141,5 +131,11 @@ def question_chunks(questions: DataFrame, unit: list[str], order: str, size: int
     return questions.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*unit).orderBy(order)) - 1) / size).cast("int"))
 
 
+def state_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of a state as canonical JSON: fields (given as JSON texts) in the order of their names."""
+    body = F.concat_ws(", ", *(F.concat(F.lit(f'"{name}": '), fields[name]) for name in sorted(fields)))
+    return F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)
+
+
 def input_hash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.sha2("text", 256).alias("sha256"))

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SCHEMA = "pos int, name string, enabled boolean, scope string, severity string, threshold double, description string, levels array<string>, levels_document array<string>, locate string, locate_threshold double, is_set array<string>"
 FIELDS = ["enabled", "scope", "severity", "threshold", "description", "levels", "levels_document", "locate", "locate_threshold"]
@@ -29,33 +30,34 @@ def _category(name: str, what: str, sentence: str | None = None, **fields: objec
     return out | ({"locate": f"この文は{sentence}。かつ{_OWN}"} if sentence else {}) | fields
 
 
+# fixed values: names, scopes, thresholds and inheritance of the presets; the texts are our own
 PRESETS: dict[str, dict] = {
     "base": {
         "categories": [
             _category("structure", "段落と見出しの構成", "話題を示さない先頭文か、内容の分からない見出しである"),
             _category("clarity", "指示語と術語の明確さ", "指すものが決まらない語を含む"),
-            _category("concision", "文章の簡潔さ", "同じことの繰り返しか回りくどい言い方である", scope="both"),
+            _category("concision", "文章の簡潔さ", "同じことの繰り返しか回りくどい言い方である", scope="both", levels_document=["節どうしで同じ主張が繰り返される", "一部の節が重なる", "節ごとに役割が違う"]),
             _category("voice", "主語と動作の書き方", "だれの動作か分からない"),
             _category("naturalness", "日本語としての自然さ", "翻訳調で不自然である"),
-            _category("specificity", "内容の具体性", "数値や例のない抽象的な主張である"),
-            _category("rhetoric", "誇張の少なさ", "根拠のない誇張を含む"),
             _category("anglicism", "外来語の使い方", "日本語で言える英単語を使っている"),
+            _category("substance", "内容のある言い方", "予告や総括だけで何も述べていない"),
+            _category("consistency", "文書全体の表記と文体の統一", "ほかの箇所と表記や文体が違う", scope="document"),
         ]
     },
     "tech-doc": {
         "extends": "base",
         "categories": [
-            _category("procedure", "手順の書き方", "実行できない手順である", severity="error"),
-            _category("prerequisite", "前提条件の示し方", scope="document"),
-            _category("terminology", "用語の統一", "同じものを別の語で呼んでいる", scope="both"),
+            _category("rigor", "断定と推量の使い分け", "根拠のない断定である"),
+            _category("reader_load", "読み手の記憶への負担", "後で使わない固有名を含む"),
+            _category("restraint", "演出の控えめさ", "修辞疑問か決め台詞である"),
         ],
     },
     "blog": {
         "extends": "base",
         "categories": [
             {"name": "voice", "threshold": 1.0},
-            _category("opening", "書き出しの引きつけ", "読み手に関わらない書き出しである"),
-            _category("takeaway", "読後に残る要点", scope="document"),
+            _category("restraint", "演出の控えめさ", "修辞疑問か決め台詞である"),
+            _category("honesty", "確かめたことと推量の区別", "確かめていないことを確かめたように書いている"),
         ],
     },
 }
@@ -147,8 +149,6 @@ def merge_categories(parent: DataFrame, child: DataFrame) -> DataFrame:
     pick = lambda f: F.when(new | F.coalesce(F.array_contains("c.is_set", f), F.lit(False)), F.col(f"c.{f}")).otherwise(F.col(f"p.{f}")).alias(f)
     out = joined.select(new.alias("is_new"), F.coalesce("p.pos", "c.pos").alias("at"), F.coalesce("p.name", "c.name").alias("name"), *(pick(f) for f in FIELDS), F.array_union(F.coalesce("p.is_set", F.array().cast("array<string>")), F.coalesce("c.is_set", F.array().cast("array<string>"))).alias("is_set"))
     # a ruleset is a few rows: one small window gives the new order
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy(F.lit(0)).orderBy("is_new", "at", "name")
     return out.select((F.row_number().over(order) - 1).alias("pos"), "name", *FIELDS, "is_set")
 

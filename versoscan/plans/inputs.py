@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from versoscan.functions.text import hash_probability
 from versoscan.operators import rules
 from versoscan.operators.structure import analyze
+from versoscan.plans.lint import Judge
 
 RULESET = "tech-doc"
-OWN_RULES = {"categories": [{"name": "voice", "threshold": 1.0}, {"name": "rhetoric", "enabled": False}, rules._category("length", "文の長さ", severity="error", scope="both", levels_document=["長い", "短い"])]}
+OWN_RULES = {"categories": [{"name": "voice", "threshold": 1.0}, {"name": "substance", "enabled": False}, rules._category("length", "文の長さ", severity="error", scope="both", levels_document=["長い", "短い"])]}
 REPS = 5
 EXPERIMENT_VARIANTS = ("current", "confidence", "junction", "negative", "role")
 QS = (1, 5, 20)
@@ -27,8 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text) of documents with line syntax, dealt out by document once: the windows and groups over a document's
-    lines that follow keep this partitioning, so the many short rows of lines are never shuffled."""
+    """(doc_id, text) of documents with line syntax."""
     d = F.col("doc_id")
 
     def dress(line: Column, p: Column) -> Column:
@@ -41,31 +41,47 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.when(h.isin(14, 15), F.concat(F.lit("1. "), s)).when(h == 16, F.concat(F.lit("* "), s)).when(h == 17, "---").when(h == 18, "  ```").otherwise(s)
 
     text = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), dress), "\n")
-    return documents(spark, sf_dir).select("doc_id", "text").repartition("doc_id").select("doc_id", text.alias("text"))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
 
 
-def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(markdown(spark, sf_dir))
+def analyzed(spark: SparkSession, sf_dir: str, by_document: bool = False) -> DataFrame:
+    return analyze(markdown(spark, sf_dir), by_document=by_document)
 
 
 def category_table(spark: SparkSession) -> DataFrame:
     return rules.merge_categories(rules.read_ruleset(spark, RULESET), rules.categories(spark, OWN_RULES))
 
 
-def boundary_answers(pairs: DataFrame) -> DataFrame:
-    """(doc_id, i, prob) for each pair asked."""
-    return pairs.select("doc_id", "i", hash_probability(F.lit("b"), "doc_id", "i").alias("prob"))
+def _used(model: str) -> dict[str, Column]:
+    """The usage of a request, from the number of its questions."""
+    n = F.size("questions").cast("long")
+    return {"model": F.lit(model), "input_tokens": n * 7, "output_tokens": n}
 
 
-def score_answers(requests: DataFrame, scope: str) -> DataFrame:
-    """(doc_id, scope, block, category, score, confidence); a score is between 0 and the number of levels less one."""
-    block = F.col("block") if "block" in requests.columns else F.lit(None).cast("int")
-    key = [F.lit(scope), F.col("doc_id"), F.coalesce(block, F.lit(-1)), F.col("category")]
-    return requests.select("doc_id", F.lit(scope).alias("scope"), block.alias("block"), "category", (hash_probability(F.lit("s"), *key) * (F.size("levels") - 1)).alias("score"), hash_probability(F.lit("c"), *key).alias("confidence"))
+def boundary_answers(requests: DataFrame) -> DataFrame:
+    """The hash judge: an answer's probability comes from the request's keys."""
+    answer = lambda q: F.struct(q["key"].alias("key"), hash_probability(F.lit("b"), F.col("doc_id"), q["i"]).alias("prob"))
+    return requests.withColumns({"answers": F.transform("questions", answer), **_used("judge-a")})
 
 
-def locate_answers(questions: DataFrame, run: str = "l") -> DataFrame:
-    return questions.withColumn("prob", hash_probability(F.lit(run), "scope", "doc_id", F.coalesce("block", F.lit(-1)), "category", "cand"))
+def score_answers(requests: DataFrame) -> DataFrame:
+    """A score is between 0 and the number of levels less one."""
+    block = F.coalesce("block", F.lit(-1))
+
+    def answer(q: Column) -> Column:
+        key = [F.col("scope"), F.col("doc_id"), block, q["key"]]
+        return F.struct(q["key"].alias("key"), (hash_probability(F.lit("s"), *key) * (F.size(q["levels"]) - 1)).alias("score"), hash_probability(F.lit("c"), *key).alias("confidence"))
+
+    return requests.withColumns({"answers": F.transform("questions", answer), **_used("judge-b")})
+
+
+def locate_answers(requests: DataFrame, run: str = "l") -> DataFrame:
+    answer = lambda q: F.struct(q["key"].alias("key"), hash_probability(F.lit(run), F.col("scope"), F.col("doc_id"), F.coalesce("block", F.lit(-1)), F.col("category"), q["cand"]).alias("prob"))
+    return requests.withColumns({"answers": F.transform("questions", answer), **_used("judge-a")})
+
+
+def hash_judge() -> Judge:
+    return Judge(boundary_answers, score_answers, locate_answers)
 
 
 def eval_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versoscan.functions import text as X
 from versoscan.functions.lineage import cut
 from versoscan.operators import blocks as B
+from versoscan.operators import judge as J
 from versoscan.operators import requests as R
+from versoscan.operators import structure as S
 from versoscan.operators import violations as V
 
-from versoscan.operators.structure import analyze, windows_of
-
 Answers = Callable[[DataFrame], DataFrame]
+CALL = ["model", "input_tokens", "output_tokens"]
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,7 @@ class Limits:
     """Characters of what is sent; larger units are skipped, never cut."""
 
     document: int = R.DOCUMENT_CHARS
-    window: int = 16000
+    window: int = S.WINDOW_CHARS
     score: int = R.SCORE_CHARS
     locate: int = R.LOCATE_CHARS
 
@@ -33,12 +33,13 @@ class Limits:
 class Judge:
     """Three ways from requests to answers: a judge over the requests (see operators.judge) or recorded answers.
 
-    boundaries adds nothing but (doc_id, i, prob); blocks and documents give scores; sentences adds prob.
+    Each takes a table of requests, one a row, with everything that is sent: ``questions``, at most 50, and the state.
+    That is ``state`` (the lines of a window) for boundaries; heading, context and body, or document, with a scope for
+    scores; and these with ``candidates`` for sentences. Each adds answers, model, input_tokens and output_tokens.
     """
 
     boundaries: Answers
-    block_scores: Answers
-    document_scores: Answers
+    scores: Answers
     sentences: Answers
 
 
@@ -51,7 +52,7 @@ class Lint:
     payloads: DataFrame
     scores: DataFrame
     flagged: DataFrame
-    questions: DataFrame
+    requests: DataFrame  # about sentences, with their answers
     located: DataFrame
     violations: DataFrame
     merged: DataFrame
@@ -62,38 +63,30 @@ class Lint:
 def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits | None = None) -> Lint:
     """docs(doc_id, text) through all stages. Sentences are unfolded only for units that the score gate flags.
 
-    The structure, the blocks and every answer of the judge are checkpointed: later stages read them several times, and
-    a question must not be asked again, neither by a second reader nor when an executor is lost.
+    The structure, the states of blocks and every answer of the judge are checkpointed: later stages read them several
+    times, and a question must not be asked again, neither by a second reader nor when an executor is lost.
     """
     limits = limits or Limits()
-    shape = cut(analyze(docs, limits.window))
-    asked = shape.select("doc_id", F.explode("windows").alias("w")).select("doc_id", F.explode("w.pairs").alias("p")).select("doc_id", "p.i", "p.j")
-    cuts = B.boundary_cuts(asked, judge.boundaries(asked)).unionByName(B.forced_cuts(shape))
-    found = cut(B.build_blocks(shape, B.block_ids(shape, cuts)))
-    payloads = cut(R.block_payloads(R.block_states(shape, found), cats))
-    scores = judge.block_scores(R.block_score_requests(payloads, cats, limits.score)).unionByName(judge.document_scores(R.document_score_requests(shape, cats, limits.document)))
-    scores = cut(scores)
+    shape = cut(S.analyze(docs, limits.window, by_document=True))
+    segmented = cut(judge.boundaries(S.boundary_requests(shape)).select("doc_id", "questions", "answers", *CALL))
+    cuts = B.boundary_cuts(segmented).unionByName(B.forced_cuts(shape))
+    payloads = cut(R.block_payloads(B.block_states(shape, cuts), cats))
+    found = payloads.select("doc_id", "block", "start", "end", "text")
+    # scores
+    null = F.lit(None).cast("string")
+    about_blocks = R.block_score_requests(payloads, cats, limits.score).select("doc_id", F.lit("block").alias("scope"), "block", "heading", "context", "body", null.alias("document"), "questions")
+    about_docs = R.document_score_requests(shape, cats, limits.document).select("doc_id", F.lit("document").alias("scope"), F.lit(None).cast("int").alias("block"), null.alias("heading"), null.alias("context"), null.alias("body"), "document", "questions")
+    scored = cut(judge.scores(J.chunked(about_blocks.unionByName(about_docs))).select("doc_id", "scope", "block", "answers", *CALL))
+    scores = scored.select("doc_id", "scope", "block", F.explode("answers").alias("a")).select("doc_id", "scope", "block", F.col("a.key").alias("category"), "a.score", "a.confidence")
     flagged = V.score_gate(scores, cats)
-    # sentences: of blocks, and of whole documents
-    wanted = flagged.where("locate is not null").select("doc_id", "scope", "block", "category", "locate")
-    cands = cut(R.block_candidates(shape, found).unionByName(R.document_candidates(shape)))
-    block_chars = payloads.select("doc_id", "block", X.json_object_chars({"heading": X.json_string_chars(F.col("heading")), "context": X.json_string_chars(F.col("context")), "block": X.json_string_chars(F.col("body"))}).alias("state_chars"))
-    doc_chars = R.masked_documents(shape).select("doc_id", F.lit(None).cast("int").alias("block"), X.json_object_chars({"document": X.json_string_chars(F.col("masked"))}).alias("state_chars"))
-    sized = cut(R.locate_payloads(wanted, cands, block_chars.unionByName(doc_chars)))
-    fits, large = sized.where(F.col("payload") <= limits.locate), sized.where(F.col("payload") > limits.locate)
-    questions = R.locate_questions(fits, cands)
-    located = cut(judge.sentences(questions))
-    questions = located.select(questions.columns)
+    # sentences of flagged blocks and of flagged documents
+    wanted = flagged.where("locate is not null").select(*R.UNIT, "category", "locate")
+    sized = R.locate_requests(wanted, payloads, shape)
+    asked = J.chunked(sized.where(F.col("payload") <= limits.locate))
+    answered = cut(judge.sentences(asked).select(*R.UNIT, "category", "chunk", "heading", "context", "body", "document", "candidates", "questions", "answers", *CALL))
+    located = R.located_sentences(answered)
     every = V.all_violations(V.locate_violations(located, cats), V.score_flag_violations(flagged, found, shape))
+    large = sized.where(F.col("payload") > limits.locate)
     skipped = V.all_skipped(R.no_prose_skips(shape, cats), R.uninspected_pairs(shape), R.size_skips(shape, payloads, cats, limits.document, limits.score), R._skipped(large, "locate_state_too_large", category=F.col("category")))
-    return Lint(shape, found, payloads, scores, flagged, questions, located, every, V.merge_violations(every), skipped, calls_of(shape, payloads, scores, fits, questions))
-
-
-def calls_of(shape: DataFrame, payloads: DataFrame, scores: DataFrame, fits: DataFrame, questions: DataFrame) -> DataFrame:
-    """(doc_id, stage, size): one row a request, with the characters sent where they are known, else the questions."""
-    windows = windows_of(shape).select("doc_id", F.lit("segment").alias("stage"), F.size("pairs").cast("long").alias("size"))
-    scored = scores.groupBy("doc_id", "scope", "block").agg(F.count("*").alias("size")).select("doc_id", F.lit("score").alias("stage"), "size")
-    chunks = R.question_chunks(questions, ["doc_id", "scope", "block", "category"], "cand").groupBy("doc_id", "scope", "block", "category", "chunk").agg(F.count("*").alias("size"))
-    return windows.unionByName(scored).unionByName(chunks.select("doc_id", F.lit("locate").alias("stage"), "size"))
-
-
+    calls = [df.select("doc_id", F.lit(stage).alias("stage"), *CALL) for stage, df in (("segment", segmented), ("score", scored), ("locate", answered))]
+    return Lint(shape, found, payloads, scores, flagged, answered, located, every, V.merge_violations(every), skipped, calls[0].unionByName(calls[1]).unionByName(calls[2]))

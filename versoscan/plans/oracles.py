@@ -29,18 +29,35 @@ def chars(s: str) -> str:
     return f"(length({s}) + 2 + length(regexp_replace({s}, '[^\"\\\\\\n\\r\\t\\x08\\x0c]', '', 'g')) + 5 * length(regexp_replace({s}, '[^\\x00-\\x07\\x0b\\x0e-\\x1f]', '', 'g')))"
 
 
-def merged(name: str, on_top: dict | None = None) -> list[dict]:
-    data = rules.PRESETS[name]
-    out = {c["name"]: c for c in (merged(data["extends"]) if "extends" in data else [])}
-    for layer in (data, on_top or {"categories": []}):
-        for c in layer["categories"]:
-            out[c["name"]] = {**rules.DEFAULTS, **out.get(c["name"], {}), **c}
-    return list(out.values())
+# The presets as the SQL knows them, apart from the library's own: name, scope, threshold and place of each category.
+BASE = ["structure", "clarity", "concision", "voice", "naturalness", "anglicism", "substance", "consistency"]
+ADDED = {"base": [], "tech-doc": ["rigor", "reader_load", "restraint"], "blog": ["restraint", "honesty"]}
+SCOPES = {"concision": "both", "consistency": "document"}
+
+
+def preset_rows() -> str:
+    """(ruleset, pos, name, scope, severity, threshold, locate_threshold, n_levels) of every preset."""
+    rows = [f"('{r}', {pos}, '{n}', '{SCOPES.get(n, 'block')}', {1.0 if (r, n) == ('blog', 'voice') else 1.5}::double)" for r, added in ADDED.items() for pos, n in enumerate(BASE + added)]
+    return "select ruleset, pos, name, scope, 'warning' as severity, threshold, 0.6::double as locate_threshold, 3 as n_levels from (values " + ", ".join(rows) + ") t(ruleset, pos, name, scope, threshold)"
+
+
+def active() -> list[dict]:
+    """The categories of the queries' ruleset: tech-doc with the queries' own patches; texts are the library's."""
+    texts_of = {c["name"]: c for p in rules.PRESETS.values() for c in p["categories"] if "levels" in c}
+    own = {c["name"]: c for c in I.OWN_RULES["categories"]}
+    out = []
+    for name in BASE + ADDED["tech-doc"] + ["length"]:
+        given = texts_of.get(name) or own[name]
+        fields = {"name": name, "enabled": name != "substance", "scope": SCOPES.get(name, "block"), "severity": "warning", "threshold": 1.0 if name == "voice" else 1.5, "locate_threshold": 0.6}
+        if name == "length":
+            fields |= {"scope": "both", "severity": "error"}
+        out.append(fields | {k: given.get(k) for k in ("description", "levels", "levels_document", "locate")})
+    return out
 
 
 def category_values() -> str:
     rows = []
-    for c in merged(I.RULESET, I.OWN_RULES):
+    for c in active():
         rows.append(f"({text(c['name'])}, {c['enabled']}, {text(c['scope'])}, {text(c['severity'])}, {float(c['threshold'])}::double, {text(c['description'])}, {texts(c['levels'])}, {texts(c['levels_document'])}, {text(c['locate'])}, {float(c['locate_threshold'])}::double)")
     return "select * from (values " + ", ".join(rows) + ") t(name, enabled, scope, severity, threshold, description, levels, levels_document, locate, locate_threshold)"
 
@@ -252,8 +269,7 @@ def selects() -> dict[str, tuple[str, str]]:
     add("masked_text", "select doc_id, masked from masked")
     add("masked_block_body", "select doc_id, block, body from bodies")
     add("prose_lines", "select doc_id, idx, line from prose")
-    first = "select doc_id, string_split(text, chr(10))[1] as line from docs"
-    add("no_prose_skips", f"select doc_id, name as category, 'no_evaluable_prose' as reason from ({first}), cats where enabled and scope in ('document', 'both') and (trim(line) = '' or regexp_matches(line, '^ *[|]') or regexp_matches(line, '^ {{0,3}}(```|~~~)'))")
+    add("no_prose_skips", "select a.doc_id, c.category, 'no_evaluable_prose' as reason from (select doc_id from docs anti join with_prose using (doc_id)) a, document_cats c")
     add("list_items", "select doc_id, idx, cast(indent as int) as indent, marker, cast(content as int) as content from items")
     add("boundary_candidates", "select doc_id, i, j from pairs")
     add("list_continuations", "select doc_id, i, j from kept")
@@ -265,6 +281,11 @@ def selects() -> dict[str, tuple[str, str]]:
     add("line_prefix_chars", "select doc_id, idx, upto from upto")
     add("payload_chars", "select doc_id, block, payload from payloads")
     add("input_hash", "select doc_id, sha256(text) as sha256 from docs")
+    escaped = "replace(replace(x, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+    for k in range(1, 32):
+        escaped = f"replace({escaped}, chr({k}), chr(92) || '{({8: 'b', 9: 't', 10: 'n', 12: 'f', 13: 'r'}).get(k, f'u{k:04x}')}')"
+    add("state_hash", f"""select w.doc_id, w.win, sha256('{{"lines": [' || array_to_string(list_transform(x.a[w.start + 1:w."end" + 1], lambda x: '"' || {escaped} || '"'), ', ') || ']}}') as sha256 from windows w join arrays x using (doc_id)""")
+    add("read_ruleset", f"select s.source, p.* from (select distinct source from documents) s, ({preset_rows()}) p")
     add("categories_by_scope", "select (select count(*) from documents) as documents, s.scope, c.name, c.threshold from cats c, (values ('block'), ('document')) s(scope) where c.enabled and c.scope in (s.scope, 'both')")
     s = lambda k: f"list_transform(range(1, cast({k} as bigint) + 1), lambda x: cast(x as varchar))"
     ruled = f"""(select 'c' || doc_id as name, doc_id, case when doc_id % 3 = 0 then 'document' else 'block' end as scope, doc_id % 4 / 2 as threshold, case when doc_id % 5 = 0 then '' else source end as description,
@@ -272,12 +293,16 @@ def selects() -> dict[str, tuple[str, str]]:
         case when doc_id % 11 = 0 then 'nan'::double else doc_id % 13 / 10 end as locate_threshold from documents)"""
     add("invalid_categories", f"""select name as category, field, message from {ruled}, (values ('levels', 'must have 2 to 5 entries'), ('levels_document', 'must have 2 to 5 entries'), ('locate_threshold', 'must be a finite value in [0, 1]'), ('description', 'is required with levels')) f(field, message)
         where case field when 'levels' then len(levels) not in (0, 2, 3, 4, 5) when 'levels_document' then len(levels_document) not between 2 and 5 when 'locate_threshold' then isnan(locate_threshold) or locate_threshold not between 0 and 1 else len(levels) > 0 and description = '' end""")
-    add("merged_categories", f"""select coalesce(p.name, c.name) as name, case when c.name is null then p.scope else 'both' end as scope, case when c.name is null then p.threshold else 0.25 end as threshold, coalesce(p.description, c.description) as description, len(coalesce(p.levels, c.levels)) as n_levels,
-        cast(row_number() over (order by p.name is null, coalesce(p.name, c.name)) - 1 as int) as pos from (select * from {ruled} where length(name) % 2 = 0) p full join (select * from {ruled} where doc_id % 3 = 0) c on c.name = p.name""")
+    add("merged_categories", f"""select name, scope, threshold, description, n_levels, cast(row_number() over (order by new, name) - 1 as int) as pos from (
+        select name, 'both' as scope, 0.25 as threshold, description, len(levels) as n_levels, 0 as new from {ruled}
+        union all select name || 'x', scope, threshold, description, len(levels), 1 from {ruled})""")
     add("rule_text_contracts", f"select name as category, word, contains(locate, word) as present from {ruled}, (values {', '.join(f'({text(w)})' for w in rules.CONTRACT_WORDS)}) w(word) where locate is not null")
     add("block_score_requests", "select doc_id, block, category, heading, context, body, instruction, array_to_string(levels, '|') as levels from block_requests")
     add("document_score_requests", "select doc_id, category, state, instruction, array_to_string(levels, '|') as levels from doc_requests")
-    add("locate_requests", "select * from questions")
+    add("locate_requests", """select q.doc_id, q.scope, q.block, q.category, cast(q.cand // 50 as int) as chunk, any_value(u.heading) as heading, any_value(u.context) as context, any_value(u.body) as body, any_value(u.document) as document,
+        any_value(c.candidates) as candidates, string_agg(q.question, chr(10) order by q.cand) as questions from questions q
+        join (select doc_id, block, heading, context, body, null as document from states union all select doc_id, null, null, null, null, masked from masked) u on u.doc_id = q.doc_id and u.block is not distinct from q.block
+        join (select doc_id, block, string_agg(text, chr(10) order by cand) as candidates from cands group by all) c on c.doc_id = q.doc_id and c.block is not distinct from q.block group by q.doc_id, q.scope, q.block, q.category, q.cand // 50""")
     add("size_skips", "select * from skipped where reason in ('state_too_large', 'score_state_too_large')", "small")
     add("question_chunks", "select doc_id, scope, block, category, cand, cast(cand // 5 as int) as chunk from questions")
     add("nearest_heading", "select * from heading")
@@ -287,33 +312,35 @@ def selects() -> dict[str, tuple[str, str]]:
     add("block_ids", "select * from ids")
     add("build_blocks", "select * from blocks")
     add("block_lines", 'select b.doc_id, b.block, l.idx, l.line from blocks b join lines l on l.doc_id = b.doc_id and l.idx between b.start - 1 and b."end" - 1')
-    noul = f"select a.doc_id, a.win, a.i, a.j, {h(text('b'), 'a.doc_id', 'a.i')} as prob, 'judge-a' as model, length({questions_text('a.i - w.start', 'a.j - w.start')}) as input_tokens, 1 as output_tokens from asked a join windows w using (doc_id, win)"
-    add("judge_noul", noul)
+    noul = f"select a.doc_id, a.win, 'b' || a.i as key, {h(text('b'), 'a.doc_id', 'a.i')} as prob, 'judge-a' as model, length({questions_text('a.i - w.start', 'a.j - w.start')}) as asked from asked a join windows w using (doc_id, win)"
+    add("judge_noul", f"select doc_id, win, key, prob, model from ({noul})")
     add("judge_score", "select doc_id, category, score, confidence, 'judge-b' as model from scores where scope = 'document'")
-    add("record_calls", f"select doc_id, win, min(model) as model, max(input_tokens) as input_tokens, max(output_tokens) as output_tokens from ({noul}) group by all")
+    add("judge_choice", f"select doc, question, cast(cast(floor({h(text('a'), 'doc', 'question')} * count(*)) as int) as varchar) as choice, {h(text('f'), 'doc', 'question')} as confidence, cast(count(*) as int) as n_options, 1.0::double as probability from specs group by doc, question")
+    add("record_calls", f"select doc_id, win, min(model) as model, cast(sum(asked) as bigint) as input_tokens, count(*) as output_tokens from ({noul}) group by doc_id, win")
     add("score_gate", "select doc_id, scope, block, category, score, confidence, severity from flagged")
     add("locate_violations", 'select doc_id, start, "end", col, scope, category, severity, probability, text from found where probability is not null')
     add("score_flag_violations", 'select doc_id, start, "end", col, scope, category, severity, score, confidence, text from found where probability is null')
     add("all_violations", 'select doc_id, scope, category, start, "end", col, text from found')
     add("merge_violations", "select * from merged")
-    add("lint_corpus", "select * from merged", "small")
+    add("lint_corpus", "select * from merged")
     add("all_skipped", "select * from skipped", "small")
     add("file_summary", "select * from summary")
     add("usage_summary", "select * from usage")
     add("exit_codes", "select doc_id, cast(errors > 0 as int) as exit_code from summary")
-    add("fail_under", "select cast(coalesce(min(score), 3.0) < 0.0001 as int) as exit_code, coalesce(min(score), 3.0) as worst from scores")
+    add("fail_under", """select category, case when max(error) = 1 or coalesce(min(score), 3.0) < 0.002 then 1 else 0 end as exit_code, coalesce(min(score), 3.0) as worst from (
+        select category, score, 0 as error from scores union all select category, null, cast(severity = 'error' as int) from merged) group by category""")
     place = lambda mark: f"case when start is not null then ' L' || start || '-{mark}' || \"end\" else '' end"
     add("skipped_lines", f"select doc_id, coalesce(category, stage, '?') || {place('L')} || ' skipped (' || reason || ')' as line from skipped", "small")
     add("report_lines", f"""select doc_id, 0 as part, doc_id || ': ' || blocks || ' blocks, ' || violations || ' violations' as line from summary
         union all select doc_id, 1, '  L' || start || '-' || "end" || ' [' || severity || '] ' || category || ' ' || case when probability is not null then printf('P=%.2f', probability) else printf('score=%.1f', score) end || ' ' || substr(text, 1, 70) from merged
         union all select doc_id, 2, '  skipped: ' || coalesce(category, stage, '?') || ' (' || reason || ')' || {place('')} from skipped
-        union all select doc_id, 3, '  usage: ' || calls || ' calls, input=' || input_tokens || ', output=' || output_tokens || case when models <> '' then ' [' || replace(models, ',', ', ') || ']' else '' end from usage""", "small")
-    add("report_json", """select s.doc_id, s.blocks, (select count(*) from scores x where x.doc_id = s.doc_id and scope = 'document') as doc_scores, s.violations, (select count(*) from skipped x where x.doc_id = s.doc_id) as skipped, s.errors, u.calls from summary s join usage u using (doc_id)""", "small")
+        union all select doc_id, 3, '  usage: ' || calls || ' calls, input=' || input_tokens || ', output=' || output_tokens || case when models <> '' then ' [' || replace(models, ',', ', ') || ']' else '' end from usage""")
+    add("report_json", """select s.doc_id, s.blocks, (select count(*) from scores x where x.doc_id = s.doc_id and scope = 'document') as doc_scores, s.violations, (select count(*) from skipped x where x.doc_id = s.doc_id) as skipped, s.errors, u.calls from summary s join usage u using (doc_id)""")
     sweep = lambda key: f"""select {key} n, threshold, cast(raw as bigint) as raw, merged from (select {key} threshold, count(*) as n, sum(raw) as raw, count(*) filter (top >= threshold) as merged from (
         select category, threshold, max(prob) as top, count(*) filter (prob >= threshold) as raw from located, (values (0.5::double), (0.6), (0.7), (0.8)) t(threshold) group by doc_id, line, col, text, category, threshold) group by all)"""
     add("threshold_sweep", sweep(""))
     add("threshold_sweep_by_category", sweep("category, "))
-    matched = 'select a.doc_id, a.line as start, a.line as "end", a.col, a.text, a.category, a.prob as base_prob, b.prob as new_prob from located a join located2 b on a.doc_id = b.doc_id and a.line = b.line and a.col = b.col and a.text = b.text and a.category = b.category where a.scope = \'block\' and b.scope = \'block\''
+    matched = 'select a.doc_id, a.scope, a.line as start, a.line as "end", a.col, a.text, a.category, a.prob as base_prob, b.prob as new_prob from located a join located2 b on a.doc_id = b.doc_id and a.scope = b.scope and a.line = b.line and a.col = b.col and a.text = b.text and a.category = b.category'
     add("matched_candidates", matched)
     add("regression_check", f"""select *, abs(median_shift) > 0.03 or up >= 0.2 or down >= 0.2 as regression from (select category, count(*) as n, quantile_cont(new_prob - base_prob, 0.5) as median_shift, avg(cast(new_prob - base_prob >= 0.05 as int)) as up, avg(cast(new_prob - base_prob <= -0.05 as int)) as down from ({matched}) group by all)""")
     add("polarity", "select run_id, 'b' || i as key, p from turned")
@@ -323,7 +350,7 @@ def selects() -> dict[str, tuple[str, str]]:
     add("observation_series", f"select experiment, grp, case when {inside} then 'window' else 'design' end as doc, i - case when experiment = 'E-E' and doc = '0' then {I.OFFSET} else 0 end as i, j - case when experiment = 'E-E' and doc = '0' then {I.OFFSET} else 0 end as j, rep, p from obs")
     add("window_offset", """select doc_id, cast(case when len(w) = 0 then null when doc_id % 2 = 0 then 2 else (list_filter(range(0, len(a) - len(w) + 1), lambda k: a[k + 1:k + len(w)] = w))[1] end as int) as at from (select doc_id, a, a[3:5] as w from (select doc_id, string_split(text, chr(10)) as a from documents))""")
     add("labeled_observations", "select o.doc, o.i, o.j, experiment, grp, rep, p, label from obs o join labels_ l using (doc, i, j)")
-    add("labels_in_window", "select doc, i, j, label from labels_ where i < 10")
+    add("labels_in_window", "select doc, i, j, label from labels_ semi join (select distinct doc, i, j from obs) o using (doc, i, j)")
     add("pair_stats", "select experiment, grp, doc, i, j, mean, n, sd from stats")
     add("repeat_sd_summary", m["sd"])
     add("band_mass", f"select {ex}, band_mass, band_mass_pair_mean from ({m['mass']})")
@@ -344,7 +371,9 @@ def selects() -> dict[str, tuple[str, str]]:
         from ({p['counts']}) join ({p['mass']}) {using} join ({p['sd']}) sd {using} left join ({p['auc']}) a {using} left join ({p['auc2']}) b {using} left join ({p['brier']}) {using} left join ({p['ece']}) {using}
         union all select {k3}, sd.n, (select cast(sum(n) as bigint) from everything x where x.grp = sd.grp), null, null, null, band_mass, band_mass_legacy, band_mass_pair_mean, sd.mean, sd.median, sd.max, null, null, null, null, null, null from ({e['mass']}) join ({e['sd']}) sd {using}""")
     add("label_counts", "select count(*) as total, count(*) filter (label = 'boundary') as boundary, count(*) filter (label = 'continue') as continue, count(*) filter (label = 'either') as either, count(*) filter (label <> 'either' and doc_id % 4 = 0) as window_confirmed from labels_")
-    add("cache_check", "select not bool_or(i >= 50 or doc_id % 100 = 7) as identical, count(*) filter (i >= 50 or doc_id % 100 = 7) as differing from epairs")
+    add("cache_check", "select not bool_or(doc_id % 100 = 7) as identical, count(*) filter (doc_id % 100 = 7) as differing from epairs")
+    add("read_runs", "select experiment, doc, rep, variant, case when variant = 'negative' then -1 else 1 end as polarity, q, model, count(*) over (partition by run_id, chunk) as input_tokens, i, j, prob from answers")
+    add("read_labels", "select doc, i, j, label, 'plain' as stratum, note from labels_")
     add("heading_rule_baseline", "select count(*) as n, avg(cast(heading = truth as int)) as accuracy, count(*) filter (heading and truth) / nullif(count(*) filter (heading), 0) as precision from (select starts_with(ltrim(n.line, ' '), '#') as heading, l.label = 'boundary' as truth from labels_ l join lines n on n.doc_id = l.doc_id and n.idx = l.j where l.label <> 'either')")
     add("window_dispersion", "select run_id, chunk, count(*) as n, coalesce(stddev_samp(prob), 0) as sd, min(prob) as least, max(prob) as greatest from answers group by all")
     up = lambda n: f"(cast(ceil((select count(*) from labels_) / {n}) as bigint))"
@@ -358,9 +387,8 @@ def selects() -> dict[str, tuple[str, str]]:
     add("top_confidence", top)
     add("control_unchanged", f"select coalesce(bool_and(question <> 8), true) as unchanged, count(*) as controls from ({top})")
     add("pair_chunks", "select doc, i, i + 1 as j, q, cast(i // q as int) as chunk from epairs, (values (1), (5), (20)) t(q)")
-    v = choices.VARIANTS
     asked = lambda t: "'" + t.replace("%d", "' || i || '", 1).replace("%d", "' || (i + 1) || '", 1) + "'"
-    wordings = [("current", 1, questions_text("i", "i + 1")), ("confidence", 1, questions_text("i", "i + 1") + f" || {text(v['confidence'][0][2:])}"), *((n, v[n][1], asked(v[n][0])) for n in ("junction", "role", "negative"))]
+    wordings = [("current", 1, questions_text("i", "i + 1")), ("confidence", 1, questions_text("i", "i + 1") + f" || {text(choices.CONFIDENCE_CLAUSE)}"), ("junction", 1, asked(choices.JUNCTION)), ("role", 1, asked(choices.ROLE)), ("negative", -1, asked(choices.NEGATIVE))]
     add("question_variants", " union all ".join(f"select doc, i, i + 1 as j, '{n}' as variant, {s} as polarity, rep, {t} as question from epairs, (values (0), (1)) r(rep)" for n, s, t in wordings))
     add("shrink_state", f"""select doc_id as doc, idx from (select doc_id, idx, d, (sum({chars('line')} + 2) over (partition by doc_id order by d)) - 2 + 13 as size from (
         select l.doc_id, l.idx, any_value(l.line) as line, min(abs(l.idx - e.idx)) as d from lines l left join lines e on e.doc_id = l.doc_id and e.idx >= 1 and e.idx % 9 in (3, 4) where l.idx >= 1 group by l.doc_id, l.idx)) where d = 0 or size <= 600""")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from versoscan.operators import rules
 from versoscan.operators import structure as S
 from versoscan.operators import violations as V
 from versoscan.plans import inputs as I
-from versoscan.plans.lint import Judge, Limits, Lint, lint_corpus
+from versoscan.plans.lint import Limits, Lint, lint_corpus
 from versoscan.plans.oracles import oracle_sql
 from versoscan.sources import files
 
@@ -39,13 +41,7 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def lint(spark: SparkSession, sf_dir: str, limits: Limits | None = None) -> Lint:
-    judge = Judge(I.boundary_answers, lambda q: I.score_answers(q, "block"), lambda q: I.score_answers(q, "document"), I.locate_answers)
-    return lint_corpus(I.markdown(spark, sf_dir), I.category_table(spark), judge, limits)
-
-
-def calls(found: Lint) -> DataFrame:
-    """The requests with a model and token counts, as a recorder would have them."""
-    return found.calls.withColumns({"model": F.when(F.col("stage") == "score", "judge-b").otherwise("judge-a"), "input_tokens": F.col("size") * 7, "output_tokens": F.col("size")})
+    return lint_corpus(I.markdown(spark, sf_dir), I.category_table(spark), I.hash_judge(), limits)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +49,22 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["build_blocks"](spark, sf_dir)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.lines_of(I.analyzed(spark, sf_dir))
+def lines(spark: SparkSession, sf_dir: str, by_document: bool = False) -> DataFrame:
+    return S.lines_of(I.analyzed(spark, sf_dir, by_document))
+
+
+def cuts(shape: DataFrame) -> DataFrame:
+    return B.boundary_cuts(I.boundary_answers(S.boundary_requests(shape))).unionByName(B.forced_cuts(shape))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    shape = cut(I.analyzed(spark, sf_dir))
-    asked = S.boundary_requests(shape).select("doc_id", "i", "j")
-    cuts = B.boundary_cuts(asked, I.boundary_answers(asked)).unionByName(B.forced_cuts(shape))
-    return shape, B.build_blocks(shape, B.block_ids(shape, cuts))
+    shape = cut(I.analyzed(spark, sf_dir, by_document=True))
+    return shape, B.build_blocks(shape, B.block_ids(shape, cuts(shape)))
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shape = cut(I.analyzed(spark, sf_dir, by_document=True))
+    return R.block_payloads(B.block_states(shape, cuts(shape)), I.category_table(spark))
 
 
 # sources
@@ -124,9 +127,7 @@ def _(spark, d):
 
 @query("no_prose_skips")
 def _(spark, d):
-    """Judged on the first line of each document alone, so that there are documents without prose."""
-    first = I.markdown(spark, d).select("doc_id", F.split("text", "\n")[0].alias("text"))
-    return R.no_prose_skips(S.analyze(first), I.category_table(spark)).select("doc_id", "category", "reason")
+    return R.no_prose_skips(I.analyzed(spark, d), I.category_table(spark)).select("doc_id", "category", "reason")
 
 
 @query("list_items")
@@ -146,7 +147,7 @@ def _(spark, d):
 
 @query("line_pairs")
 def _(spark, d):
-    return S.line_pairs(lines(spark, d))
+    return S.line_pairs(lines(spark, d, True))
 
 
 @query("pack_windows")
@@ -162,7 +163,8 @@ def _(spark, d):
 
 @query("boundary_requests")
 def _(spark, d):
-    return S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", "i", "j", "key", "question", F.array_join("state", "\n").alias("state"))
+    rows = S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", F.array_join("state", "\n").alias("state"), F.explode("questions").alias("q"))
+    return rows.select("doc_id", "win", "q.i", "q.j", "q.key", "q.question", "state")
 
 
 @query("sentence_candidates")
@@ -172,13 +174,12 @@ def _(spark, d):
 
 @query("line_prefix_chars")
 def _(spark, d):
-    return S.prefix_chars(lines(spark, d))
+    return S.prefix_chars(lines(spark, d, True))
 
 
 @query("payload_chars")
 def _(spark, d):
-    shape, found = blocks(spark, d)
-    return R.block_payloads(R.block_states(shape, found), I.category_table(spark)).select("doc_id", "block", F.col("payload").cast("long"))
+    return payloads(spark, d).select("doc_id", "block", F.col("payload").cast("long"))
 
 
 @query("input_hash")
@@ -186,9 +187,25 @@ def _(spark, d):
     return R.input_hash(I.markdown(spark, d))
 
 
+@query("state_hash")
+def _(spark, d):
+    """The hash of each boundary request's state, as a recorder keeps it."""
+    return S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", R.state_hash({"lines": X.json_strings(F.col("state"))}).alias("sha256"))
+
+
 # rulesets
 
 
+@query("read_ruleset")
+def _(spark, d):
+    """Every preset's categories after inheritance, for each source of the documents."""
+    out = None
+    for name in rules.PRESETS:
+        one = rules.read_ruleset(spark, name).select(F.lit(name).alias("ruleset"), "pos", "name", "scope", "severity", "threshold", "locate_threshold", F.size("levels").alias("n_levels"))
+        out = one if out is None else out.unionByName(one)
+    return I.documents(spark, d).select("source").distinct().crossJoin(F.broadcast(out))
+
+
 @query("categories_by_scope")
 def _(spark, d):
     """How many documents' worth of scoring each active category asks for, by scope."""
@@ -216,9 +233,12 @@ def _(spark, d):
 
 @query("merged_categories")
 def _(spark, d):
-    """Every third document's category patched: its threshold and scope are given, the levels not."""
-    parent = ruled(spark, d).where("length(name) % 2 = 0")
-    child = ruled(spark, d).where("cast(substring(name, 2) as bigint) % 3 = 0").withColumns({"threshold": F.lit(0.25), "scope": F.lit("both"), "is_set": F.array(F.lit("threshold"), F.lit("scope"))})
+    """Two categories a document in the child: a patch that gives threshold and scope but no levels, and a new one."""
+    parent = ruled(spark, d)
+    given = F.array(F.lit("threshold"), F.lit("scope"))
+    patch = parent.withColumns({"threshold": F.lit(0.25), "scope": F.lit("both"), "levels": F.array().cast("array<string>"), "is_set": given})
+    new = parent.withColumn("name", F.concat("name", F.lit("x")))
+    child = patch.unionByName(new)
     return rules.merge_categories(parent, child).select("name", "scope", "threshold", "description", F.size("levels").alias("n_levels"), "pos")
 
 
@@ -232,19 +252,21 @@ def _(spark, d):
 
 @query("block_score_requests")
 def _(spark, d):
-    shape, found = blocks(spark, d)
-    cats = I.category_table(spark)
-    return R.block_score_requests(R.block_payloads(R.block_states(shape, found), cats), cats).select("doc_id", "block", "category", "heading", "context", "body", "instruction", F.array_join("levels", "|").alias("levels"))
+    rows = R.block_score_requests(payloads(spark, d), I.category_table(spark)).select("doc_id", "block", "heading", "context", "body", F.explode("questions").alias("q"))
+    return rows.select("doc_id", "block", F.col("q.key").alias("category"), "heading", "context", "body", "q.instruction", F.array_join("q.levels", "|").alias("levels"))
 
 
 @query("document_score_requests")
 def _(spark, d):
-    return R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)).select("doc_id", "category", "state", "instruction", F.array_join("levels", "|").alias("levels"))
+    rows = R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)).select("doc_id", F.col("document").alias("state"), F.explode("questions").alias("q"))
+    return rows.select("doc_id", F.col("q.key").alias("category"), "state", "q.instruction", F.array_join("q.levels", "|").alias("levels"))
 
 
 @query("locate_requests")
 def _(spark, d):
-    return lint(spark, d).questions
+    """One row a request, with all that is sent."""
+    joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), "\n")
+    return lint(spark, d).requests.select("doc_id", "scope", "block", "category", "chunk", "heading", "context", "body", "document", joined("candidates", "text").alias("candidates"), joined("questions", "question").alias("questions"))
 
 
 @query("size_skips")
@@ -254,7 +276,7 @@ def _(spark, d):
 
 @query("question_chunks")
 def _(spark, d):
-    q = R.question_chunks(lint(spark, d).questions, ["doc_id", "scope", "block", "category"], "cand", 5)
+    q = R.question_chunks(lint(spark, d).located, ["doc_id", "scope", "block", "category"], "cand", 5)
     return q.select("doc_id", "scope", "block", "category", "cand", "chunk")
 
 
@@ -270,25 +292,23 @@ def _(spark, d):
 @query("preceding_context")
 def _(spark, d):
     shape, found = blocks(spark, d)
-    return B.preceding_context(S.lines_of(shape), found, 400)
+    return B.preceding_context(shape, found, 400)
 
 
 @query("boundary_cuts")
 def _(spark, d):
-    asked = S.boundary_requests(I.analyzed(spark, d))
-    return B.boundary_cuts(asked, I.boundary_answers(asked))
+    return B.boundary_cuts(I.boundary_answers(S.boundary_requests(I.analyzed(spark, d))))
 
 
 @query("forced_cuts")
 def _(spark, d):
-    return B.forced_cuts(I.analyzed(spark, d))
+    return B.forced_cuts(I.analyzed(spark, d, by_document=True))
 
 
 @query("block_ids")
 def _(spark, d):
-    shape = I.analyzed(spark, d)
-    asked = S.boundary_requests(shape).select("doc_id", "i", "j")
-    return B.block_ids(shape, B.boundary_cuts(asked, I.boundary_answers(asked)).unionByName(B.forced_cuts(shape)))
+    shape = I.analyzed(spark, d, by_document=True)
+    return B.block_ids(shape, cuts(shape))
 
 
 @query("build_blocks")
@@ -304,41 +324,52 @@ def _(spark, d):
 # judge, gate, findings
 
 
-def hash_judge(frame):
-    """The test judge: a probability from each request's key."""
-    import hashlib
+def number_of(*key: object) -> float:
+    """The number that hash_probability gives for these parts."""
+    return int(hashlib.md5("|".join(map(str, key)).encode()).hexdigest()[:8], 16) / 4294967296
 
-    import pandas as pd
 
-    keys = [f"b|{x}|{i}" for x, i in zip(frame["doc_id"], frame["i"], strict=True)]
-    return pd.DataFrame({"prob": [int(hashlib.md5(k.encode()).hexdigest()[:8], 16) / 4294967296 for k in keys], "model": "judge-a", "input_tokens": frame["question"].str.len(), "output_tokens": 1})
+def noul_judge(frame: pd.DataFrame) -> pd.DataFrame:
+    """The hash judge as a function over batches of requests; its usage counts the characters asked."""
+    answers = [[{"key": q["key"], "prob": number_of("b", doc, q["i"])} for q in asked] for doc, asked in zip(frame["doc_id"], frame["questions"], strict=True)]
+    asked = [sum(len(q["question"]) for q in x) for x in frame["questions"]]
+    return pd.DataFrame({"answers": answers, "model": "judge-a", "input_tokens": asked, "output_tokens": frame["questions"].map(len)})
 
 
-@query("judge_noul")
-def _(spark, d):
-    asked = S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", "i", "j", "question")
-    return J.judge_noul(asked, hash_judge, 8).drop("question")
+def score_judge(frame: pd.DataFrame) -> pd.DataFrame:
+    key = lambda salt, doc, q: number_of(salt, "document", doc, -1, q["key"])
+    answers = [[{"key": q["key"], "score": key("s", doc, q) * (len(q["levels"]) - 1), "confidence": key("c", doc, q)} for q in asked] for doc, asked in zip(frame["doc_id"], frame["questions"], strict=True)]
+    return pd.DataFrame({"answers": answers, "model": "judge-b", "input_tokens": frame["document"].str.len(), "output_tokens": frame["questions"].map(len)})
 
 
-def hash_scorer(frame):
-    import hashlib
+def choice_judge(frame: pd.DataFrame) -> pd.DataFrame:
+    slot = [int(number_of("a", doc, q) * len(options)) for doc, q, options in zip(frame["doc"], frame["question"], frame["options"], strict=True)]
+    sure = [{str(k): float(k == s) for k in range(len(options))} for s, options in zip(slot, frame["options"], strict=True)]
+    confidence = [number_of("f", doc, q) for doc, q in zip(frame["doc"], frame["question"], strict=True)]
+    return pd.DataFrame({"choice": [str(s) for s in slot], "confidence": confidence, "probabilities": sure, "model": "judge-c", "input_tokens": frame["options"].map(len), "output_tokens": 1})
 
-    import pandas as pd
 
-    h = lambda salt: [int(hashlib.md5(f"{salt}|document|{x}|-1|{c}".encode()).hexdigest()[:8], 16) / 4294967296 for x, c in zip(frame["doc_id"], frame["category"], strict=True)]
-    return pd.DataFrame({"score": [p * (n - 1) for p, n in zip(h("s"), frame["n_levels"], strict=True)], "confidence": h("c"), "model": "judge-b", "input_tokens": 7, "output_tokens": 1})
+@query("judge_noul")
+def _(spark, d):
+    rows = J.judge_noul(S.boundary_requests(I.analyzed(spark, d)), noul_judge, 8).select("doc_id", "win", "model", F.explode("answers").alias("a"))
+    return rows.select("doc_id", "win", "a.key", "a.prob", "model")
 
 
 @query("judge_score")
 def _(spark, d):
-    asked = R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)).select("doc_id", "category", F.size("levels").alias("n_levels"))
-    return J.judge_score(asked, hash_scorer, 8).select("doc_id", "category", "score", "confidence", "model")
+    rows = J.judge_score(R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)), score_judge, 8).select("doc_id", "model", F.explode("answers").alias("a"))
+    return rows.select("doc_id", F.col("a.key").alias("category"), "a.score", "a.confidence", "model")
+
+
+@query("judge_choice")
+def _(spark, d):
+    rows = J.judge_choice(C.choice_requests(C.choice_questions(pools(spark, d), 3)), choice_judge, 8)
+    return rows.select("doc", "question", "choice", "confidence", F.size("probabilities").alias("n_options"), F.element_at("probabilities", F.col("choice")).alias("probability"))
 
 
 @query("record_calls")
 def _(spark, d):
-    asked = S.boundary_requests(I.analyzed(spark, d)).select("doc_id", "win", "i", "j", "question")
-    return J.record_calls(J.judge_noul(asked, hash_judge, 8), ["doc_id", "win"])
+    return J.record_calls(J.judge_noul(S.boundary_requests(I.analyzed(spark, d)), noul_judge, 8), ["doc_id", "win"])
 
 
 @query("score_gate")
@@ -370,7 +401,7 @@ def _(spark, d):
 
 @query("lint_corpus")
 def _(spark, d):
-    return lint(spark, d, SMALL).merged
+    return lint(spark, d).merged
 
 
 @query("all_skipped")
@@ -390,7 +421,7 @@ def _(spark, d):
 @query("usage_summary")
 def _(spark, d):
     found = lint(spark, d)
-    out = P.usage_summary(found.analyzed, calls(found))
+    out = P.usage_summary(found.analyzed, found.calls)
     return out.withColumn("models", F.array_join("models", ","))
 
 
@@ -402,8 +433,9 @@ def _(spark, d):
 
 @query("fail_under")
 def _(spark, d):
+    """For the scores of each category on its own, so that both errors and low scores decide."""
     found = lint(spark, d)
-    return P.fail_under(found.merged.where("severity <> 'error'"), found.scores, 0.0001)
+    return P.fail_under(found.merged, found.scores, 0.002, ("category",))
 
 
 @query("skipped_lines")
@@ -413,26 +445,45 @@ def _(spark, d):
 
 @query("report_lines")
 def _(spark, d):
-    found = lint(spark, d, SMALL)
-    return P.report_lines(P.file_summary(found.analyzed, found.blocks, found.merged), found.merged, found.skipped, P.usage_summary(found.analyzed, calls(found)))
+    found = lint(spark, d)
+    return P.report_lines(P.file_summary(found.analyzed, found.blocks, found.merged), found.merged, found.skipped, P.usage_summary(found.analyzed, found.calls))
 
 
 @query("report_json")
 def _(spark, d):
     """The report read back from its JSON text: sizes of its lists and its summary."""
-    found = lint(spark, d, SMALL)
-    out = P.report_json(found.analyzed, found.blocks, found.scores, found.merged, found.skipped, P.file_summary(found.analyzed, found.blocks, found.merged), P.usage_summary(found.analyzed, calls(found)))
+    found = lint(spark, d)
+    out = P.report_json(found.analyzed, found.blocks, found.scores, found.merged, found.skipped, P.file_summary(found.analyzed, found.blocks, found.merged), P.usage_summary(found.analyzed, found.calls))
     r = F.from_json("report", "file long, blocks array<struct<lines:array<int>,scores:map<string,struct<score:double,confidence:double>>>>, doc_scores map<string,struct<score:double,confidence:double>>, violations array<struct<start:int,probability:double>>, skipped array<struct<reason:string>>, summary struct<blocks:long,violations:long,errors:long>, usage struct<calls:long>").alias("r")
     rows = out.select("doc_id", r)
     count = lambda c: F.size(c).cast("long")
     return rows.select("doc_id", count("r.blocks").alias("blocks"), count(F.map_keys("r.doc_scores")).alias("doc_scores"), count("r.violations").alias("violations"), count("r.skipped").alias("skipped"), F.col("r.summary.errors").alias("errors"), F.col("r.usage.calls").alias("calls"))
 
 
+@query("read_runs")
+def _(spark, d):
+    """Recorded runs written as files and read back."""
+    top = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    usage = F.struct(F.size("pairs").cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    files.write_runs(I.recorded_requests(spark, d).withColumn("usage", usage), top)
+    rows = files.read_runs(spark, top, one_a_file=False)
+    pair = F.col("p")
+    rows = rows.select("experiment", "doc", "rep", "variant", "polarity", "q", "model", F.col("usage.input_tokens").alias("input_tokens"), "probs", F.explode("pairs").alias("p"))
+    return rows.select("experiment", "doc", "rep", "variant", "polarity", "q", "model", "input_tokens", pair["i"].alias("i"), pair["j"].alias("j"), F.element_at("probs", F.concat(F.lit("b"), pair["i"])).alias("prob"))
+
+
+@query("read_labels")
+def _(spark, d):
+    top = f"{shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    files.write_labels(I.label_table(spark, d), top)
+    return files.read_labels(spark, top, one_a_file=False)
+
+
 # evaluation: sweeps and regressions
 
 
 def candidates(spark: SparkSession, d: str, run: str = "l") -> DataFrame:
-    found = I.locate_answers(lint(spark, d).questions, run)
+    found = R.located_sentences(I.locate_answers(lint(spark, d).requests.drop("answers"), run))
     return found.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
 
 
@@ -446,18 +497,21 @@ def _(spark, d):
     return E.threshold_sweep(candidates(spark, d), ("category",))
 
 
-def one_scope(spark: SparkSession, d: str, run: str) -> DataFrame:
-    return candidates(spark, d, run).where("scope = 'block'")
+def two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates of one lint, answered twice."""
+    asked = lint(spark, d).requests.drop("answers")
+    first, second = (R.located_sentences(I.locate_answers(asked, run)).withColumns({"start": F.col("line"), "end": F.col("line")}) for run in ("l", "l2"))
+    return E.matched_candidates(first, second)
 
 
 @query("matched_candidates")
 def _(spark, d):
-    return E.matched_candidates(one_scope(spark, d, "l"), one_scope(spark, d, "l2"))
+    return two_runs(spark, d)
 
 
 @query("regression_check")
 def _(spark, d):
-    return E.regression_check(E.matched_candidates(one_scope(spark, d, "l"), one_scope(spark, d, "l2")), ("category",))
+    return E.regression_check(two_runs(spark, d), ("category",))
 
 
 # evaluation: boundary calibration
@@ -508,8 +562,8 @@ def _(spark, d):
 
 @query("labels_in_window")
 def _(spark, d):
-    pairs = I.recorded_requests(spark, d).where("rep = 0 and chunk = 0").select("doc", F.explode("pairs").alias("p")).select("doc", "p.i", "p.j")
-    return E.labels_in_window(I.label_table(spark, d).select("doc", "i", "j", "label"), pairs)
+    """The labels of pairs that some counted run has asked about."""
+    return E.labels_in_window(I.label_table(spark, d).select("doc", "i", "j", "label"), observations(spark, d).select("doc", "i", "j"))
 
 
 @query("pair_stats")
@@ -583,7 +637,7 @@ def _(spark, d):
 @query("cache_check")
 def _(spark, d):
     first = I.eval_pairs(spark, d).select("doc_id", "i", hash_probability(F.lit("r"), "doc_id", "i").alias("prob"))
-    second = first.where("i < 50").withColumn("prob", F.when(F.col("doc_id") % 100 == 7, 0.5).otherwise(F.col("prob")))
+    second = first.withColumn("prob", F.when(F.col("doc_id") % 100 == 7, 0.5).otherwise(F.col("prob")))
     return E.cache_check(first, second, ["doc_id", "i"])
 
 

@@ -10,19 +10,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: directories that a walk passes over
-DEFAULT_EXCLUDES = tuple(".git .hg .svn _build build dist node_modules .venv venv .tox .nox .mypy_cache .pytest_cache .ruff_cache __pycache__ *.egg-info .worktrees .claude .devin .agents .cursor".split())
+DEFAULT_EXCLUDES = (
+    ".git", ".hg", ".svn", "_build", "build", "dist", "node_modules", ".venv", "venv", ".tox", ".nox", ".mypy_cache",
+    ".pytest_cache", ".ruff_cache", "__pycache__", "*.egg-info", ".worktrees", ".claude", ".devin", ".agents", ".cursor",
+)
 
 REQUEST = "struct<pairs:array<struct<i:int,j:int>>,probs:map<string,double>,model:string,usage:struct<input_tokens:bigint,output_tokens:bigint>>"
 RUNS = f"runs array<struct<experiment:string,doc:string,rep:int,variant:string,polarity:int,params:struct<q:int>,requests:array<{REQUEST}>>>"
 LABELS = "labels array<struct<doc:string,i:int,j:int,label:string,stratum:string,note:string>>"
 
 
-def read_documents(spark: SparkSession, path: str, excludes: Sequence[str] = (), use_defaults: bool = True, recursive: bool = True) -> DataFrame:
-    """(doc_id, text): every .md and .txt file whole, its path the id. Excludes hold below ``path``, not for it."""
-    files = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
-    root = F.regexp_replace(F.lit(path), "/+$", "")
-    return rows.where(~is_excluded(F.col("doc_id"), root, excludes, use_defaults))
+def decoded(uri: Column) -> Column:
+    """A file's path as given: file metadata escapes spaces and some other characters. A plus sign stays one."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def read_documents(spark: SparkSession, paths: str | Sequence[str], excludes: Sequence[str] = (), use_defaults: bool = True, recursive: bool = True, base: str | None = None) -> DataFrame:
+    """(doc_id, text): every .md and .txt file below the directories, and every file named itself whatever its suffix,
+    whole, its path the id. Excludes hold below a directory, not for it, nor for files named. See ``in_listing_order``."""
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        rows = lambda df: df.select(decoded(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
+        if is_directory(spark, path):
+            if not recursive:
+                raise ValueError(f"{path} is a directory; read it with recursive=True")
+            root = F.regexp_replace(F.lit(path), "/+$", "")
+            found = rows(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True))
+            found = found.where(~is_excluded(F.col("doc_id"), root, excludes, use_defaults, base))
+        else:
+            found = rows(spark.read.text(path, wholetext=True))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def in_listing_order(docs: DataFrame) -> DataFrame:
+    """Documents of one directory as a walk lists them: .md files before .txt files, each by path."""
+    return docs.orderBy(F.when(F.col("doc_id").endswith(".md"), 0).otherwise(1), "doc_id")
 
 
 def _matches(part: Column, patterns: Sequence[str]) -> Column:
@@ -32,16 +60,22 @@ def _matches(part: Column, patterns: Sequence[str]) -> Column:
     return part.rlike("|".join(f"(?:{re.sub(r'^\(\?s:|\)\\[zZ]$', '', fnmatch.translate(p))})" for p in patterns).join(("^(?s:", ")$")))
 
 
-def is_excluded(path: Column, root: Column, excludes: Sequence[str] = (), use_defaults: bool = True) -> Column:
-    """Whether a path below root is passed over: a part of it matches a default, or its relative path, one of its
-    parts or one of its directories matches a pattern of ``excludes``. A path not below root is taken as relative."""
+def _below(path: Column, root: Column) -> Column:
     at = F.instr(path, F.concat(root, F.lit("/")))
-    rel = F.when(at > 0, F.substring(path, at + F.length(root) + 1, F.length(path))).otherwise(path)
-    parts = F.filter(F.split(rel, "/"), lambda p: p != "")
+    return F.when(at > 0, F.substring(path, at + F.length(root) + 1, F.length(path))).otherwise(path)
+
+
+def is_excluded(path: Column, root: Column, excludes: Sequence[str] = (), use_defaults: bool = True, base: str | None = None) -> Column:
+    """Whether a path below root is passed over: a part of it matches a default, or its relative path, one of its
+    parts or one of its directories matches a pattern of ``excludes``, relative to root or to the directory ``base``
+    in which the patterns were written. A path not below root is taken as relative."""
+    parts_of = lambda rel: F.filter(F.split(rel, "/"), lambda p: p != "")
+    parts = parts_of(_below(path, root))
     found = F.exists(parts, lambda p: _matches(p, DEFAULT_EXCLUDES)) if use_defaults else F.lit(False)
     if excludes:
-        above = F.transform(parts, lambda _, k: F.array_join(F.slice(parts, 1, k + 1), "/"))
-        found = found | F.exists(F.array_union(parts, above), lambda p: _matches(p, excludes))
+        above = lambda own: F.transform(own, lambda _, k: F.array_join(F.slice(own, 1, k + 1), "/"))
+        for own in [parts] if base is None else [parts, parts_of(_below(path, F.lit(base.rstrip("/"))))]:
+            found = found | F.exists(F.array_union(own, above(own)), lambda p: _matches(p, excludes))
     return found
 
 
@@ -51,16 +85,18 @@ def excluded_counts(paths: DataFrame, excludes: Sequence[str] = (), use_defaults
     return paths.groupBy("root").agg(F.count("*").alias("files"), F.count_if(bad).alias("excluded"))
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded requests, one row each: run_id, experiment, doc, rep, variant, polarity, q, pairs, probs, model, usage."""
-    files = spark.read.schema(RUNS).option("multiLine", True).json(path)
-    runs = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode("runs").alias("k", "r"))
+def read_runs(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """Recorded requests, one row each: run_id, experiment, doc, rep, variant, polarity, q, pairs, probs, model, usage.
+    A file is one JSON record, or has one a line."""
+    files = spark.read.schema(RUNS).option("multiLine", one_a_file).json(path)
+    place = F.concat_ws("#", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    runs = files.select(place.alias("file"), F.posexplode("runs").alias("k", "r"))
     rows = runs.select(F.concat_ws("#", "file", "k").alias("run_id"), "r.*").select("*", F.explode("requests").alias("x"))
     return rows.select("run_id", "experiment", "doc", "rep", "variant", F.coalesce("polarity", F.lit(1)).alias("polarity"), F.col("params.q").alias("q"), "x.pairs", "x.probs", "x.model", "x.usage")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LABELS).option("multiLine", True).json(path).select(F.explode("labels").alias("l")).select("l.*")
+def read_labels(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    return spark.read.schema(LABELS).option("multiLine", one_a_file).json(path).select(F.explode("labels").alias("l")).select("l.*")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -77,3 +113,24 @@ def eval_dump(cands: DataFrame, calls: DataFrame, sweep: DataFrame, hashes: Data
     """What a threshold evaluation leaves: candidates, calls, counts and input hashes, as tables."""
     for name, df in {"candidates": cands, "calls": calls, "thresholds": sweep, "inputs": hashes}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_runs(requests: DataFrame, path: str) -> None:
+    """Recorded requests(run_id, experiment, doc, rep, variant, polarity, q, model, pairs, probs, usage) as JSON files
+    that ``read_runs`` reads: one record a run, its requests nested."""
+    run = ["experiment", "doc", "rep", "variant", "polarity"]
+    one = F.struct("pairs", "probs", "model", "usage")
+    runs = requests.groupBy("run_id", *run, "q").agg(F.collect_list(one).alias("requests"))
+    record = F.struct(*run, F.struct("q").alias("params"), "requests")
+    runs.select(F.array(record).alias("runs")).write.mode("overwrite").json(path)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """labels(doc, i, j, label, stratum, note) as JSON files that ``read_labels`` reads, one record a document."""
+    one = F.struct("doc", "i", "j", "label", "stratum", "note")
+    labels.groupBy("doc").agg(F.sort_array(F.collect_list(one)).alias("labels")).select("labels").write.mode("overwrite").json(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The boundary report as JSON records, a group each, nulls kept."""
+    report.write.mode("overwrite").option("ignoreNullFields", False).json(path)
