@@ -98,6 +98,41 @@ def test_field_on_held_out_sentences():
     assert np.mean([[pii.LABELS[x] for x in g] == labels for g, (_, labels) in zip(got, rows)]) > 0.97
 
 
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    field = pii.trained()
+    for words in (["call", "555-123-4567"], ["me", "(at)", "x.com", "12"], ["1.2.3.4"]):
+        x = [[field.index.get(f, len(field.index)) for f in fs] for fs in pii.features(words)]
+        emit = [field.weights[f].sum(axis=0) for f in x]
+        score = lambda y: field.start[y[0]] + sum(e[k] for e, k in zip(emit, y)) + sum(field.moves[a, b] for a, b in itertools.pairwise(y))  # noqa: B023, E731
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(words)), key=score)
+        assert pii.decode(field, [words, ["other", "words", "1"] * 3])[0].tolist() == list(best)
+
+
+def test_decoding_in_blocks(monkeypatch):
+    """Blocks that hand their scores on give the labels of one block; empty sequences give none."""
+    rows = [w for w, _ in pii.labelled_table(120, seed=3)] + [[]] + [[x for w, _ in pii.labelled_table(40, seed=4) for x in w]]
+    whole = [x.tolist() for x in pii.decode(pii.trained(), rows)]
+    monkeypatch.setattr(pii, "CELLS", 7)
+    assert [x.tolist() for x in pii.decode(pii.trained(), rows)] == whole
+
+
+def test_long_lines_of_numbers():
+    """Very long digit runs, and a line of 50,000 numbers beside short texts, within bounded memory."""
+    import tracemalloc
+
+    r = random.Random(1)
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)] and pii.base_spans("9" * 5000 + ".1.1.1") == []
+    line = " ".join(str(r.randint(0, 10 ** r.randint(1, 17))) for _ in range(50_000))
+    field = pii.trained()
+    tracemalloc.start()
+    found = pii.spans_of([line, *["call 555-123-4567 now"] * 2000], field)
+    assert tracemalloc.get_traced_memory()[1] < 400e6 and found[1] == ([], [(5, 3, 17)])
+    tracemalloc.stop()
+    assert pii.shape("1" + "a" * 100 + "-2") == "d1a-d1"
+
+
 def test_personal_data_rows(spark):
     text = "Öl: max.m@mail.example.com\ncall (555) 123-4567 or +1 (988) 555-2485, card 4111-1111-1111-1111 at 10.0.0.255; 999.1.1.1 in 2024"
     docs = spark.createDataFrame([(0, text, 1), (1, None, 1), (2, "clean text of 12 words, version 4.0", 1), (2, "clean text of 12 words, version 4.0", 1)], "doc_id long, text string, n_email int")
@@ -127,8 +162,24 @@ def tokenizer():
 def test_encoder(texts, tokenizer):
     import public_tokenizers
 
-    ids, bounds = packing.Encoder.of(public_tokenizers.path("byte_bpe_50k.json")).encode(pa.array(texts, pa.large_string()))
-    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, bounds = packing.Encoder.of(public_tokenizers.path("byte_bpe_50k.json")).encode(pa.array(texts, pa.large_string()), 7)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_encoder_on_prose(tokenizer, monkeypatch):
+    """More pieces than a small table holds, long words, other white space, and pieces at a text's ends."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "TABLE_BITS", 8)
+    r = random.Random(3)
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    word = lambda: "".join(r.choice("aeioulnrstEÉß12'.,-日") for _ in range(r.choice([1, 2, 3, 5, 8, 90])))
+    for _ in range(6):
+        texts = ["".join(word() + r.choice([" ", " ", " ", "  ", "\n", "\n\n", " \t", "\xa0"] if k % 3 == 0 else [" ", "\n"]) for _ in range(r.choice([0, 1, 60, 400]))) for k in range(12)]
+        texts = [t.strip() if i % 2 else t for i, t in enumerate(texts)]
+        ids, bounds = encoder.encode(pa.array(texts, pa.large_string()), 0)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert encoder.known.pieces <= 256
 
 
 def test_packing_round_trip(spark, tokenizer):
@@ -154,14 +205,64 @@ def test_packing_round_trip(spark, tokenizer):
     assert all(f == 1024 or f & (f - 1) == 0 for f in fills)
 
 
+def fill(pieces):
+    return sum(len(x[2]) for x in pieces)
+
+
+def squares(p):
+    return sum(c * c for c in Counter(fill(w) for level in p.levels for w in level).values())
+
+
+def test_placement_is_the_least_sum_of_squares():
+    """Every placement against all levels tried by hand; ties go to the fullest window."""
+    r = random.Random(8)
+    p = packing.Packer(window=20)
+    for i in range(1500):
+        n = r.choice([1, 3, 6, 7, 9, 12, 19])
+        count = Counter(fill(w) for level in p.levels for w in level)
+        options = []
+        for h in [0, *(h for h in count if h + n <= 20)]:
+            after = Counter(count)
+            after[h] -= h > 0
+            after[h + n] += h + n < 20
+            options.append((sum(c * c for c in after.values()), -h))
+        p.add(i, np.full(n, i, np.uint32))
+        assert squares(p) == min(options)[0] and {h: int(c) for h, c in enumerate(p.counts[:20]) if c} == dict(Counter(fill(w) for level in p.levels for w in level))
+
+
 def test_packer_bounds_open_windows():
     p = packing.Packer(window=16, max_open=4)
     for i in range(200):
         p.add(i, np.full(9, i, np.uint32))
-        assert p.open <= 5
+        assert p.open <= 4
     p.close()
-    assert sum(len(x[2]) for s in p.done for x in s) == 1800
-    assert Counter(sum(len(x[2]) for x in s) for s in p.done)[16] >= 112
+    assert sum(map(fill, p.done)) == 1800
+    assert Counter(map(fill, p.done))[16] == 112
+
+
+def test_last_windows_are_closed_by_the_rule():
+    """Of 1000 documents: all but one of the windows that are open at the end are filled by placement, none is padded."""
+    r = np.random.default_rng(2)
+    p = packing.Packer()
+    for i, n in enumerate(r.lognormal(5, 1.2, 1000).astype(int) + 1):
+        p.add(i, np.zeros(n, np.uint32))
+    before, total = len(p.done), sum(map(fill, p.done)) + sum(fill(w) for level in p.levels for w in level)
+    p.close()
+    sizes = Counter(map(fill, p.done))
+    assert before > 0 and sizes[1024] == total // 1024 and sum(k * v for k, v in sizes.items()) == total
+    assert all(k & (k - 1) == 0 for k in sizes) and len(p.done) - sizes[1024] <= 10
+    seen = {}
+    for pieces in p.done:
+        for doc, start, ids, tokens in pieces:
+            seen.setdefault((doc, tokens), []).append((start, len(ids)))
+    for (_, tokens), parts in seen.items():
+        assert [a for a, _ in sorted(parts)] == np.cumsum([0, *(n for _, n in sorted(parts)[:-1])]).tolist() and sum(n for _, n in parts) == tokens
+
+
+def test_packing_odd_rows(spark):
+    rows = packing.packing_of(odd_docs(spark)).collect()
+    assert sum(r.length for r in rows if r.doc_id is None) == 6 and {r.doc_id for r in rows} == {None, *range(len(ODD))}
+    assert sorted(r.doc_tokens for r in rows if r.doc_id == 3) == [2, 2] and max(r.doc_tokens for r in rows) > 5000
 
 
 @pytest.mark.parametrize(
@@ -172,6 +273,11 @@ def test_packer_bounds_open_windows():
         ("<nav><ul><li><a href=/a>Home</a></li></ul></nav><div class='ad'>Buy this thing now.</div><article><h1>Title</h1><p>Some long sentence of the article itself.</p></article><div id=comments><p>I like this a lot, thanks.</p></div>", "Title\n\nSome long sentence of the article itself."),
         ("<script>var a='<p>no</p>';</script><article><p>x > y and z &am w</p></article><div class=\"a", "x > y and z &am w"),
         ("<nav><a href=/>Home</a></nav><footer>© 2024</footer>", ""),
+        ("<article><p>A good start here.</p><script src=/js/>var secret = 1;</script><p>And an end to it.</p></article>", "A good start here.\n\nAnd an end to it."),
+        ("<article><p>A start it is.</p><script src=a.js />hidden()</script><p>The <a href=/x/>end</a> of it all.</p></article>", "A start it is.\n\nThe end of it all."),
+        ("<article><p>First of them.</p><button>Share<p>Second one here.</p><p>Third and last.</p></article>", "First of them.\n\nSecond one here.\n\nThird and last."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds here.</p><svg viewBox='0 0'/><p>After it all.</p></article>", "So x=1 holds here.\n\nAfter it all."),
+        ("<div><div><a href=/>Home</a> <a href=/b>News</a></div><div>The river rose by two metres overnight, and the town was cut off.</div><div>Nobody was hurt, said the mayor on Tuesday.</div><div>© 2024 Site</div></div>", "The river rose by two metres overnight, and the town was cut off.\n\nNobody was hurt, said the mayor on Tuesday."),
     ],
 )
 def test_main_text(source, text):
@@ -182,7 +288,7 @@ def test_held_out_pages():
     pages, labels = html.labelled_pages(200, seed=11)
     forest = html.gather(pages, html.trained().index)
     kept = html.marginals(forest, html.trained())[forest.leaf] >= 0.5
-    assert len(pages) > 190 and (kept == np.concatenate([np.array(x, bool) for x in labels])).mean() > 0.99
+    assert len(pages) > 190 and (kept == np.concatenate([np.array(x, bool) for x in labels])).mean() > 0.985
 
 
 def test_messages_equal_enumeration():
@@ -220,8 +326,70 @@ def levenshtein(a, b):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.lists(st.integers(0, 3), max_size=12), st.integers(0, 4))
 def test_edits(item, text, most):
-    best = min(levenshtein(item, text[:n]) for n in range(len(text) + 1))
-    assert decontaminate.edits(item, text, most)[0] == min(best, most + 1)
+    each = [levenshtein(item, text[:n]) for n in range(len(text) + 1)]
+    rows = [(item, text, most), (item[:1], text[:2], most), (item, [], most)]
+    sizes, room = (np.array([len(x[k]) for x in rows]) for k in (0, 1))
+    items, texts = (np.array([[*x[k], *[9] * (30 - len(x[k]))] for x in rows], np.uint64) for k in (0, 1))
+    n, length = decontaminate.edits(items, sizes, texts, room, np.array([x[2] for x in rows]))
+    assert n[0] == min(min(each), most + 1) and (n[0] > most or each[length[0]] == n[0])
+    assert n[0] > most or abs(length[0] - len(item)) == min(abs(k - len(item)) for k, e in enumerate(each) if e == n[0])
+    assert n[2] == min(len(item), most + 1)
+
+
+def exhaustive(items, docs, share=0.2):
+    """The best match of each text and item over all start words: (doc, item) -> (edits, first start word)."""
+    split = lambda t: [w for w in re.split(r"[^a-z0-9]+", (t or "").lower()) if w]
+    out = {}
+    for d, text in docs:
+        w = split(text)
+        for i, item in items:
+            x = split(item)
+            most = int(share * len(x) + 1e-9)
+            best = min(((min(levenshtein(x, w[p : p + n]) for n in range(max(0, len(x) - most), len(x) + most + 1)), p) for p in range(len(w))), default=(most + 1, 0)) if x else (1, 0)
+            if x and best[0] <= most:
+                out[d, i] = best
+    return out
+
+
+def test_leaks_equal_exhaustive_search(spark):
+    """Ids, edits and starts of all matches against every window of every text, ties and short items included."""
+    r = random.Random(31)
+    word = lambda: r.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx"])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 7, 9, 12])] + [(20, "ab cd!"), (21, ""), (22, None)]
+    items[0] = (0, "zebra")
+    docs = []
+    for d in range(70):
+        w = [word() for _ in range(r.randint(3, 20))]
+        if d % 5:
+            x = (items[d % 8][1] or "").split()
+            changed = [v if r.random() > 0.08 else word() for v in x]
+            w[2:2] = changed + (x if d % 5 == 1 else [])
+        docs.append((d, " ".join(w)))
+    want = exhaustive(items, docs)
+    rows = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    texts = dict(docs)
+    got = {(x.doc_id, x.item_id): (x.edits, len(texts[x.doc_id][: x.start].split())) for x in rows}
+    assert len(got) == len(rows) and set(got.items()) <= set(want.items())
+    assert len(got) >= 0.95 * len(want) > 40
+
+
+@pytest.mark.parametrize("n", [5, 8, 15, 30, 60, 200, 400])
+def test_recall_at_the_largest_distance(n):
+    """Items of n words with as many edits as may be, each in a text of its own."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
+    count = 60 if n < 100 else 25
+    items = [(i, [word() for _ in range(n)]) for i in range(count)]
+    bench = decontaminate.prepare([(i, " ".join(w)) for i, w in items])
+    texts = []
+    for _, w in items:
+        w, places = list(w), sorted(r.sample(range(n), n // 5), reverse=True)
+        for k in places:
+            w[k : k + 1] = r.choice([[word()], [], [w[k], word()]])
+        texts.append(" ".join([word() for _ in range(20)] + w + [word() for _ in range(20)]))
+    text, item, *_ = decontaminate.matches(bench, W.find_words(pa.array(texts, pa.large_string()), decontaminate.SEPARATOR, decontaminate.LOWER))
+    found = set(zip(text.tolist(), item.tolist()))
+    assert found <= {(i, i) for i in range(count)} and len(found) >= 0.95 * count
 
 
 def test_leaks_and_recall(spark):
@@ -241,7 +409,7 @@ def test_leaks_and_recall(spark):
             planted.add((d, i))
         docs.append((d, " ".join(body), 1))
     docs += [(1000, None, 1), (1001, "", 1), (0, docs[0][1], 1)]
-    bench = spark.createDataFrame([*items, (90, None), (91, "too short"), (92, items[0][1])], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (90, None), (91, "not found"), (92, items[0][1])], "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string, edits int")
     for size in (1 << 20, 700):  # in one block and in several
         rows = decontaminate.find_leaks(frame, bench, block_bytes=size).collect()
