@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir of the session; only where it is unset on a single machine, as in tests, a folder of our own."""
     context = spark.sparkContext
     state = context._jsc.sc()
     given = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not state.getCheckpointDir().isDefined():
+        if not given and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
     return (given or state.getCheckpointDir().get()).rstrip("/")
 
