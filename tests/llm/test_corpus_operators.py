@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from versoscan.llm import repeats, sharding, simhash, substrings, suffixes, warc
+from versoscan.llm import nearcopies, repeats, sharding, simhash, substrings, suffixes, warc
 from versoscan.llm.shared import connected_components, cut, joined_apart
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,6 +125,18 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_simhash_of_odd_texts(spark):
+    """Nulls, white space, a very long text, ties of equal texts, clashing columns; a component without any id has none."""
+    r = random.Random(6)
+    long = " ".join(f"w{r.randrange(10**5)}" for _ in range(60_000))
+    rows = [(1, long, 0), (2, long.upper(), 0), (3, None, 0), (4, " \t", 0), (5, "", 0), (None, "only this one has no id", 0), (None, long, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    got = {(x.doc_id, x.fp, x.component_id) for x in simhash.near_duplicates(docs).collect()}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fp, none = signed(brute_fingerprint(long)), signed(brute_fingerprint("only this one has no id"))
+    assert got == {(1, fp, 1), (2, fp, 1), (None, fp, 1), (3, 0, 3), (4, 0, 3), (5, 0, 3), (None, none, None)}
+
+
 def test_links_of_close_fingerprints(spark):
     r = random.Random(5)
     seeds = [r.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
@@ -315,6 +327,39 @@ def test_pipeline_near_copies(spark):
     assert got == sorted(least.values()) and 30 < len(got) < 120 and len(pairs) > 100
 
 
+def test_near_copies_of_one_passage(spark):
+    """A family whose members mostly differ from one another by more than a fifth: links as all pairs give them, and few
+    pairs are ever compared."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    base, seeds = [word() for _ in range(60)], []
+    for _ in range(150):
+        w = list(base)
+        for k in r.sample(range(60), 3):
+            w[k] = word()
+        seeds.append(w)
+    texts = seeds + [[*w[:-1], word()] for w in r.sample(seeds, 40)] + [w[1:] for w in r.sample(seeds, 30)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        parent[find(i)] = find(j)
+    docs = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, row long, text string")
+    root = {x.doc_id: x.root for x in nearcopies.near_copies(docs).collect()}
+    groups = lambda of: {frozenset(k for k in range(len(texts)) if of(k) == of(i)) for i in range(len(texts))}
+    assert groups(root.get) == groups(find) and 60 < len(pairs) < 2000
+
+    nodes = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "node long, size long, component long")
+    held = {tuple(sorted((x.a, x.b))) for x in nearcopies._prefix_pairs(nodes, docs.select(F.col("doc_id").alias("node"), "text")).collect()}
+    assert {tuple(sorted(x)) for x in pairs} <= held and len(held) < 0.2 * len(texts) ** 2 / 2
+
+
 def test_suffixes_many_contexts(spark):
     """Copies of one text edited at different places: every word that lies in a repeated window is found."""
     r = random.Random(21)

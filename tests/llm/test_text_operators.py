@@ -418,6 +418,20 @@ def test_leaks_and_recall(spark):
     assert decontaminate.find_leaks(frame, bench.limit(0)).count() == 0 and decontaminate.find_leaks(frame.limit(0), bench).count() == 0
 
 
+def test_leaks_of_odd_rows(spark):
+    """Null ids, repeated rows, a very long text, a text that is one long word; equal items match alike."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8)))
+    item = " ".join(word() for _ in range(20))
+    long = " ".join([*(word() for _ in range(50_000)), item, *(word() for _ in range(50_000))])
+    rows = [(None, item), (1, item), (1, item), (2, long), (3, "x" * 300_000), (4, None), (5, item + "é " + item)]
+    docs = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, start string")
+    bench = spark.createDataFrame([(7, item, 0), (8, item, 0), (None, item, 0)], "item_id long, text string, edits int")
+    got = Counter((x.doc_id, x.item_id, x.edits, x.start) for x in decontaminate.find_leaks(docs, bench).collect())
+    want = Counter((d, i, 0, s) for d, s in ((None, 0), (1, 0), (1, 0), (2, long.index(item)), (5, len(item) + 2)) for i in (7, 8, None))
+    assert got == want
+
+
 def test_words_chunks():
     batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "c" * 50, ""]), pa.array([1, 2, 3, 4])], names=["text", "k"])
     parts = list(W.chunks([batch], limit=10))
