@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.shared import connected_components, cut, joined_apart
+from versoscan.llm.shared import HOT_SHARE, SALTS, connected_components, cut, joined_apart
 from versoscan.llm.simhash import fingerprint, link_fingerprints
 
 SHINGLE = 5
@@ -126,16 +126,19 @@ def _near_in_size(a, b):
     return (F.least(a, b) * OF >= F.greatest(a, b) * SHARED) & (F.least(a, b) > 0)
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """(node, gram): the distinct shingles of each text."""
+def _grams(texts: DataFrame, hot: list[int]) -> DataFrame:
+    """(node, gram, salt): the distinct shingles of each text; those of ``hot`` are dealt over salts by their node."""
+    often = np.array(sorted(hot), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
             gram, bounds = shingle_sets(part.column("text"))
             owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(owner)), pa.array(gram.view(np.int64))], names=["node", "gram"])
+            node = np.asarray(part.column("node"))[owner]
+            salt = np.where(np.isin(gram.view(np.int64), often), node % SALTS, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(gram.view(np.int64)), pa.array(salt)], names=["node", "gram", "salt"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, gram long")
+    return texts.select("node", "text").mapInArrow(run, "node long, gram long, salt long")
 
 
 def _shared_grams(texts: DataFrame) -> DataFrame:
@@ -157,7 +160,11 @@ def _enough_left(a, at_a, b, at_b):
 def _prefix_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of apart(node, size, component) in different components that pass the prefix filter; no pair of
     similarity 4/5 or more is missing."""
-    held = joined_apart(_grams(texts), cut(_shared_grams(texts)), ["gram"], keep=("n",))
+    shared = cut(_shared_grams(texts))
+    most = (shared.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = [r[0] for r in shared.where(F.col("n") > most).select("gram").collect()]  # at most HOT_SHARE
+    salts = F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    held = _grams(texts, hot).join(shared.select("gram", "n", salts.alias("salt")).hint("shuffle_hash"), ["gram", "salt"])
     lists = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     size = F.col("size")
     alone = size - F.size("grams")  # shingles of this text only come first

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from versoscan.llm import words as W
 from versoscan.llm.shared import cut, joined_apart
 
+CHUNK_BYTES = 1_000_000  # of text at once: several such workers share an executor with the JVM's sorts
 SIZE_BITS = 16  # of a packed range of windows: first window << SIZE_BITS | number of windows
 
 
@@ -61,7 +62,7 @@ def count_anchors(docs: DataFrame, n: int, k: int) -> DataFrame:
     """(anchor, n): anchors with more than one occurrence, counted within each chunk before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
+        for part in W.chunks(batches, limit=CHUNK_BYTES):
             words = W.find_words(part.column("text"))
             anchors, times = np.unique(occurrences(words, W.word_hashes(words), n, k)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(times)], names=["anchor", "n"])
@@ -74,7 +75,7 @@ def find_occurrences(docs: DataFrame, n: int, k: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
+        for part in W.chunks(batches, limit=CHUNK_BYTES):
             words = W.find_words(part.column("text"))
             anchor, context, _, low, size = occurrences(words, W.word_hashes(words), n, k)
             of = words.text[low] if len(low) else low
@@ -94,9 +95,9 @@ def repeated_contexts(docs: DataFrame, n: int, k: int) -> tuple[DataFrame, DataF
     candidates = cut(joined_apart(find_occurrences(docs, n, k), cut(count_anchors(docs, n, k)), ["anchor"]))
     one = F.struct("doc_id", "key", "place")
     contexts = cut(candidates.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")))
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor")
+    several = cut(contexts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     whole = joined_apart(candidates, contexts.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"]).select("doc_id", "key", "place")
-    opened = contexts.join(several.hint("shuffle_hash"), "anchor").select("anchor", "one.doc_id", "one.key", "one.place", "n")
+    opened = joined_apart(contexts, several, ["anchor"]).select("anchor", "one.doc_id", "one.key", "one.place", "n")
     return whole, opened
 
 

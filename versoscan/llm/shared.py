@@ -47,14 +47,21 @@ def joined_apart(rows: DataFrame, keys: DataFrame, on: list[str], keep: tuple[st
     and keys is to be a table read back.
 
     A key with more than one in HOT_SHARE of these rows is dealt over SALTS tasks. There are at most HOT_SHARE such keys,
-    so rows learn of them by a broadcast of bounded size; each of them stands in ``keys`` once a salt.
+    so their hashes fit into an expression; each of them stands in ``keys`` once a salt.
     """
+    hot, salted = hot_keys(keys, on)
+    salt = F.when(F.xxhash64(*on).isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long")) if hot else F.lit(0).cast("long")
+    return rows.withColumn("salt", salt).join(salted.select(*on, *keep, "salt").hint("shuffle_hash"), [*on, "salt"]).drop("salt")
+
+
+def hot_keys(keys: DataFrame, on: list[str]) -> tuple[list[int], DataFrame]:
+    """The hashes of the keys(*on, n) that have more than one in HOT_SHARE of all rows, at most HOT_SHARE of them, and
+    keys with ``salt``, in which these stand once a salt and the others once, at 0."""
     most = (keys.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
-    hot = keys.where(F.col("n") > most).select(*on, F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("salt", salt).drop("hot")
-    salts = F.explode(F.when(F.col("n") > most, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
-    return dealt.join(keys.select(*on, *keep, salts.alias("salt")).hint("shuffle_hash"), [*on, "salt"]).drop("salt")
+    h = F.xxhash64(*on)
+    hot = [r[0] for r in keys.where(F.col("n") > most).select(h).distinct().collect()]
+    many = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return hot, keys.withColumn("salt", F.explode(F.when(h.isin(hot), many).otherwise(F.array(F.lit(0).cast("long"))) if hot else F.array(F.lit(0).cast("long"))))
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.repeats import SIZE_BITS, expand, keyed, repeated_contexts, with_places
+from versoscan.llm.repeats import CHUNK_BYTES, SIZE_BITS, expand, keyed, repeated_contexts, with_places
 from versoscan.llm.shared import table
 
 WINDOW_WORDS = 35
@@ -32,7 +32,7 @@ def _windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
+        for part in W.chunks(batches, limit=CHUNK_BYTES):
             words = W.find_words(part.column("text"))
             hashes = W.word_hashes(words)
             places, row = expand(part)
@@ -73,7 +73,7 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
+        for part in W.chunks(batches, limit=CHUNK_BYTES):
             data, offsets = W.bytes_of(part.column("text"))
             raw, (places, row) = data.tobytes(), expand(part)
             first = np.searchsorted(row, np.arange(part.num_rows + 1))

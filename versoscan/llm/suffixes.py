@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.repeats import SIZE_BITS, expand, keyed, occurrences, repeated_contexts, with_places
+from versoscan.llm.repeats import CHUNK_BYTES, SIZE_BITS, expand, keyed, occurrences, repeated_contexts, with_places
 from versoscan.llm.shared import cut, table
 from versoscan.llm.substrings import repeated_open_windows
 
@@ -40,7 +40,7 @@ def _entries(docs: DataFrame, opened: DataFrame, n: int, k: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
+        for part in W.chunks(batches, limit=CHUNK_BYTES):
             words = W.find_words(part.column("text"))
             anchors, _, at, low, _ = occurrences(words, W.word_hashes(words), n, k)
             places, row = expand(part)
@@ -143,7 +143,7 @@ def repeated_passages(docs: DataFrame, n: int = LEAST_WORDS, k: int = SEED_WORDS
     marks = spans.unionByName(marks[0]).unionByName(marks[1])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
+        for part in W.chunks(batches, limit=CHUNK_BYTES):
             data, offsets = W.bytes_of(part.column("text"))
             raw, (places, row) = data.tobytes(), expand(part)
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
