@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versoscan.functions import text as X
-from versoscan.operators.judge import probability
+from versoscan.operators.judge import with_probability
 from versoscan.operators.structure import line_pairs, lines_of, masked_text, pairs_of, prose_lines
 
 CUT_AT = 0.5  # fixed value: probability from which a pair is a boundary
@@ -16,8 +16,8 @@ CONTEXT_CHARS = 2000  # fixed value
 
 def boundary_cuts(answered: DataFrame) -> DataFrame:
     """(doc_id, j): pairs of answered boundary requests whose answer says that a block begins before line j."""
-    rows = answered.select("doc_id", "answers", F.explode("questions").alias("q"))
-    return rows.where(probability(F.col("answers"), F.col("q.key")) >= CUT_AT).select("doc_id", F.col("q.j").alias("j"))
+    yes = F.filter(with_probability(F.col("questions"), F.col("answers")), lambda x: x["prob"] >= CUT_AT)
+    return answered.select("doc_id", F.explode(F.transform(yes, lambda x: x["q"]["j"])).alias("j"))
 
 
 def forced_cuts(analyzed: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def _context(lines: Column, kinds: Column, from_idx: Column, start: Column, limi
     """The prose of the 0-based line ``from_idx`` up to the 1-based line ``start``, at most its last ``limit`` characters."""
     at = F.filter(F.sequence(from_idx, start - 2), lambda k: F.get(kinds, k).isNull() & ~X.is_blank(F.get(lines, k)))
     text = F.when(from_idx.isNotNull(), F.array_join(F.transform(at, lambda k: F.get(lines, k)), "\n")).otherwise("")
-    return F.when(F.length(text) > limit, F.substring(text, -limit, limit)).otherwise(text)
+    return F.substring(text, -limit, limit)
 
 
 def _at_starts(lines: DataFrame, blocks: DataFrame) -> DataFrame:

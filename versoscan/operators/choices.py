@@ -87,7 +87,7 @@ def choice_questions(pools: DataFrame, questions: int, options: int = OPTIONS, s
 
 def choice_requests(specs: DataFrame) -> DataFrame:
     """(doc, question, options): one request a question, its options as pairs of lines in the order of their slots."""
-    return specs.groupBy("doc", "question").agg(F.array_sort(F.collect_list(F.struct("slot", "i", "j"))).alias("options"))
+    return specs.groupBy("doc", "question").agg(F.sort_array(F.collect_list(F.struct("slot", "i", "j"))).alias("options"))
 
 
 def choice_accuracy(specs: DataFrame, answers: DataFrame) -> DataFrame:

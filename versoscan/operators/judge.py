@@ -61,10 +61,18 @@ def replay(requests: DataFrame, answers: DataFrame, keys: list[str]) -> DataFram
     return requests.join(answers, keys)
 
 
-def probability(answers: Column, key: Column) -> Column:
-    """The answer to the question of this key; a request that lacks it is an error."""
-    found = F.get(F.filter(answers, lambda a: a["key"] == key), F.lit(0))
-    return F.coalesce(found["prob"], F.raise_error(F.concat(F.lit("no answer to question "), key)).cast("double"))
+def with_probability(questions: Column, answers: Column) -> Column:
+    """An array of (q, prob), a question and its answer. Answers are taken by place where the keys agree there, else looked
+    for; a question that lacks one is an error."""
+
+    def one(q: Column, k: Column) -> Column:
+        here = F.get(answers, k)
+        found = F.get(F.filter(answers, lambda a: a["key"] == q["key"]), F.lit(0))["prob"]
+        missing = F.raise_error(F.concat(F.lit("no answer to question "), q["key"])).cast("double")
+        prob = F.when(here["key"] == q["key"], here["prob"]).otherwise(F.coalesce(found, missing))
+        return F.struct(q.alias("q"), prob.alias("prob"))
+
+    return F.transform(questions, one)
 
 
 def record_calls(answered: DataFrame, request: list[str]) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versoscan.functions import text as X
-from versoscan.operators.judge import QUESTIONS, probability
+from versoscan.operators.judge import QUESTIONS, with_probability
 from versoscan.operators.rules import AUTHOR_CLAUSE, active_categories
-from versoscan.operators.structure import candidates_of, masked_text
+from versoscan.operators.structure import masked_text, sentences
 
 # fixed values: characters of a document, of a scoring request and of a locating request
 DOCUMENT_CHARS, SCORE_CHARS, LOCATE_CHARS = 32000, 32000, 32000
@@ -46,7 +46,7 @@ def score_questions(cats: DataFrame, scope: str) -> DataFrame:
     """One row: ``questions`` (key, instruction, levels) of the categories asked about blocks or about documents."""
     levels = F.when((F.lit(scope) == "document") & (F.size("levels_document") > 0), F.col("levels_document")).otherwise(F.col("levels"))
     one = F.struct("pos", F.col("name").alias("key"), instruction().alias("instruction"), levels.alias("levels"))
-    rows = active_categories(cats, scope).agg(F.array_sort(F.collect_list(one)).alias("q"))
+    rows = active_categories(cats, scope).agg(F.sort_array(F.collect_list(one)).alias("q"))
     return F.broadcast(rows.select(F.transform("q", lambda x: F.struct(x["key"].alias("key"), x["instruction"].alias("instruction"), x["levels"].alias("levels"))).alias("questions")))
 
 
@@ -92,38 +92,61 @@ def size_skips(analyzed: DataFrame, payloads: DataFrame, cats: DataFrame, docume
 UNIT = ["doc_id", "scope", "block"]
 
 
+def unit_candidates(units: DataFrame) -> DataFrame:
+    """(doc_id, block, candidates, text_chars): the sentences (line, col, text) of units(doc_id, block, start, lines,
+    kinds) in order, and the length of their texts as JSON strings."""
+    at = F.posexplode(F.arrays_zip("lines", "kinds")).alias("k", "x")
+    lines = units.select("doc_id", "block", "start", at).select("doc_id", "block", (F.col("start") + F.col("k")).alias("idx"), F.col("x.lines").alias("line"), F.col("x.kinds").alias("kind"))
+    prose = lines.where(F.col("kind").isNull() & ~X.is_blank(F.col("line")))
+    rows = prose.select("doc_id", "block", "idx", F.posexplode(sentences(F.col("line"))).alias("n", "s"))
+    found = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(F.struct("idx", "n", "s"))).alias("c"), F.sum(X.json_string_chars(F.col("s.text"))).alias("text_chars"))
+    return found.select("doc_id", "block", F.transform("c", lambda x: F.struct(x["idx"].alias("line"), x["s"]["col"].alias("col"), x["s"]["text"].alias("text"))).alias("candidates"), "text_chars")
+
+
 def locate_requests(flagged: DataFrame, states: DataFrame, analyzed: DataFrame) -> DataFrame:
     """One row a unit and category of flagged(doc_id, scope, block, category, locate): state, candidates and questions.
 
-    Sentences are unfolded for these units only, within arrays: (line, col, text) of each, asked about by its number. A
-    block's heading, context and body are its state, or the masked document. ``payload`` counts the characters sent.
+    Sentences are unfolded for these units only; each is asked about by its number. A block's heading, context and body
+    are its state, or the masked document. ``payload`` counts the characters sent.
     """
-    asked = flagged.groupBy(*UNIT).agg(F.array_sort(F.collect_list(F.struct("category", "locate"))).alias("asked"))
+    asked = flagged.groupBy(*UNIT).agg(F.sort_array(F.collect_list(F.struct("category", "locate"))).alias("asked"))
     null = F.lit(None).cast("string")
-    inside = candidates_of(F.col("lines"), F.col("kinds"), F.lit(1), F.size("lines"))
-    block = F.transform(inside, lambda s: F.struct((s["line"] + F.col("start") - 1).alias("line"), s["col"].alias("col"), s["text"].alias("text")))
-    in_block = asked.where("scope = 'block'").join(states, ["doc_id", "block"]).select(*UNIT, "asked", "heading", "context", "body", null.alias("document"), block.alias("candidates"))
+    in_block = asked.where("scope = 'block'").join(states.select("doc_id", "block", "start", "heading", "context", "body", "lines", "kinds"), ["doc_id", "block"])
+    in_block = in_block.select(*UNIT, "asked", "start", "heading", "context", "body", null.alias("document"), "lines", "kinds")
     document = masked_text(F.col("lines"), F.col("kinds"))
-    in_doc = asked.where("scope = 'document'").join(analyzed.select("doc_id", "lines", "kinds"), "doc_id").select(*UNIT, "asked", null.alias("heading"), null.alias("context"), null.alias("body"), document.alias("document"), inside.alias("candidates"))
-    chars = X.json_string_chars
-    texts = F.transform("candidates", lambda c: chars(c["text"]))
-    fields = {"candidates": X.json_list_chars(texts)}
+    in_doc = asked.where("scope = 'document'").join(analyzed.select("doc_id", "lines", "kinds"), "doc_id")
+    in_doc = in_doc.select(*UNIT, "asked", F.lit(1).alias("start"), null.alias("heading"), null.alias("context"), null.alias("body"), document.alias("document"), "lines", "kinds")
+    units = in_block.unionByName(in_doc)
+    of = F.coalesce("block", F.lit(-1)).alias("of")
+    found = unit_candidates(units).select("doc_id", of, "candidates", "text_chars")
+    units = units.select("*", of).join(found, ["doc_id", "of"]).select(*UNIT, "asked", "heading", "context", "body", "document", "candidates", "text_chars")
+    n, chars = F.size("candidates"), X.json_string_chars
+    fields = {"candidates": F.col("text_chars") + 2 * n}
     size = F.when(F.col("scope") == "block", X.json_object_chars({"heading": chars(F.col("heading")), "context": chars(F.col("context")), "block": chars(F.col("body"))} | fields)).otherwise(X.json_object_chars({"document": chars(F.col("document"))} | fields))
-    units = in_block.unionByName(in_doc).where(F.size("candidates") > 0).withColumn("state_chars", size)
-    rows = units.select(*UNIT, F.explode("asked").alias("a"), "heading", "context", "body", "document", "candidates", "state_chars")
-    number = F.sequence(F.lit(0), F.size("candidates") - 1)
-    question = lambda n: F.struct(F.concat(F.lit("s"), n).alias("key"), n.alias("cand"), F.format_string("%s Candidate: `candidates[%d]`", F.col("a.locate"), n).alias("question"))
-    rows = rows.select(*UNIT, F.col("a.category").alias("category"), "heading", "context", "body", "document", "candidates", F.transform(number, question).alias("questions"), "state_chars")
-    # {"s0": "..", ..}: quotes, colon and space of a key
-    asked_chars = X.json_list_chars(F.transform("questions", lambda q: F.length(q["key"]) + 4 + chars(q["question"])))
-    return rows.withColumn("payload", F.col("state_chars") + asked_chars).drop("state_chars")
+    units = units.withColumn("state_chars", size)  # once a unit: what stands beside explode is computed once a category
+    rows = units.select(*UNIT, "heading", "context", "body", "document", "candidates", "state_chars", F.explode("asked").alias("a"))
+    number = F.sequence(F.lit(0), n - 1)
+    question = lambda k: F.struct(F.concat(F.lit("s"), k).alias("key"), k.alias("cand"), F.format_string("%s Candidate: `candidates[%d]`", F.col("a.locate"), k).alias("question"))
+    # {"s0": "... Candidate: `candidates[0]`", ...}: key and question each hold the number, of 1 digit, of 2 from ten on, ..
+    digits = n + sum((F.greatest(n - 10**k, F.lit(0)) for k in range(1, 9)), F.lit(0))
+    asked_chars = n * (len('"s": ') + chars(F.col("a.locate")) + len(" Candidate: `candidates[]`")) + 2 * digits + 2 * n
+    return rows.select(*UNIT, F.col("a.category").alias("category"), "heading", "context", "body", "document", "candidates", F.transform(number, question).alias("questions"), (F.col("state_chars") + asked_chars).alias("payload"))
 
 
 def located_sentences(answered: DataFrame) -> DataFrame:
-    """(doc_id, scope, block, category, cand, line, col, text, question, prob): each question of answered locating requests."""
-    rows = answered.select(*UNIT, "category", "candidates", "answers", F.explode("questions").alias("q"))
-    c = F.get("candidates", F.col("q.cand"))
-    return rows.select(*UNIT, "category", "q.cand", c["line"].alias("line"), c["col"].alias("col"), c["text"].alias("text"), "q.question", probability(F.col("answers"), F.col("q.key")).alias("prob"))
+    """Answered locating requests with ``found`` in place of state and questions: (cand, line, col, text, prob) of each."""
+
+    def one(x: Column) -> Column:
+        c = F.get("candidates", x["q"]["cand"])
+        return F.struct(x["q"]["cand"].alias("cand"), c["line"].alias("line"), c["col"].alias("col"), c["text"].alias("text"), x["prob"].alias("prob"))
+
+    found = F.transform(with_probability(F.col("questions"), F.col("answers")), one)
+    return answered.withColumn("found", found).drop("heading", "context", "body", "document", "candidates", "questions", "answers", "payload")
+
+
+def unfolded(located: DataFrame) -> DataFrame:
+    """(doc_id, scope, block, category, cand, line, col, text, prob): a row a sentence asked about."""
+    return located.select(*UNIT, "category", F.explode("found").alias("s")).select(*UNIT, "category", "s.cand", "s.line", "s.col", "s.text", "s.prob")
 
 
 def question_chunks(questions: DataFrame, unit: list[str], order: str, size: int = QUESTIONS) -> DataFrame:

@@ -52,7 +52,7 @@ class Lint:
     payloads: DataFrame
     scores: DataFrame
     flagged: DataFrame
-    requests: DataFrame  # about sentences, with their answers
+    requests: DataFrame  # about sentences
     located: DataFrame
     violations: DataFrame
     merged: DataFrame
@@ -67,7 +67,8 @@ def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits |
     times, and a question must not be asked again, neither by a second reader nor when an executor is lost.
     """
     limits = limits or Limits()
-    shape = cut(S.analyze(docs, limits.window, by_document=True))
+    # dealt out by document: what is read back from a checkpoint has lost it, and windows over lines would shuffle the lines
+    shape = cut(S.analyze(docs, limits.window)).repartition("doc_id")
     segmented = cut(judge.boundaries(S.boundary_requests(shape)).select("doc_id", "questions", "answers", *CALL))
     cuts = B.boundary_cuts(segmented).unionByName(B.forced_cuts(shape))
     payloads = cut(R.block_payloads(B.block_states(shape, cuts), cats))
@@ -83,10 +84,10 @@ def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits |
     wanted = flagged.where("locate is not null").select(*R.UNIT, "category", "locate")
     sized = R.locate_requests(wanted, payloads, shape)
     asked = J.chunked(sized.where(F.col("payload") <= limits.locate))
-    answered = cut(judge.sentences(asked).select(*R.UNIT, "category", "chunk", "heading", "context", "body", "document", "candidates", "questions", "answers", *CALL))
-    located = R.located_sentences(answered)
+    answered = cut(R.located_sentences(judge.sentences(asked)))
+    located = R.unfolded(answered)
     every = V.all_violations(V.locate_violations(located, cats), V.score_flag_violations(flagged, found, shape))
     large = sized.where(F.col("payload") > limits.locate)
     skipped = V.all_skipped(R.no_prose_skips(shape, cats), R.uninspected_pairs(shape), R.size_skips(shape, payloads, cats, limits.document, limits.score), R._skipped(large, "locate_state_too_large", category=F.col("category")))
     calls = [df.select("doc_id", F.lit(stage).alias("stage"), *CALL) for stage, df in (("segment", segmented), ("score", scored), ("locate", answered))]
-    return Lint(shape, found, payloads, scores, flagged, answered, located, every, V.merge_violations(every), skipped, calls[0].unionByName(calls[1]).unionByName(calls[2]))
+    return Lint(shape, found, payloads, scores, flagged, asked, located, every, V.merge_violations(every), skipped, calls[0].unionByName(calls[1]).unionByName(calls[2]))

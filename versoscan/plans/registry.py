@@ -58,12 +58,12 @@ def cuts(shape: DataFrame) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    shape = cut(I.analyzed(spark, sf_dir, by_document=True))
+    shape = cut(I.analyzed(spark, sf_dir)).repartition("doc_id")
     return shape, B.build_blocks(shape, B.block_ids(shape, cuts(shape)))
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shape = cut(I.analyzed(spark, sf_dir, by_document=True))
+    shape = cut(I.analyzed(spark, sf_dir)).repartition("doc_id")
     return R.block_payloads(B.block_states(shape, cuts(shape)), I.category_table(spark))
 
 
@@ -483,7 +483,7 @@ def _(spark, d):
 
 
 def candidates(spark: SparkSession, d: str, run: str = "l") -> DataFrame:
-    found = R.located_sentences(I.locate_answers(lint(spark, d).requests.drop("answers"), run))
+    found = R.unfolded(R.located_sentences(I.locate_answers(lint(spark, d).requests, run)))
     return found.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
 
 
@@ -499,8 +499,8 @@ def _(spark, d):
 
 def two_runs(spark: SparkSession, d: str) -> DataFrame:
     """All candidates of one lint, answered twice."""
-    asked = lint(spark, d).requests.drop("answers")
-    first, second = (R.located_sentences(I.locate_answers(asked, run)).withColumns({"start": F.col("line"), "end": F.col("line")}) for run in ("l", "l2"))
+    asked = lint(spark, d).requests
+    first, second = (R.unfolded(R.located_sentences(I.locate_answers(asked, run))).withColumns({"start": F.col("line"), "end": F.col("line")}) for run in ("l", "l2"))
     return E.matched_candidates(first, second)
 
 
