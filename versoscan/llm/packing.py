@@ -35,7 +35,7 @@ from versoscan.llm.shared import table
 WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 4096  # open windows a task; beyond it the emptiest is placed again
-TABLE_BITS = 21  # slots of the table of known pieces, which starts anew when three in four are taken
+TABLE_BITS = 20  # slots of the table of known pieces, which starts anew when three in four are taken
 LONGEST_KEPT = 64  # bytes of a piece in the table
 JOINED = 2_048  # pieces are encoded in texts of about so many bytes
 ODD_LEAD = np.isin(np.arange(256), [0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3])

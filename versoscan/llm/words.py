@@ -1,7 +1,7 @@
 """Words and hashes of whole text columns, computed in numpy over Arrow buffers.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is the same on UTF-8 bytes and on code
-points. Everything works on chunks of a few megabytes, so that a task's memory does not depend on its batch size;
+points. Everything works on chunks of about a megabyte, so that a task's memory does not depend on its batch size;
 a single longer text makes one chunk of its own.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000  # just below a power of two, as tables of powers are rounded up to one
+CHUNK_BYTES = 1_000_000  # just below a power of two, as tables of powers are rounded up to one
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
