@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versoscan.llm import sharding, warc
+from versoscan.llm import chat, sharding, warc
 from versoscan.llm.decontaminate import decontaminate_query
 from versoscan.llm.html import html_query
 from versoscan.llm.packing import packing_query
 from versoscan.llm.pii import pii_query
 from versoscan.llm.quality import quality_query
+from versoscan.llm.resampling import resampling_query
 from versoscan.llm.simhash import simhash_query
 from versoscan.llm.substrings import substrings_query
 from versoscan.llm.suffixes import suffixes_query
+from versoscan.llm.whitening import whitening_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": html_query,
@@ -27,8 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_query,
     "op9_packing": packing_query,
     "op10_simhash": simhash_query,
+    "op11_whitening": whitening_query,
+    "op12_chat": chat.chat_query,
+    "op13_resampling": resampling_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_sharding": sharding.oracle(),
     "op7_warc": warc.ORACLE,
+    "op12_chat": chat.ORACLE,
 }
