@@ -14,10 +14,15 @@ CUT_AT = 0.5  # fixed value: probability from which a pair is a boundary
 CONTEXT_CHARS = 2000  # fixed value
 
 
+def cuts_in(questions: str, answers: str) -> Column:
+    """The lines j at which the answers to a boundary request say that a block begins."""
+    yes = F.filter(with_probability(F.col(questions), F.col(answers)), lambda x: x["prob"] >= CUT_AT)
+    return F.transform(yes, lambda x: x["q"]["j"])
+
+
 def boundary_cuts(answered: DataFrame) -> DataFrame:
     """(doc_id, j): pairs of answered boundary requests whose answer says that a block begins before line j."""
-    yes = F.filter(with_probability(F.col("questions"), F.col("answers")), lambda x: x["prob"] >= CUT_AT)
-    return answered.select("doc_id", F.explode(F.transform(yes, lambda x: x["q"]["j"])).alias("j"))
+    return answered.select("doc_id", F.explode(cuts_in("questions", "answers")).alias("j"))
 
 
 def forced_cuts(analyzed: DataFrame) -> DataFrame:
@@ -42,9 +47,7 @@ def block_ids(analyzed: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def build_blocks(analyzed: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, block, start, end, text): 1-based lines; blank and masked lines inside a block belong to its text."""
-    spans = ids.groupBy("doc_id", "block").agg((F.min("idx") + 1).alias("start"), (F.max("idx") + 1).alias("end"))
-    text = F.array_join(F.slice("lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n")
-    return spans.join(analyzed.select("doc_id", "lines"), "doc_id").select("doc_id", "block", "start", "end", text.alias("text"))
+    return with_block_text(ids.groupBy("doc_id", "block").agg((F.min("idx") + 1).alias("start"), (F.max("idx") + 1).alias("end")), analyzed)
 
 
 def block_lines(analyzed: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def _with_context_from(prose: DataFrame, limit: int) -> DataFrame:
     return prose.withColumn("upto", upto).withColumn("from_idx", F.coalesce(F.min("idx").over(fits), F.lag("idx").over(order))).drop("upto")
 
 
-def _context(lines: Column, kinds: Column, from_idx: Column, start: Column, limit: int) -> Column:
+def context_before(lines: Column, kinds: Column, from_idx: Column, start: Column, limit: int) -> Column:
     """The prose of the 0-based line ``from_idx`` up to the 1-based line ``start``, at most its last ``limit`` characters."""
     at = F.filter(F.sequence(from_idx, start - 2), lambda k: F.get(kinds, k).isNull() & ~X.is_blank(F.get(lines, k)))
     text = F.when(from_idx.isNotNull(), F.array_join(F.transform(at, lambda k: F.get(lines, k)), "\n")).otherwise("")
@@ -94,21 +97,36 @@ def preceding_context(analyzed: DataFrame, blocks: DataFrame, limit: int = CONTE
     """(doc_id, block, context): the prose lines before the block, from the nearest on while they fit the limit; the
     nearest is taken in any case and cut to its end. Lines are sliced at block starts only."""
     starts = _at_starts(_with_context_from(prose_lines(lines_of(analyzed)), limit), blocks).select("doc_id", "block", (F.col("idx") + 1).alias("start"), "from_idx")
-    context = _context(F.col("lines"), F.col("kinds"), F.col("from_idx"), F.col("start"), limit)
+    context = context_before(F.col("lines"), F.col("kinds"), F.col("from_idx"), F.col("start"), limit)
     return starts.join(analyzed.select("doc_id", "lines", "kinds"), "doc_id").select("doc_id", "block", context.alias("context"))
 
 
-def block_states(analyzed: DataFrame, cuts: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
-    """(doc_id, block, start, end, text, heading, context, body, lines, kinds): each block with what is sent about it.
+def place_blocks(analyzed: DataFrame, cuts: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """(doc_id, block, start, end, heading, from_idx): where each block lies and where its context begins; no text of it.
 
     One pass over the lines of each document: headings, cuts and context starts share the partitioning by doc_id.
     """
     rows = _with_context_from(prose_lines(_with_heading(lines_of(analyzed))), limit)
-    placed = _numbered(rows, cuts).groupBy("doc_id", "block").agg(
+    return _numbered(rows, cuts).groupBy("doc_id", "block").agg(
         (F.min("idx") + 1).alias("start"), (F.max("idx") + 1).alias("end"), F.min_by("heading", "idx").alias("heading"), F.min_by("from_idx", "idx").alias("from_idx")
     )
+
+
+def with_block_text(placed: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """placed(doc_id, start, end, ..) with ``text``, the lines of each block."""
+    text = F.array_join(F.slice("lines", F.col("start"), F.col("end") - F.col("start") + 1), "\n")
+    return placed.join(analyzed.select("doc_id", "lines"), "doc_id").withColumn("text", text).drop("lines")
+
+
+def with_block_state(placed: DataFrame, analyzed: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """placed(doc_id, start, end, from_idx, ..) with text, context, body, lines and kinds, sliced from the document's lines."""
     both = placed.join(analyzed.select("doc_id", F.col("lines").alias("all_lines"), F.col("kinds").alias("all_kinds")), "doc_id")
     start, n = F.col("start"), F.col("end") - F.col("start") + 1
     lines, kinds = F.slice("all_lines", start, n), F.slice("all_kinds", start, n)
-    context = _context(F.col("all_lines"), F.col("all_kinds"), F.col("from_idx"), start, limit)
-    return both.select("doc_id", "block", "start", "end", F.array_join(lines, "\n").alias("text"), "heading", context.alias("context"), masked_text(lines, kinds).alias("body"), lines.alias("lines"), kinds.alias("kinds"))
+    context = context_before(F.col("all_lines"), F.col("all_kinds"), F.col("from_idx"), start, limit)
+    return both.select(*placed.columns, F.array_join(lines, "\n").alias("text"), context.alias("context"), masked_text(lines, kinds).alias("body"), lines.alias("lines"), kinds.alias("kinds"))
+
+
+def block_states(analyzed: DataFrame, cuts: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """(doc_id, block, start, end, heading, from_idx, text, context, body, lines, kinds): each block with what is sent about it."""
+    return with_block_state(place_blocks(analyzed, cuts, limit), analyzed, limit)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versoscan.functions.tables import Tables
+
 # fixed values of the evaluation
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8)
 FLIP_FROM, FLIP_TO, FLIP_STEP = 30, 70, 2  # hundredths
@@ -21,6 +23,7 @@ CONTESTED = "見出し"
 MEDIAN_SHIFT, MOVED, MOVED_SHARE = 0.03, 0.05, 0.2
 RANGES = 1024  # of a group's values
 PLACE = ["start", "end", "col", "text", "category"]
+CANDIDATE = ["doc_id", "scope", *PLACE]
 
 
 def _in_ranges(counts: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
@@ -61,10 +64,14 @@ def threshold_sweep(cands: DataFrame, by: tuple[str, ...] = (), thresholds: tupl
     return sums.select(*by, "n", rows).select(*by, "n", "x.threshold", "x.raw", "x.merged")
 
 
+def record_candidates(tables: Tables, name: str, cands: DataFrame) -> DataFrame:
+    """The candidates of a run as a table of its own, in buckets by their place, so that runs are compared without a shuffle."""
+    return tables.put(name, cands.select(*CANDIDATE, "prob"), *CANDIDATE)
+
+
 def matched_candidates(base: DataFrame, new: DataFrame) -> DataFrame:
     """Candidates of two runs at the same place and scope: (doc_id, .., base_prob, new_prob)."""
-    key = ["doc_id", "scope", *PLACE]
-    return base.select(*key, F.col("prob").alias("base_prob")).join(new.select(*key, F.col("prob").alias("new_prob")), key)
+    return base.select(*CANDIDATE, F.col("prob").alias("base_prob")).join(new.select(*CANDIDATE, F.col("prob").alias("new_prob")), CANDIDATE)
 
 
 def regression_check(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

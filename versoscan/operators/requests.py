@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from versoscan.functions import text as X
-from versoscan.operators.judge import QUESTIONS, with_probability
+from versoscan.operators.blocks import CONTEXT_CHARS, context_before
+from versoscan.operators.judge import QUESTIONS
 from versoscan.operators.rules import AUTHOR_CLAUSE, active_categories
-from versoscan.operators.structure import masked_text, sentences
+from versoscan.operators.structure import masked_slice, masked_text, sentences
 
 # fixed values: characters of a document, of a scoring request and of a locating request
 DOCUMENT_CHARS, SCORE_CHARS, LOCATE_CHARS = 32000, 32000, 32000
@@ -90,63 +91,89 @@ def size_skips(analyzed: DataFrame, payloads: DataFrame, cats: DataFrame, docume
 
 
 UNIT = ["doc_id", "scope", "block"]
+AT = ["doc_id", "of"]  # a unit's key without nulls: ``of`` is the block, -1 for the whole document
 
 
-def unit_candidates(units: DataFrame) -> DataFrame:
-    """(doc_id, block, candidates, text_chars): the sentences (line, col, text) of units(doc_id, block, start, lines,
-    kinds) in order, and the length of their texts as JSON strings."""
-    at = F.posexplode(F.arrays_zip("lines", "kinds")).alias("k", "x")
-    lines = units.select("doc_id", "block", "start", at).select("doc_id", "block", (F.col("start") + F.col("k")).alias("idx"), F.col("x.lines").alias("line"), F.col("x.kinds").alias("kind"))
-    prose = lines.where(F.col("kind").isNull() & ~X.is_blank(F.col("line")))
-    rows = prose.select("doc_id", "block", "idx", F.posexplode(sentences(F.col("line"))).alias("n", "s"))
-    found = rows.groupBy("doc_id", "block").agg(F.sort_array(F.collect_list(F.struct("idx", "n", "s"))).alias("c"), F.sum(X.json_string_chars(F.col("s.text"))).alias("text_chars"))
-    return found.select("doc_id", "block", F.transform("c", lambda x: F.struct(x["idx"].alias("line"), x["s"]["col"].alias("col"), x["s"]["text"].alias("text"))).alias("candidates"), "text_chars")
+def _unit_lines(units: DataFrame, analyzed: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """units with their state (heading, context and body of a block, or document) and their document's lines and kinds."""
+    both = units.join(analyzed.select("doc_id", F.col("lines").alias("all_lines"), F.col("kinds").alias("all_kinds")), "doc_id")
+    in_block, n = F.col("scope") == "block", F.col("end") - F.col("start") + 1
+    masked = F.when(in_block, masked_slice(F.col("all_lines"), F.col("all_kinds"), F.col("start"), F.col("end"))).otherwise(masked_text(F.col("all_lines"), F.col("all_kinds")))
+    context = F.when(in_block, context_before(F.col("all_lines"), F.col("all_kinds"), F.col("from_idx"), F.col("start"), limit))
+    at = F.sequence(F.col("start") - 1, F.col("start") - 2 + F.coalesce(n, F.size("all_lines")))
+    return both.withColumn("masked", masked).select(*units.columns, context.alias("context"), F.when(in_block, F.col("masked")).alias("body"), F.when(~in_block, F.col("masked")).alias("document"), "all_lines", "all_kinds", at.alias("at"))
 
 
-def locate_requests(flagged: DataFrame, states: DataFrame, analyzed: DataFrame) -> DataFrame:
-    """One row a unit and category of flagged(doc_id, scope, block, category, locate): state, candidates and questions.
+def flagged_units(flagged: DataFrame, placed: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """The store of spans: a row a unit of flagged(doc_id, scope, block, category) that has sentences.
 
-    Sentences are unfolded for these units only; each is asked about by its number. A block's heading, context and body
-    are its state, or the masked document. ``payload`` counts the characters sent.
+    (doc_id, of, scope, block, start, end, heading, from_idx, asked, spans, state_chars): ``asked`` are its categories,
+    ``spans`` the places (line, col, chars) of its sentences, ``state_chars`` the characters of its state with them. No
+    text is kept but a block's heading: states and sentences are cut from the document's lines again where they are
+    needed. Sentences are looked for within the row, so nothing but the units' numbers is shuffled.
     """
-    asked = flagged.groupBy(*UNIT).agg(F.sort_array(F.collect_list(F.struct("category", "locate"))).alias("asked"))
-    null = F.lit(None).cast("string")
-    in_block = asked.where("scope = 'block'").join(states.select("doc_id", "block", "start", "heading", "context", "body", "lines", "kinds"), ["doc_id", "block"])
-    in_block = in_block.select(*UNIT, "asked", "start", "heading", "context", "body", null.alias("document"), "lines", "kinds")
-    document = masked_text(F.col("lines"), F.col("kinds"))
-    in_doc = asked.where("scope = 'document'").join(analyzed.select("doc_id", "lines", "kinds"), "doc_id")
-    in_doc = in_doc.select(*UNIT, "asked", F.lit(1).alias("start"), null.alias("heading"), null.alias("context"), null.alias("body"), document.alias("document"), "lines", "kinds")
-    units = in_block.unionByName(in_doc)
-    of = F.coalesce("block", F.lit(-1)).alias("of")
-    found = unit_candidates(units).select("doc_id", of, "candidates", "text_chars")
-    units = units.select("*", of).join(found, ["doc_id", "of"]).select(*UNIT, "asked", "heading", "context", "body", "document", "candidates", "text_chars")
-    n, chars = F.size("candidates"), X.json_string_chars
-    fields = {"candidates": F.col("text_chars") + 2 * n}
+    units = flagged.groupBy(*UNIT).agg(F.sort_array(F.collect_list("category")).alias("asked"))
+    null = lambda kind: F.lit(None).cast(kind)
+    in_block = units.where("scope = 'block'").join(placed.select("doc_id", "block", "start", "end", "heading", "from_idx"), ["doc_id", "block"])
+    whole = units.where("scope = 'document'").select(*UNIT, "asked", F.lit(1).alias("start"), null("int").alias("end"), null("string").alias("heading"), null("int").alias("from_idx"))
+    rows = _unit_lines(in_block.select(*whole.columns).unionByName(whole), analyzed)
+    prose = F.filter("at", lambda k: F.get("all_kinds", k).isNull() & ~X.is_blank(F.get("all_lines", k)))
+    span = lambda k: F.transform(sentences(F.get("all_lines", k)), lambda s: F.struct((k + 1).alias("line"), s["col"].alias("col"), F.length(s["text"]).alias("chars"), X.json_string_chars(s["text"]).alias("json")))
+    rows = rows.withColumn("found", F.flatten(F.transform(prose, span))).where(F.size("found") > 0)
+    chars = X.json_string_chars
+    fields = {"candidates": F.aggregate("found", F.lit(0), lambda a, s: a + s["json"]) + 2 * F.size("found")}
     size = F.when(F.col("scope") == "block", X.json_object_chars({"heading": chars(F.col("heading")), "context": chars(F.col("context")), "block": chars(F.col("body"))} | fields)).otherwise(X.json_object_chars({"document": chars(F.col("document"))} | fields))
-    units = units.withColumn("state_chars", size)  # once a unit: what stands beside explode is computed once a category
-    rows = units.select(*UNIT, "heading", "context", "body", "document", "candidates", "state_chars", F.explode("asked").alias("a"))
-    number = F.sequence(F.lit(0), n - 1)
-    question = lambda k: F.struct(F.concat(F.lit("s"), k).alias("key"), k.alias("cand"), F.format_string("%s Candidate: `candidates[%d]`", F.col("a.locate"), k).alias("question"))
+    spans = F.transform("found", lambda s: F.struct(s["line"].alias("line"), s["col"].alias("col"), s["chars"].alias("chars")))
+    return rows.select("doc_id", F.coalesce("block", F.lit(-1)).alias("of"), "scope", "block", "start", "end", "heading", "from_idx", "asked", spans.alias("spans"), size.alias("state_chars"))
+
+
+def _with_payload(units: DataFrame, cats: DataFrame) -> DataFrame:
+    """A row a unit and category it is asked about, with ``locate`` and ``payload``, the characters sent."""
+    rows = units.select(*(c for c in units.columns if c != "asked"), F.explode("asked").alias("category"))
+    rows = rows.join(F.broadcast(cats.select(F.col("name").alias("category"), "locate")), "category")
     # {"s0": "... Candidate: `candidates[0]`", ...}: key and question each hold the number, of 1 digit, of 2 from ten on, ..
+    n = F.size("spans")
     digits = n + sum((F.greatest(n - 10**k, F.lit(0)) for k in range(1, 9)), F.lit(0))
-    asked_chars = n * (len('"s": ') + chars(F.col("a.locate")) + len(" Candidate: `candidates[]`")) + 2 * digits + 2 * n
-    return rows.select(*UNIT, F.col("a.category").alias("category"), "heading", "context", "body", "document", "candidates", F.transform(number, question).alias("questions"), (F.col("state_chars") + asked_chars).alias("payload"))
+    chars = n * (len('"s": ') + X.json_string_chars(F.col("locate")) + len(" Candidate: `candidates[]`")) + 2 * digits + 2 * n
+    return rows.withColumn("payload", F.col("state_chars") + chars)
 
 
-def located_sentences(answered: DataFrame) -> DataFrame:
-    """Answered locating requests with ``found`` in place of state and questions: (cand, line, col, text, prob) of each."""
+def locate_skips(units: DataFrame, cats: DataFrame, limit: int = LOCATE_CHARS) -> DataFrame:
+    """Units too large to be asked about their sentences, for each category."""
+    return _skipped(_with_payload(units.select(*AT, "asked", "spans", "state_chars"), cats).where(F.col("payload") > limit), "locate_state_too_large", category=F.col("category"))
 
-    def one(x: Column) -> Column:
-        c = F.get("candidates", x["q"]["cand"])
-        return F.struct(x["q"]["cand"].alias("cand"), c["line"].alias("line"), c["col"].alias("col"), c["text"].alias("text"), x["prob"].alias("prob"))
 
-    found = F.transform(with_probability(F.col("questions"), F.col("answers")), one)
-    return answered.withColumn("found", found).drop("heading", "context", "body", "document", "candidates", "questions", "answers", "payload")
+def locate_requests(units: DataFrame, analyzed: DataFrame, cats: DataFrame, limit: int = LOCATE_CHARS) -> DataFrame:
+    """One row a unit of flagged_units and category that fits: state, candidates (line, col, text) and questions.
 
-
-def unfolded(located: DataFrame) -> DataFrame:
-    """(doc_id, scope, block, category, cand, line, col, text, prob): a row a sentence asked about."""
-    return located.select(*UNIT, "category", F.explode("found").alias("s")).select(*UNIT, "category", "s.cand", "s.line", "s.col", "s.text", "s.prob")
+    Each sentence is asked about by its number. A block's heading, context and body are its state, or the masked document.
+    """
+    rows = _unit_lines(units, analyzed)
+    text = lambda s: F.substring(F.get("all_lines", s["line"] - 1), s["col"] + 1, s["chars"])
+    candidates = F.transform("spans", lambda s: F.struct(s["line"].alias("line"), s["col"].alias("col"), text(s).alias("text")))
+    state = ["heading", "context", "body", "document"]
+    rows = rows.select(*AT, "scope", "block", "asked", "spans", "state_chars", *state, candidates.alias("candidates"))
+    rows = _with_payload(rows, cats).where(F.col("payload") <= limit)
+    number = F.sequence(F.lit(0), F.size("spans") - 1)
+    question = lambda k: F.struct(F.concat(F.lit("s"), k).alias("key"), k.alias("cand"), F.format_string("%s Candidate: `candidates[%d]`", F.col("locate"), k).alias("question"))
+    return rows.select(*UNIT, "of", "category", *state, "candidates", F.transform(number, question).alias("questions"), "payload")
+
+
+def located_probabilities(answered: DataFrame, units: DataFrame) -> DataFrame:
+    """(doc_id, scope, block, category, cand, line, col, chars, prob): a row a sentence asked about, from
+    answered(doc_id, of, category, probs) and the places in flagged_units."""
+    rows = answered.select(*AT, "category", "probs").join(units.select(*AT, "scope", "block", "spans"), AT)
+    each = F.explode(F.transform("probs", lambda p: F.struct(p["cand"].alias("cand"), F.get("spans", p["cand"]).alias("at"), p["prob"].alias("prob")))).alias("x")
+    return rows.select(*UNIT, "category", each).select(*UNIT, "category", "x.cand", "x.at.line", "x.at.col", "x.at.chars", "x.prob")
+
+
+def span_texts(rows: DataFrame, analyzed: DataFrame, line: str = "line") -> DataFrame:
+    """rows(doc_id, line, col, chars, ..) with ``text`` in place of ``chars``. A document's rows meet its lines once."""
+    others = [c for c in rows.columns if c not in ("doc_id", "chars")]
+    per_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*others, "chars")).alias("rows"))
+    text = lambda r: F.substring(F.get("lines", r[line] - 1), r["col"] + 1, r["chars"])
+    cut = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in others), text(r).alias("text")))
+    return per_doc.join(analyzed.select("doc_id", "lines"), "doc_id").select("doc_id", F.explode(cut).alias("r")).select("doc_id", "r.*")
 
 
 def question_chunks(questions: DataFrame, unit: list[str], order: str, size: int = QUESTIONS) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versoscan.operators.blocks import with_block_text
 from versoscan.operators.requests import SKIP
 
 COLUMNS = ["doc_id", "start", "end", "col", "scope", "category", "severity", "probability", "score", "confidence", "text"]
@@ -17,18 +18,20 @@ def score_gate(scores: DataFrame, cats: DataFrame) -> DataFrame:
 
 
 def locate_violations(probabilities: DataFrame, cats: DataFrame) -> DataFrame:
-    """Sentences (doc_id, scope, block, category, line, col, text, prob) at or over their category's threshold."""
+    """Sentences (doc_id, scope, block, category, line, col, prob and text or chars) at or over their category's threshold."""
     rules = cats.select(F.col("name").alias("category"), "severity", "locate_threshold")
     hits = probabilities.join(F.broadcast(rules), "category").where("prob >= locate_threshold")
     null = F.lit(None).cast("double")
-    return hits.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "scope", "category", "severity", F.col("prob").alias("probability"), null.alias("score"), null.alias("confidence"), "text")
+    text = "text" if "text" in hits.columns else "chars"
+    return hits.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "scope", "category", "severity", F.col("prob").alias("probability"), null.alias("score"), null.alias("confidence"), text)
 
 
-def score_flag_violations(flagged: DataFrame, blocks: DataFrame, analyzed: DataFrame) -> DataFrame:
-    """Flagged units whose category asks about no sentences: the whole block, or the whole document with no text."""
+def score_flag_violations(flagged: DataFrame, placed: DataFrame, analyzed: DataFrame) -> DataFrame:
+    """Flagged units whose category asks about no sentences: the whole block of placed(doc_id, block, start, end), or the
+    whole document with no text."""
     whole = flagged.where("locate is null")
     null = F.lit(None).cast("double").alias("probability")
-    in_block = whole.where("scope = 'block'").drop("start", "end", "text").join(blocks, ["doc_id", "block"])
+    in_block = with_block_text(whole.where("scope = 'block'").drop("start", "end", "text").join(placed.select("doc_id", "block", "start", "end"), ["doc_id", "block"]), analyzed)
     in_doc = whole.where("scope = 'document'").join(analyzed.select("doc_id", F.size("lines").alias("end")), "doc_id").withColumns({"start": F.lit(1), "text": F.lit("")})
     pick = lambda df: df.select("doc_id", "start", "end", F.lit(0).alias("col"), "scope", "category", "severity", null, "score", "confidence", "text")
     return pick(in_block).unionByName(pick(in_doc))

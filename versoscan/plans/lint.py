@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versoscan.functions.lineage import cut
+from versoscan.functions.tables import Tables
+from versoscan.operators import answers as A
 from versoscan.operators import blocks as B
 from versoscan.operators import judge as J
 from versoscan.operators import requests as R
@@ -16,7 +17,6 @@ from versoscan.operators import structure as S
 from versoscan.operators import violations as V
 
 Answers = Callable[[DataFrame], DataFrame]
-CALL = ["model", "input_tokens", "output_tokens"]
 
 
 @dataclass(frozen=True)
@@ -45,49 +45,65 @@ class Judge:
 
 @dataclass(frozen=True)
 class Lint:
-    """The tables of a lint; each is lazy."""
+    """The tables of a lint; each is lazy. ``tables`` are the files behind them, which its ``discard`` deletes."""
 
     analyzed: DataFrame
+    placed: DataFrame
     blocks: DataFrame
-    payloads: DataFrame
     scores: DataFrame
     flagged: DataFrame
+    units: DataFrame
     requests: DataFrame  # about sentences
     located: DataFrame
     violations: DataFrame
     merged: DataFrame
     skipped: DataFrame
     calls: DataFrame
+    reused: DataFrame  # (stage, requests, asked): what was asked of the judge and what the store knew
+    tables: Tables
 
 
-def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits | None = None) -> Lint:
-    """docs(doc_id, text) through all stages. Sentences are unfolded only for units that the score gate flags.
+def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits | None = None, store: A.AnswerStore | None = None) -> Lint:
+    """docs(doc_id, text) through all stages. With a ``store`` only what it doesn't know is asked.
 
-    The structure, the states of blocks and every answer of the judge are checkpointed: later stages read them several
-    times, and a question must not be asked again, neither by a second reader nor when an executor is lost.
+    Five tables are written, in buckets: the documents' lines with their structure, once; and by document or unit the
+    places of blocks, cuts and scores, the places of the flagged units' sentences and the answers about them. These hold
+    numbers, names and headings only. States, texts of blocks and sentences are cut from the lines where they are sent or
+    shown; as lines and places are in the same buckets, that shuffles no text. An answer is written before it is used, so
+    no question is asked again by a second reader or when an executor is lost.
     """
-    limits = limits or Limits()
-    # dealt out by document: what is read back from a checkpoint has lost it, and windows over lines would shuffle the lines
-    shape = cut(S.analyze(docs, limits.window)).repartition("doc_id")
-    segmented = cut(judge.boundaries(S.boundary_requests(shape)).select("doc_id", "questions", "answers", *CALL))
-    cuts = B.boundary_cuts(segmented).unionByName(B.forced_cuts(shape))
-    payloads = cut(R.block_payloads(B.block_states(shape, cuts), cats))
-    found = payloads.select("doc_id", "block", "start", "end", "text")
+    limits, tables = limits or Limits(), Tables(docs.sparkSession, "lint")
+
+    def ask(kind: str, requests: DataFrame, how: Answers, keys: list[str], **keep: Column) -> DataFrame:
+        return store.ask(kind, requests, how, keys, keep, tables) if store else A.ask(requests, how, keys, keep)
+
+    shape = tables.put("lines", S.analyze(docs, limits.window), "doc_id")
+    asked = ask("boundaries", S.boundary_requests(shape), judge.boundaries, ["doc_id", "win"], questions=F.transform("questions", lambda q: F.struct(q["key"].alias("key"), q["j"].alias("j"))))
+    segmented = tables.put("cuts", asked.select("doc_id", "win", B.cuts_in("questions", "answers").alias("cuts"), "reused", *A.CALL), "doc_id")
+    cuts = segmented.select("doc_id", F.explode("cuts").alias("j")).unionByName(B.forced_cuts(shape))
+    states = R.block_payloads(B.block_states(shape, cuts), cats)
+    placed = tables.put("blocks", states.select("doc_id", "block", "start", "end", "heading", "from_idx", "payload"), "doc_id")
     # scores
     null = F.lit(None).cast("string")
-    about_blocks = R.block_score_requests(payloads, cats, limits.score).select("doc_id", F.lit("block").alias("scope"), "block", "heading", "context", "body", null.alias("document"), "questions")
+    fits = B.with_block_state(placed.where(F.col("payload") <= limits.score), shape)
+    about_blocks = R.block_score_requests(fits, cats, limits.score).select("doc_id", F.lit("block").alias("scope"), "block", "heading", "context", "body", null.alias("document"), "questions")
     about_docs = R.document_score_requests(shape, cats, limits.document).select("doc_id", F.lit("document").alias("scope"), F.lit(None).cast("int").alias("block"), null.alias("heading"), null.alias("context"), null.alias("body"), "document", "questions")
-    scored = cut(judge.scores(J.chunked(about_blocks.unionByName(about_docs))).select("doc_id", "scope", "block", "answers", *CALL))
-    scores = scored.select("doc_id", "scope", "block", F.explode("answers").alias("a")).select("doc_id", "scope", "block", F.col("a.key").alias("category"), "a.score", "a.confidence")
+    about = J.chunked(about_blocks.unionByName(about_docs)).withColumn("of", F.coalesce("block", F.lit(-1)))
+    scored = tables.put("scores", ask("scores", about, judge.scores, ["doc_id", "of", "chunk"]), "doc_id")
+    scope, block = F.when(F.col("of") < 0, "document").otherwise("block").alias("scope"), F.when(F.col("of") >= 0, F.col("of")).alias("block")
+    scores = scored.select("doc_id", scope, block, F.explode("answers").alias("a")).select("doc_id", "scope", "block", F.col("a.key").alias("category"), "a.score", "a.confidence")
     flagged = V.score_gate(scores, cats)
     # sentences of flagged blocks and of flagged documents
-    wanted = flagged.where("locate is not null").select(*R.UNIT, "category", "locate")
-    sized = R.locate_requests(wanted, payloads, shape)
-    asked = J.chunked(sized.where(F.col("payload") <= limits.locate))
-    answered = cut(R.located_sentences(judge.sentences(asked)))
-    located = R.unfolded(answered)
-    every = V.all_violations(V.locate_violations(located, cats), V.score_flag_violations(flagged, found, shape))
-    large = sized.where(F.col("payload") > limits.locate)
-    skipped = V.all_skipped(R.no_prose_skips(shape, cats), R.uninspected_pairs(shape), R.size_skips(shape, payloads, cats, limits.document, limits.score), R._skipped(large, "locate_state_too_large", category=F.col("category")))
-    calls = [df.select("doc_id", F.lit(stage).alias("stage"), *CALL) for stage, df in (("segment", segmented), ("score", scored), ("locate", answered))]
-    return Lint(shape, found, payloads, scores, flagged, asked, located, every, V.merge_violations(every), skipped, calls[0].unionByName(calls[1]).unionByName(calls[2]))
+    units = tables.put("units", R.flagged_units(flagged.where("locate is not null"), placed, shape), *R.AT)
+    about_sentences = J.chunked(R.locate_requests(units, shape, cats, limits.locate))
+    probs = F.transform("questions", lambda q: F.struct(q["key"].alias("key"), q["cand"].alias("cand")))
+    answered = ask("sentences", about_sentences, judge.sentences, [*R.AT, "category", "chunk"], questions=probs)
+    found = F.transform(J.with_probability(F.col("questions"), F.col("answers")), lambda x: F.struct(x["q"]["cand"].alias("cand"), x["prob"].alias("prob")))
+    answered = tables.put("sentences", answered.select(*R.AT, "category", "chunk", found.alias("probs"), "reused", *A.CALL), *R.AT)
+    hits = R.located_probabilities(answered, units)
+    every = V.all_violations(R.span_texts(V.locate_violations(hits, cats), shape, "start").select(*V.COLUMNS), V.score_flag_violations(flagged, placed, shape).select(*V.COLUMNS))
+    skipped = V.all_skipped(R.no_prose_skips(shape, cats), R.uninspected_pairs(shape), R.size_skips(shape, placed, cats, limits.document, limits.score), R.locate_skips(units, cats, limits.locate))
+    stages = [df.select("doc_id", F.lit(stage).alias("stage"), "reused", *A.CALL) for stage, df in (("segment", segmented), ("score", scored), ("locate", answered))]
+    calls = stages[0].unionByName(stages[1]).unionByName(stages[2])
+    reused = calls.groupBy("stage").agg(F.count("*").alias("requests"), F.count_if(~F.col("reused")).alias("asked"))
+    return Lint(shape, placed, B.with_block_text(placed.select("doc_id", "block", "start", "end"), shape), scores, flagged, units, about_sentences, R.span_texts(hits, shape), every, V.merge_violations(every), skipped, calls.where("not reused").drop("reused"), reused, tables)

@@ -386,7 +386,7 @@ def _(spark, d):
 @query("score_flag_violations")
 def _(spark, d):
     found = lint(spark, d)
-    return V.score_flag_violations(found.flagged, found.blocks, found.analyzed).drop("probability")
+    return V.score_flag_violations(found.flagged, found.placed, found.analyzed).drop("probability")
 
 
 @query("all_violations")
@@ -482,9 +482,8 @@ def _(spark, d):
 # evaluation: sweeps and regressions
 
 
-def candidates(spark: SparkSession, d: str, run: str = "l") -> DataFrame:
-    found = R.unfolded(R.located_sentences(I.locate_answers(lint(spark, d).requests, run)))
-    return found.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    return lint(spark, d).located.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
 
 
 @query("threshold_sweep")
@@ -498,10 +497,13 @@ def _(spark, d):
 
 
 def two_runs(spark: SparkSession, d: str) -> DataFrame:
-    """All candidates of one lint, answered twice."""
-    asked = lint(spark, d).requests
-    first, second = (R.unfolded(R.located_sentences(I.locate_answers(asked, run))).withColumns({"start": F.col("line"), "end": F.col("line")}) for run in ("l", "l2"))
-    return E.matched_candidates(first, second)
+    """All candidates of one lint, answered twice: the lint's own answers and those of another run."""
+    found = lint(spark, d)
+    probs = F.transform(J.with_probability(F.col("questions"), F.col("answers")), lambda x: F.struct(x["q"]["cand"].alias("cand"), x["prob"].alias("prob")))
+    again = I.locate_answers(found.requests, "l2").select(*R.AT, "category", probs.alias("probs"))
+    runs = {"first": found.located, "second": R.span_texts(R.located_probabilities(again, found.units), found.analyzed)}
+    placed = {name: E.record_candidates(found.tables, name, df.withColumns({"start": F.col("line"), "end": F.col("line")})) for name, df in runs.items()}
+    return E.matched_candidates(placed["first"], placed["second"])
 
 
 @query("matched_candidates")
