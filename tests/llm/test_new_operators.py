@@ -139,7 +139,9 @@ def test_whitening_of_odd_tables(spark):
     assert [(o.vec_id, o.component, o.deviation) for o in one] == [(1, 1, 768**2), (2, 1, 0), (3, 1, 768**2), (3, 1, 768**2)]
     assert [abs(round(o.whitened, 9)) for o in one] == [round(1.5**0.5, 9), 0, round(1.5**0.5, 9), round(1.5**0.5, 9)]
     big = of([(1, [1e15, 0.0]), (2, [0.0, 1.0]), (None, [1e300, 3.0])])  # beyond a long
-    assert big[0].vec_id is None and big[0].deviation is None and big[0].deviation_decimal > 1 << 63
+    assert big[0].vec_id is None and big[0].deviation is None
+    large = of([(1, [1e8, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 3.0])])
+    assert large[0].deviation is None and large[0].deviation_decimal == (2 * 25600000000) ** 2 + 1024**2
 
 
 def test_leading_components_are_found_or_refused():

@@ -1,7 +1,8 @@
 """Embedding whitening by Chebyshev-filtered subspace iteration.
 
 Vectors are made integers, x = floor(256 * c), so that sums and squared deviations are exact. The fit list holds each
-distinct x once, as a table in the shared folder. The leading eigenvectors of its covariance are found without forming
+distinct x once, as a table in the shared folder whose rows are blocks of vectors in the narrowest integers that hold
+them, so that a pass costs little more than its arithmetic. The leading eigenvectors of its covariance are found without forming
 it: every step is one distributed pass over the fit list that returns (X - mean)'(X - mean)Q / n for a narrow block Q,
 summed by dimension on the executors, so the driver sees one row a dimension.
 
@@ -37,6 +38,7 @@ COMPONENTS = 4
 GUARD = 28  # columns of the block beyond the wanted ones
 SCALE = 256
 CELLS = 1 << 18  # entries of vectors that are worked on at once
+BLOCK = 1 << 12  # entries of a row of the fit list
 CERTIFIED, ROUNDING = 1e-11, 4e-15  # residuals relative to the largest eigenvalue: allowed at most; not worth another round
 
 
@@ -75,42 +77,74 @@ def matrices(column: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield out
 
 
+def packed(vectors: DataFrame, width: int, kind: str) -> DataFrame:
+    """(block binary): the vectors of ``x``, BLOCK entries or one vector a row, as integers of the numpy type ``kind``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK // width)
+        for batch in batches:
+            for x in matrices(batch.column(0), width):
+                rows = [x[at : at + step].astype(kind).tobytes() for at in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["block"])
+
+    return vectors.select("x").mapInArrow(run, "block binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], width: int, kind: str) -> Iterator[np.ndarray]:
+    """The vectors of packed rows as int64 matrices, a bounded number of entries each."""
+    step = max(1, CELLS // width)
+    for batch in batches:
+        column = batch.column(0).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        x = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(-1, width)
+        for at in range(0, len(x), step):
+            yield x[at : at + step].astype(np.int64)
+
+
+class Fit(NamedTuple):
+    """The fit list: its table, the vectors' width and the integers' numpy type."""
+
+    table: DataFrame
+    width: int
+    kind: str
+
+
 def exact(x: np.ndarray, terms: int) -> np.ndarray:
     """x as it is if sums of ``terms`` squares of its entries fit into a long, else as Python integers."""
     most = max((abs(int(x.max())), abs(int(x.min()))), default=0) if x.size else 0
     return x if most * most * terms < 1 << 62 else x.astype(object)
 
 
-def fit_sums(fit: DataFrame, width: int) -> tuple[int, list[int], list[int]]:
+def fit_sums(fit: Fit) -> tuple[int, list[int], list[int]]:
     """The number of vectors, and each dimension's sum and sum of squares, exact."""
+    table, width, kind = fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, squares = 0, np.zeros(width, object), np.zeros(width, object)
-        for batch in batches:
-            for x in matrices(batch.column(0), width):
-                n, x = n + len(x), exact(x, len(x))
-                total, squares = total + x.sum(axis=0).astype(object), squares + (x * x).sum(axis=0).astype(object)
+        for x in unpacked(batches, width, kind):
+            n, x = n + len(x), exact(x, len(x))
+            total, squares = total + x.sum(axis=0).astype(object), squares + (x * x).sum(axis=0).astype(object)
         texts = lambda v: pa.array([str(i) for i in v])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(np.full(width, n)), texts(total), texts(squares)], names=["dim", "n", "total", "squares"])
 
-    parts = fit.mapInArrow(run, "dim long, n long, total string, squares string")
+    parts = table.mapInArrow(run, "dim long, n long, total string, squares string")
     big = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
     rows = sorted(parts.groupBy("dim").agg(F.sum("n"), big("total"), big("squares")).collect())
     return (rows[0][1] if rows else 0), [int(r[2]) for r in rows], [int(r[3]) for r in rows]
 
 
-def summed(fit: DataFrame, width: int, rows: int, columns: int, add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def summed(fit: Fit, rows: int, columns: int, add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum of add(x) over blocks x of vectors: a matrix of ``rows`` by ``columns``, added up row by row in Spark."""
+    table, width, kind = fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((rows, columns))
-        for batch in batches:
-            for x in matrices(batch.column(0), width):
-                total += add(x.astype(float))
+        for x in unpacked(batches, width, kind):
+            total += add(x.astype(float))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows)), *(pa.array(total[:, j]) for j in range(columns))], names=["dim", *(f"c{j}" for j in range(columns))])
 
     names = [f"c{j}" for j in range(columns)]
-    parts = fit.mapInArrow(run, "dim long, " + ", ".join(f"{c} double" for c in names))
+    parts = table.mapInArrow(run, "dim long, " + ", ".join(f"{c} double" for c in names))
     return np.array([r[1:] for r in sorted(parts.groupBy("dim").agg(*(F.sum(c) for c in names)).collect())])
 
 
@@ -170,7 +204,7 @@ def leading(apply: Callable[[np.ndarray], np.ndarray], width: int, components: i
         if size == width:
             values, block, applied = rayleigh_ritz(apply, block)  # the block is the whole space
             continue
-        cut = min(max(values[-1], 1e-12 * values[0]), values[0] / 2)
+        cut = max(values[-1], 1e-12 * values[0])
         values, block, applied = rayleigh_ritz(apply, chebyshev(apply, block, applied, cut, values[0], values[keep - 1]))
     raise RuntimeError(f"components not certified in {rounds} rounds: residual {best:.2g}")
 
@@ -178,15 +212,17 @@ def leading(apply: Callable[[np.ndarray], np.ndarray], width: int, components: i
 def fit_whitener(vectors: DataFrame, components: int = COMPONENTS) -> Whitener | None:
     """The whitener of integers(..) rows, from each distinct x once; None without rows."""
     spark = vectors.sparkSession
-    width = vectors.agg(F.max(F.size("x"))).first()[0]
+    width, low, high = vectors.agg(F.max(F.size("x")), F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
     if not width:
         return None
+    low, high = min(low, 0), max(high, 0)
+    kind = next(k for k in ("int8", "int16", "int32", "int64") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
     path = f"{shared_dir(spark)}/fit-{uuid.uuid4().hex}"
     try:
         short = F.when(F.size("x") < width, F.concat("x", F.array_repeat(F.lit(0).cast("long"), width - F.size("x")))).otherwise(F.col("x"))
-        vectors.select(short.alias("x")).distinct().write.parquet(path)
-        fit = spark.read.schema("x array<bigint>").parquet(path)
-        n, sums, squares = fit_sums(fit, width)
+        packed(vectors.select(short.alias("x")).distinct(), width, kind).write.parquet(path)
+        fit = Fit(spark.read.schema("block binary").parquet(path), width, kind)
+        n, sums, squares = fit_sums(fit)
         mean = np.array([s / n for s in sums])
         trace = sum(n * q - s * s for s, q in zip(sums, squares, strict=True)) / n / n
 
@@ -195,7 +231,7 @@ def fit_whitener(vectors: DataFrame, components: int = COMPONENTS) -> Whitener |
                 x = x - mean
                 return x.T @ (x @ block)
 
-            return summed(fit, width, width, block.shape[1], add) / n
+            return summed(fit, width, block.shape[1], add) / n
 
         values, found, residual = leading(apply, width, components)
         if not len(values):
@@ -205,7 +241,7 @@ def fit_whitener(vectors: DataFrame, components: int = COMPONENTS) -> Whitener |
             y = (x - mean) @ found / np.sqrt(values)
             return y.T @ y
 
-        error = float(np.abs(summed(fit, width, len(values), len(values), spread) / n - np.eye(len(values))).max())
+        error = float(np.abs(summed(fit, len(values), len(values), spread) / n - np.eye(len(values))).max())
         return Whitener(n, sums, found, values, trace, residual, error)
     finally:
         remove(spark, path)
