@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from versoscan.functions.numbering import numbered
 from versoscan.llm import words as W
-from versoscan.llm.shared import table
+from versoscan.llm.shared import cut, table
 
 BUCKETS, LONGEST_RUN, LEAST_WORDS, PERCENT, SEED = 10_000, 3, 20, 5, 42
 BLOCK = 256  # bytes of a feature that are folded at once
@@ -179,7 +179,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     are dealt out by score.
     """
     gain = gains(bucket_counts(target, buckets, longest), bucket_counts(docs, buckets, longest))
-    scored = weigh(docs, gain, longest).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    # read by the sampling of ranges and by the sort; a row holds numbers only
+    scored = cut(weigh(docs, gain, longest).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)))
     can = F.col("n_words") >= least_words
     placed = numbered(scored.withColumn("_out", ~can), [F.col("_out"), F.desc("score"), F.col("doc_id")], "rank")
     drawn = placed.where(can).count() * percent // 100
