@@ -52,6 +52,44 @@ def test_middle_values(spark):
     assert E.middle_values(rows.limit(0), (), "v").count() == 0
 
 
+@pytest.mark.parametrize("values", ["outlier", "normal", "ties"])
+def test_ranges_hold_equally_many_values(spark, values):
+    """One value far away, or most values close together, leave no range with many of them."""
+    v = {"outlier": F.when(F.col("id") == 7, 1e12).otherwise(F.rand(3)), "normal": F.randn(3), "ties": F.floor(F.rand(3) * 3).cast("double")}[values]
+    rows = spark.range(100_000).select(F.lit("g").alias("g"), v.alias("v"))
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    sizes = [r[0] for r in E._in_ranges(counts, ("g",), "v").groupBy("range_").agg(F.count("*")).select("count(1)").collect()]
+    assert max(sizes) <= 3 * max(1, sum(sizes) / E.RANGES)
+    kept = sorted(r.v for r in rows.collect())
+    got = E.middle_values(rows, ("g",), "v").first()
+    assert (got.n, got.lower, got.upper) == (len(kept), kept[(len(kept) - 1) // 2], kept[len(kept) // 2])
+
+
+def test_report_equals_its_measures(spark):
+    """The one pass over pairs against each measure on its own."""
+    r = random.Random(6)
+    rows = [(e, g, d, i, i + 1, k, r.choice([0.1, 0.45, 0.5, 0.62, r.random()])) for e, g in (("E-E", "current"), ("E-C", "role")) for d in ("window", "design") for i in range(40) for k in range(3)]
+    o = spark.createDataFrame(rows, OBS)
+    lab = spark.createDataFrame([(d, i, i + 1, r.choice(["boundary", "continue", "either"]), r.choice(["見出し", ""])) for d in ("window", "design") for i in range(0, 40, 2)], LAB)
+    got = {(x.experiment, x.part): x for x in E.boundary_report(o, lab).collect()}
+    assert set(got) == {("E-E", "all"), ("E-E", "window"), ("E-E", "design"), ("E-E", "measured"), ("E-C", "all")}
+    stats = E.pair_stats(o)
+    labelled = E.with_labels(stats, lab)
+    for (experiment, part), x in got.items():
+        mine = (stats if part == "measured" else labelled).where(F.col("experiment") == experiment)
+        mine = mine if part in ("all", "measured") else mine.where(F.col("doc") == part)
+        mass, sd = E.band_mass(mine).first(), E.repeat_sd_summary(mine).first()
+        assert (x.band_mass, x.band_mass_legacy, x.band_mass_pair_mean) == pytest.approx(tuple(mass)[2:])
+        assert (x.n_pairs, x.sd_mean, x.sd_median, x.sd_max) == pytest.approx(tuple(sd)[2:])
+        if part == "measured":
+            assert (x.n_either, x.auc, x.brier, x.ece) == (None,) * 4
+            continue
+        counts = E.group_counts(mine).first()
+        assert (x.n_pairs, x.n_obs, x.n_either, x.n_confirmed, x.n_contested) == tuple(counts)[2:]
+        assert (x.auc, x.n_pos, x.n_neg) == pytest.approx(tuple(E.auc(mine).first())[2:])
+        assert (x.auc_no_contested, x.brier, x.ece) == pytest.approx((E.auc(mine, contested=False).first().auc, E.brier(mine).first().brier, E.calibration_error(mine).first().ece))
+
+
 def test_polarity_and_band(spark):
     got = spark.createDataFrame([(0.1, -1), (0.3, 1), (0.3, None)], "p double, s int").select(E.polarity(F.col("p"), F.col("s"))).collect()
     assert [r[0] for r in got] == [0.9, 0.3, 0.3]

@@ -10,10 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from versoscan.functions.tables import Tables
+from versoscan.operators import evaluate as E
 from versoscan.operators import judge as J
 from versoscan.operators import rules
 from versoscan.plans import inputs as I
-from versoscan.plans.lint import Judge, Limits, lint_corpus
+from versoscan.operators.answers import AnswerStore
+from versoscan.plans.lint import Judge, Limits, evaluate_thresholds, lint_corpus
+from versoscan.sources import files
 
 DATA = os.environ.get("VERSOSCAN_TEST_DATA", "/root/testdata/sf0.001")
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -62,6 +66,85 @@ def test_lint_with_a_judge_that_reads(spark):
     assert {c.stage: c["count"] for c in calls}["segment"] == windows
 
 
+def test_no_text_is_kept_but_the_lines(spark):
+    """Of the lint's tables only that of lines holds text; sentences are places in it, and come back as they were."""
+    docs = spark.createDataFrame([(k, "# 題\n" + "\n".join(f"文{i}。続き{k}。" for i in range(40))) for k in range(6)], "doc_id long, text string")
+    found = hash_lint(spark, docs)
+    assert found.merged.count() and found.located.count()
+    texts = lambda name: sorted(c for c, kind in spark.read.parquet(f"{found.tables.folder}/{name}").dtypes if "string" in kind)
+    assert texts("blocks") == ["heading"] and texts("units") == ["asked", "heading", "scope"] and texts("sentences") == ["category", "model"] and texts("cuts") == ["model"]
+    assert texts("scores") == ["answers", "model"]
+    stored, text = found.tables.bytes(), docs.select(F.sum(F.octet_length("text"))).first()[0]
+    long = spark.createDataFrame([(k, "\n".join(hashlib.md5(f"{k}.{i}".encode()).hexdigest() * 4 + "。" for i in range(400))) for k in range(20)], "doc_id long, text string")
+    big = hash_lint(spark, long)
+    big.merged.count()
+    grown, grown_text = big.tables.bytes() - stored, long.select(F.sum(F.octet_length("text"))).first()[0] - text
+    assert grown < 2 * grown_text
+    found.tables.discard()
+    assert found.tables.bytes() == 0
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    """Equal contents are one question; a second lint of the same corpus asks nothing and finds the same."""
+    text = "# 題\n" + "\n".join(f"文{i}。続き{i}。" for i in range(70))
+    docs = spark.createDataFrame([(0, text), (1, text), (2, "短い文。\n次の文。")], "doc_id long, text string")
+    asked = spark.sparkContext.accumulator(0)
+    _, inner = reading_judge()
+
+    def counting(how):
+        def fn(requests):
+            @F.udf("boolean")
+            def seen(_):
+                asked.add(1)
+                return True
+
+            return how(requests.where(seen.asNondeterministic()(F.size("questions"))))
+
+        return fn
+
+    judge = Judge(counting(inner.boundaries), counting(inner.scores), counting(inner.sentences))
+    store = AnswerStore(spark, str(tmp_path / "answers"))
+    cats = rules.read_ruleset(spark)
+    plain = lint_corpus(docs, cats, inner).merged.collect()
+    first = lint_corpus(docs, cats, judge, store=store)
+    rows = {r.stage: (r.requests, r.asked) for r in first.reused.collect()}
+    assert sorted(map(str, first.merged.collect())) == sorted(map(str, plain))
+    assert asked.value == sum(a for _, a in rows.values()) == first.calls.count()
+    assert all(a < n for n, a in rows.values())  # documents 0 and 1 are equal
+    before = asked.value
+    second = lint_corpus(docs, cats, judge, store=store)
+    assert sorted(map(str, second.merged.collect())) == sorted(map(str, plain))
+    assert asked.value == before and second.calls.count() == 0
+    assert {r.stage: (r.requests, r.asked) for r in second.reused.collect()} == {k: (n, 0) for k, (n, _) in rows.items()}
+    changed = lint_corpus(docs.unionByName(spark.createDataFrame([(3, "新しい文。")], docs.schema)), cats, judge, store=store)
+    assert changed.merged.where("doc_id < 3").count() == len(plain) and asked.value > before
+
+
+def test_runs_are_compared_in_place(spark):
+    tables = Tables(spark, "runs")
+    schema = "doc_id long, scope string, start int, end int, col int, text string, category string, prob double"
+    rows = [(d, "block", k, k, 0, f"t{k}", "c", d / 50) for d in range(50) for k in range(20)]
+    a, b = (E.record_candidates(tables, n, spark.createDataFrame(rows, schema).withColumn("prob", F.col("prob") + shift)) for n, shift in (("a", 0.0), ("b", 0.1)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        both = E.matched_candidates(a, b)
+        assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+        assert both.count() == 1000 and both.where("abs(new_prob - base_prob - 0.1) > 1e-9").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    tables.discard()
+
+
+def test_threshold_evaluation_leaves_a_dump(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "\n".join(f"文{i}。続き{k}。" for i in range(30))) for k in range(4)], "doc_id long, text string")
+    path = str(tmp_path / "dump")
+    sweep = evaluate_thresholds(docs, rules.read_ruleset(spark), I.hash_judge(), path).collect()
+    back = files.read_dump(spark, path)
+    assert sorted(back) == ["calls", "candidates", "inputs", "thresholds"] and back["inputs"].count() == 4
+    assert sorted(sweep) == sorted(E.threshold_sweep(back["candidates"]).collect())
+
+
 def test_edge_documents(spark):
     docs = spark.createDataFrame([(0, None), (1, ""), (2, "```\nx\n```"), (3, "一文。"), (4, "a\n" * 3)], "doc_id long, text string")
     found = hash_lint(spark, docs)
@@ -102,14 +185,14 @@ def test_judge_keeps_rows(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["build_blocks", "boundary_candidates", "masked_text", "payload_chars", "boundary_report", "threshold_sweep", "choice_questions", "locate_requests", "read_ruleset", "state_hash", "judge_choice", "fail_under"])
+@pytest.mark.parametrize("name", ["build_blocks", "boundary_candidates", "masked_text", "payload_chars", "boundary_report", "threshold_sweep", "choice_questions", "locate_requests", "read_ruleset", "state_hash", "judge_choice", "fail_under", "list_continuations", "forced_cuts", "merged_categories", "eval_dump", "reused_answers", "excluded_files", "run_exit_code", "matched_candidates"])
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = entry.queries()[name](spark, DATA).toPandas()
     want = con.sql(entry.oracle_sql()[name]).df()
-    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(got.columns) == sorted(want.columns) and len(got)
     key = lambda d: sorted(json.dumps([None if pd.isna(v) else f"{v:.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r]) for r in d[sorted(d.columns)].itertuples(index=False))
     assert key(got) == key(want)
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from versoscan.functions.numbering import numbered
 from versoscan.operators import report as P
 from versoscan.operators import rules
 from versoscan.operators import violations as V
@@ -122,3 +123,63 @@ def test_read_documents_runs_labels(spark, tmp_path):
     assert files.read_labels(spark, str(tmp_path / "labels"), one_a_file=False).collect() == files.read_labels(spark, str(tmp_path / "l.json")).collect()
     files.write_report(spark.createDataFrame([("g", None)], "grp string, auc double"), str(tmp_path / "report"))
     assert spark.read.text(str(tmp_path / "report")).first().value == '{"grp":"g","auc":null}'
+
+
+def test_requests_keep_their_order(spark, tmp_path):
+    requests = [{"pairs": [{"i": i, "j": i + 1}], "probs": {f"b{i}": 0.1}, "model": "m", "usage": {"input_tokens": 1, "output_tokens": 1}} for i in (5, 2, 9, 0)]
+    (tmp_path / "r.json").write_text(json.dumps({"runs": [{"experiment": "E-E", "doc": "d", "rep": 0, "variant": "current", "polarity": 1, "params": {"q": 10}, "requests": requests}]}))
+    runs = files.read_runs(spark, str(tmp_path / "r.json"))
+    files.write_runs(runs.repartition(4, "request"), str(tmp_path / "runs"))
+    again = files.read_runs(spark, str(tmp_path / "runs"), one_a_file=False).orderBy("request").collect()
+    assert [r.pairs[0].i for r in again] == [5, 2, 9, 0] and [r.request for r in again] == [0, 1, 2, 3]
+
+
+def test_dump_is_verified(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    a = spark.createDataFrame([(1, [1.5, None], {"k": "v"}), (2, None, None)], "id long, x array<double>, m map<string,string>")
+    files.write_dump({"a": a, "empty": a.limit(0)}, path)
+    back = files.read_dump(spark, path)
+    assert sorted(map(str, back["a"].collect())) == sorted(map(str, a.collect())) and back["empty"].count() == 0 and back["empty"].schema == a.schema
+    a.limit(1).write.mode("append").parquet(f"{path}/a")
+    with pytest.raises(ValueError, match="manifest says 2"):
+        files.read_dump(spark, path)
+    a.withColumn("id", F.col("id") + 1).write.mode("overwrite").parquet(f"{path}/a")
+    with pytest.raises(ValueError, match="hash"):
+        files.read_dump(spark, path)
+    (tmp_path / "half").mkdir()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_dump(spark, str(tmp_path / "half"))
+
+
+def test_excluded_files_and_relative_roots(spark, tmp_path, monkeypatch):
+    """A root is found as a whole path, not where its name happens to stand in another one."""
+    top = tmp_path / "mydocs" / "docs"
+    for name in ("a.md", "sub/b.md", "build/c.md", "sub/d.txt", "e.rst"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("x")
+    row = files.excluded_files(spark, str(top), ["sub/*.md"]).first()
+    assert (row.files, row.excluded) == (4, 2)
+    kept = [r.doc_id for r in files.read_documents(spark, str(top), ["sub/*.md"]).collect()]
+    assert sorted(k.rsplit("/docs/", 1)[1] for k in kept) == ["a.md", "sub/d.txt"]
+    assert tuple(files.excluded_files(spark, [str(top / "e.rst"), str(top)]).where("files = 1").first())[1:] == (1, 0)
+    paths = spark.createDataFrame([("/home/mydocs/docs/sub/a.md", "/home/mydocs/docs"), ("mydocs/docs/sub/a.md", "docs")], "path string, root string")
+    assert [r[0] for r in paths.select(files.is_excluded(F.col("path"), F.col("root"), ["sub/*"])).collect()] == [True, False]
+
+
+def test_run_exit_code(spark):
+    codes = spark.createDataFrame([(0, 0), (1, 1), (2, 0)], "doc_id long, exit_code int")
+    assert tuple(P.run_exit_code(codes).first()) == (1, 1, 3) and tuple(P.run_exit_code(codes.limit(0)).first()) == (0, 0, 0)
+
+
+def test_numbers_by_ranges(spark):
+    rows = spark.range(5000).select(F.pmod(F.hash("id"), F.lit(700)).alias("k"), F.when(F.col("id") % 9 > 0, F.col("id")).alias("v"))
+    got = numbered(rows, [F.desc("k"), F.asc_nulls_last("v")]).collect()
+    assert [r.number for r in sorted(got, key=lambda r: r.number)] == list(range(1, 5001))
+    order = [(-r.k, r.v is None, r.v or 0) for r in sorted(got, key=lambda r: r.number)]
+    assert order == sorted(order)
+    assert numbered(rows.limit(0), [F.col("k")]).count() == 0
+    cats = rules.categories(spark, {"categories": [rules._category(f"c{i}", "x") for i in range(50)]})
+    new = cats.withColumn("name", F.concat(F.lit("n"), "name"))
+    merged = rules.merge_categories(cats, new)
+    assert "SinglePartition" not in merged._jdf.queryExecution().executedPlan().toString()
+    assert [r.name for r in merged.orderBy("pos").collect()] == [f"c{i}" for i in range(50)] + [f"nc{i}" for i in range(50)]

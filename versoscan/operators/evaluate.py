@@ -4,7 +4,7 @@ Observations are one long table obs(experiment, grp, doc, i, j, rep, p), p alrea
 boundary. Measures group by ``by`` columns. Labels grow with the documents, so joins with them are left to adaptive
 execution, which broadcasts only what it has measured to be small. No pair of positives and negatives is ever formed,
 and no group is sorted or gathered in one task: medians and the AUC come from counts of distinct values in RANGES
-ranges of their group, prefix sums over the ranges, and ranks within a range.
+ranges of about equally many values of their group, prefix sums over the ranges, and ranks within a range.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from versoscan.functions.lineage import cut
 from versoscan.functions.tables import Tables
 
 # fixed values of the evaluation
@@ -21,25 +22,35 @@ FLIP_FROM, FLIP_TO, FLIP_STEP = 30, 70, 2  # hundredths
 BAND, BINS = 0.1, 10
 CONTESTED = "見出し"
 MEDIAN_SHIFT, MOVED, MOVED_SHARE = 0.03, 0.05, 0.2
-RANGES = 1024  # of a group's values
+SIDE = 32
+RANGES = SIDE * SIDE  # of a group's values
 PLACE = ["start", "end", "col", "text", "category"]
 CANDIDATE = ["doc_id", "scope", *PLACE]
 
 
 def _in_ranges(counts: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
-    """counts with ``range_``, the part of its group's values in which each lies: RANGES of equal width."""
-    ends = counts.groupBy(*by).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
-    part = F.floor((F.col(value) - F.col("low_")) / (F.col("high_") - F.col("low_")) * RANGES)
-    return counts.join(ends, list(by)).withColumn("range_", F.when(F.col("high_") > F.col("low_"), F.least(part, F.lit(RANGES - 1))).otherwise(F.lit(0))).drop("low_", "high_")
+    """counts, a row a distinct value, with ``range_``, the part of its group's values in which each lies.
 
-
-def _before(counts: DataFrame, by: tuple[str, ...], value: str, number: str) -> DataFrame:
-    """counts, in ranges, with ``before``: the sum of ``number`` over the lower values of the group."""
-    per_range = counts.groupBy(*by, "range_").agg(F.sum(number).alias("in_range"))
+    The ranges hold about equally many rows however the values lie: their ends are quantiles of the group's values, from
+    sketches that each task makes of its own rows. Ends are looked up in two steps of SIDE.
+    """
+    shares = F.array(*(F.lit(k / RANGES) for k in range(RANGES)))
+    ends = counts.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(10 * RANGES)).alias("ends_"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda k: F.slice("ends_", k * SIDE + 1, F.lit(SIDE)))
+    ends = ends.select(*by, rows.alias("rows_"), F.transform(rows, lambda r: F.get(r, F.lit(0))).alias("firsts_"))
+    upto = lambda column: F.size(F.filter(column, lambda e: e <= F.col(value)))
+    row = F.greatest(upto("firsts_") - 1, F.lit(0))
+    return counts.join(ends, list(by)).withColumn("row_", row).withColumn("range_", F.col("row_") * SIDE + upto(F.get("rows_", F.col("row_")))).drop("rows_", "firsts_", "row_")
+
+
+def _before(counts: DataFrame, by: tuple[str, ...], value: str, *numbers: str) -> DataFrame:
+    """counts, in ranges, with ``before_<number>``: the sum of each number over the lower values of the group."""
+    per_range = counts.groupBy(*by, "range_").agg(*(F.sum(n).alias(n) for n in numbers))
     upto = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
-    lower = per_range.select(*by, "range_", F.coalesce(F.sum("in_range").over(upto), F.lit(0)).alias("ranges_before"))
+    lower = per_range.select(*by, "range_", *(F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"lower_{n}") for n in numbers))
     within = Window.partitionBy(*by, "range_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(lower, [*by, "range_"]).withColumn("before", F.col("ranges_before") + F.coalesce(F.sum(number).over(within), F.lit(0))).drop("ranges_before")
+    placed = counts.join(lower, [*by, "range_"])
+    return placed.withColumns({f"before_{n}": F.col(f"lower_{n}") + F.coalesce(F.sum(n).over(within), F.lit(0)) for n in numbers}).drop(*(f"lower_{n}" for n in numbers))
 
 
 def middle_values(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
@@ -49,7 +60,7 @@ def middle_values(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
     total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     placed = _before(_in_ranges(counts, by, value), by, value, "c").join(total, list(by))
-    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("c")), F.col(value)))
+    at = lambda k: F.max(F.when((F.col("before_c") <= k) & (k < F.col("before_c") + F.col("c")), F.col(value)))
     return placed.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor((F.col("n") - 1) / 2)).alias("lower"), at(F.floor(F.col("n") / 2)).alias("upper"))
 
 
@@ -175,17 +186,28 @@ def with_labels(stats: DataFrame, labels: DataFrame, how: str = "inner") -> Data
     return rows.withColumns({"truth": truth, "contested": F.coalesce((F.col("label") == "continue") & F.contains("note", F.lit(CONTESTED)), F.lit(False))})
 
 
-def auc(labelled: DataFrame, by: tuple[str, ...] = ("experiment", "grp"), contested: bool = True) -> DataFrame:
-    """(by.., auc, n_pos, n_neg) of mean against truth: ties count half, null if a side is empty.
+def _auc(wins: str, pos: str, neg: str) -> Column:
+    return F.when((F.col(pos) > 0) & (F.col(neg) > 0), F.col(wins) / (F.col(pos) * F.col(neg)))
+
+
+def _auc_sums(labelled: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by.., wins, n_pos, n_neg, wins_sure, n_neg_sure): for all negatives and for those that aren't contested.
 
     Equal scores are counted first; a positive wins over the negatives of lower scores and half of those of its own.
     """
-    rows = labelled.where("truth is not null")
-    rows = rows if contested else rows.where("not contested")
-    scores = rows.groupBy(*by, "mean").agg(F.sum("truth").alias("pos"), F.sum(1 - F.col("truth")).alias("neg"))
-    wins = _before(_in_ranges(scores, by, "mean"), by, "mean", "neg").withColumn("wins", F.col("pos") * (F.col("before") + F.col("neg") / 2))
-    sums = wins.groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return sums.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
+    negative = 1 - F.col("truth")
+    scores = labelled.where("truth is not null").groupBy(*by, "mean").agg(F.sum("truth").alias("pos"), F.sum(negative).alias("neg"), F.sum(F.when(~F.col("contested"), negative).otherwise(0)).alias("sure"))
+    placed = _before(_in_ranges(scores, by, "mean"), by, "mean", "neg", "sure")
+    wins = lambda n: F.sum(F.col("pos") * (F.col(f"before_{n}") + F.col(n) / 2))
+    return placed.groupBy(*by).agg(wins("neg").alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins("sure").alias("wins_sure"), F.sum("sure").alias("n_neg_sure"))
+
+
+def auc(labelled: DataFrame, by: tuple[str, ...] = ("experiment", "grp"), contested: bool = True) -> DataFrame:
+    """(by.., auc, n_pos, n_neg) of mean against truth: ties count half, null if a side is empty."""
+    sums = _auc_sums(labelled, by)
+    if contested:
+        return sums.select(*by, _auc("wins", "n_pos", "n_neg").alias("auc"), "n_pos", "n_neg")
+    return sums.where("n_pos + n_neg_sure > 0").select(*by, _auc("wins_sure", "n_pos", "n_neg_sure").alias("auc"), "n_pos", F.col("n_neg_sure").alias("n_neg"))
 
 
 def brier(labelled: DataFrame, by: tuple[str, ...] = ("experiment", "grp")) -> DataFrame:
@@ -231,27 +253,55 @@ def group_counts(labelled: DataFrame, by: tuple[str, ...] = ("experiment", "grp"
     return labelled.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_obs"), F.count_if(F.col("label") == "either").alias("n_either"), F.count_if(truth.isNotNull()).alias("n_confirmed"), F.count_if("contested").alias("n_contested"))
 
 
-def scoped(stats: DataFrame) -> DataFrame:
-    """Each pair once for its group as a whole and, in E-E, once for its document: ``part`` is all or the document."""
-    parts = F.explode(F.when(F.col("experiment") == "E-E", F.array(F.lit("all"), F.col("doc"))).otherwise(F.array(F.lit("all")))).alias("part")
-    return stats.select("*", parts)
+def scoped(pairs: DataFrame) -> DataFrame:
+    """Labelled pairs once for their group as a whole and, in E-E, once for their document; pairs of E-E, labelled or not,
+    once more as measured. ``part`` is all, measured or the document."""
+    none, own = F.array().cast("array<string>"), F.col("experiment") == "E-E"
+    parts = F.concat(F.when(F.col("label").isNotNull(), F.array(F.lit("all"))).otherwise(none), F.when(F.col("label").isNotNull() & own, F.array("doc")).otherwise(none), F.when(own, F.array(F.lit("measured"))).otherwise(none))
+    return pairs.select("*", F.explode(parts).alias("part"))
+
+
+def _report_sums(pairs: DataFrame) -> DataFrame:
+    """What can be summed of the report, by experiment, group and part, in one pass over the pairs: partial sums a bin of
+    probability by grouping sets over (group), (group, document), each for labelled and for unlabelled pairs."""
+    truth, mean = F.col("truth"), F.col("mean")
+    rows = pairs.select(
+        "experiment", "grp", F.when(F.col("experiment") == "E-E", F.col("doc")).alias("of"), F.col("label").isNotNull().alias("labelled"), F.when(truth.isNotNull(), bin_of(mean)).alias("bin"),
+        "label", "truth", "contested", "mean", "n", "sd", "in_band", "in_legacy", band(mean).cast("int").alias("mean_in_band"), F.pow(mean - truth, 2).alias("off"),
+    )
+    key = ["experiment", "grp", "of", "labelled", "bin"]
+    total = lambda c: F.sum(c).alias(c)
+    parts = rows.groupingSets([["experiment", "grp", "labelled", "bin"], key], *key).agg(
+        F.grouping("of").alias("whole"), F.count("*").alias("pairs"), total("n"), F.count_if(F.col("label") == "either").alias("either"), F.count("truth").alias("confirmed"), F.count_if("contested").alias("contested"),
+        total("in_band"), total("in_legacy"), total("mean_in_band"), total("off"), F.sum(F.when(truth.isNotNull(), mean)).alias("sure_mean"), F.sum("truth").alias("sure_truth"), total("sd"), F.max("sd").alias("sd_max"),
+    )
+    # a handful of rows a group: each counts for the group's part, its document's, and for all that was measured
+    whole, own = F.col("whole") == 1, F.col("experiment") == "E-E"
+    part = F.array(F.when(whole & F.col("labelled"), F.lit("all")), F.when(~whole & F.col("labelled"), F.col("of")), F.when(whole & own, F.lit("measured")))
+    parts = parts.select("*", F.explode(F.filter(part, lambda p: p.isNotNull())).alias("part"))
+    known = lambda c: F.when(F.first("part") != "measured", c)
+    n, pairs_ = F.sum("n"), F.sum("pairs")
+    return parts.groupBy("experiment", "grp", "part").agg(
+        pairs_.alias("n_pairs"), n.alias("n_obs"), known(F.sum("either")).alias("n_either"), known(F.sum("confirmed")).alias("n_confirmed"), known(F.sum("contested")).alias("n_contested"),
+        (F.sum("in_band") / n).alias("band_mass"), (F.sum("in_legacy") / n).alias("band_mass_legacy"), (F.sum("mean_in_band") / pairs_).alias("band_mass_pair_mean"),
+        (F.sum("sd") / pairs_).alias("sd_mean"), F.max("sd_max").alias("sd_max"), known(F.try_divide(F.sum("off"), F.sum("confirmed"))).alias("brier"),
+        known(F.try_divide(F.sum(F.abs(F.col("sure_mean") - F.col("sure_truth"))), F.sum("confirmed").cast("double"))).alias("ece"),
+    )
 
 
 def boundary_report(obs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row an experiment, group and part with all measures; E-E also over all measured pairs (part measured).
 
-    The observations are shuffled once, to pairs; everything after works on the pairs.
+    Observations are shuffled once, to pairs, and these are checkpointed. One pass over the pairs gives everything that
+    can be summed; medians and the AUC take one more each, for the ranks.
     """
-    by = ("experiment", "grp", "part")
-    stats = pair_stats(obs)
-    labelled = scoped(with_labels(stats, labels))
-    out = group_counts(labelled, by).join(band_mass(labelled, by), list(by), "left")
-    sd = repeat_sd_summary(labelled, by).select(*by, F.col("mean").alias("sd_mean"), F.col("median").alias("sd_median"), F.col("max").alias("sd_max"))
-    for part in (sd, auc(labelled, by), auc(labelled, by, False).select(*by, F.col("auc").alias("auc_no_contested")), brier(labelled, by), calibration_error(labelled, by)):
-        out = out.join(part, list(by), "left")
-    every = stats.where("experiment = 'E-E'").withColumn("part", F.lit("measured"))
-    extra = every.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.sum("n").alias("n_obs")).join(band_mass(every, by), list(by)).join(repeat_sd_summary(every, by).select(*by, F.col("mean").alias("sd_mean"), F.col("median").alias("sd_median"), F.col("max").alias("sd_max")), list(by))
-    return out.unionByName(extra, allowMissingColumns=True)
+    by = ["experiment", "grp", "part"]
+    pairs = cut(with_labels(pair_stats(obs), labels, "left"))
+    rows = scoped(pairs)
+    median = middle_values(rows, tuple(by), "sd").select(*by, F.col("upper").alias("sd_median"))
+    ranks = _auc_sums(rows.where("part <> 'measured'"), tuple(by)).select(*by, _auc("wins", "n_pos", "n_neg").alias("auc"), "n_pos", "n_neg", _auc("wins_sure", "n_pos", "n_neg_sure").alias("auc_no_contested"))
+    out = _report_sums(pairs).join(median, by, "left").join(ranks, by, "left")
+    return out.select(*by, "n_pairs", "n_obs", "n_either", "n_confirmed", "n_contested", "band_mass", "band_mass_legacy", "band_mass_pair_mean", "sd_mean", "sd_median", "sd_max", "auc", "n_pos", "n_neg", "auc_no_contested", "brier", "ece")
 
 
 def label_counts(labels: DataFrame) -> DataFrame:

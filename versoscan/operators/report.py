@@ -28,6 +28,11 @@ def exit_codes(docs: DataFrame, merged: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(errors.withColumn("code", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("code", F.lit(0)).alias("exit_code"))
 
 
+def run_exit_code(codes: DataFrame) -> DataFrame:
+    """One row: the run's exit code, the highest of its documents' (0 without any), and how many documents fail."""
+    return codes.agg(F.coalesce(F.max("exit_code"), F.lit(0)).alias("exit_code"), F.count_if(F.col("exit_code") > 0).alias("failed"), F.count("*").alias("documents"))
+
+
 def fail_under(merged: DataFrame, scores: DataFrame, limit: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., exit_code, worst): 1 if there is an error, or if the least score of all (3.0 without any) is below the limit;
     one row for everything, or one a group."""

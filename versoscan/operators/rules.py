@@ -10,7 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from versoscan.functions.numbering import numbered
 
 SCHEMA = "pos int, name string, enabled boolean, scope string, severity string, threshold double, description string, levels array<string>, levels_document array<string>, locate string, locate_threshold double, is_set array<string>"
 FIELDS = ["enabled", "scope", "severity", "threshold", "description", "levels", "levels_document", "locate", "locate_threshold"]
@@ -97,18 +98,20 @@ def load_ruleset(source: str, base_dir: Path | None = None) -> dict:
 def read_ruleset(spark: SparkSession, source: str = "base", on_top: str | None = None) -> DataFrame:
     """The categories of a ruleset after its chain of ``extends``, and of a user's own on top."""
 
-    def resolve(name: str, base_dir: Path | None, seen: tuple[str, ...]) -> DataFrame:
+    def resolve(name: str, base_dir: Path | None, seen: tuple[str, ...]) -> tuple[DataFrame, int]:
         data = load_ruleset(name, base_dir)
         if data["_id"] in seen:
             raise ValueError(f"ruleset extends cycle: {data['_id']}")
         own = categories(spark, data)
-        parent = resolve(data["extends"], data.get("_dir"), (*seen, data["_id"])) if data.get("extends") else own.limit(0)
+        parent, depth = resolve(data["extends"], data.get("_dir"), (*seen, data["_id"])) if data.get("extends") else (_ranked(own.limit(0), 0), 0)
         if problems := [f"{r['category']}.{r['field']}: {r['message']}" for r in invalid_categories(own).unionByName(patch_errors(parent, own)).collect()]:
             raise ValueError(f"invalid ruleset {name}: " + "; ".join(problems))
-        return merge_categories(parent, own)
+        return _merged(parent, own, depth + 1), depth + 1
 
-    found = resolve(source, None, ())
-    return merge_categories(found, resolve(on_top, None, ())) if on_top else found
+    found, depth = resolve(source, None, ())
+    if on_top:
+        found = _merged(found, _placed(resolve(on_top, None, ())[0]), depth + 1)
+    return _placed(found)
 
 
 def _problems(*checks: tuple[str, Column, str]) -> Column:
@@ -141,16 +144,30 @@ def patch_errors(parent: DataFrame, child: DataFrame) -> DataFrame:
     return found.select("category", "p.field", "p.message")
 
 
-def merge_categories(parent: DataFrame, child: DataFrame) -> DataFrame:
-    """By name: the child's given fields (an explicit null too) replace the parent's; the parent's order, then new ones."""
-    p, c = parent.alias("p"), child.alias("c")
+def _ranked(cats: DataFrame, depth: int) -> DataFrame:
+    """``rank``: the ruleset that brought a category, counted from the outermost parent, and the place there."""
+    return cats.withColumn("rank", F.struct(F.lit(depth).alias("depth"), F.col("pos").alias("pos")))
+
+
+def _merged(parent: DataFrame, child: DataFrame, depth: int) -> DataFrame:
+    """parent(.., rank) and child by name, with the rank of each category; places are not numbered yet."""
+    p, c = parent.alias("p"), _ranked(child, depth).alias("c")
     joined = p.join(c, F.col("p.name") == F.col("c.name"), "full_outer")
     new = F.col("p.name").isNull()
     pick = lambda f: F.when(new | F.coalesce(F.array_contains("c.is_set", f), F.lit(False)), F.col(f"c.{f}")).otherwise(F.col(f"p.{f}")).alias(f)
-    out = joined.select(new.alias("is_new"), F.coalesce("p.pos", "c.pos").alias("at"), F.coalesce("p.name", "c.name").alias("name"), *(pick(f) for f in FIELDS), F.array_union(F.coalesce("p.is_set", F.array().cast("array<string>")), F.coalesce("c.is_set", F.array().cast("array<string>"))).alias("is_set"))
-    # a ruleset is a few rows: one small window gives the new order
-    order = Window.partitionBy(F.lit(0)).orderBy("is_new", "at", "name")
-    return out.select((F.row_number().over(order) - 1).alias("pos"), "name", *FIELDS, "is_set")
+    none = F.array().cast("array<string>")
+    rank = F.coalesce("p.rank", "c.rank").alias("rank")
+    return joined.select(F.coalesce("p.pos", "c.pos").alias("pos"), F.coalesce("p.name", "c.name").alias("name"), *(pick(f) for f in FIELDS), F.array_union(F.coalesce("p.is_set", none), F.coalesce("c.is_set", none)).alias("is_set"), rank)
+
+
+def _placed(merged: DataFrame) -> DataFrame:
+    """The categories with ``pos`` numbered from 0 by rank and name, from the sizes of ranges: no window over all."""
+    return numbered(merged, [F.col("rank"), F.col("name")], "place").select((F.col("place") - 1).cast("int").alias("pos"), "name", *FIELDS, "is_set")
+
+
+def merge_categories(parent: DataFrame, child: DataFrame) -> DataFrame:
+    """By name: the child's given fields (an explicit null too) replace the parent's; the parent's order, then new ones."""
+    return _placed(_merged(_ranked(parent, 0), child, 1))
 
 
 def active_categories(cats: DataFrame, scope: str) -> DataFrame:

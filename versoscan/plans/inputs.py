@@ -24,7 +24,10 @@ OFFSET = 2
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The given documents, dealt out anew only where their files split into fewer parts than there are cores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +39,8 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         h = (d * 7 + p * 13 + (p * p) % 5) % 29
         front = (d % 6 == 0) & (p < 3)
         out = F.when(front & (p == 1), "title: x").when(front, "---").when(h == 0, F.concat(F.lit("# "), s))
-        out = out.when(h.isin(1, 2, 3), F.concat(F.lit("- "), s)).when(h == 4, F.concat(F.lit("  - "), s)).when(h == 5, F.concat(F.lit("  "), s))
+        # an item that goes on behind code of its own
+        out = out.when(h.isin(1, 2), F.concat(F.lit("- "), s)).when(h == 3, F.concat(F.lit("- "), s, F.lit("\n  ```\n  code\n  ```\n  "), s)).when(h == 4, F.concat(F.lit("  - "), s)).when(h == 5, F.concat(F.lit("  "), s))
         out = out.when(h.isin(6, 7), F.concat(F.lit("| "), s, F.lit(" |"))).when(h.isin(8, 9), "```").when(h == 10, "~~~").when(h.isin(11, 12, 13), "")
         return out.when(h.isin(14, 15), F.concat(F.lit("1. "), s)).when(h == 16, F.concat(F.lit("* "), s)).when(h == 17, "---").when(h == 18, "  ```").otherwise(s)
 

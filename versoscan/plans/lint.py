@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from versoscan.functions.tables import Tables
 from versoscan.operators import answers as A
 from versoscan.operators import blocks as B
+from versoscan.operators import evaluate as E
 from versoscan.operators import judge as J
 from versoscan.operators import requests as R
 from versoscan.operators import structure as S
 from versoscan.operators import violations as V
+from versoscan.sources import files
 
 Answers = Callable[[DataFrame], DataFrame]
 
@@ -107,3 +109,20 @@ def lint_corpus(docs: DataFrame, cats: DataFrame, judge: Judge, limits: Limits |
     calls = stages[0].unionByName(stages[1]).unionByName(stages[2])
     reused = calls.groupBy("stage").agg(F.count("*").alias("requests"), F.count_if(~F.col("reused")).alias("asked"))
     return Lint(shape, placed, B.with_block_text(placed.select("doc_id", "block", "start", "end"), shape), scores, flagged, units, about_sentences, R.span_texts(hits, shape), every, V.merge_violations(every), skipped, calls.where("not reused").drop("reused"), reused, tables)
+
+
+def candidates_of(found: Lint) -> DataFrame:
+    """(doc_id, start, end, col, text, scope, category, prob): every sentence asked about, as threshold sweeps take them."""
+    return found.located.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
+
+
+def evaluate_thresholds(docs: DataFrame, cats: DataFrame, judge: Judge, path: str, limits: Limits | None = None, store: A.AnswerStore | None = None) -> DataFrame:
+    """The counts at each threshold over a lint of docs(doc_id, text); leaves the dump they can be checked by at ``path``.
+
+    The sweep is taken from the candidates of the lint itself; the lint's own tables are deleted once the dump stands.
+    """
+    found = lint_corpus(docs, cats, judge, limits, store)
+    sweep = E.threshold_sweep(candidates_of(found))
+    files.eval_dump(candidates_of(found), found.calls, sweep, R.input_hash(docs), path)
+    found.tables.discard()
+    return files.read_dump(docs.sparkSession, path)["thresholds"]

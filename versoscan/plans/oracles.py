@@ -71,7 +71,7 @@ def steps(window: int, document: int, score: int, locate: int, context: int) ->
     s: dict[str, str] = {}
     s["docs"] = """select doc_id, string_agg(b, chr(10) order by p) as text from (
         select doc_id, p, case when doc_id % 6 = 0 and p < 3 then case p when 1 then 'title: x' else '---' end
-          when h = 0 then '# ' || s when h in (1, 2, 3) then '- ' || s when h = 4 then '  - ' || s when h = 5 then '  ' || s
+          when h = 0 then '# ' || s when h in (1, 2) then '- ' || s when h = 3 then '- ' || s || chr(10) || '  ```' || chr(10) || '  code' || chr(10) || '  ```' || chr(10) || '  ' || s when h = 4 then '  - ' || s when h = 5 then '  ' || s
           when h in (6, 7) then '| ' || s || ' |' when h in (8, 9) then '```' when h = 10 then '~~~' when h in (11, 12, 13) then ''
           when h in (14, 15) then '1. ' || s when h = 16 then '* ' || s when h = 17 then '---' when h = 18 then '  ```' else s end as b
         from (select doc_id, p, replace(ln, '. ', '。') as s, (doc_id * 7 + p * 13 + (p * p) % 5) % 29 as h
@@ -264,6 +264,8 @@ def selects() -> dict[str, tuple[str, str]]:
     some = lambda lists, pattern: f"len(list_filter({lists}, lambda x: regexp_matches(x, '{pattern}'))) > 0"
     add("path_excludes", f"select page_id, path, {some(parts, excluded)} as by_default, {some(f'list_concat({parts}, {above})', '^(.*/fr/.*|th.*|1.)$')} as by_pattern from (select page_id, {path} as path from pages)")
     add("excluded_counts", f"select root, count(*) as files, count(*) filter ({some(parts_of := 'list_filter(string_split(rel, chr(47)), lambda x: x <> chr(0) and x <> ' + chr(39) * 2 + ')', excluded)} or {some(f'list_concat({parts_of}, list_transform(range(1, len({parts_of}) + 1), lambda k: array_to_string(({parts_of})[1:k], chr(47))))', '^(.*2.*|de)$')}) as excluded from (select string_split(path, '/')[1] as root, substr(path, length(string_split(path, '/')[1]) + 2) as rel from (select {path} as path from pages)) group by all")
+    add("excluded_files", """select cast(count(*) as bigint) as files, count(*) filter (bad) as excluded, count(*) filter (not bad) as "read" from (
+        select doc_id % 6 = 3 or doc_id % 4 = 2 or doc_id % 10 = 7 as bad from docs)""")
     add("split_lines", "select doc_id, idx, line from lines")
     add("mask_syntax", "select doc_id, idx, kind from kinds where kind is not null")
     add("masked_text", "select doc_id, masked from masked")
@@ -327,6 +329,7 @@ def selects() -> dict[str, tuple[str, str]]:
     add("file_summary", "select * from summary")
     add("usage_summary", "select * from usage")
     add("exit_codes", "select doc_id, cast(errors > 0 as int) as exit_code from summary")
+    add("run_exit_code", "select cast(coalesce(max(cast(errors > 0 as int)), 0) as int) as exit_code, count(*) filter (errors > 0) as failed, count(*) as documents from summary")
     add("fail_under", """select category, case when max(error) = 1 or coalesce(min(score), 3.0) < 0.002 then 1 else 0 end as exit_code, coalesce(min(score), 3.0) as worst from (
         select category, score, 0 as error from scores union all select category, null, cast(severity = 'error' as int) from merged) group by category""")
     place = lambda mark: f"case when start is not null then ' L' || start || '-{mark}' || \"end\" else '' end"
@@ -340,6 +343,13 @@ def selects() -> dict[str, tuple[str, str]]:
         select category, threshold, max(prob) as top, count(*) filter (prob >= threshold) as raw from located, (values (0.5::double), (0.6), (0.7), (0.8)) t(threshold) group by doc_id, line, col, text, category, threshold) group by all)"""
     add("threshold_sweep", sweep(""))
     add("threshold_sweep_by_category", sweep("category, "))
+    swept = sweep("")
+    add("eval_dump", f"""select 'candidates' as name, count(*) as n_rows, count(*) filter (prob >= 0.6) as figure from located union all select 'calls', count(*), cast(sum(size * 7) as bigint) from calls
+        union all select 'thresholds', count(*), cast(sum(merged) as bigint) from ({swept}) union all select 'inputs', count(*), count(distinct text) from docs""")
+    contents = """select w.doc_id, array_to_string(x.a[w.start + 1:w."end" + 1], chr(10)) as state, string_agg(p.i || '-' || p.j, ',' order by p.i) as asked, count(*) as n
+        from windows w join arrays x using (doc_id) join asked p using (doc_id, win) group by w.doc_id, w.win, x.a, w.start, w."end\""""
+    add("reused_answers", f"""select 'first' as run, count(*) as requests, count(distinct (state, asked)) as asked, cast(sum(n) as bigint) as answers from ({contents}) where doc_id % 2 = 0
+        union all select 'second', count(*), count(distinct (state, asked)) - (select count(distinct (state, asked)) from ({contents}) where doc_id % 2 = 0), cast(sum(n) as bigint) from ({contents})""")
     matched = 'select a.doc_id, a.scope, a.line as start, a.line as "end", a.col, a.text, a.category, a.prob as base_prob, b.prob as new_prob from located a join located2 b on a.doc_id = b.doc_id and a.scope = b.scope and a.line = b.line and a.col = b.col and a.text = b.text and a.category = b.category'
     add("matched_candidates", matched)
     add("regression_check", f"""select *, abs(median_shift) > 0.03 or up >= 0.2 or down >= 0.2 as regression from (select category, count(*) as n, quantile_cont(new_prob - base_prob, 0.5) as median_shift, avg(cast(new_prob - base_prob >= 0.05 as int)) as up, avg(cast(new_prob - base_prob <= -0.05 as int)) as down from ({matched}) group by all)""")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from versoscan.functions import text as X
 from versoscan.functions.lineage import cut, shared_dir
+from versoscan.functions.tables import Tables
 from versoscan.functions.text import hash_probability
 from versoscan.operators import blocks as B
 from versoscan.operators import choices as C
@@ -23,7 +24,8 @@ from versoscan.operators import rules
 from versoscan.operators import structure as S
 from versoscan.operators import violations as V
 from versoscan.plans import inputs as I
-from versoscan.plans.lint import Limits, Lint, lint_corpus
+from versoscan.operators.answers import AnswerStore
+from versoscan.plans.lint import Limits, Lint, candidates_of, evaluate_thresholds, lint_corpus
 from versoscan.plans.oracles import oracle_sql
 from versoscan.sources import files
 
@@ -95,6 +97,18 @@ def _(spark, d):
     return files.excluded_counts(pages, ["*2*", "de"])
 
 
+@query("excluded_files")
+def _(spark, d):
+    """The derived documents as files, a third of them below directories that a walk passes over."""
+    top = f"{shared_dir(spark)}/docs-{uuid.uuid4().hex}"
+    n = F.col("doc_id")
+    folder = F.when(n % 6 == 1, "build").when(n % 6 == 3, F.concat_ws(".", F.lit("p"), n % 2, F.lit("egg-info"))).otherwise(F.concat(F.lit("part"), n % 4))
+    I.markdown(spark, d).select(F.col("text").alias("value"), folder.alias("in"), F.concat(n.cast("string"), F.when(n % 5 == 0, ".txt").otherwise(".md")).alias("file")).write.partitionBy("in", "file").text(f"{top}/docs")
+    rows = files.excluded_files(spark, f"{top}/docs", ["*=part2", "*7.md"]).select("files", "excluded")
+    own = files.read_documents(spark, f"{top}/docs", ["*=part2", "*7.md"]).agg(F.count("*").alias("read"))
+    return rows.crossJoin(own)
+
+
 # line structure
 
 
@@ -351,25 +365,25 @@ def choice_judge(frame: pd.DataFrame) -> pd.DataFrame:
 
 @query("judge_noul")
 def _(spark, d):
-    rows = J.judge_noul(S.boundary_requests(I.analyzed(spark, d)), noul_judge, 8).select("doc_id", "win", "model", F.explode("answers").alias("a"))
+    rows = J.judge_noul(S.boundary_requests(I.analyzed(spark, d)), noul_judge).select("doc_id", "win", "model", F.explode("answers").alias("a"))
     return rows.select("doc_id", "win", "a.key", "a.prob", "model")
 
 
 @query("judge_score")
 def _(spark, d):
-    rows = J.judge_score(R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)), score_judge, 8).select("doc_id", "model", F.explode("answers").alias("a"))
+    rows = J.judge_score(R.document_score_requests(I.analyzed(spark, d), I.category_table(spark)), score_judge).select("doc_id", "model", F.explode("answers").alias("a"))
     return rows.select("doc_id", F.col("a.key").alias("category"), "a.score", "a.confidence", "model")
 
 
 @query("judge_choice")
 def _(spark, d):
-    rows = J.judge_choice(C.choice_requests(C.choice_questions(pools(spark, d), 3)), choice_judge, 8)
+    rows = J.judge_choice(C.choice_requests(C.choice_questions(pools(spark, d), 3)), choice_judge)
     return rows.select("doc", "question", "choice", "confidence", F.size("probabilities").alias("n_options"), F.element_at("probabilities", F.col("choice")).alias("probability"))
 
 
 @query("record_calls")
 def _(spark, d):
-    return J.record_calls(J.judge_noul(S.boundary_requests(I.analyzed(spark, d)), noul_judge, 8), ["doc_id", "win"])
+    return J.record_calls(J.judge_noul(S.boundary_requests(I.analyzed(spark, d)), noul_judge), ["doc_id", "win"])
 
 
 @query("score_gate")
@@ -431,6 +445,12 @@ def _(spark, d):
     return P.exit_codes(found.analyzed, found.merged)
 
 
+@query("run_exit_code")
+def _(spark, d):
+    found = lint(spark, d)
+    return P.run_exit_code(P.exit_codes(found.analyzed, found.merged))
+
+
 @query("fail_under")
 def _(spark, d):
     """For the scores of each category on its own, so that both errors and low scores decide."""
@@ -483,7 +503,7 @@ def _(spark, d):
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    return lint(spark, d).located.select("doc_id", F.col("line").alias("start"), F.col("line").alias("end"), "col", "text", "scope", "category", "prob")
+    return candidates_of(lint(spark, d))
 
 
 @query("threshold_sweep")
@@ -496,6 +516,42 @@ def _(spark, d):
     return E.threshold_sweep(candidates(spark, d), ("category",))
 
 
+@query("eval_dump")
+def _(spark, d):
+    """A threshold evaluation that leaves its dump, read back and checked: rows and a figure of each of its tables."""
+    path = f"{shared_dir(spark)}/dump-{uuid.uuid4().hex}"
+    evaluate_thresholds(I.markdown(spark, d), I.category_table(spark), I.hash_judge(), path)
+    back = files.read_dump(spark, path)
+    figures = {"candidates": F.count_if(F.col("prob") >= 0.6), "calls": F.sum("input_tokens"), "thresholds": F.sum("merged"), "inputs": F.count_distinct("sha256")}
+    out = None
+    for name, figure in figures.items():
+        one = back[name].agg(F.count("*").alias("n_rows"), figure.cast("long").alias("figure")).select(F.lit(name).alias("name"), "n_rows", "figure")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def content_answers(requests: DataFrame) -> DataFrame:
+    """A hash judge whose answers come from what is asked alone."""
+    state = F.array_join("state", "\n") if "state" in requests.columns else F.concat_ws("|", "heading", "context", "body")
+    answer = lambda q: F.struct(q["key"].alias("key"), hash_probability(state, q["key"]).alias("prob"))
+    return requests.withColumns({"answers": F.transform("questions", answer), "model": F.lit("judge-a"), "input_tokens": F.size("questions").cast("long"), "output_tokens": F.lit(1).cast("long")})
+
+
+@query("reused_answers")
+def _(spark, d):
+    """Requests of two runs with one store: the first over the documents of even id, as a corpus was some time ago, the
+    second over all. What a run asks are the contents that the store didn't know."""
+    shape = cut(I.analyzed(spark, d))
+    store = AnswerStore(spark, f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}")
+    tables = Tables(spark, "answers")
+    out = None
+    for run, docs in (("first", shape.where("doc_id % 2 = 0")), ("second", shape)):
+        asked = store.ask("boundaries", S.boundary_requests(docs), content_answers, ["doc_id", "win"], {"n": F.size("questions")}, Tables(spark, "run"))
+        one = tables.put(run, asked.agg(F.count("*").alias("requests"), F.count_if(~F.col("reused")).alias("asked"), F.coalesce(F.sum(F.size("answers")), F.lit(0)).cast("long").alias("answers"))).select(F.lit(run).alias("run"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def two_runs(spark: SparkSession, d: str) -> DataFrame:
     """All candidates of one lint, answered twice: the lint's own answers and those of another run."""
     found = lint(spark, d)

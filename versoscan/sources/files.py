@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # fixed values: directories that a walk passes over
 DEFAULT_EXCLUDES = (
@@ -30,24 +32,48 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """An absolute path with its file system, however it was given."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+SUFFIXES = "*.{md,txt}"
+
+
 def read_documents(spark: SparkSession, paths: str | Sequence[str], excludes: Sequence[str] = (), use_defaults: bool = True, recursive: bool = True, base: str | None = None) -> DataFrame:
     """(doc_id, text): every .md and .txt file below the directories, and every file named itself whatever its suffix,
-    whole, its path the id. Excludes hold below a directory, not for it, nor for files named. See ``in_listing_order``."""
+    whole, its path the id. Excludes hold below a directory, not for it, nor for files named. See ``in_listing_order``;
+    ``excluded_files`` counts what is left out."""
     out = None
     for path in [paths] if isinstance(paths, str) else paths:
         rows = lambda df: df.select(decoded(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
         if is_directory(spark, path):
             if not recursive:
                 raise ValueError(f"{path} is a directory; read it with recursive=True")
-            root = F.regexp_replace(F.lit(path), "/+$", "")
-            found = rows(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True))
-            found = found.where(~is_excluded(F.col("doc_id"), root, excludes, use_defaults, base))
+            root = F.lit(qualified(spark, path))
+            found = rows(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIXES).text(path, wholetext=True))
+            found = found.where(~is_excluded(F.col("doc_id"), root, excludes, use_defaults, base and qualified(spark, base)))
         else:
             found = rows(spark.read.text(path, wholetext=True))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def excluded_files(spark: SparkSession, paths: str | Sequence[str], excludes: Sequence[str] = (), use_defaults: bool = True, base: str | None = None) -> DataFrame:
+    """(root, files, excluded): of each directory's .md and .txt files, how many a read with these excludes leaves out. A
+    file named itself is one file. Only paths are read, no contents."""
+    out = None
+    for path in [paths] if isinstance(paths, str) else paths:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        below = is_directory(spark, path)
+        found = (files.option("pathGlobFilter", SUFFIXES) if below else files).load(path).select(decoded(F.col("path")).alias("path"), F.lit(path).alias("root"))
+        bad = is_excluded(F.col("path"), F.lit(qualified(spark, path)), excludes, use_defaults, base and qualified(spark, base)) if below else F.lit(False)
+        one = found.groupBy("root").agg(F.count("*").alias("files"), F.count_if(bad).alias("excluded"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def in_listing_order(docs: DataFrame) -> DataFrame:
     """Documents of one directory as a walk lists them: .md files before .txt files, each by path."""
     return docs.orderBy(F.when(F.col("doc_id").endswith(".md"), 0).otherwise(1), "doc_id")
@@ -61,8 +87,10 @@ def _matches(part: Column, patterns: Sequence[str]) -> Column:
 
 
 def _below(path: Column, root: Column) -> Column:
-    at = F.instr(path, F.concat(root, F.lit("/")))
-    return F.when(at > 0, F.substring(path, at + F.length(root) + 1, F.length(path))).otherwise(path)
+    """The part of a path below root; the path itself where it isn't below. Both may name the local file system or not."""
+    plain = lambda p: F.regexp_replace(p, "^file:/+", "/")
+    path, root = plain(path), F.concat(F.regexp_replace(plain(root), "/+$", ""), F.lit("/"))
+    return F.when(F.startswith(path, root), F.substring(path, F.length(root) + 1, F.length(path))).otherwise(path)
 
 
 def is_excluded(path: Column, root: Column, excludes: Sequence[str] = (), use_defaults: bool = True, base: str | None = None) -> Column:
@@ -74,7 +102,7 @@ def is_excluded(path: Column, root: Column, excludes: Sequence[str] = (), use_de
     found = F.exists(parts, lambda p: _matches(p, DEFAULT_EXCLUDES)) if use_defaults else F.lit(False)
     if excludes:
         above = lambda own: F.transform(own, lambda _, k: F.array_join(F.slice(own, 1, k + 1), "/"))
-        for own in [parts] if base is None else [parts, parts_of(_below(path, F.lit(base.rstrip("/"))))]:
+        for own in [parts] if base is None else [parts, parts_of(_below(path, F.lit(base)))]:
             found = found | F.exists(F.array_union(own, above(own)), lambda p: _matches(p, excludes))
     return found
 
@@ -86,13 +114,13 @@ def excluded_counts(paths: DataFrame, excludes: Sequence[str] = (), use_defaults
 
 
 def read_runs(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
-    """Recorded requests, one row each: run_id, experiment, doc, rep, variant, polarity, q, pairs, probs, model, usage.
-    A file is one JSON record, or has one a line."""
+    """Recorded requests, one row each: run_id, request (its place in the run), experiment, doc, rep, variant, polarity, q,
+    pairs, probs, model, usage. A file is one JSON record, or has one a line."""
     files = spark.read.schema(RUNS).option("multiLine", one_a_file).json(path)
     place = F.concat_ws("#", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     runs = files.select(place.alias("file"), F.posexplode("runs").alias("k", "r"))
-    rows = runs.select(F.concat_ws("#", "file", "k").alias("run_id"), "r.*").select("*", F.explode("requests").alias("x"))
-    return rows.select("run_id", "experiment", "doc", "rep", "variant", F.coalesce("polarity", F.lit(1)).alias("polarity"), F.col("params.q").alias("q"), "x.pairs", "x.probs", "x.model", "x.usage")
+    rows = runs.select(F.concat_ws("#", "file", "k").alias("run_id"), "r.*").select("*", F.posexplode("requests").alias("request", "x"))
+    return rows.select("run_id", "request", "experiment", "doc", "rep", "variant", F.coalesce("polarity", F.lit(1)).alias("polarity"), F.col("params.q").alias("q"), "x.pairs", "x.probs", "x.model", "x.usage")
 
 
 def read_labels(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
@@ -109,18 +137,59 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "part", "line").select("line").write.mode("overwrite").text(path)
 
 
-def eval_dump(cands: DataFrame, calls: DataFrame, sweep: DataFrame, hashes: DataFrame, path: str) -> None:
-    """What a threshold evaluation leaves: candidates, calls, counts and input hashes, as tables."""
-    for name, df in {"candidates": cands, "calls": calls, "thresholds": sweep, "inputs": hashes}.items():
+def table_hash(df: DataFrame) -> Column:
+    """A number that depends on all rows of df, not on their order or partitions; to be taken as an aggregate."""
+    texts = [F.to_json(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
+    return F.coalesce(F.sum(F.xxhash64(*texts).cast("decimal(20,0)")), F.lit(0)).cast("string")
+
+
+MANIFEST = "name string, schema string, rows long, hash string"
+
+
+def write_dump(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables below ``path`` and a manifest with the schema, the number of rows and a hash of each.
+
+    Counts and hashes are those of the rows as written, read back. The manifest comes last: without it there is no dump,
+    so a reader never takes what a lost run has left for a whole one.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    rows = []
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+        back = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+        n, total = back.agg(F.count("*"), table_hash(back)).first()
+        rows.append((name, df.schema.json(), n, total))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.json(f"{path}/manifest")
+
+
+def read_dump(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a dump. A table that lacks rows or holds others than its manifest says is an error."""
+    out = {}
+    for name, schema, n, total in spark.read.schema(MANIFEST).json(f"{path}/manifest").collect():
+        df = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/{name}")
+        found = df.agg(F.count("*"), table_hash(df)).first()
+        if tuple(found) != (n, total):
+            raise ValueError(f"{path}/{name}: {found[0]} rows with hash {found[1]}, the manifest says {n} with {total}")
+        out[name] = df
+    return out
+
+
+def eval_dump(cands: DataFrame, calls: DataFrame, sweep: DataFrame, hashes: DataFrame, path: str) -> None:
+    """What a threshold evaluation leaves: candidates, calls, counts and input hashes. See ``read_dump``."""
+    write_dump({"candidates": cands, "calls": calls, "thresholds": sweep, "inputs": hashes}, path)
 
 
 def write_runs(requests: DataFrame, path: str) -> None:
     """Recorded requests(run_id, experiment, doc, rep, variant, polarity, q, model, pairs, probs, usage) as JSON files
-    that ``read_runs`` reads: one record a run, its requests nested."""
+    that ``read_runs`` reads: one record a run, its requests nested in the order of ``request``, if there is such a
+    column, else of their pairs."""
     run = ["experiment", "doc", "rep", "variant", "polarity"]
+    place = F.col("request").cast("long") if "request" in requests.columns else F.lit(0).cast("long")
     one = F.struct("pairs", "probs", "model", "usage")
-    runs = requests.groupBy("run_id", *run, "q").agg(F.collect_list(one).alias("requests"))
+    ordered = F.array_sort(F.collect_list(F.struct(place.alias("request"), F.col("pairs").alias("key"), one.alias("one"))), lambda a, b: F.when((a["request"] < b["request"]) | ((a["request"] == b["request"]) & (a["key"] < b["key"])), -1).when((a["request"] == b["request"]) & (a["key"] == b["key"]), 0).otherwise(1))
+    runs = requests.groupBy("run_id", *run, "q").agg(F.transform(ordered, lambda x: x["one"]).alias("requests"))
     record = F.struct(*run, F.struct("q").alias("params"), "requests")
     runs.select(F.array(record).alias("runs")).write.mode("overwrite").json(path)
 
