@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,16 +13,24 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(SPACE, c))
+
+
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+", "")
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~c.rlike(f"[^{SPACE[1:]}")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used: lambdas compute what they hold anew each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def split_lines(text: Column) -> Column:
