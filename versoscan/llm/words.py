@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1_000_000  # just below a power of two, as tables of powers are rounded up to one
 SEPARATOR = np.zeros(256, bool)
@@ -103,16 +104,23 @@ def find_words(column: pa.Array, separator: np.ndarray = SEPARATOR, folded: np.n
     return Words(data, offsets, start, end, first, np.repeat(np.arange(len(offsets) - 1), np.diff(first)))
 
 
+LONG = 128  # bytes; some texts that are much longer have equal polynomials modulo 2**64 whatever the base
+
+
 class Spans:
-    """64-bit hashes of any spans of bytes, by differences of prefix sums."""
+    """64-bit hashes of any spans of bytes: by differences of prefix sums, of spans over LONG bytes by XXH3 of the bytes."""
 
     def __init__(self, data: np.ndarray):
+        self.data = np.ascontiguousarray(data)
         self.power, self.inverse = powers(BYTE_BASE, len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:-1], out=self.total[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        out = mix((self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[start[i] : end[i]])
+        return out
 
 
 def word_hashes(words: Words) -> np.ndarray:
