@@ -102,21 +102,30 @@ def element_ends(source: str, tag: str) -> dict[int, int]:
     return ends
 
 
-def leaves(source: str, at: int, end: int, around: set[str]) -> bool:
-    """Whether an element that is open around source[at:end] is closed inside it."""
-    balance = dict.fromkeys(around, 0)
-    for m in TAG.finditer(source, at, end):
-        if (tag := m[2].lower()) in balance:
-            balance[tag] += -1 if m[1] else 1
-            if balance[tag] < 0:
-                return True
-    return False
+def closers(source: str) -> dict[int, int]:
+    """Where the end tag that fits each start tag stands, by the start tag's place; at -1 the place of the first </body>."""
+    found: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in TAG.finditer(source):
+        tag = m[2].lower()
+        if not m[1]:
+            open_.setdefault(tag, []).append(m.start())
+        elif open_.get(tag):
+            found[open_[tag].pop()] = m.start()
+        elif tag == "body":
+            found.setdefault(-1, m.start())
+    for at in open_.get("body", ()):
+        found.pop(at, None)
+    return found
 
 
 def parse(source: str) -> Page:
     parent, tags, marks, text = [-1], ["body"], [()], [None]
     words, linked = [0], [0]
     open_: list[tuple[str, int]] = [("body", 0)]  # tag and node; -1 for inline
+    begun = [-1]  # where the start tag of each open element stands
+    outer: list[float] = []  # the first end tag of the open block elements up to each, once it is asked for
+    fits: dict[int, int] = {}
     counts: dict[str, int] = {}
     ends: dict[str, dict[int, int]] = {}  # of dropped elements, by tag
     here = 0  # the innermost block element
@@ -148,6 +157,8 @@ def parse(source: str) -> Page:
     def pop() -> None:
         nonlocal here, links
         tag, node = open_.pop()
+        begun.pop()
+        del outer[len(open_) :]
         counts[tag] -= 1
         if node >= 0:
             flush()
@@ -165,6 +176,15 @@ def parse(source: str) -> Page:
             if open_[i][0] in limits:
                 return
 
+    def first_end() -> float:
+        """Where the first end tag stands that closes one of the open block elements."""
+        if not fits:
+            fits.update(closers(source) or {-2: 0})
+        for k in range(len(outer), len(open_)):
+            own = fits.get(begun[k], stop + 1) if open_[k][1] >= 0 else stop + 1
+            outer.append(min(own, outer[-1]) if outer else own)
+        return outer[-1]
+
     at = 0
     stop = len(source)
     while at < stop:
@@ -183,7 +203,7 @@ def parse(source: str) -> Page:
                 if tag not in ends:
                     ends[tag] = element_ends(source, tag)
                 end = ends[tag].get(at)
-                if end is None or leaves(source, at, end, {t for t, node in open_ if node >= 0} | {"body"}):
+                if end is None or first_end() < end:
                     end = source.find("<", at)  # without an end of its own: only the text right after it goes
                 at = end if end >= 0 else stop
                 if tag not in ("template", "noscript"):
@@ -237,6 +257,7 @@ def parse(source: str) -> Page:
             if tag == "a" and counts.get("a"):
                 close_until({"a"}, set())
             open_.append((tag, -1))
+            begun.append(m.start())
             counts[tag] = counts.get(tag, 0) + 1
             links += tag == "a"
             continue
@@ -253,6 +274,7 @@ def parse(source: str) -> Page:
         linked.append(0)
         here = len(parent) - 1
         open_.append((tag, here))
+        begun.append(m.start())
         counts[tag] = counts.get(tag, 0) + 1
     flush()
     return Page(parent, describe(parent, tags, marks, text, words, linked), text)
@@ -457,19 +479,21 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         x = r.random()
         if x < 0.62:
             text = prose() if r.random() < 0.85 else some(1, 8)
-            out.append(keep(text, r.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br>", "<div>{}</div>", "<p>{}"] + ["<div>{}</div>"] * 6 * bare)))
+            plain = r.choice(("<div>", "<div>", f'<div class="{word()}">', f'<div class="{word()} {word()}-{word()}">', "<section>", "<div><div>", "<figure>"))
+            wrapped = f"{plain}<p>{{}}</p>" + "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", plain)))  # as many editors write each block
+            out.append(keep(text, r.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br>", "<div>{}</div>", "<p>{}"] + [wrapped] * 3 * (not bare) + ["<div>{}</div>"] * 6 * bare)))
         elif x < 0.68:
             out.append(keep(some(1, 6).capitalize(), "<h2>{}</h2>"))
         elif x < 0.74:
             out.append("<ul>" + "".join(keep(r.choice([sentence(), some(1, 6)]), "<li>{}</li>") for _ in range(r.randint(1, 4))) + "</ul>")
         elif x < 0.78:
-            out.append(keep(prose(), "<blockquote>{}</blockquote>"))
+            out.append(keep(prose(), "<blockquote>{}</blockquote>") if r.random() < 0.6 else "<blockquote>" + keep(prose(), "<p>{}</p>") + keep(some(1, 5), r.choice(("<footer>{}</footer>", "<p>{}</p>"))) + "</blockquote>")
         elif x < 0.81:
             out.append("<table><tr>" + "".join(keep(some(1, 3), "<td>{}</td>") for _ in range(3)) + "</tr></table>")
         elif x < 0.84:
             out.append(keep(some(3, 9), "<figure><img src=x><figcaption>{}</figcaption></figure>"))
         elif x < 0.89:
-            text = f"{some(2, 9)} {(t := word())} {some(1, 7)}."
+            text = f"{some(2, 9)} {(t := word() if r.random() < 0.6 else some(3, 12))} {some(1, 7)}."
             content.append(text)
             out.append(f"<p>{text.replace(t, f'<a href=/x>{t}</a>', 1) if t not in text.replace(' ' + t + ' ', ' ', 1) else text}</p>")
         elif x < 0.92:
