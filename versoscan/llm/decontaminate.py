@@ -326,24 +326,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, bloc
     return found
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_bytes: int = BLOCK_BYTES, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, block_bytes: int = BLOCK_BYTES, whole_below: int = LEAST_WORDS) -> DataFrame:
     """The rows of docs(text, ...) in which no item of the benchmark matches: each row is judged by its own text, in a
-    narrow pass a block, one behind the other."""
+    narrow pass a block, one behind the other. An item of fewer than ``whole_below`` words, which prose may hold by
+    chance, matches only texts that are nothing else."""
     schema = docs.schema
 
     def dropping(bench: Benchmark):
+        sizes = np.array([len(x) for x in bench.words], np.int64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 done = 0
                 for part in W.chunks([batch]):
+                    words = W.find_words(part.column("text"), SEPARATOR, LOWER)
+                    text, item, first, after, _ = matches(bench, words)
+                    whole = (first == words.first[text]) & (after == words.first[text + 1])
                     keep = np.ones(part.num_rows, bool)
-                    keep[matches(bench, W.find_words(part.column("text"), SEPARATOR, LOWER))[0]] = False
+                    keep[text[whole | (sizes[item] >= whole_below)]] = False
                     yield batch.slice(done, part.num_rows).filter(pa.array(keep))  # a null text stays null
                     done += part.num_rows
 
         return run
 
-    for bench in benchmark_blocks(benchmark, share, block_bytes, least_words):
+    for bench in benchmark_blocks(benchmark, share, block_bytes, LEAST_WORDS):
         docs = docs.mapInArrow(dropping(bench), schema)
     return docs
 

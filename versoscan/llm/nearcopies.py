@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.shared import HOT_SHARE, SALTS, connected_components, cut, joined_apart
+from versoscan.llm.shared import HOT_SHARE, SALTS, connected_components, cut, hot_keys, joined_apart
 from versoscan.llm.simhash import fingerprint, link_fingerprints
 
 SHINGLE = 5
@@ -177,8 +177,13 @@ def _prefix_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
     rows = joined_apart(early, cut(met), ["gram"], keep=("least",))
     least = F.greatest("least", F.ceil(size * SHARED / OF))
     rows = cut(rows.where(_enough_left(size, F.col("at"), least, F.lit(1))).drop("least"))
-    a, b = rows.alias("a"), rows.alias("b")
-    apart_ = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    # a frequent shingle's rows are dealt over salts on one side and stand once a salt on the other
+    hot, _ = hot_keys(rows.groupBy("gram").agg(F.count("*").alias("n")), ["gram"])
+    is_hot = F.xxhash64("gram").isin(hot) if hot else F.lit(False)
+    a = rows.withColumn("salt", F.when(is_hot, F.pmod("node", F.lit(SALTS))).otherwise(0).cast("long")).alias("a")
+    each = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    b = rows.withColumn("salt", F.explode(each)).alias("b")
+    apart_ = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     fits = _near_in_size(F.col("a.size"), F.col("b.size")) & _enough_left(F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"))
     return a.join(b, apart_ & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
