@@ -42,8 +42,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Items of fewer than LEAST_ITEM_WORDS words are left out: clean documents hold such runs by chance."""
-    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), least_words=LEAST_ITEM_WORDS)
+    """Items of fewer than LEAST_ITEM_WORDS words, which clean documents hold by chance, count where they are the whole text."""
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), whole_below=LEAST_ITEM_WORDS)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
