@@ -116,7 +116,7 @@ def features(words: list[str]) -> list[list[str]]:
     return out
 
 
-def labelled_table(n: int = 540, seed: int = 5) -> list[tuple[list[str], list[str]]]:
+def labelled_table(n: int = 600, seed: int = 5) -> list[tuple[list[str], list[str]]]:
     """The labelled sentences: spellings of each kind, and numbers that are none, between ordinary words."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -131,13 +131,13 @@ def labelled_table(n: int = 540, seed: int = 5) -> list[tuple[list[str], list[st
         return sep.join(c[i : i + 4] for i in range(0, 16, 4))
 
     made = [
-        ("email", lambda: f"{w()}.{d(2)}@{w()}{d(1)}.{w()}.com"), ("email", lambda: f"{w()}@{w()}.org"), ("email", lambda: f"{w()} (at) {w()}.com"), ("email", lambda: f"{w()}{d(2)} [at] {w()}.net"),
+        ("email", lambda: f"{w()}.{d(2)}@{w()}{d(1)}.{w()}.com"), ("email", lambda: f"{w()}@{w()}.org"), ("email", lambda: f"{w()} (at) {w()}.com"), ("email", lambda: f"{w()}{d(2)} [at] {w()}.net"), ("email", lambda: f"{w()} [at] {w()}.org"), ("email", lambda: f"{w()}.{w()} (at) {w()}.com"),
         ("ip", lambda: ".".join(str(r.randint(1, 255)) for _ in range(4))), ("ip", lambda: "[" + ".".join(str(r.randint(1, 255)) for _ in range(4)) + "]:" + d(4)),
         ("card", card), ("card", lambda: grouped(" ")), ("card", lambda: grouped("-")), ("card", lambda: grouped(".")), ("card", lambda: grouped("/")),
         ("phone", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}"), ("phone", lambda: f"+{d(2)} {d(3)} {d(3)} {d(4)}"), ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}"), ("phone", lambda: f"{d(3)}-{d(3)}-{d(4)}"), ("phone", lambda: f"00{d(2)} {d(3)} {d(7)}"), ("phone", lambda: f"{d(3)}.{d(3)}.{d(4)}"),
         ("", lambda: r.choice(["19", "20"]) + d(2)), ("", lambda: f"{d(1)}.{d(1)}"), ("", lambda: f"version {d(1)}.{d(1)}.{d(2)}"), ("", lambda: f"{d(2)}%"), ("", lambda: f"{d(3)},{d(3)}"), ("", lambda: f"{d(4)}-{d(2)}-{d(2)}"), ("", lambda: d(r.randint(1, 9))), ("", lambda: d(20) + d(r.randint(0, 9))),
         ("", lambda: "AKIA" + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(16))), ("", lambda: "password=" + "".join(r.choice("0123456789abcdef") for _ in range(18))), ("", lambda: f"@{w()}"), ("", lambda: f"{d(2)}:{d(2)}"), ("", lambda: f"{w()}-{d(2)}"), ("", lambda: f"{d(1)}) {w()}"), ("", lambda: f"{d(2)}.{d(2)}.{d(4)}"), ("", lambda: f"{d(3)} {w()} {d(3)}"),
-        ("", lambda: f"{w()} at {w()}"), ("", lambda: f"{d(5)}-{d(4)}"), ("", lambda: f"{d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}"), ("", lambda: f"{d(3)} {d(3)}"),
+        ("", lambda: f"{w()} at {w()}"), ("", lambda: f"{w()} {r.choice(('(at)', '[at]'))} {w()} {w()}"), ("", lambda: f"{d(5)}-{d(4)}"), ("", lambda: f"{d(3)}-{d(1)}-{d(5)}-{d(3)}-{d(1)}"), ("", lambda: f"{d(3)} {d(3)}"),
     ]
     out = []
     for i in range(n):
