@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -452,3 +453,63 @@ def test_words_chunks():
 )
 def test_unclosed_elements(source, parts):
     assert [t for t in html.parse(source).text if t is not None] == parts
+
+
+def thue_morse(a, b, doublings):
+    """A word over two letters; with a and b swapped, its polynomial modulo a power of two is the same from some length on."""
+    s = [a]
+    for _ in range(doublings):
+        s += [b if c == a else a for c in s]
+    return "".join(s)
+
+
+def test_texts_of_equal_polynomials_are_told_apart():
+    x, y = thue_morse("a", "b", 11), thue_morse("b", "a", 11)
+    words = W.find_words(pa.array([f"{x} {y} {x}"]))
+    h = W.word_hashes(words)
+    assert h[0] == h[2] != h[1]
+    base, _ = quality.statistics(pa.array([f"{x}\n{y}\n{x}", f"{x}\n{y}"]))
+    assert base["n_dup_lines"].tolist() == [1, 0]
+
+
+def test_field_looks_at_spelled_addresses():
+    """Hand-written sentences, through the whole search: the words alone make the field look."""
+    wanted = {
+        "write to john (at) example.com please": "john (at) example.com",
+        "ask mary [at] example.org about it": "mary [at] example.org",
+        "call 555-123-4567 after noon": "555-123-4567",
+        "we meet at noon, at the mill (see above)": None,
+        "the sign (at) is read as at": None,
+        "version 3.11.2 of 2024-05-01": None,
+    }
+    found = pii.spans_of(list(wanted), pii.trained())
+    for (text, span), (_, spans) in zip(wanted.items(), found, strict=True):
+        assert [text[a:b] for a, _, b in spans] == ([span] if span else [])
+
+
+PARAGRAPH = "<p>The old mill stood by the river for many years. People came from far away to see it turn.</p>"
+SENTENCE = "The council met on Tuesday to decide what the town should do."
+
+
+@pytest.mark.parametrize("wrap", ["<div><p>{}</p></div>", "<div class='wp-block-group'><p>{}</p></div>", "<div><div><p>{}</p></div></div>", "<section><p>{}</p></section>", "<div class='figure'><p>{}</p></div>", "<blockquote><p>{}</p><footer>John Smith</footer></blockquote>"])
+@pytest.mark.parametrize("times", [1, 3])
+def test_wrapped_paragraphs_stay(wrap, times):
+    source = f"<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>A title here</h1>{PARAGRAPH}{wrap.format(SENTENCE) * times}{PARAGRAPH}</article><footer><p>Copyright 2024</p></footer></body></html>"
+    text = html.main_texts([source], html.trained())[0]
+    assert text.count(SENTENCE) == times and text.count("old mill") == 2 and "Home" not in text and "Copyright" not in text
+
+
+def test_unbalanced_elements_are_linear():
+    def seconds(n):
+        began = time.perf_counter()
+        html.parse("<article>" + "<button>x " * n + "</article>" + "</button>" * n)
+        return time.perf_counter() - began
+
+    assert seconds(40_000) < 5
+
+
+def test_short_items_match_whole_texts(spark):
+    docs = spark.createDataFrame([(0, "Red fox!"), (1, "red FOX!"), (2, "the red fox! ran"), (3, None), (4, "one two three four five six seven")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "red fox!"), (1, "two three four five six")], "item_id long, text string")
+    kept = decontaminate.without_leaks(docs, bench, whole_below=5).collect()
+    assert sorted(r.doc_id for r in kept) == [2, 3]
