@@ -1,9 +1,9 @@
 """Substring deduplication by seed and extend.
 
-Documents are joined on winnowed anchors (see ``repeats``); every match is extended both ways to the words of the
-windows around its anchor, first as a whole context, then, where contexts of an anchor differ, window by window. What
-is kept are the maximal repeats of at least ``n`` words: each word covered by a window that also starts elsewhere is
-removed, judged on the input.
+Documents are joined on winnowed anchors (see ``repeats``). Equal surroundings of an anchor match as they are; where
+they differ, matches are extended from the anchor word by word to the right and to the left. What is kept are the
+maximal repeats of at least ``n`` words: each word covered by a window that also starts elsewhere is removed, judged on
+the input.
 
 Defined results: a null or blank text has no words; texts of fewer than n words lose none; rows that are repeated
 repeat each other's windows; a row with a null doc_id is treated like any other; an empty table gives an empty result.
@@ -17,56 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.repeats import SIZE_BITS, expand, keyed, repeated_contexts, with_places
+from versoscan.llm.repeats import SIZE_BITS, expand, keyed, repeated_windows, with_places
 from versoscan.llm.shared import table
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 8
 
 
-def _windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
-    """(h1, h2, doc_id, key, place, single): each window of the open contexts; single if its context is found once."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
-            words = W.find_words(part.column("text"))
-            hashes = W.word_hashes(words)
-            places, row = expand(part)
-            single, places = (places & 1).astype(bool), places >> 1
-            size = places & ((1 << SIZE_BITS) - 1)
-            of = np.repeat(np.arange(len(places)), size)
-            local = np.repeat(places >> SIZE_BITS, size) + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            row = row[of]
-            start = words.first[row] + local
-            h1, h2 = (W.Runs(hashes, lane).of(start, start + n).view(np.int64) for lane in (0, 1))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h1), pa.array(h2), part.column("doc_id").take(take), part.column("key").take(take), pa.array(local << SIZE_BITS | 1), pa.array(single[of])],
-                names=["h1", "h2", "doc_id", "key", "place", "single"],
-            )
-
-    marked = opened.select("doc_id", "key", F.shiftleft("place", 1).bitwiseOR((F.col("n") == 1).cast("long")).alias("place"))
-    return with_places(docs, marked, "inner").mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, key long, place long, single boolean")
-
-
-def repeated_open_windows(docs: DataFrame, opened: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, place): the windows of open contexts found once that start anywhere else too."""
-    windows = _windows(docs, opened, n)  # made twice, from one shuffle of the texts that the last join uses too
-    # a context that is found several times repeats whole already, and counts as one start here
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    return windows.where("single").join(twice.hint("shuffle_hash"), ["h1", "h2"]).select("doc_id", "key", "place")
-
-
-def repeated_windows(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """(doc_id, key, place) of keyed documents: packed ranges of the windows that start anywhere else too."""
-    whole, opened = repeated_contexts(docs, n, k)
-    return whole.unionByName(repeated_open_windows(docs, opened, n))
-
-
 def remove_repeats(docs: DataFrame, n: int = WINDOW_WORDS, k: int = ANCHOR_WORDS, text: bool = True) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text."""
     source = keyed(docs)

@@ -1,12 +1,11 @@
 """Sparse suffix arrays: repeated passages from sorted suffixes at minimiser positions.
 
 Of all suffixes only those that start at a window's minimiser are retained (see ``repeats``; n is the least length of
-a repeat). Suffixes with equal surroundings are one entry. The entries are sorted across the cluster by their next n
-words and then by the words to their left, read backwards, and once more the other way round; neighbours are compared,
-extended to the right and to the left, and both sides are marked where the match has at least n words. The sort ranges
-over whole entries, so a seed that very many documents share is split over tasks; neighbours in different tasks are
-compared in a last small step. Where three or more texts share a seed, a match need not be between neighbours of
-either order, so the windows of all entries found once are also compared by hash, and the result is exact.
+a repeat). Suffixes with equal surroundings are one entry. Entries of one minimiser are a block of the suffix array:
+they are sorted by their next n words, neighbours are compared, and the intervals of entries that share r words are
+extended to the left, each entry with the one of its interval that shares most words there. Both sides are marked where
+a match has at least n words, so the result is exact. Minimisers that more than ``repeats.BLOCK`` different
+surroundings share are no block of one task; there windows are compared by hash.
 
 Result: one row for each document with a repeated passage: doc_id, n_words, n_repeated (words in such passages) and
 spans (start:end in words, end exclusive, comma-joined). Defined results: null, blank and short texts have no repeats;
@@ -15,152 +14,45 @@ repeated rows repeat each other; a null doc_id is carried through; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from versoscan.llm import words as W
-from versoscan.llm.repeats import SIZE_BITS, expand, keyed, occurrences, repeated_contexts, with_places
-from versoscan.llm.shared import cut, table
-from versoscan.llm.substrings import repeated_open_windows
+from versoscan.llm.repeats import SIZE_BITS, expand, keyed, repeated_windows, with_places
+from versoscan.llm.shared import table
 
 LEAST_WORDS = 50
 SEED_WORDS = 8
-ENTRY = ["anchor", "right", "left", "doc_id", "key", "at"]
-RANGE_SAMPLE = 16  # rows a task that find the ranges of the sorts
-SPLIT = 26  # bits of a packed span's end
-
-
-def _entries(docs: DataFrame, opened: DataFrame, n: int, k: int) -> DataFrame:
-    """The retained suffixes: the next n words, the n words before them backwards, and the suffix's word."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in W.chunks(batches):
-            words = W.find_words(part.column("text"))
-            anchors, _, at, low, _ = occurrences(words, W.word_hashes(words), n, k)
-            places, row = expand(part)
-            mine = np.searchsorted(low, words.first[row] + (places >> SIZE_BITS))  # the occurrence at each place
-            at, anchors = at[mine], anchors[mine]
-            raw = words.data.tobytes()
-            start, end = words.start.tolist(), words.end.tolist()
-            right, left = [], []
-            for i, r in zip(at.tolist(), row.tolist(), strict=True):
-                a, b = max(int(words.first[r]), i - n), min(int(words.first[r + 1]), i + n)
-                right.append("".join(raw[start[j] : end[j]].decode() + " " for j in range(i, b)))
-                left.append("".join(raw[start[j] : end[j]].decode() + " " for j in range(i - 1, a - 1, -1)))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.view(np.int64)), pa.array(right, pa.string()), pa.array(left, pa.string()), part.column("doc_id").take(take), part.column("key").take(take), pa.array(at - words.first[row])],
-                names=ENTRY,
-            )
-
-    return with_places(docs, opened, "inner").mapInArrow(run, f"anchor long, right string, left string, doc_id {kind}, key long, at long")
-
-
-def common(a: str, b: str) -> int:
-    """How many leading words two runs share; every word ends with a space."""
-    if a == b:
-        return a.count(" ")
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
-    return a.count(" ", 0, low)
-
-
-def _compare(n: int, edges: bool):
-    """Marks of neighbouring rows in order: doc_id, key, place (a packed span); with ``edges`` the first and last rows too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        task = TaskContext.get().partitionId()
-        names = ["doc_id", "key", "place", "task", "side", "anchor", "right", "left", "at"]
-        id_type = pa.int64()
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            types = [id_type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-        def edge(row: tuple, side: int) -> tuple:
-            return (row[3], row[4], None, task, side, row[0], row[1], row[2], row[5])
-
-        for batch in batches:
-            id_type = batch.column("doc_id").type
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ENTRY), strict=True):
-                if last is None and edges:
-                    out.append(edge(row, 0))
-                if last is not None and last[0] == row[0]:
-                    r, l = common(last[1], row[1]), common(last[2], row[2])  # noqa: E741
-                    if r + l >= n:
-                        out += [(x[3], x[4], (x[5] - l) << SPLIT | (x[5] + r), task, 2, None, None, None, None) for x in (last, row)]
-                last = row
-            if out:
-                yield made(out)
-        if last is not None and edges:
-            yield made([edge(last, 1)])
-
-    return run
-
-
-def _with_small_samples(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
-    """Runs ``work`` with fewer rows a task sent to the driver to find the ranges of a sort: these rows hold text."""
-    name = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, RANGE_SAMPLE)
-    try:
-        return work()
-    finally:
-        spark.conf.set(name, before)
 
 
 def repeated_passages(docs: DataFrame, n: int = LEAST_WORDS, k: int = SEED_WORDS) -> DataFrame:
     source = keyed(docs)
     kind = dict(docs.dtypes)["doc_id"]
-    whole, opened = repeated_contexts(source, n, k)
-    schema = f"doc_id {kind}, key long, place long, task int, side int, anchor long, right string, left string, at long"
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = cut(_entries(source, opened, n, k))
-    marks = []
-    for order in (["anchor", "right", "left"], ["anchor", "left", "right"]):
-        order += ["doc_id", "key", "at"]
-        inside = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        found = _with_small_samples(docs.sparkSession, lambda rows=inside: cut(rows.mapInArrow(_compare(n, True), schema)))
-        # the first and last entry of each task, two rows a task at most, in one place
-        ends = found.where("side < 2").repartition(1).sortWithinPartitions("task", "side")
-        between = ends.select(*ENTRY).mapInArrow(_compare(n, False), schema)
-        marks.append(found.where("side = 2").unionByName(between).select("doc_id", "key", "place"))
-    mask = (1 << SIZE_BITS) - 1
-    first = F.shiftright("place", SIZE_BITS)
-    # pairs that are neighbours in neither order show up as windows that start elsewhere too
-    whole = whole.unionByName(repeated_open_windows(source, opened, n))
-    spans = whole.select("doc_id", "key", F.shiftleft(first, SPLIT).bitwiseOR(first + F.col("place").bitwiseAND(F.lit(mask)) + (n - 1)).alias("place"))
-    marks = spans.unionByName(marks[0]).unionByName(marks[1])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
             data, offsets = W.bytes_of(part.column("text"))
             raw, (places, row) = data.tobytes(), expand(part)
+            begin = places >> SIZE_BITS
+            end = begin + (places & ((1 << SIZE_BITS) - 1)) + n - 1
             first = np.searchsorted(row, np.arange(part.num_rows + 1))
             out = []
             for i in range(part.num_rows):
                 total = len(raw[offsets[i] : offsets[i + 1]].split())
                 change = np.zeros(total + 2, np.int64)
-                mine = places[first[i] : first[i + 1]]
-                np.add.at(change, (mine >> SPLIT) + 1, 1)
-                np.add.at(change, (mine & ((1 << SPLIT) - 1)) + 1, -1)
+                np.add.at(change, begin[first[i] : first[i + 1]] + 1, 1)
+                np.add.at(change, end[first[i] : first[i + 1]] + 1, -1)
                 inside = np.cumsum(change) > 0
                 bounds = np.flatnonzero(np.diff(inside.astype(np.int8)))
                 out.append((total, int(inside.sum()), ",".join(f"{a}:{b}" for a, b in bounds.reshape(-1, 2).tolist())))
             total, repeated, text = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(repeated, pa.int64()), pa.array(text)], names=["doc_id", "n_words", "n_repeated", "spans"])
 
-    return with_places(source, marks, "inner").mapInArrow(merge, f"doc_id {kind}, n_words long, n_repeated long, spans string")
+    marked = with_places(source, repeated_windows(source, n, k), "inner")
+    return marked.mapInArrow(merge, f"doc_id {kind}, n_words long, n_repeated long, spans string")
 
 
 def suffixes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
