@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 import zstandard
 from pyspark.sql import functions as F
@@ -386,3 +387,64 @@ def test_repeated_rows_have_bounded_places(spark):
     assert repeats.with_places(source, whole, "inner").agg(F.max(F.size("places"))).first()[0] <= 300
     got = substrings.remove_repeats(frame(spark, [(None, text, "x", 0)] * 2000)).groupBy("n_words", "n_removed").count().collect()
     assert [tuple(x) for x in got] == [(300, 300, 2000)]
+
+
+def test_block_matches_cover_all_pairs():
+    """Every word of every match of two entries is in a kept match of the entry, and no kept match is invented."""
+    r = random.Random(11)
+    for _ in range(300):
+        n, m = r.choice([3, 5, 8]), r.randint(2, 14)
+        run = lambda size: "".join(r.choice("ab") + " " for _ in range(size))
+        entries = sorted((run(r.randint(1, n)), run(r.randint(0, n))) for _ in range(m))
+        right, left = [e[0] for e in entries], [e[1] for e in entries]
+        got = defaultdict(set)
+        for i, l, k in repeats.block_matches(right, left, n):
+            assert l + k >= n and any(j != i and repeats.common(right[i], right[j]) >= k and repeats.common(left[i], left[j]) >= l for j in range(m))
+            got[i] |= set(range(-l, k))
+        for i in range(m):
+            want = set()
+            for j in range(m):
+                k, l = repeats.common(right[i], right[j]), repeats.common(left[i], left[j])
+                if i != j and k + l >= n:
+                    want |= set(range(-l, k))
+            assert got[i] == want, (right, left, n)
+
+
+def families(seed=3):
+    """Three and more texts around each seed, edited at different places, so that few matches are whole contexts."""
+    r = random.Random(seed)
+    rows = []
+    for f in range(12):
+        base = [f"w{f}x{r.randrange(40)}" for _ in range(160)]
+        for _ in range(6):
+            w = base[:]
+            for _ in range(3):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w), "x", 0))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_repeats_come_from_sorted_blocks(spark, monkeypatch, block):
+    """Blocks held by a task and blocks that are too large for one give the same; without matches of blocks words are missed."""
+    rows = families()
+    want = sum(int(c.sum()) for _, c in covered(rows, 35))
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    total = lambda: substrings.remove_repeats(frame(spark, rows), text=False).agg(F.sum("n_removed")).first()[0]
+    assert total() == want
+    if block > 3:
+        assert suffixes.repeated_passages(frame(spark, rows)).agg(F.sum("n_repeated")).first()[0] == sum(int(c.sum()) for _, c in covered(rows, 50))
+        monkeypatch.setattr(repeats, "block_matches", lambda right, left, n: [])
+        assert total() < want
+
+
+def test_words_that_collide_are_no_repeat(spark):
+    """Two long words of equal polynomials between equal words: no window is repeated."""
+    s = ["a"]
+    for _ in range(11):
+        s += ["b" if c == "a" else "a" for c in s]
+    x = "".join(s)
+    y = x.translate(str.maketrans("ab", "ba"))
+    common = [f"c{i}" for i in range(34)]
+    rows = [(0, " ".join([*common[:17], x, *common[17:]]), "x", 0), (1, " ".join([*common[:17], y, *common[17:]]), "x", 0)]
+    assert substrings.remove_repeats(frame(spark, rows)).agg(F.sum("n_removed")).first()[0] == 0
