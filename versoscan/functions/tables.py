@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from versoscan.functions.lineage import shared_dir
 
 
+BUCKET_BYTES = 32 << 20
+
+
 class Tables:
     """The tables of one job. ``discard`` deletes them; DataFrames read from them can't be used any more then."""
 
@@ -21,6 +24,7 @@ class Tables:
         self.spark, self.name = spark, f"{name}_{uuid.uuid4().hex}"
         self.folder = folder or f"{shared_dir(spark)}/{self.name}"
         self.written: list[str] = []
+        self.buckets = 0
 
     def put(self, name: str, df: DataFrame, *key: str, buckets: int | None = None) -> DataFrame:
         """Writes df and gives the table back; equal values of ``key`` are in one bucket."""
@@ -28,12 +32,21 @@ class Tables:
         if not key:
             df.write.parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
-        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = buckets or self._buckets(df)
         table = f"{self.name}_{name}"
         df.repartition(n, *key).write.bucketBy(n, *key).sortBy(*key).option("path", path).format("parquet").saveAsTable(table)
         self.written.append(table)
         return self.spark.table(table)
 
+    def _buckets(self, df: DataFrame) -> int:
+        """One number for all tables of the job, so that they meet in place: as many as the first needs by the size that
+        Spark estimates, at least one a core and at most the session's shuffle partitions."""
+        if not self.buckets:
+            most, cores = int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            self.buckets = min(most, max(cores, -(-size // BUCKET_BYTES)))
+        return self.buckets
+
     def bytes(self) -> int:
         """What the tables take."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
