@@ -65,6 +65,36 @@ def test_trees_are_monotonic_and_accurate():
     assert (trees.score(higher) >= trees.score(test) - 1e-12).all()
 
 
+def test_flattened_trees_equal_a_walk_of_their_nodes():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.random((800, 3)), r.integers(0, 3, (800, 1))], axis=1)
+    bad = ((x[:, 0] > 0.4) ^ (x[:, 3] > 1)).astype(float)
+    trees = quality.grow(x, bad, rising=(1,), n_trees=7)
+
+    def walk(row):
+        total = trees.bias
+        for at in trees.roots:
+            while trees.feature[at] >= 0:
+                at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+            total += trees.value[at]
+        return total
+
+    rows = np.concatenate([x, r.random((200, 4)) * 4 - 1])  # the cuts' own values among them
+    assert (trees.feature >= 0).sum() > 10 and trees.score(rows) == pytest.approx([walk(row) for row in rows], abs=1e-12)
+
+
+def test_verdicts_are_those_of_the_trees(spark):
+    """The whole operator with trees: a text is kept where its base rules hold and the walk of its statistics says good."""
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdeé#") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 80))) for _ in range(300)]
+    _, x = quality.statistics(pa.array(texts, pa.large_string()))
+    trees = quality.grow(x, (np.array([t.count("#") for t in texts]) > 20).astype(float), tuple(quality.FEATURES.index(f) for f in quality.RISING), n_trees=9)
+    got = {row.doc_id: row for row in quality.score_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), trees).collect()}
+    odds = trees.score(x)
+    assert [got[i].kept for i in range(300)] == [not got[i].base_failed and odds[i] < 0 for i in range(300)]
+    assert {got[i].kept for i in range(300) if not got[i].base_failed} == {True, False}
+
+
 def test_fit_without_labels(spark):
     labels = spark.createDataFrame([(3, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality.fit(odd_docs(spark), labels) is None and quality.fit(odd_docs(spark), labels.limit(0)) is None

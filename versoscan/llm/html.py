@@ -418,7 +418,8 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     bare = r.random() < BARE  # plain divs without names: links and short lines around, sentences inside
     content: list[str] = []
     link = lambda: f'<a href="/{word()}">{some(1, 3)}</a>'
-    links = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>"
+    titles = lambda: "<ul>" + "".join(f'<li><a href="/{word()}">{some(3, 10).capitalize()}</a></li>' for _ in range(r.randint(2, 6))) + "</ul>"
+    links = lambda: titles() if r.random() < 0.15 else "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(r.randint(2, 9))) + "</ul>"
 
     def named(kind: str, *tags: str) -> tuple[str, str]:
         """An opening and a closing tag: an element of that meaning, or a plain one with a telling name."""
@@ -440,17 +441,21 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         a, b = named(kind, *tags)
         return a + inside + b
 
+    def heading(least: int, most: int) -> str:
+        tag = r.choice(("h2", "h3", "h3", "h3", "h4"))
+        return f"<{tag}>{some(least, most)}</{tag}>"
+
     def ad() -> str:
         return block("side", links()) if bare else block("ad", r.choice([sentence(), some(2, 8), prose(), f"<p>{sentence()}</p>", link()]))
 
     def notice() -> str:
-        return block("side", links()) if bare else block("notice", r.choice([f"<p>{prose()}</p>", sentence(), f"<p>{sentence()}</p><button>{word()}</button>"]), "dialog")
+        return block("side", links()) if bare else block("notice", r.choice([f"<p>{prose()}</p>", sentence(), f"<p>{sentence()}</p><button>{word()}</button>", f"{heading(1, 4)}<p>{sentence()}</p>" + r.choice(("", "<form><input></form>"))]), "dialog")
 
     def form() -> str:
         return r.choice([f"<form><label>{some(1, 3)}</label><input type=text><p>{sentence()}</p></form>", f'<form class="search"><input><button>{word()}</button>{some(1, 4)}</form>', f"<form><fieldset><legend>{some(1, 3)}</legend><label>{some(1, 2)}</label><div>{sentence()}</div></fieldset></form>"])
 
     def side() -> str:
-        return block("side", links()) if bare else block("side", f"<h3>{some(1, 4)}</h3>" + r.choice([links(), f"<p>{sentence()}</p>", f"<p>{prose()}</p>", links() + f"<p>{prose()}</p>"]), "aside", "aside")
+        return block("side", links()) if bare else block("side", heading(1, 4) + r.choice([links(), f"<p>{sentence()}</p>", f"<p>{prose()}</p>", links() + f"<p>{prose()}</p>"]), "aside", "aside")
 
     def comments() -> str:
         one = r.choice(["<li>{}</li>", '<div class="comment">{}</div>', '<article class="comment">{}</article>', "<div>{}</div>", "{}", "<article>{}</article>"])
@@ -459,10 +464,17 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         return a + (f"<h3>{some(1, 3)}</h3>" if r.random() < 0.6 else "") + made + b
 
     out = ["<!DOCTYPE html><html><head><title>x</title><script>var a='<p>';</script></head><body>"]
+    cells = not bare and r.random() < 0.06  # laid out by a table: menu, article and footer are its cells
+    if r.random() < 0.15:
+        out.append(f'<a{r.choice(("", " class=skip", " class=skip-link"))} href="#{word()}">{some(1, 4)}</a>')
     if r.random() < 0.25:
         out.append(notice())
-    if r.random() < 0.6:
-        out.append(block("header", r.choice([f"<h1>{some(1, 3)}</h1>", f"<p>{some(2, 6)}</p>", f"<div>{some(1, 3)}</div>" + links(), link(), f"<h1>{some(1, 3)}</h1><p>{sentence()}</p>"]), "header", "header"))
+    if r.random() < 0.1:
+        out.append(r.choice(("<center>{}</center>", "<p>{}</p>", "<div>{}</div>")).format(r.choice((" - ", " | ", " ", "<br>")).join(link() for _ in range(r.randint(2, 6)))) + "<hr>" * (r.random() < 0.4))
+    if cells:
+        out.append(f'<table><tr><td class="{r.choice(HINTS["nav"].split())}">' + r.choice(("<br>", " ")).join(link() for _ in range(r.randint(2, 6))) + "</td>")
+    elif r.random() < 0.6:
+        out.append(block("header", r.choice([f"<h1>{some(1, 3)}</h1>", heading(1, 3), f"<p>{some(2, 6)}</p>", f"<div>{some(1, 3)}</div>" + links(), link(), f"<h1>{some(1, 3)}</h1><p>{sentence()}</p>"]), "header", "header"))
     if r.random() < 0.85:
         out.append(block("nav", r.choice([links(), "".join(link() for _ in range(5)), " | ".join(link() for _ in range(4))]), "nav", "nav", "nav", "menu"))
     if r.random() < 0.5:
@@ -470,15 +482,20 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     before = r.random() < 0.3
     if before:
         out.append(side())
-    a, b = r.choice([("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", "")]) if bare else r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("body", "article", "main"), named("body", "article"), ("<div>", "</div>"), ('<div id="page"><article class="post">', "</article></div>"), ("<table><tr><td>", "</td></tr></table>")])
+    a, b = ("<td>", "</td></tr>") if cells else r.choice([("<div>", "</div>"), ("<div><div>", "</div></div>"), ("", "")]) if bare else r.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("body", "article", "main"), named("body", "article"), ("<div>", "</div>"), ('<div id="page"><article class="post">', "</article></div>"), ("<table><tr><td>", "</td></tr></table>")])
     out.append(a)
     if r.random() < 0.85:
         title = keep(some(2, 9).capitalize())
         out.append(r.choice([f"<h1>{title}</h1>"] * 3 + [f"<header><h1>{title}</h1></header>", f"<h2>{title}</h2>"]))
+        if not bare and r.random() < 0.12:  # a line below the title, in the article's own header
+            out[-1] = f"<header><h1>{title}</h1>" + keep(r.choice((sentence(), some(3, 12))), r.choice(("<p>{}</p>", f"<p class={word()}>{{}}</p>"))) + "</header>"
     for _ in range(r.randint(1, 9)):
         x = r.random()
         if x < 0.62:
             text = prose() if r.random() < 0.85 else some(1, 8)
+            if not a and r.random() < 0.3:  # text of the body itself
+                out.append(keep(text, "<hr>{}<hr>"))
+                continue
             plain = r.choice(("<div>", "<div>", f'<div class="{word()}">', f'<div class="{word()} {word()}-{word()}">', "<section>", "<div><div>", "<figure>"))
             wrapped = f"{plain}<p>{{}}</p>" + "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", plain)))  # as many editors write each block
             out.append(keep(text, r.choice(["<p>{}</p>"] * 5 + ["<p><b>{}<br>", "<div>{}</div>", "<p>{}"] + [wrapped] * 3 * (not bare) + ["<div>{}</div>"] * 6 * bare)))
@@ -492,6 +509,14 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
             out.append("<table><tr>" + "".join(keep(some(1, 3), "<td>{}</td>") for _ in range(3)) + "</tr></table>")
         elif x < 0.84:
             out.append(keep(some(3, 9), "<figure><img src=x><figcaption>{}</figcaption></figure>"))
+        elif x < 0.85 and not bare:  # a section on what its name says elsewhere
+            names = [n for kind in ("footer", "notice", "form") for n in HINTS[kind].split() if n not in ("modal", "overlay", "dialog", "popup", "toast", "footer")]
+            out.append(f'<section {r.choice(("class", "id"))}="{r.choice(names)}">' + keep(some(2, 6).capitalize(), "<h2>{}</h2>") + "".join(keep(prose(), "<p>{}</p>") for _ in range(r.randint(1, 3))) + "</section>")
+        elif x < 0.865 and not bare:  # a paragraph that is one link, or nearly
+            linked = f"<a href=/x>{(t := sentence()[:-1])}</a>"
+            text = r.choice(["{}.", "{}", f"{some(1, 3).capitalize()} {{}} {some(1, 3)}."])
+            content.append(text.format(t))
+            out.append(f"<p>{text.format(linked)}</p>")
         elif x < 0.89:
             text = f"{some(2, 9)} {(t := word() if r.random() < 0.6 else some(3, 12))} {some(1, 7)}."
             content.append(text)
@@ -507,8 +532,10 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         else:
             out.append(side())
     inside = r.random() < 0.3
-    tail = comments() if r.random() < 0.4 and not bare else ""
+    tail = comments() if r.random() < 0.4 and not bare and not cells else ""
     out += [tail, b] if inside else [b, tail]
+    if cells:
+        out.append(f'<tr><td colspan=2 class="{r.choice(HINTS["footer"].split())}">{r.choice((some(2, 7), sentence()))}</td></tr></table>')
     if not before and r.random() < 0.4:
         out.append(side())
     if r.random() < 0.2:
@@ -517,8 +544,10 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
         out.append(ad())
     if r.random() < 0.15:
         out.append(notice())
-    if r.random() < 0.85:
-        out.append(block("footer", r.choice([f"<p>{some(2, 6)}</p>", f"&copy; {word()} &middot; {some(1, 3)}", links(), f"{some(2, 5)} &copy; 2024", f"<p>{sentence()}</p>" + links(), some(1, 8)]), "footer", "footer", "footer"))
+    if r.random() < 0.1:
+        out.append("<hr>" * (r.random() < 0.5) + f"<address>{r.choice((some(2, 8), sentence()))}</address>")
+    if r.random() < 0.85 and not cells:
+        out.append(block("footer", r.choice([f"<ul><li>{sentence()}</li><li>{link()}</li></ul>", f"<p>{some(2, 6)}</p>", f"&copy; {word()} &middot; {some(1, 3)}", links(), f"{some(2, 5)} &copy; 2024", f"<p>{sentence()}</p>" + links(), some(1, 8)]), "footer", "footer", "footer"))
     return "".join(out) + "</body></html>", content
 
 
