@@ -341,7 +341,10 @@ def test_page_rows(spark):
     rows = [(0, "u", "<article><p>long enough text here.</p></article>", "x"), (1, None, None, "x"), (None, "u", "", "x"), (0, "u", "<article><p>long enough text here.</p></article>", "x")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.text, r.n_chars) for r in got) == [("", 0), ("", 0), ("long enough text here.", 22), ("long enough text here.", 22)]
-    assert html.main_texts(["<div>" * 3000 + "deep text"], html.trained()) in (["deep text"], [""])
+    paragraphs = ["The river rose by two metres overnight, and the town was cut off.", "Nobody was hurt, said the mayor on Tuesday."]
+    inside = "".join(f"<p>{p}</p>" for p in paragraphs)
+    for deep in ("<div>" * 3000 + inside, "<div>" * 3000 + inside + "</div>" * 3000 + "<footer>© x</footer>"):
+        assert html.main_texts([deep], html.trained()) == ["\n\n".join(paragraphs)]
 
 
 def levenshtein(a, b):
