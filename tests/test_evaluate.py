@@ -52,6 +52,25 @@ def test_middle_values(spark):
     assert E.middle_values(rows.limit(0), (), "v").count() == 0
 
 
+def test_medians_shuffle_few_values(spark):
+    """Of very many distinct values only those around the middle are ranked: the window's input is a small part."""
+    rows = spark.range(200_000).select((F.col("id") % 2).alias("g"), F.rand(5).alias("v")).localCheckpoint()
+    out = E.middle_values(rows, ("g",), "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "range_" in plan
+    exact = {g: sorted(r.v for r in rows.where(F.col("g") == g).collect()) for g in (0, 1)}
+    assert {r.g: (r.lower, r.upper) for r in out.collect()} == {g: (v[49_999], v[50_000]) for g, v in exact.items()}
+
+
+def test_runs_matched_by_request(spark):
+    """Answers to the same requests meet by cand, in any order; no text stands in the join."""
+    schema = "doc_id long, chunk int, probs array<struct<cand:int,prob:double>>"
+    a = spark.createDataFrame([(1, 0, [(0, 0.1), (1, 0.2)]), (2, 0, [(0, 0.3)])], schema)
+    b = spark.createDataFrame([(1, 0, [(1, 0.9), (0, 0.8)]), (2, 0, [(5, 0.7)])], schema)
+    got = {r.doc_id: [tuple(p) for p in r.probs] for r in E.matched_requests(a, b, ["doc_id", "chunk"]).collect()}
+    assert got == {1: [(0, 0.1, 0.8), (1, 0.2, 0.9)], 2: []}
+
+
 @pytest.mark.parametrize("values", ["outlier", "normal", "ties"])
 def test_ranges_hold_equally_many_values(spark, values):
     """One value far away, or most values close together, leave no range with many of them."""

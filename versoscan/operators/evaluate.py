@@ -3,8 +3,9 @@
 Observations are one long table obs(experiment, grp, doc, i, j, rep, p), p already turned so that high means a
 boundary. Measures group by ``by`` columns. Labels grow with the documents, so joins with them are left to adaptive
 execution, which broadcasts only what it has measured to be small. No pair of positives and negatives is ever formed,
-and no group is sorted or gathered in one task: medians and the AUC come from counts of distinct values in RANGES
-ranges of about equally many values of their group, prefix sums over the ranges, and ranks within a range.
+and no group is sorted or gathered in one task: the AUC comes from counts of distinct values in RANGES ranges of about
+equally many values of their group, prefix sums over the ranges, and ranks within a range; medians from counts of
+the values below, around and above them and ranks within the part that holds them.
 """
 
 from __future__ import annotations
@@ -24,10 +25,16 @@ CONTESTED = "見出し"
 MEDIAN_SHIFT, MOVED, MOVED_SHARE = 0.03, 0.05, 0.2
 SIDE = 32
 RANGES = SIDE * SIDE  # of a group's values
+BROADCAST_ROWS = 100_000  # of a table with a few numbers a row
 PLACE = ["start", "end", "col", "text", "category"]
 CANDIDATE = ["doc_id", "scope", *PLACE]
 
 
+def _with_few(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with ``few``, a table read back with a handful of rows a group: sent to all tasks but for very many groups."""
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on)
+
+
 def _in_ranges(counts: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
     """counts, a row a distinct value, with ``range_``, the part of its group's values in which each lies.
 
@@ -54,14 +61,28 @@ def _before(counts: DataFrame, by: tuple[str, ...], value: str, *numbers: str) -
 
 
 def middle_values(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame:
-    """(by.., n, lower, upper): the values at the places floor((n - 1) / 2) and floor(n / 2) of each group in order."""
+    """(by.., n, lower, upper): the values at the places floor((n - 1) / 2) and floor(n / 2) of each group in order.
+
+    The values are read back three times and shuffled only where they can be the middle ones: sketches give bounds around
+    the middle, counts of the three parts tell which of them hold the two places, and only these are counted and ranked.
+    """
     if not by:
         return middle_values(rows.withColumn("all_", F.lit(0)), ("all_",), value).drop("all_")
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    total = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    placed = _before(_in_ranges(counts, by, value), by, value, "c").join(total, list(by))
-    at = lambda k: F.max(F.when((F.col("before_c") <= k) & (k < F.col("before_c") + F.col("c")), F.col(value)))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), at(F.floor((F.col("n") - 1) / 2)).alias("lower"), at(F.floor(F.col("n") / 2)).alias("upper"))
+    values = cut(rows.select(*by, value).where(F.col(value).isNotNull()))
+    around = F.array(*(F.lit(share) for share in (0.49, 0.51)))
+    bounds = cut(values.groupBy(*by).agg(F.percentile_approx(value, around, F.lit(1000)).alias("bounds_")))
+    part = F.when(F.col(value) < F.get("bounds_", F.lit(0)), 0).when(F.col(value) <= F.get("bounds_", F.lit(1)), 1).otherwise(2)
+    ranged = _with_few(values, bounds, list(by)).withColumn("range_", part).drop("bounds_")
+    per_range = ranged.groupBy(*by, "range_").agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)  # three rows
+    placed = per_range.select(*by, "range_", "c", F.sum("c").over(group).alias("n"), F.coalesce(F.sum("c").over(group.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lower_c"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda before, k: (before <= k) & (k < before + F.col("c"))
+    middle = cut(placed.where(holds(F.col("lower_c"), low) | holds(F.col("lower_c"), high)).drop("c"))  # at most two rows a group
+    counts = _with_few(ranged, middle, [*by, "range_"]).groupBy(*by, "range_", "n", "lower_c", value).agg(F.count("*").alias("c"))
+    before = F.col("lower_c") + F.coalesce(F.sum("c").over(Window.partitionBy(*by, "range_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = lambda k: F.max(F.when(holds(F.col("before_c"), k), F.col(value)))
+    return counts.withColumn("before_c", before).groupBy(*by).agg(F.max("n").alias("n"), at(low).alias("lower"), at(high).alias("upper"))
 
 
 def threshold_sweep(cands: DataFrame, by: tuple[str, ...] = (), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -85,10 +106,24 @@ def matched_candidates(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.select(*CANDIDATE, F.col("prob").alias("base_prob")).join(new.select(*CANDIDATE, F.col("prob").alias("new_prob")), CANDIDATE)
 
 
+def matched_requests(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Two runs' answers (keys.., probs) to the same requests: (keys.., probs) with the base_prob and new_prob of each cand
+    that both have. Only numbers are shuffled: places and texts are looked up once, for both runs, behind this."""
+
+    def one(p: Column, k: Column) -> Column:
+        here = F.get("others", k)
+        found = F.when(here["cand"] == p["cand"], here).otherwise(F.get(F.filter("others", lambda o: o["cand"] == p["cand"]), F.lit(0)))
+        return F.struct(p["cand"].alias("cand"), p["prob"].alias("base_prob"), found["prob"].alias("new_prob"), found.isNotNull().alias("both"))
+
+    rows = base.select(*keys, "probs").join(new.select(*keys, F.col("probs").alias("others")), keys)
+    kept = F.filter(F.transform("probs", one), lambda x: x["both"])
+    return rows.select(*keys, F.transform(kept, lambda x: x.dropFields("both")).alias("probs"))
+
+
 def regression_check(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Whether the new run moved: a median shift over 0.03, or a fifth of the candidates moved 0.05 one way."""
     d = F.col("moved")
-    moved = matched.withColumn("moved", F.col("new_prob") - F.col("base_prob"))
+    moved = cut(matched.select(*by, (F.col("new_prob") - F.col("base_prob")).alias("moved")))
     middle = middle_values(moved, by, "moved").select(*by, ((F.col("lower") + F.col("upper")) / 2).alias("median_shift"))
     out = moved.groupBy(*by).agg(F.count("*").alias("n"), F.avg((d >= MOVED).cast("double")).alias("up"), F.avg((d <= -MOVED).cast("double")).alias("down"))
     out = (out.join(middle, list(by)) if by else out.crossJoin(middle)).select(*by, "n", "median_shift", "up", "down")  # without by both are one row
