@@ -5,8 +5,10 @@ from __future__ import annotations
 import fnmatch
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -74,6 +76,31 @@ def excluded_files(spark: SparkSession, paths: str | Sequence[str], excludes: Se
     return out
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """docs(file, text) as files below ``path``, each whole, with a line end behind it; folders come with them.
+
+    Each task writes its files at their names, so there is nothing to move at the end; a task that runs again writes the
+    same ones.
+    """
+    top = re.sub("^file:/+", "file:///", qualified(docs.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(top)
+        made = set()
+        for batch in batches:
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+                for name, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    at = f"{root}/{name}"
+                    if (folder := at.rpartition("/")[0]) not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    with store.open_output_stream(at) as out:
+                        out.write(f"{text or ''}\n".encode())
+        yield from ()
+
+    docs.select("file", "text").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+
+
 def in_listing_order(docs: DataFrame) -> DataFrame:
     """Documents of one directory as a walk lists them: .md files before .txt files, each by path."""
     return docs.orderBy(F.when(F.col("doc_id").endswith(".md"), 0).otherwise(1), "doc_id")
