@@ -161,6 +161,13 @@ def test_repeat_sd(spark):
     assert (s.n, s.median) == (4, pytest.approx(0.1414, abs=1e-3)) and s.max == pytest.approx(0.5657, abs=1e-3)
 
 
+def test_mean_deviation_does_not_hang_on_the_order(spark):
+    stats = lambda values: spark.createDataFrame([("x", "g", float(v)) for v in values], "experiment string, grp string, sd double").coalesce(1)
+    mean = lambda values: E.repeat_sd_summary(stats(values)).first()["mean"]
+    assert mean([0.1] * 10) == 0.1  # added up as doubles, 0.09999999999999999
+    assert mean([0.0, float("nan")]) != mean([0.0, float("nan")])
+
+
 def test_cache_and_offset(spark):
     a = spark.createDataFrame([(0, 0.5), (1, 0.6)], "k int, prob double")
     b = spark.createDataFrame([(0, 0.5), (2, 0.6)], "k int, prob double")

@@ -202,9 +202,14 @@ def legacy(p: Column) -> Column:
     return (p >= 0.4) & (p < 0.6)
 
 
+def exact_mean(value: str) -> Column:
+    """The mean of doubles added up as decimals of 15 places, so that it doesn't hang on the order of the rows; NaN if one is NaN."""
+    return F.when(F.isnan(F.max(value)), F.max(value)).otherwise(F.avg(F.when(~F.isnan(value), F.col(value)).cast("decimal(30,15)")).cast("double"))
+
+
 def repeat_sd_summary(stats: DataFrame, by: tuple[str, ...] = ("experiment", "grp")) -> DataFrame:
     """(by.., n, mean, median, max) of the deviations; the median is the upper one."""
-    sums = stats.groupBy(*by).agg(F.count("*").alias("n"), F.avg("sd").alias("mean"), F.max("sd").alias("max"))
+    sums = stats.groupBy(*by).agg(F.count("*").alias("n"), exact_mean("sd").alias("mean"), F.max("sd").alias("max"))
     return sums.join(middle_values(stats, by, "sd").select(*by, F.col("upper").alias("median")), list(by)).select(*by, "n", "mean", "median", "max")
 
 
