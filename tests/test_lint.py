@@ -14,9 +14,10 @@ from versoscan.functions.tables import Tables
 from versoscan.operators import evaluate as E
 from versoscan.operators import judge as J
 from versoscan.operators import rules
+from versoscan.operators import violations as V
 from versoscan.plans import inputs as I
 from versoscan.operators.answers import AnswerStore
-from versoscan.plans.lint import Judge, Limits, evaluate_thresholds, lint_corpus
+from versoscan.plans.lint import Judge, Limits, candidates_of, evaluate_thresholds, lint_corpus, places_of
 from versoscan.sources import files
 
 DATA = os.environ.get("VERSOSCAN_TEST_DATA", "/root/testdata/sf0.001")
@@ -136,6 +137,24 @@ def test_runs_are_compared_in_place(spark):
     tables.discard()
 
 
+def test_findings_are_merged_in_place(spark):
+    """Sentences meet by their place, where their document lies: a sweep shuffles sums, a merge nothing; both as by texts."""
+    docs = spark.createDataFrame([(k, "# 題\n" + "\n".join(f"文{i}。続き{k}。" for i in range(9)) + "\n```\nx\n```\n同じ。同じ。") for k in range(20)], "doc_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = hash_lint(spark, docs)
+        sweep = E.threshold_sweep(places_of(found), ("category",))
+        moved = [x for x in str(sweep._jdf.queryExecution().executedPlan().toString()).splitlines() if "Exchange hash" in x]
+        assert len(moved) == 1 and "hashpartitioning(category" in moved[0]
+        assert sorted(sweep.collect()) == sorted(E.threshold_sweep(candidates_of(found), ("category",)).collect())
+        by_text = V.merge_violations(found.violations).collect()
+        assert by_text and sorted(map(str, by_text)) == sorted(map(str, found.merged.select(*V.COLUMNS).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    found.tables.discard()
+
+
 def test_threshold_evaluation_leaves_a_dump(spark, tmp_path):
     docs = spark.createDataFrame([(k, "\n".join(f"文{i}。続き{k}。" for i in range(30))) for k in range(4)], "doc_id long, text string")
     path = str(tmp_path / "dump")

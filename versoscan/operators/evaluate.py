@@ -88,9 +88,10 @@ def middle_values(rows: DataFrame, by: tuple[str, ...], value: str) -> DataFrame
 def threshold_sweep(cands: DataFrame, by: tuple[str, ...] = (), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """(by.., threshold, raw, merged): questions at or over each threshold, and findings after merging scopes.
 
-    cands(doc_id, start, end, col, text, category, prob). One pass: counts for all thresholds at once, then unfolded.
+    cands(doc_id, start, end, col, text, category, prob), or chars in place of text, which say the same within a document.
+    One pass: counts for all thresholds at once, then unfolded.
     """
-    merged = cands.groupBy("doc_id", *PLACE).agg(F.max("prob").alias("top"), *(F.count_if(F.col("prob") >= t).alias(f"r{k}") for k, t in enumerate(thresholds)))
+    merged = cands.groupBy("doc_id", *(c if c in cands.columns else "chars" for c in PLACE)).agg(F.max("prob").alias("top"), *(F.count_if(F.col("prob") >= t).alias(f"r{k}") for k, t in enumerate(thresholds)))
     sums = merged.groupBy(*by).agg(F.count("*").alias("n"), *(F.sum(f"r{k}").alias(f"r{k}") for k in range(len(thresholds))), *(F.count_if(F.col("top") >= t).alias(f"m{k}") for k, t in enumerate(thresholds)))
     rows = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"r{k}").alias("raw"), F.col(f"m{k}").alias("merged")) for k, t in enumerate(thresholds)))).alias("x")
     return sums.select(*by, "n", rows).select(*by, "n", "x.threshold", "x.raw", "x.merged")
@@ -108,12 +109,13 @@ def matched_candidates(base: DataFrame, new: DataFrame) -> DataFrame:
 
 def matched_requests(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Two runs' answers (keys.., probs) to the same requests: (keys.., probs) with the base_prob and new_prob of each cand
-    that both have. Only numbers are shuffled: places and texts are looked up once, for both runs, behind this."""
+    that both have, and the places that base's probs hold. Only numbers are shuffled; texts are looked up behind this."""
+    at = [f.name for f in base.schema["probs"].dataType.elementType.fields if f.name in ("line", "col", "chars")]
 
     def one(p: Column, k: Column) -> Column:
         here = F.get("others", k)
         found = F.when(here["cand"] == p["cand"], here).otherwise(F.get(F.filter("others", lambda o: o["cand"] == p["cand"]), F.lit(0)))
-        return F.struct(p["cand"].alias("cand"), p["prob"].alias("base_prob"), found["prob"].alias("new_prob"), found.isNotNull().alias("both"))
+        return F.struct(p["cand"].alias("cand"), *(p[c].alias(c) for c in at), p["prob"].alias("base_prob"), found["prob"].alias("new_prob"), found.isNotNull().alias("both"))
 
     rows = base.select(*keys, "probs").join(new.select(*keys, F.col("probs").alias("others")), keys)
     kept = F.filter(F.transform("probs", one), lambda x: x["both"])
