@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -328,6 +329,21 @@ def test_pipeline_near_copies(spark):
     assert got == sorted(least.values()) and 30 < len(got) < 120 and len(pairs) > 100
 
 
+def test_parities_pass_over_pairs_that_differ_too_much(spark):
+    """Texts of 30 of one passage's 40 pieces: they share early shingles, but few pairs can be near; no near pair is lost."""
+    draw = random.Random(3)
+    pieces = [" ".join(f"w{k}x{i}" for i in range(10)) for k in range(40)]
+    rows = [(n, " ".join(pieces[k] for k in sorted(draw.sample(range(40), 30)))) for n in range(60)]
+    rows += [(100 + n, rows[n][1].replace("x3", "x3 new", 1)) for n in range(5)]
+    grams, bounds = nearcopies.shingle_sets(pa.array([t for _, t in rows]))
+    sets = [set(grams[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    near = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    near = {(min(p), max(p)) for p in near}
+    nodes = spark.createDataFrame([(n, len(x), n) for (n, _), x in zip(rows, sets, strict=True)], "node long, size long, component long")
+    found = {(r.a, r.b) for r in nearcopies._prefix_pairs(nodes, spark.createDataFrame(rows, "node long, text string")).collect()}
+    assert len(near) >= 5 and near <= found and len(found) < 2 * len(near) + 20
+
+
 def test_near_copies_of_one_passage(spark):
     """A family whose members mostly differ from one another by more than a fifth: links as all pairs give them, and few
     pairs are ever compared."""

@@ -9,7 +9,8 @@ The nodes of each band are first checked against its least node, so a large fami
 than a star. Nodes that still share a band with another component are joined anew, by an exact prefix filter: with the
 rarest shingles first, two sets of similarity 0.8 share a shingle so early in both that enough of each is left behind
 it. Thousands of texts that are cut from one passage, but differ by more than a fifth, thus meet in no join: the
-shingles they share come too late.
+shingles they share come too late. Of pairs that do meet, the parities of their shingles over 1,024 bits tell how many
+shingles at least only one of the two has; where that is too many, the pair is passed over within the join.
 
 A text of one to four words has one shingle, all its words; a null or blank text has none, and all such texts are one
 node. Upper-case A-Z count as lower case.
@@ -31,6 +32,7 @@ from versoscan.llm.simhash import fingerprint, link_fingerprints
 SHINGLE = 5
 SHARED, OF = 4, 5  # the least similarity, 4/5
 BANDS, BAND_ROWS = 24, 5
+PARITIES = 16  # words of 64 bits, each bit the parity of how many shingles fall on it
 BROADCAST_ROWS = 200_000  # of (node, row); beyond that the texts are shuffled
 FOLDED = np.arange(256, dtype=np.uint8)
 FOLDED[65:91] += 32
@@ -157,6 +159,36 @@ def _enough_left(a, at_a, b, at_b):
     return (1 + F.least(a - at_a, b - at_b)) * (SHARED + OF) >= SHARED * (a + b)
 
 
+def parity_words(gram: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row a set of shingles: 64 * PARITIES bits, each set if an odd number of its shingles falls on it."""
+    bits = 64 * PARITIES
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at, times = np.unique(owner * bits + (W.mix(gram) % np.uint64(bits)).astype(np.int64), return_counts=True)
+    at = at[times % 2 == 1]
+    out = np.zeros((len(bounds) - 1) * PARITIES, np.uint64)
+    np.bitwise_or.at(out, at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
+    return out.reshape(-1, PARITIES)
+
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """(node, x0, x1, ..): the parities of each text's shingles."""
+    names = [f"x{k}" for k in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.chunks(batches):
+            words = parity_words(*shingle_sets(part.column("text"))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array(np.ascontiguousarray(words[:, k])) for k in range(PARITIES))], names=["node", *names])
+
+    return texts.select("node", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["node", *names]))
+
+
+def _may_be_near(a: str, b: str):
+    """Whether the parities of rows a and b allow a similarity of 4/5: bits that differ are shingles that only one set has."""
+    sizes = F.col(f"{a}.size") + F.col(f"{b}.size")
+    differ = sum((F.bit_count(F.col(f"{a}.x{k}").bitwiseXOR(F.col(f"{b}.x{k}"))) for k in range(PARITIES)), F.lit(0))
+    return (sizes - differ) * (SHARED + OF) >= 2 * SHARED * sizes
+
+
 def _prefix_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of apart(node, size, component) in different components that pass the prefix filter; no pair of
     similarity 4/5 or more is missing."""
@@ -180,12 +212,13 @@ def _prefix_pairs(apart: DataFrame, texts: DataFrame) -> DataFrame:
     # a frequent shingle's rows are dealt over salts on one side and stand once a salt on the other
     hot, _ = hot_keys(rows.groupBy("gram").agg(F.count("*").alias("n")), ["gram"])
     is_hot = F.xxhash64("gram").isin(hot) if hot else F.lit(False)
+    rows = cut(rows.join(_parities(texts).hint("shuffle_hash"), "node"))
     a = rows.withColumn("salt", F.when(is_hot, F.pmod("node", F.lit(SALTS))).otherwise(0).cast("long")).alias("a")
     each = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     b = rows.withColumn("salt", F.explode(each)).alias("b")
     apart_ = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     fits = _near_in_size(F.col("a.size"), F.col("b.size")) & _enough_left(F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"))
-    return a.join(b, apart_ & fits).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    return a.join(b, apart_ & fits & _may_be_near("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
