@@ -179,6 +179,18 @@ def test_oversize_units_are_skipped_whole(spark):
     assert {r.reason for r in found.skipped.collect()} == {"state_too_large", "score_state_too_large"}
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["score_flag_violations", "score_gate"])
+def test_flags_of_units_look_for_no_sentences(spark, monkeypatch, name):
+    """Findings about whole units come from the scores alone; the rows are those of the SQL."""
+
+    def never(requests):
+        raise AssertionError("asked about sentences")
+
+    monkeypatch.setattr(I, "locate_answers", never)
+    test_queries_equal_their_sql(spark, name)
+
+
 @needs_data
 def test_invariants(spark):
     found = hash_lint(spark, I.markdown(spark, DATA))

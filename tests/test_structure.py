@@ -96,6 +96,24 @@ def test_split_lines_and_json_chars(spark):
     assert [r.m for r in rows] == [len(json.dumps((v or "").splitlines() or [""], ensure_ascii=False)) for v in values]
 
 
+def test_json_chars_of_every_character(spark):
+    import json
+
+    values = [chr(k) for k in range(0x11000) if not 0xD800 <= k < 0xE000] + ["a\x00\n\"\\\x7f é😀" * 900]
+    n = spark.createDataFrame([(v,) for v in [*values, None]], "t string").select("t", X.json_string_chars(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in n.collect()} == {v: len(json.dumps(v, ensure_ascii=False)) for v in values} | {None: None}
+    assert "regexp_replace" not in n._jdf.queryExecution().optimizedPlan().toString()  # 15 times slower on states
+
+
+def test_masked_slices_are_cut_once(spark):
+    """The mask of a block's lines takes time in proportion to them: no slice stands within the lambdas over lines."""
+    lines, kinds = [f"l{k}" for k in range(9)], [None, "a", "a", "b", None, "a", "a", "a", None]
+    df = spark.createDataFrame([(lines, kinds)], "lines array<string>, kinds array<string>")
+    masks = df.select(S.masked_slice(F.col("lines"), F.col("kinds"), F.lit(3), F.lit(8)).alias("m"), S.masked_text(F.col("lines"), F.col("kinds")).alias("w"))
+    assert masks.first() == ("[除外: a]\n[除外: b]\nl4\n[除外: a]", "l0\n[除外: a]\n[除外: b]\nl4\n[除外: a]\nl8")
+    assert masks.select("m")._jdf.queryExecution().optimizedPlan().toString().count("slice(") == 2
+
+
 def test_item_paths():
     lines = ["- a", "  - b", "  - c", "", "    text", "1. d", "x"]
     paths = S.item_paths(lines, S.line_kinds(lines))
