@@ -114,6 +114,19 @@ def test_masked_slices_are_cut_once(spark):
     assert masks.select("m")._jdf.queryExecution().optimizedPlan().toString().count("slice(") == 2
 
 
+def test_forced_cuts_are_found_in_a_narrow_pass(spark):
+    """As by windows over all lines and a join, but nothing is sorted or shuffled."""
+    parts = ["文。", "", "- 項目\n  ```\n  x\n  ```\n  続き", "```", "x", "  続き", "| a |", "- 二", "1. 一", "  ```", "文"]
+    texts = ["\n".join(parts[(d * 7 + p * (d % 5 + 1)) % len(parts)] for p in range(d % 30)) for d in range(300)]
+    shape = S.analyze(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    cuts = B.forced_cuts(shape)
+    gaps = S.line_pairs(S.lines_of(shape)).where("masked_between").select("doc_id", "i", "j")
+    want = gaps.join(S.pairs_of(shape, "continuations"), ["doc_id", "i", "j"], "left_anti").select("doc_id", "j").collect()
+    assert len(want) > 100 and shape.where("size(continuations) > 0").count() and sorted(cuts.collect()) == sorted(want)
+    plan = cuts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and "Sort" not in plan
+
+
 def test_item_paths():
     lines = ["- a", "  - b", "  - c", "", "    text", "1. d", "x"]
     paths = S.item_paths(lines, S.line_kinds(lines))
