@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from versoscan.functions.lineage import cut
+
 # fixed values: directories that a walk passes over
 DEFAULT_EXCLUDES = (
     ".git", ".hg", ".svn", "_build", "build", "dist", "node_modules", ".venv", "venv", ".tox", ".nox", ".mypy_cache",
@@ -40,22 +42,104 @@ def qualified(spark: SparkSession, path: str) -> str:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
+def uri_of(spark: SparkSession, path: str) -> str:
+    """An absolute path, escaped, as the file systems of pyarrow take it in tasks."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toASCIIString()
+    return re.sub("^file:/+", "file:///", uri)
+
+
+def is_open_to_tasks(uri: str) -> bool:
+    """Whether pyarrow lists this directory; some stores (s3a, viewfs without libhdfs) only Spark's readers know."""
+    try:
+        store, root = fs.FileSystem.from_uri(uri)
+        return store.get_file_info(root).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
 SUFFIXES = "*.{md,txt}"
+WALK = 10_000  # entries that a task lists below a directory before it hands on the directories it has not opened
+FILES, BYTES = 4096, 32 << 20  # of a task that reads files
+ROWS, HELD = 256, 8 << 20  # texts, and bytes of them, that go to Spark at once
+
+
+def listed(spark: SparkSession, uri: str, walk: int = WALK) -> DataFrame:
+    """(name, bytes): the .md and .txt files below a directory that is open to tasks, named by their paths behind it.
+
+    Tasks list the directories, in as many rounds as it takes, and leave the names in a checkpoint: the driver only
+    counts, and a task holds the entries of one directory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        rows = lambda names, sizes: pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "bytes"])
+        for top in (name for batch in batches for name in batch.column(0).to_pylist()):
+            below, seen = [top], 0
+            while below and seen < walk:
+                at = below.pop()
+                found = store.get_file_info(fs.FileSelector(root.rstrip("/") + at or "/"))
+                seen += 1 + len(found)
+                for k in range(0, len(found), WALK):
+                    own = [f for f in found[k : k + WALK] if f.type == fs.FileType.File and f.base_name.endswith((".md", ".txt"))]
+                    yield rows([f"{at}/{f.base_name}" for f in own], [f.size for f in own])
+                below += [f"{at}/{f.base_name}" for f in found if f.type == fs.FileType.Directory]
+            yield rows(below, [None] * len(below))
+
+    todo, folders, out = spark.createDataFrame([("",)], "name string"), 1, None
+    while folders:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = cut(todo.repartition(min(folders, most)).mapInArrow(run, "name string, bytes long"))
+        todo = found.where("bytes is null").select("name")
+        names = found.where("bytes is not null")
+        folders, out = todo.count(), names if out is None else out.unionByName(names)
+    return out
+
+
+def contents(found: DataFrame, uri: str) -> DataFrame:
+    """(name, text) of listed(name, bytes) files below a directory, read whole by tasks of like numbers of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        rows = lambda names, texts: pa.record_batch([pa.array(names, pa.string()), pa.array(texts, pa.binary())], ["name", "value"])
+        names, texts, held = [], [], 0
+        for name in (name for batch in batches for name in batch.column(0).to_pylist()):
+            with store.open_input_stream(root.rstrip("/") + name, compression=None) as file:
+                texts.append(file.read())
+            names.append(name)
+            held += len(texts[-1])
+            if len(names) >= ROWS or held >= HELD:
+                yield rows(names, texts)
+                names, texts, held = [], [], 0
+        yield rows(names, texts)
+
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(min(n, found.sparkSession.sparkContext.defaultParallelism), n // FILES, size // BYTES, 1)
+    return found.select("name").repartition(tasks).mapInArrow(run, "name string, value binary").select("name", F.col("value").cast("string").alias("text"))
 
 
 def read_documents(spark: SparkSession, paths: str | Sequence[str], excludes: Sequence[str] = (), use_defaults: bool = True, recursive: bool = True, base: str | None = None) -> DataFrame:
     """(doc_id, text): every .md and .txt file below the directories, and every file named itself whatever its suffix,
     whole, its path the id. Excludes hold below a directory, not for it, nor for files named. See ``in_listing_order``;
-    ``excluded_files`` counts what is left out."""
+    ``excluded_files`` counts what is left out.
+
+    Where pyarrow does not reach a directory's store, Spark's reader takes it: that one lists on the driver, and passes
+    over empty files and names that begin with a dot or an underscore.
+    """
     out = None
     for path in [paths] if isinstance(paths, str) else paths:
         rows = lambda df: df.select(decoded(F.col("_metadata.file_path")).alias("doc_id"), F.col("value").alias("text"))
         if is_directory(spark, path):
             if not recursive:
                 raise ValueError(f"{path} is a directory; read it with recursive=True")
-            root = F.lit(qualified(spark, path))
-            found = rows(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIXES).text(path, wholetext=True))
-            found = found.where(~is_excluded(F.col("doc_id"), root, excludes, use_defaults, base and qualified(spark, base)))
+            root = qualified(spark, path)
+            bad = lambda at: is_excluded(at, F.lit(root), excludes, use_defaults, base and qualified(spark, base))
+            if is_open_to_tasks(uri := uri_of(spark, path)):
+                at = F.concat(F.lit(root.rstrip("/")), "name")
+                found = contents(listed(spark, uri).where(~bad(at)), uri).select(at.alias("doc_id"), "text")
+            else:
+                found = rows(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIXES).text(path, wholetext=True))
+                found = found.where(~bad(F.col("doc_id")))
         else:
             found = rows(spark.read.text(path, wholetext=True))
         out = found if out is None else out.unionByName(found)
@@ -82,7 +166,7 @@ def write_documents(docs: DataFrame, path: str) -> None:
     Each task writes its files at their names, so there is nothing to move at the end; a task that runs again writes the
     same ones.
     """
-    top = re.sub("^file:/+", "file:///", qualified(docs.sparkSession, path))
+    top = uri_of(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(top)
