@@ -56,3 +56,15 @@ def test_stores_that_only_spark_reads(spark, odd, monkeypatch):
     monkeypatch.setattr(files, "is_open_to_tasks", lambda uri: False)
     got = {r.doc_id.partition("/odd %/")[2]: r.text for r in files.read_documents(spark, odd).collect()}
     assert got == {name: text for name, text in ODD.items() if text and name.endswith(("md", "txt")) and name[0] not in "._" and "build" not in name}
+
+
+def test_excluded_files_are_counted_by_tasks(spark, odd):
+    """Names with a percent sign are taken as they are, and no list of files comes to the driver."""
+    counted = files.excluded_files(spark, odd, ["s/t/u", "*41%"])
+    assert counted.inputFiles() == [] and tuple(counted.first()) == (odd, 8, 3)
+    assert tuple(files.excluded_files(spark, f"{odd}/生成 x+y%41%/d 1.md").first())[1:] == (1, 0)
+
+
+def test_excluded_files_in_stores_that_only_spark_reads(spark, odd, monkeypatch):
+    monkeypatch.setattr(files, "is_open_to_tasks", lambda uri: False)
+    assert tuple(files.excluded_files(spark, odd, ["s/t/u", "*41%"]).first()) == (odd, 5, 3)

@@ -148,14 +148,17 @@ def read_documents(spark: SparkSession, paths: str | Sequence[str], excludes: Se
 
 def excluded_files(spark: SparkSession, paths: str | Sequence[str], excludes: Sequence[str] = (), use_defaults: bool = True, base: str | None = None) -> DataFrame:
     """(root, files, excluded): of each directory's .md and .txt files, how many a read with these excludes leaves out. A
-    file named itself is one file. Only paths are read, no contents."""
+    file named itself is one file. Only paths are read, no contents. Stores are listed as by ``read_documents``."""
     out = None
     for path in [paths] if isinstance(paths, str) else paths:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
         below = is_directory(spark, path)
-        found = (files.option("pathGlobFilter", SUFFIXES) if below else files).load(path).select(decoded(F.col("path")).alias("path"), F.lit(path).alias("root"))
+        if below and is_open_to_tasks(uri := uri_of(spark, path)):
+            found = listed(spark, uri).select(F.concat(F.lit(qualified(spark, path).rstrip("/")), "name").alias("path"))
+        else:
+            found = (files.option("pathGlobFilter", SUFFIXES) if below else files).load(path).select("path")
         bad = is_excluded(F.col("path"), F.lit(qualified(spark, path)), excludes, use_defaults, base and qualified(spark, base)) if below else F.lit(False)
-        one = found.groupBy("root").agg(F.count("*").alias("files"), F.count_if(bad).alias("excluded"))
+        one = found.select("path", F.lit(path).alias("root")).groupBy("root").agg(F.count("*").alias("files"), F.count_if(bad).alias("excluded"))
         out = one if out is None else out.unionByName(one)
     return out
 
